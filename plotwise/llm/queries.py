@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.llm import substring_dedup
+from plotwise.llm import byte_bpe, line_dedup, quality, substring_dedup, url_filter
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -35,9 +36,84 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _term_sql(terms: list[str]) -> str:
+    return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in terms)
+
+
+_STRICT = [t for t, w in url_filter.VOCABULARY.items() if w >= 1]
+_SOFT = [t for t, w in url_filter.VOCABULARY.items() if w < 1]
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP5_SQL = f"""
+WITH c AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {_ASCII_LOWER.format("url")} AS u, {_ASCII_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM c),
+rules(says, rule, dom, pre) AS (VALUES {", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_filter.RULES)}),
+fit AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(says, len(rule)) AS says
+        FROM p JOIN rules ON (host = dom OR ends_with(host, '.' || dom)) AND starts_with(path, pre) GROUP BY page_id)
+SELECT p.page_id, host, path, rule,
+  coalesce(says, CASE WHEN ({_term_sql(_STRICT)}) >= 1 OR ({_term_sql(_SOFT)}) >= 2 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fit USING (page_id)
+"""
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
+def _repeats_sql(m: int) -> str:
+    """Starts of m-word windows found twice or more in their document."""
+    return f"""(SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM
+      (SELECT doc_id, i, md5(array_to_string(w[i : i + {m - 1}], ' ')) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {m - 1})) AS i FROM d WHERE len(w) >= {m}))) WHERE c > 1)"""
+
+
+def _covered_sql(m: int) -> str:
+    return f"(SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + {m - 1})) FROM {_repeats_sql(m)}) GROUP BY doc_id)"
+
+
+_LIMITS = quality.Limits()
+_OP6_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+a AS {_covered_sql(_LIMITS.window)}, b AS {_covered_sql(_LIMITS.long_repeat)},
+z AS (SELECT DISTINCT doc_id FROM {_repeats_sql(_LIMITS.longest + 1)}),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines,
+        coalesce(a.n, 0)::BIGINT AS n_repeat_words, coalesce(b.n, 0)::BIGINT AS n_long_repeat_words, z.doc_id IS NOT NULL AS too_long
+      FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN z USING (doc_id)),
+g AS (SELECT *, n_words < {_LIMITS.min_words} OR 100 * n_repeat_words > {_LIMITS.max_repeat_percent} * n_words AS base_failed FROM f)
+SELECT * EXCLUDE (too_long), NOT base_failed AND 100 * n_long_repeat_words <= {_LIMITS.max_long_percent} * n_words AND NOT too_long AS kept FROM g
+"""
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_facts.n_lines", "line_facts.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+_OP7_SQL = f"""
+WITH l AS (SELECT doc_id, j, line, {_ASCII_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM
+  (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS j FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+hot AS (SELECT k FROM l WHERE length(k) >= {line_dedup.MIN_CHARS} GROUP BY k HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS}),
+m AS (SELECT l.*, hot.k IS NULL AS stays FROM l LEFT JOIN hot ON l.k = hot.k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (NOT stays)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY j) FILTER (stays), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = byte_bpe.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {f.__name__: f for f in (op1_substring_dedup, op5_url_filters, op6_quality_rules, op7_line_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op5_url_filters": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_line_dedup": _OP7_SQL}
