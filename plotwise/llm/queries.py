@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.llm import byte_bpe, line_dedup, quality, substring_dedup, url_filter
+from plotwise.llm import byte_bpe, language, line_dedup, lm, quality, substring_dedup, toxicity, url_filter
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -36,6 +36,14 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    weights = toxicity.train(docs.where(~held_out), labels.where(~held_out))
+    found = toxicity.score(docs, weights)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -106,13 +114,24 @@ FROM m GROUP BY doc_id
 """
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"), toxicity.held_out(F.col("doc_id"), 7))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = toxicity.held_out(F.col("doc_id"))
+    found = language.predict(docs, language.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = byte_bpe.encode_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op5_url_filters, op6_quality_rules, op7_line_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
