@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.llm import byte_bpe, language, line_dedup, lm, quality, substring_dedup, toxicity, url_filter
+from plotwise.llm import byte_bpe, jaccard_join, language, line_dedup, lm, quality, substring_dedup, toxicity, url_filter
 
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -44,6 +45,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(_read(spark, sf_dir, "documents"))
+
+
+_OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -54,7 +71,6 @@ def _term_sql(terms: list[str]) -> str:
 
 _STRICT = [t for t, w in url_filter.VOCABULARY.items() if w >= 1]
 _SOFT = [t for t, w in url_filter.VOCABULARY.items() if w < 1]
-_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP5_SQL = f"""
 WITH c AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, {_ASCII_LOWER.format("url")} AS u, {_ASCII_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
@@ -131,8 +147,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1_SQL, "op5_url_filters": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_line_dedup": _OP7_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op4_jaccard_join": _OP4_SQL, "op5_url_filters": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_line_dedup": _OP7_SQL}
