@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.llm import byte_bpe, jaccard_join, language, line_dedup, lm, quality, substring_dedup, toxicity, url_filter
+from plotwise.llm import byte_bpe, decontaminate, jaccard_join, language, line_dedup, lm, quality, substring_dedup, toxicity, url_filter
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -37,6 +37,28 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def _shingles_sql(table: str, key: str, place: str) -> str:
+    return f"""(SELECT {key}, i - 1 AS {place}, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT {key}, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM
+      (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM {table}) WHERE len(w) > 0))"""
+
+
+_OP2_SQL = f"""
+WITH s AS MATERIALIZED {_shingles_sql("documents", "doc_id", "p")}, i AS MATERIALIZED {_shingles_sql("benchmark", "item_id", "q")},
+m AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id), ic AS (SELECT item_id, k, count(*) AS c FROM i GROUP BY ALL),
+w AS (SELECT DISTINCT doc_id, n, greatest(p - q, 0) AS start FROM s JOIN i USING (k) JOIN m USING (item_id)),
+wc AS (SELECT w.doc_id, n, start, k, count(*) AS c FROM w JOIN s ON s.doc_id = w.doc_id AND p >= start AND p < start + n GROUP BY ALL),
+ws AS (SELECT doc_id, n, start, sum(c) AS size FROM wc GROUP BY ALL),
+o AS (SELECT doc_id, wc.n, start, ic.item_id, sum(least(wc.c, ic.c)) AS common FROM wc JOIN ic USING (k) JOIN m ON m.item_id = ic.item_id AND m.n = wc.n GROUP BY ALL),
+f AS (SELECT doc_id, item_id, start, (common / (size + n - common))::DOUBLE AS similarity FROM o JOIN ws USING (doc_id, n, start))
+SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, (-similarity, start)) AS first_word, count(DISTINCT start) AS n_windows
+FROM f WHERE similarity >= {decontaminate.SIMILARITY} GROUP BY ALL
+"""
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     held_out = toxicity.held_out(F.col("doc_id"))
@@ -147,8 +169,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1_SQL, "op4_jaccard_join": _OP4_SQL, "op5_url_filters": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_line_dedup": _OP7_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op2_decontamination": _OP2_SQL, "op4_jaccard_join": _OP4_SQL, "op5_url_filters": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_line_dedup": _OP7_SQL}
