@@ -24,3 +24,15 @@ def select_features(features: DataFrame, view: Box | None = None, predicate: str
         features = features.where(bbox_intersects(view))
     features = features.select(F.col(identity).alias("id"), *columns)
     return features if limit is None else features.limit(limit)
+
+
+def extent(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> list[Column]:
+    """Aggregates xmin, ymin, xmax, ymax over rows with finite bounds; all null where there is none."""
+    inf = float("inf")
+    finite = (F.abs(xmin) < inf) & (F.abs(ymin) < inf) & (F.abs(xmax) < inf) & (F.abs(ymax) < inf)  # NaN is no less than infinity: Spark orders it above
+    return [
+        F.min(F.when(finite, xmin)).alias("xmin"),
+        F.min(F.when(finite, ymin)).alias("ymin"),
+        F.max(F.when(finite, xmax)).alias("xmax"),
+        F.max(F.when(finite, ymax)).alias("ymax"),
+    ]
