@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from plotwise.plans import joins, layout, selection  # noqa: F401
+    from plotwise.plans import geometry, joins, layout, selection  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

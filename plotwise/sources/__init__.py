@@ -1,0 +1 @@
+"""Reading: footers, logs, traces, trials; and the feature generator."""
