@@ -7,9 +7,10 @@ sizes and places tell which pairs can't reach the overlap.  Candidates of one ce
 Their ordered sets are read as a trie (sorted sequences with the length of what each shares with the one before): overlap counted on a shared
 beginning is counted once, and a subtree is left as soon as the overlap so far and what remains of either set can't reach the bound.
 
-Which pairs: first each shingle's group is tied to its least document (a star, not all pairs); then only pairs whose documents are not yet in
-one component are tried, as long as there are any.  So a group of many near copies costs its size, and no link between different components
-is lost.  Documents with equal sets are one class, and stand in the join as one.
+Which pairs: first each shingle's group is tied to its likely hub (a star, not all pairs); then only documents that are not yet in one
+component are tried, if places, sizes and bitmaps leave a link possible.  (A bitmap has one bit toggled for each shingle; where two differ in
+more bits than the sets may in shingles, there is no link.)  So a group of many near copies costs its size, and no link between different
+components is lost.  Documents with equal sets are one class, and stand in the join as one.
 
 The order need not be exact to be right: any fixed order is.  So the frequencies may come from prefixes by hash alone, and the table of
 frequent shingles may be bounded (MOST_FREQUENT), which bounds what is broadcast.
@@ -37,6 +38,8 @@ WORDS = 5
 FREQUENT = 32
 MOST_FREQUENT = 1 << 18
 MEMBERS = 128
+#: Documents of one shingle that meet in one task: a larger group is cut to parts, and each two parts meet.
+GROUP = 4096
 
 
 def shingles(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -283,29 +286,93 @@ def join_documents(docs: DataFrame) -> DataFrame:
     copies = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
     tokens = saved(found.join(copies, "doc_id", "left_anti"), "jaccard-prefixes")
 
-    first = F.min(F.struct("doc_id", "size", "place"))
-    stars = tokens.groupBy("token").agg(first.alias("c"), F.count("*").alias("n")).where("n > 1").select("token", "c.*").alias("c")
-    pairs = tokens.alias("t").join(stars, "token").where((F.col("t.doc_id") != F.col("c.doc_id")) & _can_link("c", "t"))
-    tried = saved(pairs.select(F.col("c.doc_id").alias("a"), F.col("t.doc_id").alias("b")).distinct(), "jaccard-pairs")
+    facts = saved(own.mapInArrow(_facts, "doc_id long, n_shingles long, bitmap binary"), "jaccard-facts")
+    # the likely hub of a group has the fewest shingles of its own before the shared one
+    hubs = tokens.groupBy("token").agg(F.min(F.struct("place", "doc_id", "size")).alias("c")).select("token", "c.*")
+    pairs = hubs.alias("x").join(tokens.alias("y"), "token").where((F.col("x.doc_id") != F.col("y.doc_id")) & _can_link("x", "y"))
+    tried = saved(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "jaccard-pairs")
     links = saved(_links(own, tried, shared), "jaccard-links")
-    while True:
-        groups = components(links)
-        mine = tokens.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        mine = mine.join(mixed, "token")
-        rest = mine.alias("x").join(mine.alias("y"), "token").where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _can_link("x", "y"))
-        rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        rest = saved(rest, "jaccard-pairs")
-        if rest.isEmpty():
-            break
-        links = saved(links.unionByName(_links(own, rest, shared)), "jaccard-links")
-        tried = tried.unionByName(rest)
+    groups = components(links)
+
+    mine = tokens.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("lo < hi").select("token", "parts")
+    bitmaps = facts.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("bitmap")).alias("bitmap"))  # of repeated ids none: they are not pruned
+    mine = mine.join(mixed, "token").join(bitmaps, "doc_id")
+    own_part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    met = mine.withColumn("part", own_part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "size", "place", "component", "bitmap")
+    rest = met.groupBy("token", "i", "j").applyInArrow(_near_pairs, "a long, b long").distinct()
+    rest = saved(rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "jaccard-pairs")
+    if not rest.isEmpty():
+        groups = components(links.unionByName(_links(own, rest, shared)))
     labelled = classes.join(groups, classes["class_id"] == groups["node"], "left").select("doc_id", F.coalesce("component", "class_id").alias("component_id"))
-    counts = own.mapInArrow(_sizes, "doc_id long, n_shingles long")
-    return counts.join(labelled, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return facts.join(labelled, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(size: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: a power of two, twice its size or more, within bounds."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), 64, 8192)
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size of each set, and its bitmap: each shingle toggles one bit, so two bitmaps differ in no more bits than the sets in shingles."""
     for part in pieces(batches, "text"):
-        _, at = shingles(part.column("text"))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at).astype(np.int64))], names=["doc_id", "n_shingles"])
+        value, at = shingles(part.column("text"))
+        size = np.diff(at)
+        bits = _bits(size)
+        start = np.concatenate(([0], np.cumsum(bits // 64)))
+        doc = tx.owner(at)
+        bit = value & (bits[doc] - 1).astype(np.uint64)
+        words = np.zeros(start[-1], np.uint64)
+        np.bitwise_xor.at(words, start[doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array([words[a:b].tobytes() for a, b in zip(start[:-1], start[1:], strict=True)], pa.binary())], names=["doc_id", "n_shingles", "bitmap"]
+        )
+
+
+def _near_pairs(table: pa.Table) -> pa.Table:
+    """Pairs of one shingle's documents in different components that places, sizes and bitmaps leave possible. Only pairs of parts (i, j) are tried here."""
+    ids, size, place, component, part = (table.column(c).to_numpy() for c in ("doc_id", "size", "place", "component", "part"))
+    maps = table.column("bitmap").to_pylist()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    width = np.array([len(m) // 8 if m else 0 for m in maps])
+    out_a, out_b = [], []
+
+    def rows(w: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero((width == w) & (part == p))
+        return at, np.frombuffer(b"".join(maps[k] for k in at), np.uint64).reshape(len(at), w) if w and len(at) else np.zeros((len(at), 0), np.uint64)
+
+    def folded(m: np.ndarray, w: int) -> np.ndarray:
+        while m.shape[1] > w:
+            half = m.shape[1] // 2
+            m = m[:, :half] ^ m[:, half:]
+        return m
+
+    kinds = np.unique(width)
+    for x in kinds:
+        left, left_map = rows(x, i)
+        for y in kinds:
+            right, right_map = rows(y, j)
+            if not len(left) or not len(right):
+                continue
+            w = min(x, y)
+            lm, rm = folded(left_map, w), folded(right_map, w)
+            step = max(1, (1 << 20) // max(1, len(right)))
+            for k in range(0, len(left), step):
+                p = left[k : k + step]
+                ok = component[p][:, None] != component[right][None, :]
+                ok &= (ids[p][:, None] < ids[right][None, :]) if i == j else True
+                total = size[p][:, None] + size[right][None, :]
+                ok &= 7 * np.minimum((size - place)[p][:, None], (size - place)[right][None, :]) >= 3 * total
+                p_at, r_at = np.nonzero(ok)
+                if w and len(p_at):
+                    differ = np.zeros(len(p_at), np.int64)
+                    for c in range(w):
+                        differ += np.bitwise_count(lm[k + p_at, c] ^ rm[r_at, c])
+                    both = total[p_at, r_at]
+                    near = 7 * (both - differ) >= 6 * both
+                    p_at, r_at = p_at[near], r_at[near]
+                out_a.append(ids[p[p_at]])
+                out_b.append(ids[right[r_at]])
+    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
