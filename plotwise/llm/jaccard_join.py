@@ -40,6 +40,8 @@ MOST_FREQUENT = 1 << 18
 MEMBERS = 128
 #: Documents of one shingle that meet in one task: a larger group is cut to parts, and each two parts meet.
 GROUP = 4096
+#: Groups up to so many documents are paired by a plain join; a task's bitmaps pay for larger ones only.
+SMALL_GROUP = 32
 
 
 def shingles(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -295,13 +297,17 @@ def join_documents(docs: DataFrame) -> DataFrame:
     groups = components(links)
 
     mine = tokens.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / GROUP).cast("int").alias("parts")).where("lo < hi").select("token", "parts")
-    bitmaps = facts.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("bitmap")).alias("bitmap"))  # of repeated ids none: they are not pruned
-    mine = mine.join(mixed, "token").join(bitmaps, "doc_id")
-    own_part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    met = mine.withColumn("part", own_part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "size", "place", "component", "bitmap")
-    rest = met.groupBy("token", "i", "j").applyInArrow(_near_pairs, "a long, b long").distinct()
+    mixed = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("token", "n")
+    mine = mine.join(mixed, "token")
+    small, large = mine.where(F.col("n") <= SMALL_GROUP), mine.where(F.col("n") > SMALL_GROUP)
+    few = small.alias("x").join(small.alias("y"), "token").where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _can_link("x", "y"))
+    few = few.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    # of repeated ids there is no bitmap, and they are not pruned
+    bitmaps = facts.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("bitmap")).alias("bitmap"))
+    large = large.withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int")).join(bitmaps, "doc_id")
+    large = large.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = large.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "size", "place", "component", "bitmap")
+    rest = few.unionByName(met.groupBy("token", "i", "j").applyInArrow(_near_pairs, "a long, b long")).distinct()
     rest = saved(rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "jaccard-pairs")
     if not rest.isEmpty():
         groups = components(links.unionByName(_links(own, rest, shared)))
