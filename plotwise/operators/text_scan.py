@@ -32,6 +32,7 @@ NEEDLES = (
 #: The shortest printable run that a finding stands in, and the bytes shown on either side.
 MIN_RUN, AROUND = 12, 24
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NONE_TYPE = "array<struct<class:string,byte_offset:int,run:int,excerpt:string,at:int,n:int>>"
 _DRIVE = r"(?<![A-Za-z0-9_])[A-Za-z]:[\\/]"
 
 
@@ -42,13 +43,13 @@ def _finding(kind: Column, text: Column, prefix_chars: Column, length: Column) -
     at = F.octet_length(before)
     start = F.greatest(prefix_chars - AROUND, F.lit(0))
     excerpt = F.translate(F.substring(text, start + 1, prefix_chars - start + length + AROUND), "\n\r", "  ")
-    return F.struct(kind.alias("class"), at.alias("byte_offset"), run.alias("run"), excerpt.alias("excerpt"))
+    return F.struct(kind.alias("class"), at.alias("byte_offset"), run.alias("run"), excerpt.alias("excerpt"), prefix_chars.alias("at"), length.alias("n"))
 
 
 def _occurrences(text: Column, lowered: Column, needle: str, kind: str) -> Column:
     n = ((F.length(lowered) - F.length(F.replace(lowered, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
     nth = F.transform(F.sequence(F.lit(1), n), lambda k: _finding(F.lit(kind), text, F.length(F.call_function("substring_index", lowered, F.lit(needle), k)), F.lit(len(needle))))
-    return F.when(n > 0, nth).otherwise(F.array().cast("array<struct<class:string,byte_offset:int,run:int,excerpt:string>>"))
+    return F.when(n > 0, nth).otherwise(F.array().cast(_NONE_TYPE))
 
 
 def scan_text(rows: DataFrame, needles=NEEDLES, drives: bool = True, usernames=(), hostnames=(), declared=()) -> DataFrame:
@@ -66,11 +67,14 @@ def scan_text(rows: DataFrame, needles=NEEDLES, drives: bool = True, usernames=(
         parts = F.split("text", _DRIVE, -1)
         ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * 3)
         paths = F.transform(ends, lambda p: _finding(F.lit("local-filesystem-path"), F.col("text"), p, F.lit(3)))
-        found.append(F.when(F.size(parts) > 1, paths).otherwise(F.array().cast("array<struct<class:string,byte_offset:int,run:int,excerpt:string>>")))
+        found.append(F.when(F.size(parts) > 1, paths).otherwise(F.array().cast(_NONE_TYPE)))
     every = hits.select("source", "key", "text", F.explode(F.flatten(F.array(*found))).alias("f")).where(F.col("f.run") >= MIN_RUN)
     kind = F.col("f.class")
     for text in declared:
         if len(text.strip()) >= MIN_RUN:
-            inside = F.instr(F.lower("f.excerpt"), text.lower()) > 0
+            # an occurrence that covers the match lies in the window that reaches its length to either side
+            start = F.greatest(F.col("f.at") + F.col("f.n") - len(text), F.lit(0))
+            window = F.substring("text", start + 1, F.col("f.at") + len(text) - start)
+            inside = F.instr(F.translate(window, _UPPER, _UPPER.lower()), text.translate(str.maketrans(_UPPER, _UPPER.lower()))) > 0
             kind = F.when(F.col("f.class").isin("username", "machine-identifier") & inside, "operator-declared").otherwise(kind)
     return every.select("source", "key", kind.alias("class"), "f.byte_offset", "f.excerpt")
