@@ -11,7 +11,7 @@ from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import E0, N0, PARCELS_SQL, PITCH, grid_cols, parcels, table
 from plotwise.plans.layout import _VIEWPORT_TABLE_SQL, groups_of, view_table
 
-_FLAT = ["id", *(F.col(f"bbox.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax"))]
+_FLAT = ["id", "bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax"]
 _SPANNING_SQL = """fs AS (SELECT id, xmin, ymin, xmax, ymax FROM p UNION ALL SELECT -1 - o_orderkey, 2600000.0, 1200000.0, 2600000.0 + cols * 40, 1200000.0 + cols * 40 FROM orders CROSS JOIN g WHERE o_orderkey < 3)"""
 
 

@@ -10,7 +10,7 @@ from plotwise.operators.selection import bbox_intersects, extent, select_feature
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import E0, N0, PARCELS_SQL, grid_cols, parcels, table, viewports
 
-_BOX = [F.col(f"bbox.{c}").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+_BOX = ["bbox.xmin", "bbox.ymin", "bbox.xmax", "bbox.ymax"]
 _NEAR = "xmin <= 2600000 + (cols // 2) * 40 + 20 AND xmax >= 2600000 AND ymin <= 1200000 + (cols // 2) * 40 + 20 AND ymax >= 1200000"
 _64TH = "xmin <= 2600000 + (cols // 8) * 40 + 20 AND xmax >= 2600000 AND ymin <= 1200000 + (cols // 8) * 40 + 20 AND ymax >= 1200000"
 _FAR = "xmin <= 2600000 + (cols // 2) * 40 + 20 AND xmax >= 2600000 AND ymin <= 1200000 + (cols - 1) * 40 + 20 AND ymax >= 1200000 + (cols - 1) * 40 - (cols // 2) * 40"
