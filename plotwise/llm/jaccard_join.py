@@ -10,7 +10,11 @@ beginning is counted once, and a subtree is left as soon as the overlap so far a
 Which pairs: first each shingle's group is tied to its likely hub (a star, not all pairs); then only documents that are not yet in one
 component are tried, if places, sizes and bitmaps leave a link possible.  (A bitmap has one bit toggled for each shingle; where two differ in
 more bits than the sets may in shingles, there is no link.)  So a group of many near copies costs its size, and no link between different
-components is lost.  Documents with equal sets are one class, and stand in the join as one.
+components is lost.  Documents with equal sets are one class, and stand in the join as one, by the least id.
+
+The links themselves (`link_documents`): a link never leaves a component, so every two representatives of a component are tried, whatever was
+tried before.  A component is cut to parts of about PART representatives, and each two parts meet in a task, which counts common shingles by
+products of incidence matrices.  The work of this step, like the number of links in a group of near copies, grows with the square of a component.
 
 The order need not be exact to be right: any fixed order is.  So the frequencies may come from prefixes by hash alone, and the table of
 frequent shingles may be bounded (MOST_FREQUENT), which bounds what is broadcast.
@@ -40,6 +44,10 @@ MOST_FREQUENT = 1 << 18
 MEMBERS = 128
 #: Documents of one shingle that meet in one task: a larger group is cut to parts, and each two parts meet.
 GROUP = 4096
+#: Representatives of one component that meet in one task, when links are listed: a larger component is cut to parts, and each two parts meet.
+PART = 256
+#: Shingles in one product of incidence matrices.
+COLUMNS = 4096
 #: Groups up to so many documents are paired by a plain join; a task's bitmaps pay for larger ones only.
 SMALL_GROUP = 32
 
@@ -273,11 +281,14 @@ def _links(own: DataFrame, pairs: DataFrame, shared) -> DataFrame:
     return met.mapInArrow(_verify(shared), "a long, b long")
 
 
-def join_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document."""
-    spark = docs.sparkSession
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _grouped(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """facts (doc_id, n_shingles, bitmap), classes (doc_id, class_id) of documents with words, groups (node, component) of linked representatives."""
+    spark = own.sparkSession
     buckets = 2 * blocks.shuffle_partitions(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     surveyed = own.mapInArrow(_survey(buckets), "kind int, bucket int, keys binary, values binary, more binary")
     surveyed = saved(surveyed.groupBy("kind", "bucket").applyInArrow(_survey_sums, "kind int, left long, right long"), "jaccard-survey")
     classes = surveyed.where("kind = 0").groupBy(F.col("left").alias("doc_id")).agg(F.min("right").alias("class_id"))
@@ -311,8 +322,87 @@ def join_documents(docs: DataFrame) -> DataFrame:
     rest = saved(rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "jaccard-pairs")
     if not rest.isEmpty():
         groups = components(links.unionByName(_links(own, rest, shared)))
-    labelled = classes.join(groups, classes["class_id"] == groups["node"], "left").select("doc_id", F.coalesce("component", "class_id").alias("component_id"))
-    return facts.join(labelled, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return facts, classes, groups
+
+
+def _labelled(facts: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    labels = classes.join(groups, classes["class_id"] == groups["node"], "left").select("doc_id", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    return facts.join(labels, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def join_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each document."""
+    return _labelled(*_grouped(_own(docs))).drop("class_id")
+
+
+def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (doc_id, n_shingles, component_id, class_id, n_links) of all documents, and links (a, b), a < b, of all class representatives that link.
+
+    n_links counts the links of a document's representative, so those to texts that differ from its own."""
+    own = _own(docs)
+    facts, classes, groups = _grouped(own)
+    links = saved(_all_links(own, groups), "jaccard-links")
+    degrees = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    members = _labelled(facts, classes, groups).join(degrees, "class_id", "left")
+    return members.select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), links
+
+
+def _all_links(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b), a < b: every two documents of a component that link."""
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = groups.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    texts = own.join(dealt, own["doc_id"] == dealt["node"]).select("component", "part", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = texts.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "text")
+    return met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_block_links, "a long, b long")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many items each set on the left has in common with each on the right."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    rows_a, rows_b = (np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in (left, right))
+    shared = np.intersect1d(a, b)
+    found = np.zeros((len(left), len(right)), np.int64)
+    for k in range(0, len(shared), COLUMNS):
+        keys = shared[k : k + COLUMNS]
+        sides = []
+        for value, row, n in ((a, rows_a, len(left)), (b, rows_b, len(right))):
+            at = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
+            hit = keys[at] == value
+            m = np.zeros((n, len(keys)), np.float32)
+            m[row[hit], at[hit]] = 1
+            sides.append(m)
+        found += (sides[0] @ sides[1].T).astype(np.int64)
+    return found
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of two parts of a component. Rows come sorted by component and parts."""
+    group, key = [], None
+
+    def links() -> pa.RecordBatch:
+        _, i, j = key
+        left = [(d, v) for p, d, v in group if p == i]
+        right = left if i == j else [(d, v) for p, d, v in group if p == j]
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if left and right:
+            common = common_counts([v for _, v in left], [v for _, v in right])
+            total = np.array([len(v) for _, v in left])[:, None] + np.array([len(v) for _, v in right])[None, :]
+            x, y = np.nonzero((7 * common >= 3 * total) & (common > 0))
+            a, b = np.array([d for d, _ in left])[x], np.array([d for d, _ in right])[y]
+            # both orders of a pair within one part, and repeated ids
+            a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for part in pieces(batches, "text"):
+        value, at = shingles(part.column("text"))
+        for k, (component, i, j, mine, doc_id) in enumerate(zip(*(part.column(c).to_pylist() for c in ("component", "i", "j", "part", "doc_id")), strict=True)):
+            if (component, i, j) != key:
+                if key:
+                    yield links()
+                group, key = [], (component, i, j)
+            group.append((mine, doc_id, value[at[k] : at[k + 1]]))
+    if key:
+        yield links()
 
 
 def _bits(size: np.ndarray) -> np.ndarray:

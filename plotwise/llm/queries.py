@@ -71,6 +71,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of op4_jaccard_join: each two class representatives that link."""
+    return jaccard_join.link_documents(_read(spark, sf_dir, "documents"))[1]
+
+
 _OP4_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
@@ -169,7 +174,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_toxicity, op4_jaccard_join, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_toxicity, op4_jaccard_join, op4_jaccard_links, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

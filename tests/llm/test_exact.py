@@ -128,6 +128,35 @@ def test_join_of_nothing(spark):
     assert jaccard_join.join_documents(spark.createDataFrame([], KIND)).count() == 0
 
 
+@pytest.mark.parametrize("part", [256, 8])
+def test_links_by_brute_force(spark, part, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard_join, "PART", part)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    rows = near_group(1) + [(200 + k, *r[1:]) for k, r in enumerate(near_group(1)[:9])] + [(300, "one two", None, None), (301, "", None, None), (302, None, None, None), (None, "one two", None, None)]
+    sets = {}
+    for doc_id, text, *_ in rows:
+        w = words(ascii_lower(text))
+        sets[doc_id] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    least = {}
+    for d in sorted(d for d in sets if d is not None and sets[d]):
+        least.setdefault(sets[d], d)
+    expected = sorted((x, y) for a, x in least.items() for b, y in least.items() if x < y and 100 * len(a & b) >= 75 * len(a | b))
+    degree = Counter(d for pair in expected for d in pair)
+    members, links = jaccard_join.link_documents(spark.createDataFrame(rows, KIND))
+    assert sorted((r.a, r.b) for r in links.collect()) == expected
+    classes = {d: least.get(sets[d], d) if d is not None else None for d in sets}
+    found = {r.doc_id: (r.n_shingles, r.class_id, r.n_links) for r in members.collect()}
+    assert found == {d: (len(s), classes[d], degree[classes[d]]) for d, s in sets.items()}
+    # more links than a component needs: hubs alone would not list them
+    assert len(expected) > len(least)
+
+
+def test_links_of_nothing(spark):
+    members, links = jaccard_join.link_documents(spark.createDataFrame([], KIND))
+    assert members.count() == links.count() == 0
+
+
 def test_trie_overlaps():
     rng = np.random.default_rng(2)
     for _ in range(50):
