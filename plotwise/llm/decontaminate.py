@@ -1,13 +1,17 @@
 """Benchmark decontamination by SimHash windows and a multi-index (operator 2); DataFrame functions only.
 
 A text is its lower-cased words, and its shingles are the hashes of five consecutive words.  A window of a document is as long as an item has
-shingles.  Windows worth a fingerprint are those anchored at a shingle that an item has too, so that the item would lie over it: a window that
-shares no shingle with an item has similarity 0 with it.  A window's SimHash has 63 bits, each the weighted vote of its shingles (a shingle
+shingles.  First come windows anchored at a shingle that an item has too, so that the item would lie over it; these get a fingerprint.
+A window's SimHash has 63 bits, each the weighted vote of its shingles (a shingle
 weighs as often as it occurs).  The multi-index cuts fingerprints to 7 blocks of 9 bits: two within RADIUS = 20 differ by at most 2 bits in some
 block, so looking up each block among the items' blocks with up to 2 bits flipped finds every item of the window's length within the radius.  What it
 finds is verified by the exact similarity of the weighted shingles: sum of lesser weights over sum of greater ones, 0.75 or more.
 (At similarity 0.75 the distance is 10.8 +- 3.0 bits, so the radius loses about 1 pair in 1000 just at the bound, and none of equal texts.)
 
+A window at another start may still hold most of an item's shingles, if its parts stand in another order.  So for each document and item that no
+anchored window links, every start is tried that has enough places with one of the item's shingles in its window: similarity of t takes t * n of
+them.  These are verified without fingerprints, so no pair is lost.
+
 Cases.  Null or empty text of a document or an item: no words, never a match.  Fewer than five words: the whole text is one shingle.  An item longer
 than what is left of the document: the window ends with the document.  Repeated rows and items: one result for each pair of ids.  A null doc_id
 or item_id is an id like another.  Items have fewer than 2**21 shingles.  Only doc_id, item_id and text are read.
@@ -78,14 +82,21 @@ def weighted_overlap(a: Column, b: Column) -> Column:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, n_windows) of each document that holds a benchmark item: the best window, and how many match."""
+    """(doc_id, item_id, similarity, first_word, n_windows) of each document that holds a benchmark item: the best window, and how many match.
+
+    Anchored windows count first; only where none of them matches, the best and the number are those of all windows."""
     items = items.select("item_id", shingles(F.col("text")).alias("shingles")).where(F.size("shingles") > 0)
     items = saved(items.select("item_id", "shingles", F.size("shingles").alias("n"), fingerprint(F.col("shingles")).alias("fp")), "benchmark-items")
-    anchors = items.select("n", F.posexplode("shingles").alias("q", "h")).distinct()
-    rows = anchors.count()
-    anchors = F.broadcast(anchors) if rows <= BROADCAST_ROWS else anchors
 
-    hits = docs.select("doc_id", F.posexplode(shingles(F.col("text"))).alias("p", "h")).join(anchors, "h")
+    def bounded(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    anchors = bounded(items.select("n", F.posexplode("shingles").alias("q", "h")).distinct())
+    known = bounded(items.select(F.explode("shingles").alias("h")).distinct())
+    held = bounded(items.select("item_id", "n", F.explode("shingles").alias("h")).distinct())
+
+    places = saved(docs.select("doc_id", F.posexplode(shingles(F.col("text"))).alias("p", "h")).join(known, "h", "left_semi"), "benchmark-places")
+    hits = places.join(anchors, "h")
     wanted = hits.select(F.col("doc_id").alias("id"), "n", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("start")).distinct()
     wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("n", "start")).alias("windows"))
     sliced = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["id"])).select("doc_id", shingles(F.col("text")).alias("shingles"), "windows")
@@ -101,12 +112,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     asked = windows.select("n", "fp").distinct().select("n", "fp", blocks(F.col("fp"), False).alias("at")).select("n", "fp", "at.*")
     near = asked.join(index, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("n", "fp", "item_id").distinct()
 
-    pairs = windows.join(near, ["n", "fp"]).join(items.select(F.col("item_id").alias("item"), F.col("shingles"), F.col("n").alias("m")), F.col("item_id").eqNullSafe(F.col("item")) & (F.col("n") == F.col("m")))
-    pairs = pairs.withColumn("common", weighted_overlap(F.col("window"), F.col("shingles")))
-    pairs = pairs.withColumn("similarity", F.col("common") / (F.size("window") + F.size("shingles") - F.col("common"))).where(F.col("similarity") >= similarity)
+    def matches(pairs: DataFrame) -> DataFrame:
+        whole = items.select(F.col("item_id").alias("item"), F.col("shingles"), F.col("n").alias("m"))
+        pairs = pairs.join(whole, F.col("item_id").eqNullSafe(F.col("item")) & (F.col("n") == F.col("m")))
+        pairs = pairs.withColumn("common", weighted_overlap(F.col("window"), F.col("shingles")))
+        return pairs.withColumn("similarity", F.col("common") / (F.size("window") + F.size("shingles") - F.col("common"))).where(F.col("similarity") >= similarity)
+
+    pairs = matches(windows.join(near, ["n", "fp"]))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back")))
     found = pairs.groupBy("doc_id", "item_id").agg(best.alias("best"), F.count_distinct("start").alias("n_windows"))
-    return found.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("first_word"), "n_windows")
+    found = saved(found.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("first_word"), "n_windows"), "benchmark-found")
+
+    # the other windows: every start whose window has `need` places or more with a shingle of the item
+    counts = places.join(held, "h").groupBy("doc_id", "item_id", "n").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    counts = counts.withColumn("need", F.ceil(F.col("n") * F.lit(similarity) - 1e-9).cast("int")).where(F.size("ps") >= F.col("need"))
+    done = found.select(F.col("doc_id").alias("d"), F.col("item_id").alias("i"))
+    counts = counts.join(done, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")), "left_anti")
+    ranges = F.expr("filter(transform(sequence(0, size(ps) - need), k -> struct(greatest(ps[k + need - 1] - n + 1, 0) AS lo, ps[k] AS hi)), r -> r.lo <= r.hi)")
+    starts = counts.select("doc_id", "item_id", "n", F.explode(ranges).alias("r")).select("doc_id", "item_id", "n", F.explode(F.sequence("r.lo", "r.hi")).alias("start")).distinct()
+    starts = starts.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("item_id", "n", "start")).alias("windows"))
+    sliced = docs.join(starts, docs["doc_id"].eqNullSafe(starts["id"])).select("doc_id", shingles(F.col("text")).alias("shingles"), "windows")
+    others = sliced.select("doc_id", "shingles", F.explode("windows").alias("w")).select("doc_id", "w.item_id", "w.n", "w.start", F.expr("slice(shingles, w.start + 1, w.n)").alias("window"))
+    more = matches(others).groupBy("doc_id", "item_id").agg(best.alias("best"), F.count_distinct("start").alias("n_windows"))
+    return found.unionByName(more.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).alias("first_word"), "n_windows"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -282,6 +282,35 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(spark.createDataFrame([], KIND), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_in_another_order(spark):
+    rnd = random.Random(4)
+    item = [f"q{k}" for k in range(104)]
+    halves = item[52:] + item[:52]
+    thirds = item[70:] + item[35:70] + item[:35]
+    around = [[rnd.choice(("la", "le", "lo", "du", "da")) + str(rnd.randrange(900)) for _ in range(150)] for _ in range(8)]
+    texts = [around[0] + halves + around[1], around[2] + thirds + around[3], halves, around[4] + item[:60] + around[5] + item[60:], around[6], around[7] + halves]
+    rows = [(k, " ".join(t), None, None) for k, t in enumerate(texts)] + [(None, " ".join(texts[0]), None, None), (5, "another row", None, None)]
+    items = [(1, " ".join(item)), (2, " ".join(around[6][:40] + ["end"] * 30)), (None, " ".join(halves))]
+
+    def shingled(t):
+        w = (t or "").lower().split()
+        return [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+
+    expected = set()
+    for d, text, *_ in rows:
+        doc = shingled(text)
+        for i, it in items:
+            b = shingled(it)
+            for start in range(len(doc)):
+                a = Counter(doc[start : start + len(b)])
+                common = sum((a & Counter(b)).values())
+                if common / (sum(a.values()) + len(b) - common) >= 0.75:
+                    expected.add((d, i))
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, KIND), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == expected and len(found) == len(expected)
+    assert {(0, 1), (1, 1), (2, 1), (5, 1), (None, 1)} <= expected
+
+
 def test_ids_are_tiktokens(spark):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     enc = byte_bpe.encoding(path, pattern)
