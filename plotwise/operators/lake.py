@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def attribute_join(features: DataFrame, attributes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -107,11 +109,40 @@ def throttled(requests: DataFrame, key: str, order: Sequence[str], millis: str,
 def replay_tickets(events: DataFrame, dataset: str, order: Sequence[str], ttl_s: int = 30, most: int = 8) -> DataFrame:
     """Each ticket with its end: redeemed, cancelled, expired, or refused when its dataset had `most` pending. events: ticket, action (mint, redeem, cancel), at_s.
 
-    First the pending limit is left aside: a ticket's own events decide its state; the limit is then a count of those still pending when it was minted."""
-    w = Window.partitionBy("ticket")
-    minted = F.min(F.when(F.col("action") == "mint", F.col("at_s"))).over(w)
-    live = F.col("at_s").between(F.col("_mint"), F.col("_mint") + ttl_s - 1) & (F.col("action") != "mint")
-    marked = events.withColumn("_mint", minted)
-    ends = marked.groupBy(dataset, "ticket").agg(F.first("_mint").alias("minted_s"), F.min(F.when(live, F.struct("at_s", "action"))).alias("end"))
-    state = F.when(F.col("minted_s").isNull(), "unknown").when(F.col("end").isNull(), "expired").when(F.col("end.action") == "redeem", "redeemed").otherwise("cancelled")
-    return ends.select(dataset, "ticket", "minted_s", state.alias("state"))
+    The first mint of a ticket counts. A dataset's events are read in order (at one time mints first), and only its pending tickets, `most` at most, are kept:
+    an end within the time to live, or its passing, frees a place; a ticket refused at its mint stays refused."""
+    mint = F.col("action") == "mint"
+    ties = [F.when(mint, 0).otherwise(1), F.col("action")]
+    first = F.row_number().over(Window.partitionBy(dataset, "ticket", mint).orderBy(*order)) == 1
+    counted = events.withColumn("_first", first).where(~mint | F.col("_first"))
+    schema = events.select(dataset, "ticket", F.col("at_s").alias("minted_s"), F.lit("").alias("state")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending, now, out = {}, None, []  # pending: ticket to time of mint, oldest first
+        for batch in batches:
+            for key, ticket, action, at in zip(*(batch.column(c).to_pylist() for c in (dataset, "ticket", "action", "at_s")), strict=True):
+                if [key] != now:
+                    out += [(now[0], t, m, "expired") for t, m in pending.items()] if now else []
+                    pending, now = {}, [key]
+                for t in [t for t, m in pending.items() if at >= m + ttl_s]:
+                    out.append((key, t, pending.pop(t), "expired"))
+                if action == "mint":
+                    if len(pending) < most:
+                        pending[ticket] = at
+                    else:
+                        out.append((key, ticket, at, "refused"))
+                elif ticket in pending:
+                    out.append((key, ticket, pending.pop(ticket), "redeemed" if action == "redeem" else "cancelled"))
+            yield rows(out)
+            out = []
+        yield rows([(now[0], t, m, "expired") for t, m in pending.items()] if now else [])
+
+    kinds = to_arrow_schema(schema)
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kinds.field(k).type) for k in range(4)], names=kinds.names)
+
+    met = counted.select(dataset, "ticket", "action", "at_s", *(c for c in order if c not in (dataset, "ticket", "action", "at_s"))).repartition(dataset)
+    ended = met.sortWithinPartitions(dataset, *order, *ties).mapInArrow(run, schema)
+    unknown = events.groupBy(dataset, "ticket").agg(F.count_if(mint).alias("n"), F.first("at_s").alias("at")).where("n = 0")
+    return ended.unionByName(unknown.select(dataset, "ticket", F.nullif("at", "at").alias("minted_s"), F.lit("unknown").alias("state")))

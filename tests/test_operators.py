@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import struct
 
 import numpy as np
@@ -252,3 +253,30 @@ def test_drive_paths_by_loop(spark):
             if len(left) + 3 + len(right) >= 12:
                 expected.append((str(k), len(t[: m.start()].encode())))
     assert sorted((r.key, r.byte_offset) for r in scan_text(rows, needles=()).collect()) == sorted(expected)
+
+
+def test_tickets_beyond_the_limit_are_refused(spark):
+    from plotwise.operators.lake import replay_tickets
+
+    rnd = random.Random(6)
+    events, at = [], 0
+    for k in range(300):
+        at += rnd.randrange(3)
+        t = rnd.randrange(k + 1)
+        events += [(k % 2, 2 * k + k % 2, "mint", at, 3 * k), (t % 2, 2 * t + t % 2, rnd.choice(("redeem", "cancel")), at + 1, 3 * k + 1)]
+    events += [(0, 9999, "redeem", 5, 5), (1, 1 * 2 + 1, "mint", at, 10_000), (None, 7, "mint", 1, 1)]
+    expected = {}
+    for dataset in (0, 1, None):
+        pending = {}
+        for _, ticket, action, now, _ in sorted((e for e in events if e[0] == dataset), key=lambda e: (e[3], e[4])):
+            pending = {t: m for t, m in pending.items() if now < m + 30}
+            if action == "mint" and (dataset, ticket) not in expected:
+                expected[dataset, ticket] = (now, "expired" if len(pending) < 8 else "refused")
+                pending |= {ticket: now} if len(pending) < 8 else {}
+            elif action != "mint" and ticket in pending:
+                expected[dataset, ticket] = (pending.pop(ticket), "redeemed" if action == "redeem" else "cancelled")
+    minted = {(e[0], e[1]) for e in events if e[2] == "mint"}
+    expected |= {(e[0], e[1]): (None, "unknown") for e in events if (e[0], e[1]) not in minted}
+    found = replay_tickets(spark.createDataFrame(events, "dataset long, ticket long, action string, at_s long, event_id long"), "dataset", ["at_s", "event_id"]).collect()
+    assert {(r.dataset, r.ticket): (r.minted_s, r.state) for r in found} == expected and len(found) == len(expected)
+    assert {s for _, s in expected.values()} == {"refused", "expired", "redeemed", "cancelled", "unknown"}
