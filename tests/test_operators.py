@@ -280,3 +280,17 @@ def test_tickets_beyond_the_limit_are_refused(spark):
     found = replay_tickets(spark.createDataFrame(events, "dataset long, ticket long, action string, at_s long, event_id long"), "dataset", ["at_s", "event_id"]).collect()
     assert {(r.dataset, r.ticket): (r.minted_s, r.state) for r in found} == expected and len(found) == len(expected)
     assert {s for _, s in expected.values()} == {"refused", "expired", "redeemed", "cancelled", "unknown"}
+
+
+def test_bootstrap_with_all_resamples(spark, tmp_path):
+    rates = {1: [3.0, 4.0, 5.5, 2.5, 6.0, 6.5, 1.0, 3.0, 2.0, 2.5], 2: [1.0, 9.0] * 4}
+    orders = [(10 * block + k, block, r) for block, rs in rates.items() for k, r in enumerate(rs)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"file://{tmp_path}/orders.parquet")
+    xs = []
+    for k in range(0, 10, 2):
+        a, b = rates[1][k : k + 2] if k // 2 % 2 == 0 else rates[1][k : k + 2][::-1]
+        xs.append(2 * (b - a) / (a + b))
+    means = sorted(sum(xs[int(hashlib.sha256(f"1:{r}:{j}".encode()).hexdigest()[:8], 16) % 5] for j in range(1, 6)) / 5 for r in range(10_000))
+    found = catalog.queries()["bootstrap_interval_full"](spark, str(tmp_path)).collect()
+    assert [r.block for r in found] == [1]
+    assert abs(found[0].ci_lo - means[250]) < 1e-6 and abs(found[0].ci_hi - means[9750]) < 1e-6
