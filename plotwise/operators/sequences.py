@@ -32,6 +32,14 @@ def global_ordinal(df: DataFrame, key: str, name: str) -> DataFrame:
     return rows.withColumn("_inner", inner).join(offsets(counts, "_range", "_n", "_before"), "_range").select(*df.columns, (F.col("_inner") + F.col("_before")).alias(name))
 
 
+def hashed_ordinal(df: DataFrame, key: str, then: Sequence[str], name: str) -> DataFrame:
+    """The rows with their ordinal, from 0, in the order of a hexadecimal hash and then of other columns; a range is a value of the hash's first 20 bits."""
+    rows = df.withColumn("_range", F.conv(F.substring(key, 1, 5), 16, 10).cast("long"))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    inner = F.row_number().over(Window.partitionBy("_range").orderBy(key, *then)) - 1
+    return rows.withColumn("_inner", inner).join(offsets(counts, "_range", "_n", "_before"), "_range").select(*df.columns, (F.col("_inner") + F.col("_before")).alias(name))
+
+
 def islands(df: DataFrame, key: str = "id") -> DataFrame:
     """(lo, hi) of the maximal runs of consecutive distinct integers: runs within ranges, then runs that touch at range edges are joined."""
     rows = ranged(df.select(key).distinct(), key)

@@ -149,3 +149,17 @@ def pick_indirection(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = table(spark, sf_dir, "events").select(F.col("event_id").alias("pick_id"), (F.col("user_id") % 11).alias("batch"), (F.col("event_id") * 31 % 250).alias("ordinal"))
     batches = parcels(spark, sf_dir).where("id < 1800").select(F.expr("id div 200").alias("batch"), (F.col("id") % 200).alias("ordinal"), "id", F.col("bbox.xmin").alias("anchor_x"), F.col("bbox.ymin").alias("anchor_y"))
     return picks.join(batches, ["batch", "ordinal"], "left").select("pick_id", "id", "anchor_x", "anchor_y")
+
+
+@query(
+    "pick_indirection_all",
+    f"""WITH {PARCELS_SQL}, m AS (SELECT max(id) // 200 + 3 AS n FROM p), picks AS (SELECT event_id AS pick_id, (event_id * 7919 + user_id) % n AS batch, (event_id * 31) % 250 AS ordinal FROM events CROSS JOIN m),
+    b AS (SELECT id // 200 AS batch, id % 200 AS ordinal, id, xmin, ymin FROM p) SELECT pick_id, b.id, b.xmin AS anchor_x, b.ymin AS anchor_y FROM picks LEFT JOIN b USING (batch, ordinal)""",
+)
+def pick_indirection_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Picks over the batches of all parcels, and two batches beyond the last."""
+    features = parcels(spark, sf_dir)
+    n = (features.agg(F.max("id")).first()[0] or 0) // 200 + 3
+    picks = table(spark, sf_dir, "events").select(F.col("event_id").alias("pick_id"), ((F.col("event_id") * 7919 + F.col("user_id")) % n).alias("batch"), (F.col("event_id") * 31 % 250).alias("ordinal"))
+    batches = features.select(F.expr("id div 200").alias("batch"), (F.col("id") % 200).alias("ordinal"), "id", F.col("bbox.xmin").alias("anchor_x"), F.col("bbox.ymin").alias("anchor_y"))
+    return picks.join(batches, ["batch", "ordinal"], "left").select("pick_id", "id", "anchor_x", "anchor_y")

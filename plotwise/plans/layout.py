@@ -57,6 +57,14 @@ def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parcels(spark, sf_dir).select("id", layout_key("shuffled").alias("key")).orderBy("key", "id").limit(500)
 
 
+@query("shuffled_order_all", "SELECT o_orderkey AS id, sha256(CAST(o_orderkey AS VARCHAR)) AS key, row_number() OVER (ORDER BY key, id) - 1 AS ordinal FROM orders")
+def shuffled_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole shuffled order as ordinals, by ranges of the key's first 20 bits."""
+    from plotwise.operators.sequences import hashed_ordinal
+
+    return hashed_ordinal(parcels(spark, sf_dir).select("id", layout_key("shuffled").alias("key")), "key", ["id"], "ordinal")
+
+
 @query("layout_facts", f"{_QUANT_SQL} SELECT count(*) AS n_rows, (SELECT count(DISTINCT key) FROM k) AS distinct_keys, count(*) FILTER (clamped)::BIGINT AS clamped, ceil(count(*) / 1000.0)::BIGINT AS row_groups FROM q")
 def layout_facts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = grid_cols(spark, sf_dir)

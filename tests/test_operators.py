@@ -294,3 +294,17 @@ def test_bootstrap_with_all_resamples(spark, tmp_path):
     found = catalog.queries()["bootstrap_interval_full"](spark, str(tmp_path)).collect()
     assert [r.block for r in found] == [1]
     assert abs(found[0].ci_lo - means[250]) < 1e-6 and abs(found[0].ci_hi - means[9750]) < 1e-6
+
+
+def test_picks_and_shuffle_cover_every_parcel(spark, tmp_path):
+    n = 2500
+    spark.range(n).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'1-URGENT' AS o_orderpriority", "1.0D AS o_totalprice").write.parquet(f"file://{tmp_path}/orders.parquet")
+    spark.range(6000).selectExpr("id AS event_id", "id % 13 AS user_id").write.parquet(f"file://{tmp_path}/events.parquet")
+    found = catalog.queries()["pick_indirection_all"](spark, str(tmp_path)).collect()
+    assert {r.pick_id: r.id for r in found} == {
+        k: id if o < 200 and (id := b * 200 + o) < n else None for k in range(6000) for b, o in [((k * 7919 + k % 13) % ((n - 1) // 200 + 3), k * 31 % 250)]
+    }
+    assert max(r.id or 0 for r in found) >= 1800
+    order = sorted(range(n), key=lambda k: hashlib.sha256(str(k).encode()).hexdigest())
+    found = catalog.queries()["shuffled_order_all"](spark, str(tmp_path)).collect()
+    assert {r.id: r.ordinal for r in found} == {k: i for i, k in enumerate(order)}
