@@ -109,11 +109,11 @@ def file_hashes(spark, path: str) -> DataFrame:
 def publish(features: DataFrame, columns: Sequence[str], dest: str, policy: CutPolicy = CutPolicy()) -> DataFrame:
     """Write data/part=N below a new destination, and give back the manifest (part, n_rows, bounds, path, bytes, content_hash).
 
-    features: id, bbox, wkb_len, verts and the columns. Fails if the destination exists; rows of a part go to one file."""
+    features: id, bbox, wkb_len, verts, the columns and, where there is one, geometry, which is written too. Fails if the destination exists; rows of a part go to one file."""
     spark = features.sparkSession
     sized = features.withColumn("attr_bytes", attribute_bytes(features.schema, columns))
     parts = cut_partitions(sized, policy)
-    out = features.join(parts.select("id", "part"), "id").select("id", *columns, "bbox", "part")
+    out = features.join(parts.select("id", "part"), "id").select("id", *columns, "bbox", *(c for c in ["geometry"] if c in features.columns), "part")
     out.repartition("part").sortWithinPartitions("part", "id").write.mode("errorifexists").partitionBy("part").parquet(f"{dest}/data")
     written = spark.read.parquet(f"{dest}/data")
     hashes = file_hashes(spark, f"{dest}/data").withColumn("part", F.regexp_extract("path", r"/part=(\d+)/", 1).cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.functions.wkb import to_wkb
+from plotwise.functions.wkb import geometry_facts, to_wkb
 from plotwise.operators.publish import (
     CutPolicy,
     admit_artifacts,
@@ -47,6 +47,16 @@ def sized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.select("*", verts.alias("verts"), (9 + rings * 4 + verts * 16).alias("wkb_len"), attribute_bytes(features.schema, ["zone", "value"]).alias("attr_bytes"))
 
 
+def shaped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels with their geometry; WKB size and vertices are read from it."""
+    from plotwise.plans.geometry import parcel_vertices
+
+    shapes = to_wkb(parcel_vertices(spark, sf_dir))
+    facts = geometry_facts(shapes).select("id", F.col("vertices").cast("int").alias("verts"))
+    sized = shapes.join(facts, "id").withColumn("wkb_len", F.octet_length("geometry"))
+    return parcels(spark, sf_dir).join(sized, "id")
+
+
 _CUT_SQL = f"""WITH RECURSIVE {_SIZED_SQL}, n AS (SELECT id // 5000 AS seg, row_number() OVER (PARTITION BY id // 5000 ORDER BY id) AS k, id, verts, wkb, attr FROM sw),
 c(seg, k, id, part, v, r, a, why) AS (
   SELECT seg, k, id, 0, verts, 1, attr, CASE WHEN verts * 16 + 8 + (1 + verts) * 4 + attr >= 65536 THEN 'size-target' END FROM n WHERE k = 1
@@ -97,7 +107,7 @@ def batch_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("published_rows", f"{_CUT_SQL} SELECT part, 'data/part-' || lpad(CAST(part AS VARCHAR), 5, '0') AS path, count(*) AS n_rows, min(id) AS id_lo, max(id) AS id_hi FROM cut GROUP BY part")
 def published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of a publish: written, read back and hashed."""
-    return publish(sized_features(spark, sf_dir), ["zone", "value"], staging(spark, "bundle"), _POLICY).select("part", "path", "n_rows", "id_lo", "id_hi")
+    return publish(shaped_features(spark, sf_dir), ["zone", "value"], staging(spark, "bundle"), _POLICY).select("part", "path", "n_rows", "id_lo", "id_hi")
 
 
 @query("publish_totals", f"{_CUT_SQL} SELECT count(DISTINCT part) AS parts, true AS contiguous, count(*) AS n_rows FROM cut")
@@ -108,15 +118,10 @@ def publish_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("publish_deterministic", f"{_CUT_SQL} SELECT DISTINCT part, 'identical' AS state FROM cut")
 def publish_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two publishes of the same features, part by part, by the hash of what each part holds."""
-
-    def manifest(features: DataFrame) -> DataFrame:
-        parts = features.join(cut_partitions(features, _POLICY).select("id", "part"), "id")
-        row = F.concat_ws("|", "id", F.coalesce("zone", F.lit("~")), F.col("value").cast("string"))
-        return parts.groupBy("part").agg(F.sha2(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("id", row.alias("row")))), lambda s: s["row"])).cast("binary"), 256).alias("content_hash"))
-
-    features = sized_features(spark, sf_dir)
-    return compare_publishes(manifest(features), manifest(features.repartition(5)))
+    """Two publishes of the same features, dealt otherwise the second time, part by part, by the hash of the files written."""
+    features = shaped_features(spark, sf_dir)
+    first = publish(features, ["zone", "value"], staging(spark, "bundle"), _POLICY)
+    return compare_publishes(first, publish(features.repartition(5), ["zone", "value"], staging(spark, "bundle"), _POLICY))
 
 
 _ASSETS_SQL = """mf AS (SELECT CASE WHEN s_suppkey % 11 = 10 THEN '../part-' ELSE 'data/part-' END || CAST(s_suppkey AS VARCHAR) AS path, s_suppkey * 10 AS bytes, sha256(s_name) AS content_hash, s_nationkey AS n_rows FROM supplier WHERE s_suppkey % 13 <> 5),

@@ -308,3 +308,13 @@ def test_picks_and_shuffle_cover_every_parcel(spark, tmp_path):
     order = sorted(range(n), key=lambda k: hashlib.sha256(str(k).encode()).hexdigest())
     found = catalog.queries()["shuffled_order_all"](spark, str(tmp_path)).collect()
     assert {r.id: r.ordinal for r in found} == {k: i for i, k in enumerate(order)}
+
+
+def test_publish_keeps_the_geometry(spark, tmp_path):
+    bbox = F.struct(*(F.col("id").cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    df = spark.range(50).select("id", bbox.alias("bbox"), F.lit("x").alias("zone"), F.lit(5).alias("verts"), F.lit(93).alias("wkb_len"), F.encode(F.col("id").cast("string"), "UTF-8").alias("geometry"))
+    first = {m.part: m.content_hash for m in publish(df, ["zone"], f"file://{tmp_path}/a", CutPolicy(max_rows=20)).collect()}
+    assert {r.id: bytes(r.geometry) for r in spark.read.parquet(f"file://{tmp_path}/a/data").collect()} == {k: str(k).encode() for k in range(50)}
+    other = df.withColumn("geometry", F.when(F.col("id") == 25, F.lit(b"moved")).otherwise(F.col("geometry")))
+    second = {m.part: m.content_hash for m in publish(other, ["zone"], f"file://{tmp_path}/b", CutPolicy(max_rows=20)).collect()}
+    assert {p for p in first if first[p] != second[p]} == {1}
