@@ -1,10 +1,10 @@
-"""Substring dedup by Relative Lempel-Ziv parsing (operator 1).
+"""Substring dedup by an exact look-up of word windows in reference blocks (operator 1).
 
 Every document is a reference for the documents after it.  Documents are dealt to reference blocks; each block indexes all its word windows
 of the least phrase length, with the earliest document that holds each (blocks.py tells how the blocks' indexes meet without a hot task).
-A document is then parsed greedily: a phrase starts at the first window that some reference block knows from an earlier document, and grows
-while the following windows are known from the same source.  Where a phrase ends its neighbours are looked up too, so that windows which
-straddle two phrases of different sources count.  Phrases have the least length or more; what they cover is duplicate.
+Every window of a document is then looked up; those known from an earlier document are duplicate, whichever source they have.  A phrase is a run of
+windows with one earliest holder.  This is no greedy parse: places in the source are not kept, so a copied passage may be split among several
+holders, and a phrase longer than a window need not stand in one piece in its source.
 
 Cases.  Null or empty text: no words, nothing removed.  Fewer words than a window: nothing removed.  Repeated rows with one doc_id: each
 gives a row, and they are no earlier source for each other.  A null doc_id counts as earlier than all others.  Windows are compared by a
