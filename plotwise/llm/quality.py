@@ -1,11 +1,12 @@
 """Quality rules from suffix-array repetition (operator 6).
 
 A batch of documents is one word array.  Its suffixes are ordered within documents by prefix doubling, with only the groups that are still
-tied sorted again; the longest common prefixes of neighbours come from prefix hashes by bisection.  The larger of a suffix's two neighbour
+tied sorted again; the longest common prefixes of neighbours come, exactly, from the ranks of each doubling.  The larger of a suffix's two neighbour
 prefixes is the longest passage that starts there and is found elsewhere in the document, so the union of those spans is the union of all
 maximal repeats.  The verdict limits the share of words in long repeats and the longest repeat itself.
 
-Cases.  Null or empty text: no words, so the base rule on length rejects it.  Repeated rows: each is judged alone, and gives a row.  Nothing
+Cases.  Null or empty text: no words, so the base rule on length rejects it.  A very long text is a batch of its own, and takes some hundred
+bytes a word.  Words and lines of one document are compared by a 64-bit hash.  Ties (equal repeats) count once, as their union.  Repeated rows: each is judged alone, and gives a row.  Nothing
 is shuffled; columns other than doc_id and text are carried by kept_documents and never looked at.
 """
 
@@ -38,20 +39,23 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def suffix_order(value: np.ndarray, doc: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """All suffixes, ordered within their documents. value: equal words of a document have equal values; stop: where the suffix's document ends."""
+def suffix_order(value: np.ndarray, doc: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All suffixes, ordered within their documents; and the ranks by their first 1, 2, 4, ... words, as long as any are tied.
+
+    value: equal words of a document have equal values; stop: where the suffix's document ends."""
     n = len(value)
     order = np.lexsort((value, doc))
     tie = np.ones(n, bool)
     tie[1:] = (value[order][1:] != value[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(tie, np.arange(n), 0))
-    length = 1
+    length, levels = 1, []
     while True:
         group = np.bincount(rank, minlength=n)
         open_ = np.flatnonzero(group[rank] > 1)
         if not len(open_):
             break
+        levels.append(rank.astype(np.int32))
         ahead = open_ + length
         second = np.full(len(open_), -1, np.int64)
         inside = ahead < stop[open_]
@@ -67,7 +71,7 @@ def suffix_order(value: np.ndarray, doc: np.ndarray, stop: np.ndarray) -> np.nda
         rank[where] = first + np.maximum.accumulate(np.where(new, at, 0)) - begin
         length *= 2
     order[rank] = np.arange(n)
-    return order
+    return order, levels
 
 
 def longest_repeats(h: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -77,26 +81,19 @@ def longest_repeats(h: np.ndarray, before: np.ndarray) -> np.ndarray:
         return np.zeros(n, np.int64)
     doc = tx.owner(before)
     stop = before[1:][doc]
-    order = suffix_order(h, doc, stop)
+    order, levels = suffix_order(h, doc, stop)
     a, b = order[:-1], order[1:]
     pair = np.flatnonzero((doc[a] == doc[b]) & (h[a] == h[b]))
     a, b = a[pair], b[pair]
-    up, down = tx._power_table(tx._WORD_BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * up[:n], out=total[1:])
-    low, high = np.ones(len(a), np.int64), np.minimum(stop[a] - a, stop[b] - b)
-    while True:  # the common prefix has `low` words at least and `high` at most
-        todo = np.flatnonzero(low < high)
-        if not len(todo):
-            break
-        mid = (low[todo] + high[todo] + 1) // 2
-        x, y = a[todo], b[todo]
-        same = (total[x + mid] - total[x]) * down[x] == (total[y + mid] - total[y]) * down[y]
-        low[todo[same]] = mid[same]
-        high[todo[~same]] = mid[~same] - 1
+    common = np.zeros(len(a), np.int64)
+    for k in range(len(levels) - 1, -1, -1):  # a common prefix is a sum of powers of two, each step told by the ranks of its level
+        x, y = a + common, b + common
+        inside = np.flatnonzero((x < stop[a]) & (y < stop[b]))
+        same = inside[levels[k][x[inside]] == levels[k][y[inside]]]
+        common[same] += 1 << k
     longest = np.zeros(n, np.int64)
-    np.maximum.at(longest, a, low)
-    np.maximum.at(longest, b, low)
+    np.maximum.at(longest, a, common)
+    np.maximum.at(longest, b, common)
     return longest
 
 

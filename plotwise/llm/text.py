@@ -3,6 +3,9 @@
 A batch of texts is one byte array plus document offsets, so splitting and hashing cost a few array passes whatever the number of documents.
 Words are runs of bytes other than 0x20 and 0x09-0x0D; those bytes never occur inside a multi-byte UTF-8 character, so bytes and code points
 give the same words.  A null text counts as an empty one.
+
+Hashes have 64 bits and no structure that an input could use: among the n values that a comparison sees, two different ones meet with a
+probability of n * n / 2**65.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -19,21 +23,9 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 #: ASCII other than letters and digits.
 PUNCTUATION = np.array([i < 0x80 and not chr(i).isalnum() for i in range(256)])
 
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xD6E8FEB86659FD93
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd base modulo 2**64, and of its inverse."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        steps = np.full(size, base, np.uint64)
-        back = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        steps[0] = back[0] = 1
-        have = _powers[base] = (np.cumprod(steps, dtype=np.uint64), np.cumprod(back, dtype=np.uint64))
-    return have
+#: Words longer than this are hashed one by one by xxhash; shorter ones eight bytes at a time, all words of a batch together.
+LONG_WORD = 128
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,6 +38,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two; the order counts, and for either one fixed it is a bijection of the other."""
+    return mix(a * _STEP + (b ^ (b >> np.uint64(32))))
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, and the n+1 offsets of its values; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -78,36 +75,51 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, from prefix sums over slices of the batch."""
-    out = np.empty(len(starts), np.uint64)
-    step, at = 1 << 18, 0
-    while at < len(starts):
-        to = min(len(starts), at + step)
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        up, down = _power_table(_BYTE_BASE, hi - lo)
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        out[at:to] = mix((total[e] - total[s]) * down[s])
-        at = to
+    """A 64-bit hash of each word's bytes: eight bytes a round, every round mixed, so that no two strings meet but by chance."""
+    size = ends - starts
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = mix(size.astype(np.uint64) + _STEP)
+    step = 1 << 16
+    for at in range(0, len(starts), step):
+        here = slice(at, at + step)
+        left, place, where = size[here], starts[here], np.arange(at, min(at + step, len(starts)))
+        short = left <= LONG_WORD
+        for k in np.flatnonzero(~short):
+            out[at + k] = mix(np.array([xxhash.xxh3_64_intdigest(data[place[k] : place[k] + left[k]].tobytes())], np.uint64))[0]
+        if not short.all():
+            left, place, where = left[short], place[short], where[short]
+        while len(left):
+            rest = np.minimum(left, 8).astype(np.uint64)
+            chunk = eight[place] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - rest) * np.uint64(8)))
+            out[where] = combine(out[where], chunk)
+            more = left > 8
+            left, place, where = left[more] - 8, place[more] + 8, where[more]
     return out
 
 
 def ngrams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n consecutive values at each place; the array is n-1 shorter.  Places across documents are the caller's to drop."""
+    """Hashes of the n consecutive values at each place; the array is n-1 shorter.  Places across documents are the caller's to drop.
+
+    Built from runs of 1, 2, 4, ... values, as the binary digits of n say."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
     out = np.empty(len(h) - n + 1, np.uint64)
-    step = 1 << 18
+    step = 1 << 16
     for at in range(0, len(out), step):
+        run, length, done, have = h[at : at + step + n - 1], 1, 0, None
+        while True:
+            if n & length:
+                part = run[done:]
+                have = part if have is None else combine(have[: len(part)], part)
+                done += length
+            if done == n:
+                break
+            run = combine(run[:-length], run[length:])
+            length *= 2
         to = min(len(out), at + step)
-        part = h[at : to + n - 1]
-        up, down = _power_table(_WORD_BASE, len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * up[: len(part)], out=total[1:])
-        k = to - at
-        out[at:to] = mix((total[n : n + k] - total[:k]) * down[:k] + np.uint64(n))
-    return out
+        out[at:to] = have[: to - at]
+    return out if n > 1 else mix(out)
 
 
 def owner(counts_before: np.ndarray) -> np.ndarray:
