@@ -3,9 +3,10 @@
 Three operators must know of every n-gram of every document something about the whole corpus.  One row for each n-gram would move tens of
 bytes for each word.  Here documents are dealt to blocks by a hash of their id; a task sorts and pre-aggregates the keys of its block, so
 that a block sends a key once however many of its documents hold it, and sends one packed row to each bucket of the key space.  A bucket
-answers each block with one packed row.  A passage in a third of all documents costs a bucket one entry a block, so no key makes a task hot;
-both counts follow the data (blocks its size, buckets the shuffle partitions), so no group grows with it.  A lost executor costs only its
-tasks: blocks and buckets are recomputed from shuffle files or inputs, and depend on nothing but the rows.
+answers each block with one packed row.  A passage in a third of all documents costs a bucket one entry a block, so no key makes a task hot.
+There are as many buckets as blocks, and as many tasks: both follow the bytes of the files read, so a block, a bucket and a task stay as they
+are while the data grow.  (Packed rows are blocks x buckets, like the segments of any shuffle; `block_bytes` sets how many.)  A lost executor
+costs only its tasks: blocks and buckets are recomputed from shuffle files or inputs, and depend on nothing but the rows.
 """
 
 from __future__ import annotations
@@ -23,19 +24,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the plan: the bytes of the files that it reads, for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of the files and local rows that the plan reads, added up over its leaves: joins and filters above them change nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 60)  # beyond that Spark says that it doesn't know
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    size = stored_bytes(df)
-    size = size if size < 1 << 60 else 0  # an unknown size
-    return max(shuffle_partitions(df.sparkSession), -(-size // block_bytes), 1)
+    return max(shuffle_partitions(df.sparkSession), -(-stored_bytes(df) // block_bytes), 1)
 
 
 def dealt(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:
-    """The columns asked for, with the block of each document; repeated or null ids are as good as any."""
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), *columns)
+    """The columns asked for, with the block of each document, a task for each block; repeated or null ids are as good as any."""
+    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), *columns).repartition(blocks, "block")
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -7,29 +7,52 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
+
+
+def integer_ids(docs: DataFrame) -> Column:
+    """doc_id as a long; the operators that order documents by it take integers only."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be of an integer type here, not {kind.simpleString()}")
+    return docs["doc_id"].cast("long").alias("doc_id")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is made and set."""
+    """A fresh folder under spark.checkpoint.dir.  Only where that is unset and all runs on one machine (tests) a temporary one is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: a cut in the lineage that no executor's loss undoes."""
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def passing(spark: SparkSession, folder: str) -> str:
+    """The folder, marked to be deleted when the driver ends."""
+    path, files = _path(spark, folder)
+    files.deleteOnExit(path)
+    return folder
+
+
+def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The rows, written to the shared folder (in folders `by` columns) and read again: a cut in the lineage that no executor's loss undoes."""
     folder = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(passing(df.sparkSession, folder)).select(df.columns)
 
 
 def discard(spark: SparkSession, folder: str) -> None:
     """Delete a table that has been replaced."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, files = _path(spark, folder)
+    files.delete(path, True)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
