@@ -2,10 +2,10 @@
 
 The trie of order K is kept as one sorted array of keys for each order k = 0..K; a key is the k context bytes followed by the symbol.  The byte
 0xFF, which UTF-8 never has, stands before a text's first byte and as the end symbol after its last one, so that every text has a probability
-of its own.  With n all that followed a context in training, c the count of a symbol and d the symbols in the trie, a symbol has probability
-(c - 1/2) / n; the escape has the rest: d / 2n and the share of what was pruned.  At the shorter context the symbols that the longer one knew
-are left out of n and d.  A node is pruned by its count alone, so those symbols are in the shorter context's trie too, and what is left out is
-one number for each context.  After order 0, the symbols not seen share the rest evenly.
+of its own.  With n all that followed a context in training, c the count of a symbol and d the symbols, a symbol has probability
+(c - 1/2) / n; the escape has the rest, d / 2n.  At the shorter context the symbols that the longer one knew are left out of n and d: they
+are in the shorter context's trie too, so what is left out is one number for each context.  After order 0, the symbols not seen share the rest
+evenly.  A part of the trie (all that ends in the same context bytes) is a model on top of one of the lower orders.
 """
 
 from __future__ import annotations
@@ -65,58 +65,58 @@ class _Hash:
         return found
 
 
+def shorter(keys: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The levels 0..order of the trie with these nodes of the whole order (ascending)."""
+    levels = []
+    for k in range(order, -1, -1):
+        part = keys & np.uint64((1 << (8 * (k + 1))) - 1)
+        by = np.argsort(part, kind="stable")
+        part, counts = part[by], counts[by]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+        keys, counts = part[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+        levels.append((keys, counts))
+    return levels[::-1]
+
+
 class Model:
-    """levels[k]: sorted keys of order k, their counts, and the counts of their contexts, pruned symbols included."""
+    """levels[k]: sorted keys of an order and their counts; the orders begin at 0, or go on where those of the base end."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.order = len(levels) - 1
-        self.pairs, self.contexts = [], []
-        for k, (keys, counts, totals) in enumerate(levels):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], base: Model | None = None):
+        self.pairs, self.contexts, self.levels = (list(base.pairs), list(base.contexts), list(base.levels)) if base else ([], [], [])
+        for k, (keys, counts) in enumerate(levels, len(self.levels)):
             context = keys >> np.uint64(8)
             first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(keys) else np.zeros(0, np.int64)
             d = np.diff(np.append(first, len(keys)))
             number = np.repeat(np.arange(len(first)), d)
             c = counts.astype(np.float64)
-            in_trie = np.bincount(number, c, len(first))
             known = np.zeros(len(first))  # what this context's symbols count at the shorter one
             if k:
-                lower_keys, lower_counts, _ = levels[k - 1]
+                lower_keys, lower_counts = self.levels[k - 1]
                 at = np.searchsorted(lower_keys, keys & np.uint64((1 << (8 * k)) - 1))
                 known = np.bincount(number, lower_counts[at].astype(np.float64), len(first))
             self.pairs.append((_Hash(keys), c))
-            self.contexts.append((_Hash(context[first]), totals[first].astype(np.float64), in_trie, d.astype(np.float64), known))
-        keys, counts, totals = levels[-1]
-        self.longest = np.log10((counts - 0.5) / totals)
+            self.contexts.append((_Hash(context[first]), np.bincount(number, c, len(first)), d.astype(np.float64), known))
+            self.levels.append((keys, counts))
+        self.order = len(self.levels) - 1
 
     def score(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the symbol of each key (of the whole order) after its context."""
-        out = np.zeros(len(keys))
-        at = self.pairs[self.order][0].find(keys)
-        seen = at >= 0
-        out[seen] = self.longest[at[seen]]
-        todo = np.flatnonzero(~seen)
-        distinct, back = np.unique(keys[todo], return_inverse=True)
-        out[todo] = self._escaped(distinct)[back]
-        return out
-
-    def _escaped(self, keys: np.ndarray) -> np.ndarray:
-        """The same, for any keys, from the longest context down."""
+        """log10 probability of the symbol of each key (of the whole order) after its context, from the longest context down."""
         log = np.zeros(len(keys))
         open_ = np.arange(len(keys))
         left_n, left_d = np.zeros(len(keys)), np.zeros(len(keys))
         for k in range(self.order, -1, -1):
             part = keys[open_] & np.uint64((1 << (8 * (k + 1))) - 1)
-            find, n, in_trie, d, known = self.contexts[k]
+            find, n, d, known = self.contexts[k]
             at = find.find(part >> np.uint64(8))
             has = at >= 0
-            rest_n, rest_d, rest_in = np.zeros(len(part)), np.zeros(len(part)), np.zeros(len(part))
-            rest_n[has], rest_d[has], rest_in[has] = n[at[has]] - left_n[open_[has]], d[at[has]] - left_d[open_[has]], in_trie[at[has]] - left_n[open_[has]]
+            rest_n, rest_d = np.zeros(len(part)), np.zeros(len(part))
+            rest_n[has], rest_d[has] = n[at[has]] - left_n[open_[has]], d[at[has]] - left_d[open_[has]]
             pair, counts = self.pairs[k]
             to = pair.find(part)
             seen = to >= 0
             log[open_[seen]] += np.log10((counts[to[seen]] - 0.5) / rest_n[seen])
             gone = ~seen & (rest_n > 0)
-            log[open_[gone]] += np.log10((rest_n[gone] - rest_in[gone] + rest_d[gone] / 2) / rest_n[gone])
+            log[open_[gone]] += np.log10(rest_d[gone] / 2 / rest_n[gone])
             left_n[open_[has]], left_d[open_[has]] = known[at[has]], d[at[has]]
             open_ = open_[~seen]
         log[open_] -= np.log10(256 - left_d[open_])
