@@ -4,8 +4,9 @@ Each document is its set of distinct word shingles.  All sets are ordered by one
 first, by hash, then the frequent ones from rare to common.  Two sets with similarity of 3/4 or more must share a shingle among the first
 quarter of either, so only those prefixes are sent out; a bucket of the hash space keeps the shingles that several documents have there, and
 sizes and places tell which pairs can't reach the overlap.  Candidates of one centre document meet in a task, a bounded number at a time.
-Their ordered sets are read as a trie (sorted sequences with the length of what each shares with the one before): overlap counted on a shared
-beginning is counted once, and a subtree is left as soon as the overlap so far and what remains of either set can't reach the bound.
+Their ordered sets are stored in a trie, a node for each beginning where sets part.  The centre is matched from the root down: the overlap
+with a node's label is counted once for all sets below it, and a whole subtree is left as soon as the overlap so far and what remains of the
+centre, or of the longest set below, can't reach the bound of the shortest.
 
 Which pairs: first each shingle's group is tied to its likely hub (a star, not all pairs); then only documents that are not yet in one
 component are tried, if places, sizes and bitmaps leave a link possible.  (A bitmap has one bit toggled for each shingle; where two differ in
@@ -21,8 +22,9 @@ frequent shingles may be bounded (MOST_FREQUENT), which bounds what is broadcast
 
 Cases.  Null or empty text, or no word: an empty set, linked with nothing.  Fewer words than a shingle: the whole sequence is the one shingle.
 Repeated rows with one doc_id: equal to a class if their texts are equal; else each row has its own set, and they share the id's component.
-Null doc_id: a row with its set's size and a null component.  Shingles are compared by a 64-bit hash, whole sets by two.  Columns other than
-doc_id and text are not read.
+Null doc_id: a row with its set's size and a null component.  Very long texts: their whole sets, in one task as their text is.  Ties (a
+similarity of 3/4 exactly) link.  No rows: no rows.  doc_id must be of an integer type (TypeError else).  Shingles are compared by a 64-bit
+hash, whole sets by two.  Columns other than doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from plotwise.llm import blocks, text as tx
 from plotwise.llm.components import components
-from plotwise.llm.shared import pieces, saved
+from plotwise.llm.shared import integer_ids, pieces, saved
 
 WORDS = 5
 FREQUENT = 32
@@ -48,6 +50,8 @@ GROUP = 4096
 PART = 256
 #: Shingles in one product of incidence matrices.
 COLUMNS = 4096
+#: Stored bytes of documents for each bucket of the hash space.
+BUCKET_BYTES = 12 << 20
 #: Groups up to so many documents are paired by a plain join; a task's bitmaps pay for larger ones only.
 SMALL_GROUP = 32
 
@@ -203,34 +207,51 @@ def _can_link(a: str, b: str):
     return 7 * left >= 3 * (F.col(f"{a}.size") + F.col(f"{b}.size"))
 
 
-def overlaps(centre: np.ndarray, members: list[np.ndarray]) -> list[int]:
-    """Which members link with the centre. All are ascending arrays of numbers in the global order.
-
-    The members are walked as a trie: in the order of their sequences, each goes on from where it leaves the one before."""
-    keyed = sorted((m.astype(">u4").tobytes(), k) for k, m in enumerate(members))
-    links: list[int] = []
-    last, count, done = np.zeros(0, np.int64), np.zeros(1, np.int64), 0  # count[d]: overlap of the last member's first d items
-    for _, k in keyed:
-        m = members[k]
-        need = -(-3 * (len(centre) + len(m)) // 7)
-        top = min(len(last), len(m))
-        differ = np.flatnonzero(last[:top] != m[:top])
-        depth = min(int(differ[0]) if len(differ) else top, done)
-        here = np.zeros(len(m) + 1, np.int64)
-        here[: depth + 1] = count[: depth + 1]
-        while depth < len(m):
-            passed = np.searchsorted(centre, m[depth - 1], "right") if depth else 0
-            if here[depth] + min(len(m) - depth, len(centre) - passed) < need:
-                break
-            to = min(len(m), depth + 256)
-            at = np.searchsorted(centre, m[depth:to])
-            hit = (at < len(centre)) & (centre[np.minimum(at, len(centre) - 1)] == m[depth:to])
-            here[depth + 1 : to + 1] = here[depth] + np.cumsum(hit)
-            depth = to
-        if depth == len(m) and here[depth] >= need:
-            links.append(k)
-        last, count, done = m, here, depth
-    return links
+class Trie:
+    """Ascending arrays of numbers, stored by common beginnings: a node is a run of the sorted sets that share its items."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u4").tobytes())
+        self.sets = [sets[k] for k in self.order]
+        self.size = np.array([len(m) for m in self.sets], np.int64)
+        self.common = np.zeros(len(sets), np.int64)  # items that a set shares with the one before it
+        for k in range(1, len(sets)):
+            a, b = self.sets[k - 1], self.sets[k]
+            top = min(len(a), len(b))
+            differ = np.flatnonzero(a[:top] != b[:top])
+            self.common[k] = differ[0] if len(differ) else top
+        self.read = 0
+
+    def linked(self, centre: np.ndarray) -> list[int]:
+        """Numbers of the sets whose similarity to the centre is 3/4 or more: overlap of 3/7 of both sizes."""
+        links: list[int] = []
+        open_ = [(0, len(self.sets), 0, 0)] if self.sets else []  # a subtree: its sets, how many items they share, how many of these the centre has
+        while open_:
+            lo, hi, depth, found = open_.pop()
+            least, most = int(self.size[lo:hi].min()), int(self.size[lo:hi].max())
+            first = self.sets[lo]
+
+            def reachable(at: int, have: int, first=first, least=least, most=most) -> bool:
+                passed = int(np.searchsorted(centre, first[at - 1], "right")) if at else 0
+                return 7 * (have + min(most - at, len(centre) - passed)) >= 3 * (len(centre) + least)
+
+            end = int(self.common[lo + 1 : hi].min()) if hi - lo > 1 else int(self.size[lo])
+            while depth < end and reachable(depth, found):  # a long label in steps
+                label = first[depth : min(end, depth + 256)]
+                at = np.searchsorted(centre, label)
+                found += int((centre[np.minimum(at, len(centre) - 1)] == label).sum())
+                depth += len(label)
+                self.read += len(label)
+            if depth < end or not reachable(depth, found):
+                continue  # the whole subtree is left
+            cuts = [lo, *(lo + 1 + np.flatnonzero(self.common[lo + 1 : hi] == end)).tolist(), hi]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a == 1 and self.size[a] == end:
+                    if 7 * found >= 3 * (len(centre) + end):
+                        links.append(self.order[a])
+                else:
+                    open_.append((a, b, end, found))
+        return links
 
 
 def _verify(shared):
@@ -252,7 +273,7 @@ def _verify(shared):
             if len(group) < 2 or group[0][2]:
                 return []
             sets = numbered([(i, v) for i, v, _ in group], order)
-            return [(group[0][0], group[k + 1][0]) for k in overlaps(sets[0], sets[1:])]
+            return [(group[0][0], group[k + 1][0]) for k in Trie(sets[1:]).linked(sets[0])]
 
         for part in pieces(batches, "text"):
             value, at = shingles(part.column("text"))
@@ -282,20 +303,20 @@ def _links(own: DataFrame, pairs: DataFrame, shared) -> DataFrame:
 
 
 def _own(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(integer_ids(docs), F.col("text").cast("string").alias("text"))
 
 
 def _grouped(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """facts (doc_id, n_shingles, bitmap), classes (doc_id, class_id) of documents with words, groups (node, component) of linked representatives."""
     spark = own.sparkSession
-    buckets = 2 * blocks.shuffle_partitions(spark)
+    buckets = blocks.block_count(own, BUCKET_BYTES)
     surveyed = own.mapInArrow(_survey(buckets), "kind int, bucket int, keys binary, values binary, more binary")
-    surveyed = saved(surveyed.groupBy("kind", "bucket").applyInArrow(_survey_sums, "kind int, left long, right long"), "jaccard-survey")
+    surveyed = saved(surveyed.repartition(2 * buckets, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_survey_sums, "kind int, left long, right long"), "jaccard-survey")
     classes = surveyed.where("kind = 0").groupBy(F.col("left").alias("doc_id")).agg(F.min("right").alias("class_id"))
     frequent = surveyed.where("kind = 1").orderBy(F.desc("right"), "left").limit(MOST_FREQUENT).toArrow()
     shared = spark.sparkContext.broadcast(Order(frequent.column("left").to_numpy().astype(np.uint64), frequent.column("right").to_numpy()))
     packed = own.mapInArrow(_prefixes(buckets, shared), "bucket int, keys binary, ids binary, sizes binary, places binary")
-    found = packed.groupBy("bucket").applyInArrow(_shared_prefixes, "token long, doc_id long, size int, place int")
+    found = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared_prefixes, "token long, doc_id long, size int, place int")
     copies = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
     tokens = saved(found.join(copies, "doc_id", "left_anti"), "jaccard-prefixes")
 
@@ -341,19 +362,30 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_links counts the links of a document's representative, so those to texts that differ from its own."""
     own = _own(docs)
     facts, classes, groups = _grouped(own)
-    links = saved(_all_links(own, groups), "jaccard-links")
+    links = saved(_parts_met(own, groups).mapInArrow(_block_links(False), "a long, b long"), "jaccard-links")
     degrees = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    members = _labelled(facts, classes, groups).join(degrees, "class_id", "left")
-    return members.select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), links
+    return _with_degrees(_labelled(facts, classes, groups), degrees), links
 
 
-def _all_links(own: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b), a < b: every two documents of a component that link."""
+def linked_documents(docs: DataFrame) -> DataFrame:
+    """The members of link_documents. Links are counted where they are found, and never listed."""
+    own = _own(docs)
+    facts, classes, groups = _grouped(own)
+    degrees = _parts_met(own, groups).mapInArrow(_block_links(True), "class_id long, n long").groupBy("class_id").agg(F.sum("n").alias("n_links"))
+    return _with_degrees(_labelled(facts, classes, groups), degrees)
+
+
+def _with_degrees(members: DataFrame, degrees: DataFrame) -> DataFrame:
+    return members.join(degrees, "class_id", "left").select("doc_id", "n_shingles", "component_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _parts_met(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents of each component by parts, each two parts together and sorted."""
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     dealt = groups.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     texts = own.join(dealt, own["doc_id"] == dealt["node"]).select("component", "part", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     met = texts.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "text")
-    return met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_block_links, "a long, b long")
+    return met.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -375,11 +407,10 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return found
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of two parts of a component. Rows come sorted by component and parts."""
-    group, key = [], None
+def _block_links(count: bool):
+    """The links (a, b) of two parts of a component, or how many (class_id, n) each document has of them. Rows come sorted by component and parts."""
 
-    def links() -> pa.RecordBatch:
+    def links(key: tuple, group: list) -> pa.RecordBatch:
         _, i, j = key
         left = [(d, v) for p, d, v in group if p == i]
         right = left if i == j else [(d, v) for p, d, v in group if p == j]
@@ -391,18 +422,24 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = np.array([d for d, _ in left])[x], np.array([d for d, _ in right])[y]
             # both orders of a pair within one part, and repeated ids
             a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b], axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if count:
+            a, b = np.unique(np.concatenate((a, b)), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["class_id", "n"] if count else ["a", "b"])
 
-    for part in pieces(batches, "text"):
-        value, at = shingles(part.column("text"))
-        for k, (component, i, j, mine, doc_id) in enumerate(zip(*(part.column(c).to_pylist() for c in ("component", "i", "j", "part", "doc_id")), strict=True)):
-            if (component, i, j) != key:
-                if key:
-                    yield links()
-                group, key = [], (component, i, j)
-            group.append((mine, doc_id, value[at[k] : at[k + 1]]))
-    if key:
-        yield links()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key = [], None
+        for part in pieces(batches, "text"):
+            value, at = shingles(part.column("text"))
+            for k, (component, i, j, mine, doc_id) in enumerate(zip(*(part.column(c).to_pylist() for c in ("component", "i", "j", "part", "doc_id")), strict=True)):
+                if (component, i, j) != key:
+                    if key:
+                        yield links(key, group)
+                    group, key = [], (component, i, j)
+                group.append((mine, doc_id, value[at[k] : at[k + 1]]))
+        if key:
+            yield links(key, group)
+
+    return run
 
 
 def _bits(size: np.ndarray) -> np.ndarray:

@@ -49,7 +49,7 @@ def _shingles_sql(table: str, key: str, place: str) -> str:
 _OP2_SQL = f"""
 WITH s AS MATERIALIZED {_shingles_sql("documents", "doc_id", "p")}, i AS MATERIALIZED {_shingles_sql("benchmark", "item_id", "q")},
 m AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id), ic AS (SELECT item_id, k, count(*) AS c FROM i GROUP BY ALL),
-w AS (SELECT DISTINCT doc_id, n, greatest(p - q, 0) AS start FROM s JOIN i USING (k) JOIN m USING (item_id)),
+w AS (SELECT DISTINCT doc_id, n, unnest(generate_series(greatest(p - n + 1, 0), p)) AS start FROM (SELECT DISTINCT doc_id, p, n FROM s JOIN i USING (k) JOIN m USING (item_id))),
 wc AS (SELECT w.doc_id, n, start, k, count(*) AS c FROM w JOIN s ON s.doc_id = w.doc_id AND p >= start AND p < start + n GROUP BY ALL),
 ws AS (SELECT doc_id, n, start, sum(c) AS size FROM wc GROUP BY ALL),
 o AS (SELECT doc_id, wc.n, start, ic.item_id, sum(least(wc.c, ic.c)) AS common FROM wc JOIN ic USING (k) JOIN m ON m.item_id = ic.item_id AND m.n = wc.n GROUP BY ALL),
@@ -68,7 +68,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join_documents(_read(spark, sf_dir, "documents"))
+    return jaccard_join.linked_documents(_read(spark, sf_dir, "documents"))
 
 
 def op4_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,12 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
 l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
-SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM (SELECT doc_id, md5(string_agg(k, chr(10) ORDER BY k)) AS h FROM s GROUP BY doc_id)),
+g AS (SELECT x AS class_id, count(*) AS n_links FROM e JOIN k a ON a.doc_id = x AND a.class_id = x JOIN k b ON b.doc_id = y AND b.class_id = y GROUP BY x)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id, coalesce(any_value(k.class_id), doc_id)::BIGINT AS class_id,
+  coalesce(any_value(g.n_links), 0)::BIGINT AS n_links
+FROM r LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN g ON g.class_id = k.class_id GROUP BY doc_id
 """
 
 
@@ -142,7 +146,7 @@ SELECT * EXCLUDE (too_long), NOT base_failed AND 100 * n_long_repeat_words <= {_
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    found = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "line_facts.n_lines", "line_facts.n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

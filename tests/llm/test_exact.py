@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from conftest import DATA, same_as_sql
+from pyspark.sql import functions as F
 
 from plotwise.llm import byte_bpe, components, decontaminate, jaccard_join, line_dedup, quality, queries, substring_dedup, url_filter
 
@@ -66,13 +67,55 @@ def brute_windows(rows, n=13):
     return sorted(out, key=repr)
 
 
-def test_substrings_by_brute_force(spark):
-    rows = corpus()
+def passages(n=40):
+    """Documents put together from pieces of a few sources, so that factors meet and windows lie across them."""
+    rnd = random.Random(9)
+    sources = [[f"s{k}_{i}" for i in range(120)] for k in range(4)]
+    sources.append(sources[0][100:] + sources[1][:100])
+    rows = [(k, " ".join(s), None, None) for k, s in enumerate(sources)]
+    for k in range(n):
+        body = []
+        for _ in range(rnd.randrange(1, 6)):
+            s, at = rnd.choice(sources), rnd.randrange(100)
+            body += sources[0][90:] + sources[1][:30] if rnd.random() < 0.2 else s[at : at + rnd.choice((5, 8, 14, 30, 60))] + [f"own{k}"] * rnd.randrange(3)
+        rows.append((10 + k, " ".join(body), None, None))
+    return rows
+
+
+@pytest.mark.parametrize("rows", [corpus(), passages()], ids=["odd", "passages"])
+def test_substrings_by_brute_force(spark, rows):
     found = substring_dedup.dedup_substrings(spark.createDataFrame(rows, KIND), block_bytes=1 << 12).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in found), key=repr) == brute_windows(rows)
+    texts = {}
+    for doc_id, text, *_ in rows:
+        texts.setdefault(doc_id, []).append(words(text))
     for r in found:
         covered = {k for s in r.spans for k in range(s.first_word, s.first_word + s.n_words)}
         assert len(covered) == r.n_removed and all(s.n_words >= 13 for s in r.spans)
+        cursor = 0
+        for s in r.spans:
+            source = None if s.source_id == substring_dedup.NULL_ID else s.source_id
+            here = {tuple(w[s.first_word : s.first_word + s.n_words]) for w in texts[r.doc_id]}
+            there = {tuple(w[s.source_word : s.source_word + s.n_words]) for w in texts[source]}
+            assert here & there and (r.doc_id is None or s.source_id < r.doc_id)  # a span stands in one piece in its source
+            if not s.boundary:
+                assert s.first_word >= cursor  # factors follow each other
+                cursor = s.first_word + s.n_words
+
+
+def test_boundaries_of_factors_are_needed(spark):
+    """Words that only windows across two factors cover."""
+    a, b, c = ([f"{x}{i}" for i in range(20)] for x in "abc")
+    rows = [(1, " ".join(a), None, None), (2, " ".join(a[8:] + b[:10]), None, None), (3, " ".join(a + b[:8] + c), None, None)]
+    spans = next(r.spans for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, KIND)).collect() if r.doc_id == 3)
+    assert [(s.first_word, s.n_words, s.source_id, s.source_word, s.boundary) for s in spans] == [(0, 20, 1, 0, False), (8, 20, 2, 0, True)]
+
+
+def test_string_ids_are_refused(spark):
+    docs = spark.createDataFrame([("a", "one two")], "doc_id string, text string")
+    for operator in (substring_dedup.dedup_substrings, jaccard_join.join_documents, jaccard_join.linked_documents):
+        with pytest.raises(TypeError, match="integer"):
+            operator(docs)
 
 
 def test_substrings_of_nothing(spark):
@@ -145,6 +188,7 @@ def test_links_by_brute_force(spark, part, monkeypatch):
     degree = Counter(d for pair in expected for d in pair)
     members, links = jaccard_join.link_documents(spark.createDataFrame(rows, KIND))
     assert sorted((r.a, r.b) for r in links.collect()) == expected
+    assert sorted(members.collect(), key=repr) == sorted(jaccard_join.linked_documents(spark.createDataFrame(rows, KIND)).collect(), key=repr)
     classes = {d: least.get(sets[d], d) if d is not None else None for d in sets}
     found = {r.doc_id: (r.n_shingles, r.class_id, r.n_links) for r in members.collect()}
     assert found == {d: (len(s), classes[d], degree[classes[d]]) for d, s in sets.items()}
@@ -162,8 +206,17 @@ def test_trie_overlaps():
     for _ in range(50):
         centre = np.unique(rng.integers(0, 60, 40))
         members = [np.unique(np.concatenate((centre[rng.random(len(centre)) < 0.9], rng.integers(0, 60, 4)))) for _ in range(12)]
+        members += [members[0], members[1][:-1]]
         expected = [k for k, m in enumerate(members) if 100 * len(np.intersect1d(m, centre)) >= 75 * len(np.union1d(m, centre))]
-        assert sorted(jaccard_join.overlaps(centre, members)) == expected
+        assert sorted(jaccard_join.Trie(members).linked(centre)) == expected
+
+
+def test_trie_shares_and_leaves_subtrees():
+    centre = np.arange(1000)
+    shared = jaccard_join.Trie([np.append(np.arange(900), 2000 + k) for k in range(50)])
+    assert len(shared.linked(centre)) == 50 and shared.read == 950  # the common beginning is read once
+    apart = jaccard_join.Trie([np.concatenate((np.arange(5000, 5900), [9000 + k])) for k in range(50)])
+    assert apart.linked(centre) == [] and apart.read <= 512  # all fifty are left together
 
 
 @pytest.mark.parametrize("task_edges", [1 << 18, 20])
@@ -205,6 +258,35 @@ def test_lines_by_brute_force(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], KIND)).count() == 0
 
 
+def test_line_runs(spark):
+    """Batches are anti-joined with the runs, runs are compacted level by level, and each is sorted."""
+    rows = [(k, f"common\nline {k % 5}\nonly {k}", None, None) for k in range(80)]
+    lines = line_dedup.line_table(spark.createDataFrame(rows, KIND), 1, 8)
+    runs = line_dedup.LineRuns(spark, min_docs=4, fanout=2)
+    seen = []
+    for k in range(7):
+        batch = lines.where(F.col("batch") == k)
+        added = batch.select("id", "a", "b").distinct().groupBy("a", "b").agg(F.count("*").alias("n"))
+        seen.append((added.count(), runs.unsettled(added).count()))
+        runs.add(batch)
+    assert seen[0][0] == seen[0][1] and seen[-1][1] <= seen[-1][0] - 6  # the six common keys are settled by then
+    assert runs.compactions == 4 and runs.runs == [1, 1, 1]
+    plan = runs.level(2).groupBy("a", "b").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # a level is bucketed by key
+    found = runs.frequent()
+    assert found.count() == 6 and not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+
+
+def test_line_columns_may_clash(spark):
+    docs = spark.createDataFrame([(k, "same\nl", k, 1, "g") for k in range(12)], "doc_id long, text string, line_facts long, pos int, gone string")
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == ["doc_id", "text", "line_facts", "pos", "gone", "line_facts_"]
+    assert {(r.text, r.line_facts == r.doc_id, r.line_facts_.n_dropped) for r in found.collect()} == {("", True, 2)}
+    assert line_dedup.dedup_lines(docs, facts=None).columns == docs.columns
+    long = spark.createDataFrame([(k, "\n".join(["same"] * 20000 + [f"l{i}" for i in range(20000)] if k == 3 else ["same"]), None, None) for k in range(12)], KIND)
+    assert {r.doc_id: (r.line_facts.n_lines, r.line_facts.n_dropped) for r in line_dedup.dedup_lines(long).collect()}[3] == (40000, 20000)
+
+
 def test_quality_by_brute_force(spark):
     rows = corpus() + [(900, "a b c d e f g h i j k " * 6, "en", "x"), (901, "same line here\nsame line here\nother\n\n", "en", "x"), (902, "#*$%&|<> " * 3, None, None)]
 
@@ -311,6 +393,52 @@ def test_leaks_in_another_order(spark):
     assert {(0, 1), (1, 1), (2, 1), (5, 1), (None, 1)} <= expected
 
 
+def test_recall_of_fingerprints_at_the_bound(spark):
+    """Items with so many shingles changed that one window just reaches the bound: nine in ten are found, and nothing else."""
+    rnd = random.Random(7)
+    items, rows = [], []
+    for k in range(300):
+        item = [f"i{k}_{j}" for j in range(44)]  # 40 shingles
+        items.append((k, " ".join(item)))
+        copy = list(item)
+        copy[rnd.choice((0, 4, 39, 43))] = "x"
+        cut = rnd.choice((0, 1))
+        rows.append((k, " ".join([f"a{k}_{j}" for j in range(30)] + copy[:20] + [f"y{k}"] * cut + copy[20:] + [f"z{k}_{j}" for j in range(30)]), None, None))
+
+    def shingled(t):
+        w = t.split()
+        return [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+
+    expected = {}
+    for (d, text, *_), (i, it) in zip(rows, items, strict=True):
+        doc, b = shingled(text), shingled(it)
+        for start in range(len(doc)):
+            a = Counter(doc[start : start + len(b)])
+            common = sum((a & Counter(b)).values())
+            if common / (sum(a.values()) + len(b) - common) >= 0.75:
+                expected.setdefault((d, i), []).append((common, -start))
+    found = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(rows, KIND), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(found) <= set(expected) and len(found) >= 0.95 * len(expected) > 100
+    assert all(r.n_windows == len(expected[k]) and r.first_word == -max(expected[k])[1] for k, r in found.items())
+    low = [min(v)[0] / 40 for v in expected.values()]
+    assert min(low) < 0.9  # some are just at the bound
+
+
+def test_index_is_selective():
+    """A random fingerprint meets few items by chance: FLIPS of BLOCK_BITS in each of BLOCKS."""
+    assert decontaminate.BLOCKS * len(decontaminate._flips()) / 2**decontaminate.BLOCK_BITS < 0.05
+
+
+def test_leak_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "short item", 1, 2, 3), (2, "a long text " * 30_000, 1, 2, 3)], "doc_id long, text string, windows int, leaked_id int, h int")
+    items = spark.createDataFrame([(7, "short item", "x"), (7, "short item", "y")], "item_id long, text string, n string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()] == [(1, 7)]
+    assert [tuple(r)[2:] for r in decontaminate.clean_documents(docs, items).collect()] == [(1, 2, 3)]
+    assert decontaminate.clean_documents(docs, items.limit(0)).count() == 2
+    tie = decontaminate.find_leaks(spark.createDataFrame([(1, "short item", None, None), (1, "short item", None, None)], KIND), items).collect()
+    assert len(tie) == 1 and tie[0].first_word == 0
+
+
 def test_ids_are_tiktokens(spark):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     enc = byte_bpe.encoding(path, pattern)
@@ -355,16 +483,13 @@ def test_pipeline_by_brute_force(spark):
     def leaks(text):
         doc = shingles(words(text.lower()))
         for item in map(shingles, items):
-            places = {}
-            for q, g in enumerate(item):
-                places.setdefault(g, []).append(q)
-            for p, g in enumerate(doc):
-                for q in places.get(g, ()):
-                    start = max(0, p - q)
-                    a, b = Counter(doc[start : start + len(item)]), Counter(item)
-                    common = sum((a & b).values())
-                    if common / (sum(a.values()) + sum(b.values()) - common) >= 0.75:
-                        return True
+            known = set(item)
+            near = {start for p, g in enumerate(doc) if g in known for start in range(max(0, p - len(item) + 1), p + 1)}
+            for start in near:
+                a, b = Counter(doc[start : start + len(item)]), Counter(item)
+                common = sum((a & b).values())
+                if common / (sum(a.values()) + sum(b.values()) - common) >= 0.75:
+                    return True
         return False
 
     enc = byte_bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
