@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ ORDER = 16
 CELLS = 1 << ORDER
 GRID = 256
 _TINY = 2.2250738585072014e-308
+#: Bits of either axis that one table look-up takes.
+_STEP = 4
 
 
 def quantize(v: Column, lo: Column | float, hi: Column | float) -> tuple[Column, Column]:
@@ -19,37 +23,57 @@ def quantize(v: Column, lo: Column | float, hi: Column | float) -> tuple[Column,
     return F.when(finite, F.floor(held + 0.5)).otherwise(F.lit(0)).cast("long"), ~finite | (scaled < 0) | (scaled > CELLS - 1)
 
 
-def hilbert(x: Column, y: Column, order: int = ORDER) -> Column:
-    """Place on the Hilbert curve of a cell: one step a bit, from the highest, turning the quadrant as the curve does."""
-    n = 1 << order
-    start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
+@lru_cache
+def _turns() -> tuple[list[int], list[int]]:
+    """The curve as a machine of four states, _STEP bits of both axes at a time.
+
+    A state says whether the quadrant's axes are swapped and whether they are reversed.  Forward: at state, x, y stands place * 4 + next state;
+    back: at state, place stands (x, y) * 4 + next state."""
+    side = 1 << _STEP
+    forward, back = [0] * (4 * side * side), [0] * (4 * side * side)
+    for state in range(4):
+        for x in range(side):
+            for y in range(side):
+                swapped, reversed_, place = state & 1, state >> 1, 0
+                for bit in range(_STEP - 1, -1, -1):
+                    a, b = (x >> bit & 1) ^ reversed_, (y >> bit & 1) ^ reversed_
+                    rx, ry = (b, a) if swapped else (a, b)
+                    place = place << 2 | (3 * rx ^ ry)
+                    if not ry:
+                        swapped, reversed_ = swapped ^ 1, reversed_ ^ rx
+                forward[(state * side + x) * side + y] = place << 2 | reversed_ << 1 | swapped
+                back[state * side * side + place] = (x << _STEP | y) << 2 | reversed_ << 1 | swapped
+    return forward, back
+
+
+def _walk(table: list[int], digits: list[Column], scale: int) -> list[Column]:
+    """The outputs of the machine, the highest digits first; plain array look-ups, so they stay within generated code."""
+    cells, out, state = F.lit(table), [], F.lit(0)
+    for digit in digits:
+        found = F.get(cells, (state * scale + digit).cast("int"))
+        out.append(F.shiftright(found, 2))
+        state = found.bitwiseAND(F.lit(3))
+    return out
 
-    def step(acc: Column, s: Column) -> Column:
-        rx = F.when(acc["x"].bitwiseAND(s) > 0, 1).otherwise(0)
-        ry = F.when(acc["y"].bitwiseAND(s) > 0, 1).otherwise(0)
-        d = acc["d"] + s * s * (3 * rx).bitwiseXOR(ry)
-        flip = (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, n - 1 - acc["x"]).otherwise(acc["x"]), F.when(flip, n - 1 - acc["y"]).otherwise(acc["y"])
-        return F.struct(F.when(ry == 0, fy).otherwise(fx).alias("x"), F.when(ry == 0, fx).otherwise(fy).alias("y"), d.cast("long").alias("d"))
 
-    bits = F.array(*(F.lit(1 << b).cast("long") for b in range(order - 1, -1, -1)))
-    return F.aggregate(bits, start, step, lambda acc: acc["d"])
+def hilbert(x: Column, y: Column, order: int = ORDER) -> Column:
+    """Place on the Hilbert curve of a cell; the order is a multiple of four."""
+    side = 1 << _STEP
+    digits = [F.shiftright(x, b).bitwiseAND(F.lit(side - 1)) * side + F.shiftright(y, b).bitwiseAND(F.lit(side - 1)) for b in range(order - _STEP, -1, -_STEP)]
+    place = F.lit(0).cast("long")
+    for part in _walk(_turns()[0], digits, side * side):
+        place = place * (side * side) + part
+    return place
 
 
 def hilbert_cell(d: Column, order: int = ORDER) -> Column:
     """struct(x, y) of a place on the curve."""
-    start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), d.cast("long").alias("d"))
-
-    def step(acc: Column, s: Column) -> Column:
-        rx = F.floor(acc["d"] / 2).cast("long").bitwiseAND(F.lit(1))
-        ry = acc["d"].bitwiseXOR(rx).bitwiseAND(F.lit(1))
-        flip = (ry == 0) & (rx == 1)
-        fx, fy = F.when(flip, s - 1 - acc["x"]).otherwise(acc["x"]), F.when(flip, s - 1 - acc["y"]).otherwise(acc["y"])
-        tx, ty = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
-        return F.struct((tx + s * rx).cast("long").alias("x"), (ty + s * ry).cast("long").alias("y"), F.shiftright(acc["d"], 2).alias("d"))
-
-    bits = F.array(*(F.lit(1 << b).cast("long") for b in range(order)))
-    return F.aggregate(bits, start, step, lambda acc: F.struct(acc["x"].alias("x"), acc["y"].alias("y")))
+    side = 1 << _STEP
+    digits = [F.shiftright(d, 2 * b).bitwiseAND(F.lit(side * side - 1)) for b in range(order - _STEP, -1, -_STEP)]
+    x = y = F.lit(0).cast("long")
+    for part in _walk(_turns()[1], digits, side * side):
+        x, y = x * side + F.shiftright(part, _STEP), y * side + part.bitwiseAND(F.lit(side - 1))
+    return F.struct(x.alias("x"), y.alias("y"))
 
 
 def grid_cell(v: Column, lo: Column | float, hi: Column | float, cells: int = GRID) -> Column:

@@ -1,4 +1,6 @@
-"""Order-dependent work in two levels: within ranges of the key, then over one small row for each range. No window runs over a whole table."""
+"""Order-dependent work: rows are range-partitioned by their key, sorted and written once; what crosses ranges is one small row a range.
+
+Ranges come from Spark's own sample of the keys, so they hold about as many rows each, whatever the keys are: dense, sparse or clustered."""
 
 from __future__ import annotations
 
@@ -7,53 +9,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plotwise.storage import saved
+
+_BITS = 33  # of monotonically_increasing_id, for the place in a partition
 
-def ranged(df: DataFrame, key: str, width: int = 4096, name: str = "_range") -> DataFrame:
-    """The rows with the number of the fixed range of `width` ids that holds their integer key."""
-    return df.withColumn(name, F.floor(F.col(key) / width))
 
+def placed(df: DataFrame, key: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """The rows in order, with _range (the number of their range) and _place (from 0 in it), in the shared folder."""
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(partitions, *key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id())
+    at = F.col("_at")
+    return saved(ordered.select(*df.columns, F.shiftright(at, _BITS).alias("_range"), at.bitwiseAND(F.lit((1 << _BITS) - 1)).alias("_place")), "ranges")
 
-def offsets(ranges: DataFrame, by: str, n: str, name: str) -> DataFrame:
-    """Running sums before each range, in order; one row a range comes in, so one task may read them, in blocks of ranges first.
 
-    Ranges are grouped by 4096 in turn, so the last level has a row for each 16 million ids."""
-    upper = ranges.withColumn("_upper", F.floor(F.col(by) / 4096))
-    inner = F.sum(n).over(Window.partitionBy("_upper").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
-    total = upper.groupBy("_upper").agg(F.sum(n).alias("_n"))
-    before = total.select("_upper", F.coalesce(F.sum("_n").over(Window.orderBy("_upper").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return upper.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(before, "_upper").select(by, (F.col("_inner") + F.col("_before")).alias(name))
+def offsets(counts: DataFrame, by: str, n: str, name: str) -> DataFrame:
+    """Running sums before each range, in order; one row a range comes in, so one task may read them."""
+    before = F.sum(n).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select(by, F.coalesce(before, F.lit(0)).alias(name))
 
 
-def global_ordinal(df: DataFrame, key: str, name: str) -> DataFrame:
-    """The rows with their ordinal, from 0, in the order of an integer key."""
-    rows = ranged(df, key)
+def global_ordinal(df: DataFrame, key: str | Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
+    """The rows with their ordinal, from 0, in the order of the key; rows of one key are numbered in any order."""
+    rows = placed(df, [key] if isinstance(key, str) else list(key), partitions)
     counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return rows.withColumn("_inner", inner).join(offsets(counts, "_range", "_n", "_before"), "_range").select(*df.columns, (F.col("_inner") + F.col("_before")).alias(name))
+    before = F.broadcast(offsets(counts, "_range", "_n", "_before"))  # a row a partition
+    return rows.join(before, "_range").select(*df.columns, (F.col("_place") + F.col("_before")).alias(name))
 
 
-def hashed_ordinal(df: DataFrame, key: str, then: Sequence[str], name: str) -> DataFrame:
-    """The rows with their ordinal, from 0, in the order of a hexadecimal hash and then of other columns; a range is a value of the hash's first 20 bits."""
-    rows = df.withColumn("_range", F.conv(F.substring(key, 1, 5), 16, 10).cast("long"))
-    counts = rows.groupBy("_range").agg(F.count("*").alias("_n"))
-    inner = F.row_number().over(Window.partitionBy("_range").orderBy(key, *then)) - 1
-    return rows.withColumn("_inner", inner).join(offsets(counts, "_range", "_n", "_before"), "_range").select(*df.columns, (F.col("_inner") + F.col("_before")).alias(name))
-
-
-def islands(df: DataFrame, key: str = "id") -> DataFrame:
-    """(lo, hi) of the maximal runs of consecutive distinct integers: runs within ranges, then runs that touch at range edges are joined."""
-    rows = ranged(df.select(key).distinct(), key)
-    inside = Window.partitionBy("_range").orderBy(key)
-    runs = rows.withColumn("_run", F.col(key) - F.row_number().over(inside)).groupBy("_range", "_run").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    # one row a run from here on; a run goes on from the one before it where that ends just below
-    runs = runs.withColumn("_part", F.floor(F.col("_range") / 4096))
-    previous = F.lag("hi").over(Window.partitionBy("_part").orderBy("lo"))
-    edge = runs.groupBy("_part").agg(F.max("hi").alias("_last")).select((F.col("_part") + 1).alias("_part"), "_last")
-    runs = runs.withColumn("_previous", previous).join(edge, "_part", "left").withColumn("_previous", F.coalesce("_previous", "_last"))
-    starts = runs.withColumn("_new", F.when(F.col("_previous") == F.col("lo") - 1, 0).otherwise(1))
-    counts = starts.groupBy("_part").agg(F.sum("_new").alias("_n"))
-    number = F.sum("_new").over(Window.partitionBy("_part").orderBy("lo"))
-    return starts.withColumn("_k", number).join(offsets(counts, "_part", "_n", "_before"), "_part").groupBy((F.col("_k") + F.col("_before")).alias("_k")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("lo", "hi")
+def islands(df: DataFrame, key: str = "id", partitions: int | None = None) -> DataFrame:
+    """(lo, hi) of the maximal runs of consecutive distinct integers: within a run, a number and its ordinal grow alike."""
+    rows = global_ordinal(df.select(key).distinct(), key, "_k", partitions)
+    return rows.groupBy((F.col(key) - F.col("_k")).alias("_run")).agg(F.min(key).alias("lo"), F.max(key).alias("hi")).select("lo", "hi")
 
 
 def consecutive_groups(df: DataFrame, partition: Sequence[str], order: Sequence[str], same: Sequence[str], name: str = "group_no") -> DataFrame:

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.functions.curve import centroid, hilbert, hilbert_cell, quantize
 from plotwise.operators.layout import clamped, group_admissibility, group_selection, layout_facts, layout_key, merge_contiguous, rewrite_layout
-from plotwise.operators.sequences import islands
+from plotwise.operators.sequences import global_ordinal, islands
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import E0, N0, PARCELS_SQL, PITCH, grid_cols, parcels
+from plotwise.storage import shared_folder
 
 
 def declared_extent(cols: int) -> tuple[float, float, float, float]:
@@ -59,10 +57,8 @@ def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shuffled_order_all", "SELECT o_orderkey AS id, sha256(CAST(o_orderkey AS VARCHAR)) AS key, row_number() OVER (ORDER BY key, id) - 1 AS ordinal FROM orders")
 def shuffled_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole shuffled order as ordinals, by ranges of the key's first 20 bits."""
-    from plotwise.operators.sequences import hashed_ordinal
-
-    return hashed_ordinal(parcels(spark, sf_dir).select("id", layout_key("shuffled").alias("key")), "key", ["id"], "ordinal")
+    """The whole shuffled order as ordinals."""
+    return global_ordinal(parcels(spark, sf_dir).select("id", layout_key("shuffled").alias("key")), ["key", "id"], "ordinal")
 
 
 @query("layout_facts", f"{_QUANT_SQL} SELECT count(*) AS n_rows, (SELECT count(DISTINCT key) FROM k) AS distinct_keys, count(*) FILTER (clamped)::BIGINT AS clamped, ceil(count(*) / 1000.0)::BIGINT AS row_groups FROM q")
@@ -71,17 +67,11 @@ def layout_facts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout_facts(parcels(spark, sf_dir, cols), declared_extent(cols), 1000)
 
 
-def staging(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see, under spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("layout_rewrite", f"WITH {PARCELS_SQL} SELECT id, zone, value, xmin, ymin, xmax, ymax FROM p")
 def layout_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows read back from a Hilbert-clustered rewrite: the same rows."""
     cols = grid_cols(spark, sf_dir)
-    written = rewrite_layout(parcels(spark, sf_dir, cols), staging(spark, "layout"), "hilbert16", declared_extent(cols), 4096)
+    written = rewrite_layout(parcels(spark, sf_dir, cols), shared_folder(spark, "layout"), "hilbert16", declared_extent(cols), 4096)
     return written.select("id", "zone", "value", "bbox.*")
 
 
@@ -92,8 +82,8 @@ def layouts_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cols = grid_cols(spark, sf_dir)
     features = parcels(spark, sf_dir, cols)
-    a = rewrite_layout(features, staging(spark, "layout"), "hilbert16", declared_extent(cols))
-    b = rewrite_layout(features, staging(spark, "layout"), "shuffled")
+    a = rewrite_layout(features, shared_folder(spark, "layout"), "hilbert16", declared_extent(cols))
+    b = rewrite_layout(features, shared_folder(spark, "layout"), "shuffled")
     return differences(a, b, "id", ["zone", "value", "bbox"])
 
 

@@ -202,12 +202,12 @@ def drive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trace_source", "SELECT event_type AS name, count(*) AS n, max(epoch_us(ts) * 1000)::BIGINT AS last FROM events WHERE event_id % 50 <> 0 GROUP BY ALL UNION ALL SELECT '(broken)', count(*), NULL FROM events WHERE event_id % 50 = 0")
 def trace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as trace lines, some broken, and read back by kind."""
-    from plotwise.plans.layout import staging
+    from plotwise.storage import shared_folder
     from plotwise.sources.artifacts import read_traces
 
     micros = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     line = F.to_json(F.struct(F.lit("event").alias("kind"), F.col("user_id").cast("string").alias("trace_id"), F.col("event_type").alias("name"), micros.alias("offset_nanos")))
-    folder = staging(spark, "traces")
+    folder = shared_folder(spark, "traces")
     table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 50 == 0, F.lit("{broken")).otherwise(line).alias("value")).write.text(folder)
     read = read_traces(spark, folder)
     good = read["event"].groupBy("name").agg(F.count("*").alias("n"), F.max("offset_nanos").alias("last"))

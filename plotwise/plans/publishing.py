@@ -23,15 +23,16 @@ from plotwise.operators.publish import (
     recheck_pins,
     unsafe_path,
     verify_assets,
+    verify_bundle,
 )
 from plotwise.operators.style import legend, resolve, style_violations
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import PARCELS_SQL, parcels, table
 from plotwise.plans.geometry import parcel_vertices
-from plotwise.plans.layout import staging
+from plotwise.storage import shared_folder
 
 #: Targets scaled down so that both triggers matter on these tables; the rule is the same.
-_POLICY = CutPolicy(target_bytes=1 << 16, max_rows=300, segment_ids=5000)
+_POLICY = CutPolicy(target_bytes=1 << 16, max_rows=300)
 
 _SIZED_SQL = f"""{PARCELS_SQL}, sz AS (SELECT id, zone, CASE id % 3 WHEN 0 THEN 5 WHEN 1 THEN 9 ELSE 7 END + CASE WHEN id % 7 = 0 THEN 5 ELSE 0 END AS verts, CASE WHEN id % 7 = 0 THEN 2 ELSE 1 END AS rings,
   1 + CASE WHEN zone IS NULL THEN 0 ELSE strlen(zone) + 4 END + 1 + 8 AS attr, value, xmin, ymin, xmax, ymax FROM p),
@@ -57,18 +58,16 @@ def shaped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parcels(spark, sf_dir).join(sized, "id")
 
 
-_CUT_SQL = f"""WITH RECURSIVE {_SIZED_SQL}, n AS (SELECT id // 5000 AS seg, row_number() OVER (PARTITION BY id // 5000 ORDER BY id) AS k, id, verts, wkb, attr FROM sw),
-c(seg, k, id, part, v, r, a, why) AS (
-  SELECT seg, k, id, 0, verts, 1, attr, CASE WHEN verts * 16 + 8 + (1 + verts) * 4 + attr >= 65536 THEN 'size-target' END FROM n WHERE k = 1
-  UNION ALL
-  SELECT seg, k, id, CASE WHEN cut THEN part + 1 ELSE part END, CASE WHEN cut THEN verts ELSE v + verts END, CASE WHEN cut THEN 1 ELSE r + 1 END, CASE WHEN cut THEN attr ELSE a + attr END, 
-    CASE WHEN (CASE WHEN cut THEN verts ELSE v + verts END) * 16 + (CASE WHEN cut THEN 1 ELSE r + 1 END) * 8 + ((CASE WHEN cut THEN 1 ELSE r + 1 END) + (CASE WHEN cut THEN verts ELSE v + verts END)) * 4 + (CASE WHEN cut THEN attr ELSE a + attr END) >= 65536 THEN 'size-target'
-      WHEN (CASE WHEN cut THEN 1 ELSE r + 1 END) >= 300 THEN 'row-ceiling' END
-  FROM (SELECT n.seg, n.k, n.id, part, v, r, a, verts, attr, why IS NOT NULL OR v * 16 + r * 8 + (r + v) * 4 + a + (wkb // 16) * 16 + 8 + (1 + wkb // 16) * 4 + attr > 65536 AS cut FROM c JOIN n ON n.seg = c.seg AND n.k = c.k + 1)),
-w AS (SELECT seg, part, id, why, max(k) OVER (PARTITION BY seg) AS last_k, k, max(k) OVER (PARTITION BY seg, part) AS part_k FROM c),
-e AS (SELECT seg, part, max(CASE WHEN k = part_k THEN coalesce(why, CASE WHEN k = last_k THEN 'stream-end' ELSE 'size-target' END) END) AS cut_by FROM w GROUP BY ALL),
-s AS (SELECT seg, count(DISTINCT part) AS n FROM c GROUP BY seg), b AS (SELECT seg, coalesce(sum(n) OVER (ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
-cut AS (SELECT c.id, (before + c.part)::BIGINT AS part, cut_by FROM c JOIN e ON e.seg = c.seg AND e.part = c.part JOIN b ON b.seg = c.seg)"""
+#: The cut as one scan: for each row where a part that began there would end, then from part to part. (On these sizes the guess grows from row to row.)
+_CUT_SQL = f"""WITH RECURSIVE {_SIZED_SQL}, n AS (SELECT row_number() OVER (ORDER BY id) AS k, id, 20 * verts + 12 + attr AS w, 20 * (wkb // 16) + 12 + attr AS guess FROM sw),
+q AS MATERIALIZED (SELECT k, id, w, sum(w) OVER (ORDER BY k)::BIGINT AS s, (sum(w) OVER (ORDER BY k) - w + guess)::BIGINT AS q, count(*) OVER () AS n FROM n),
+st AS (SELECT k AS i, s - w + 65536 AS room, n FROM q),
+ea AS (SELECT st.i, q.k AS a FROM st ASOF LEFT JOIN q ON q.s >= st.room),
+eb AS (SELECT st.i, q.k - 1 AS b FROM st ASOF LEFT JOIN q ON q.q > st.room),
+el AS (SELECT i, least(a, b, i + 299, n) AS hi, a, b FROM st JOIN ea USING (i) JOIN eb USING (i)),
+e AS MATERIALIZED (SELECT i, hi, CASE WHEN hi = a THEN 'size-target' WHEN hi = i + 299 THEN 'row-ceiling' WHEN hi = b THEN 'size-target' ELSE 'stream-end' END AS why FROM el),
+c(part, lo, hi, why) AS (SELECT 0, i, hi, why FROM e WHERE i = 1 UNION ALL SELECT part + 1, e.i, e.hi, e.why FROM c JOIN e ON e.i = c.hi + 1),
+cut AS (SELECT q.id, c.part::BIGINT AS part, why AS cut_by FROM q JOIN c ON q.k BETWEEN c.lo AND c.hi)"""
 
 
 @query("partition_cut", f"{_CUT_SQL} SELECT id, part, cut_by FROM cut")
@@ -104,10 +103,50 @@ def batch_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", ladder_target(F.col("event_id") % 12).alias("target_bytes"))
 
 
-@query("published_rows", f"{_CUT_SQL} SELECT part, 'data/part-' || lpad(CAST(part AS VARCHAR), 5, '0') AS path, count(*) AS n_rows, min(id) AS id_lo, max(id) AS id_hi FROM cut GROUP BY part")
+@query(
+    "published_rows",
+    f"{_CUT_SQL} SELECT part, 'data/part=' || lpad(CAST(part AS VARCHAR), 5, '0') AS folder, count(*) AS n_rows, min(id) AS id_lo, max(id) AS id_hi, sum(wkb)::BIGINT AS geometry_bytes, sum(strlen(coalesce(zone, '')))::BIGINT AS zone_bytes FROM cut JOIN sw USING (id) GROUP BY part",
+)
 def published_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest of a publish: written, read back and hashed."""
-    return publish(shaped_features(spark, sf_dir), ["zone", "value"], staging(spark, "bundle"), _POLICY).select("part", "path", "n_rows", "id_lo", "id_hi")
+    """A publish, read back through the paths of its manifest: rows and geometry."""
+    dest = shared_folder(spark, "bundle")
+    manifest = publish(shaped_features(spark, sf_dir), ["zone", "value"], dest, _POLICY)
+    rows = spark.read.parquet(f"{dest}/data").select("id", "zone", "geometry", F.regexp_extract("_metadata.file_path", r"(data/part=\d+/[^/]+)$", 1).alias("path"))
+    held = rows.groupBy("path").agg(
+        F.count("*").alias("n_rows"), F.min("id").alias("id_lo"), F.max("id").alias("id_hi"), F.sum(F.octet_length("geometry")).alias("geometry_bytes"), F.sum(F.octet_length(F.coalesce("zone", F.lit("")))).alias("zone_bytes")
+    )
+    return manifest.select("part", "path").join(held, "path").withColumn("folder", F.regexp_extract("path", r"^(data/part=\d+)/", 1)).drop("path")
+
+
+_BUNDLE_SQL = """s AS (SELECT DISTINCT part, CASE part % 7 WHEN 1 THEN 'hash-mismatch' WHEN 2 THEN 'bytes-mismatch' WHEN 3 THEN 'asset-extra' WHEN 4 THEN 'rows-mismatch' ELSE 'ok' END AS state FROM cut)
+SELECT 'data/part=' || lpad(CAST(part AS VARCHAR), 5, '0') AS path, state FROM s
+UNION ALL SELECT 'data/part=99999', 'asset-missing' UNION ALL SELECT '../x', 'unsafe-path' UNION ALL SELECT '(numbering)', 'not-contiguous' UNION ALL SELECT '(rows)', 'row-sum-mismatch' UNION ALL SELECT '(envelope)', 'ok' UNION ALL SELECT '(schema)', 'ok'"""
+
+
+@query("bundle_audit", f"{_CUT_SQL}, {_BUNDLE_SQL}")
+def bundle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written bundle against a manifest with a fault of each kind."""
+    dest = shared_folder(spark, "bundle")
+    manifest = publish(shaped_features(spark, sf_dir), ["zone", "value"], dest, _POLICY)
+    k = F.col("part") % 7
+    spoilt = (
+        manifest.where(k != 3)
+        .withColumn("content_hash", F.when(k == 1, "0").otherwise(F.col("content_hash")))
+        .withColumn("bytes", F.col("bytes") + F.when(k == 2, 1).otherwise(0))
+        .withColumn("n_rows", F.col("n_rows") + F.when(k == 4, 1).otherwise(0))
+    )
+    more = spark.createDataFrame([(99999, "data/part=99999/x.parquet"), (99998, "../x")], "part long, path string")
+    found = verify_bundle(spark, dest, spoilt.unionByName(more, allowMissingColumns=True))
+    return found.select(F.regexp_replace("path", r"^(data/part=\d+)/.*$", "$1").alias("path"), "state")
+
+
+@query("bundle_whole", f"{_CUT_SQL} SELECT DISTINCT 'data/part=' || lpad(CAST(part AS VARCHAR), 5, '0') AS path, 'ok' AS state FROM cut UNION ALL SELECT v, 'ok' FROM (VALUES ('(numbering)'), ('(rows)'), ('(envelope)'), ('(schema)')) t(v)")
+def bundle_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle with style and license, as it was written."""
+    dest = shared_folder(spark, "bundle")
+    style = '{"style_version":1,"layer":{"geometry":"polygon","fill_color":{"literal":"#00ff00"},"fill_opacity":{"literal":"0.5"},"outline_color":{"literal":"#000000"},"outline_width":{"literal":"1"}}}'
+    publish(shaped_features(spark, sf_dir), ["zone", "value"], dest, _POLICY, style=style, license={"source": "ODbL", "redistribution": "yes"})
+    return verify_bundle(spark, dest).select(F.regexp_replace("path", r"^(data/part=\d+)/.*$", "$1").alias("path"), "state")
 
 
 @query("publish_totals", f"{_CUT_SQL} SELECT count(DISTINCT part) AS parts, true AS contiguous, count(*) AS n_rows FROM cut")
@@ -120,8 +159,8 @@ def publish_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def publish_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two publishes of the same features, dealt otherwise the second time, part by part, by the hash of the files written."""
     features = shaped_features(spark, sf_dir)
-    first = publish(features, ["zone", "value"], staging(spark, "bundle"), _POLICY)
-    return compare_publishes(first, publish(features.repartition(5), ["zone", "value"], staging(spark, "bundle"), _POLICY))
+    first = publish(features, ["zone", "value"], shared_folder(spark, "bundle"), _POLICY)
+    return compare_publishes(first, publish(features.repartition(5), ["zone", "value"], shared_folder(spark, "bundle"), _POLICY))
 
 
 _ASSETS_SQL = """mf AS (SELECT CASE WHEN s_suppkey % 11 = 10 THEN '../part-' ELSE 'data/part-' END || CAST(s_suppkey AS VARCHAR) AS path, s_suppkey * 10 AS bytes, sha256(s_name) AS content_hash, s_nationkey AS n_rows FROM supplier WHERE s_suppkey % 13 <> 5),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import PARCELS_SQL, grid_cols, parcels, table, viewports
-from plotwise.plans.layout import staging
+from plotwise.storage import shared_folder
 from plotwise.plans.logs import _AUDIT_SQL, audit_lines
 from plotwise.plans.metadata import _THROTTLE_SQL
 from plotwise.plans.selection import _NEAR
@@ -17,14 +17,14 @@ from plotwise.streaming.stateful import stalls, supersede, throttle, tickets
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream: a file source needs a folder of files, so they are written to one first, in order."""
-    folder = staging(spark, "events")
+    folder = shared_folder(spark, "events")
     table(spark, sf_dir, "events").repartitionByRange(4, "event_id").write.parquet(folder)
     return stream_of(spark, folder)
 
 
 @query("stream_audit_tail", f"WITH {_AUDIT_SQL} SELECT coalesce(corrupt_reason, phase) AS kind, count(*) AS n FROM al GROUP BY ALL")
 def stream_audit_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = staging(spark, "audit-log")
+    folder = shared_folder(spark, "audit-log")
     audit_lines(spark, sf_dir).select("value").write.text(folder)
     parsed = run_append(tail_audit(spark, folder).select("corrupt_reason", "phase"), "audit-tail")
     return parsed.groupBy(F.coalesce("corrupt_reason", "phase").alias("kind")).agg(F.count("*").alias("n"))
@@ -39,7 +39,7 @@ def stream_audit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A last record far ahead lets the watermark pass all others."""
     e = F.col("event_id")
     rows = table(spark, sf_dir, "events").where("event_id % 37 <> 0").select(F.expr("CAST(event_id div 2 AS STRING)").alias("attempt"), F.when(e % 2 == 0, "intent").otherwise("outcome").alias("phase"), F.col("ts").cast("timestamp").alias("at"))
-    folder = staging(spark, "audit-records")
+    folder = shared_folder(spark, "audit-records")
     rows.write.parquet(folder)
     ends = [spark.range(1).select(F.lit(f"end-{k}").alias("attempt"), F.explode(F.array(F.lit("intent"), F.lit("outcome"))).alias("phase"), F.lit(f"{2090 + k}-01-01 00:00:00").cast("timestamp").alias("at")) for k in range(2)]
     for end in ends:
@@ -100,6 +100,6 @@ def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_viewport_extent", f"WITH {PARCELS_SQL} SELECT count(*) AS n, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM p CROSS JOIN g WHERE zone = '1-URGENT' AND {_NEAR}")
 def stream_viewport_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = grid_cols(spark, sf_dir)
-    folder = staging(spark, "features")
+    folder = shared_folder(spark, "features")
     parcels(spark, sf_dir, cols).repartition(4).write.parquet(folder)
     return run_complete(viewport_extent(stream_of(spark, folder, 1), viewports(cols)["near-quarter"], "zone = '1-URGENT'"), "extent")

@@ -169,12 +169,12 @@ def consecutive_groups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trial_source", "SELECT CAST(l_suppkey AS VARCHAR) AS cell, count(*) AS n, sum(l_quantity) AS first_batch_ms, sum(l_partkey)::BIGINT AS read_bytes, min(l_linestatus) AS filter_plan FROM lineitem GROUP BY ALL")
 def trial_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials written as JSON documents, a cell each, and read as artifacts."""
-    from plotwise.plans.layout import staging
+    from plotwise.storage import shared_folder
     from plotwise.sources.artifacts import read_trials
 
     trial = F.struct(F.col("l_linenumber").alias("rep"), F.col("l_quantity").alias("first_batch_ms"), F.col("l_partkey").alias("read_bytes"), F.struct(F.col("l_linestatus").alias("name")).alias("filter_plan"))
     cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("cell")).agg(F.collect_list(trial).alias("trials"))
-    folder = staging(spark, "trials")
+    folder = shared_folder(spark, "trials")
     cells.write.json(folder)
     rows = read_trials(spark, folder, lines=True)
     return rows.groupBy("cell").agg(F.count("*").alias("n"), F.sum("first_batch_ms").alias("first_batch_ms"), F.sum("read_bytes").alias("read_bytes"), F.min("filter_plan").alias("filter_plan"))

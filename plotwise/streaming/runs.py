@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.operators.selection import Box, bbox_intersects, extent
-from plotwise.plans.layout import staging
+from plotwise.storage import shared_folder
 from plotwise.sources.audit import parse_audit
 
 
@@ -18,7 +18,7 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int | None = None
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:
     """All available input, appended to Parquet with exactly-once commits; the rows written."""
-    spark, folder = stream.sparkSession, staging(stream.sparkSession, name)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
@@ -26,7 +26,7 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
 
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
     """The last state of a complete-mode aggregate: each micro-batch replaces the table."""
-    spark, folder = stream.sparkSession, staging(stream.sparkSession, name)
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
 
     def replace(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/rows")

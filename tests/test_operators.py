@@ -15,7 +15,7 @@ from plotwise.dataset import Refused, open_dataset
 from plotwise.functions.wkb import decode, digest
 from plotwise.operators.admission import admit_predicate, admit_projection
 from plotwise.operators.audit import pair_attempts
-from plotwise.operators.publish import CutPolicy, cut_partitions, publish, unsafe_path, verify_assets
+from plotwise.operators.publish import CutPolicy, PublishRefused, cut_partitions, publish, unsafe_path, verify_assets, verify_bundle
 from plotwise.operators.sequences import global_ordinal, islands
 from plotwise.operators.spatial_joins import bbox_join
 from plotwise.operators.text_scan import scan_text
@@ -123,30 +123,67 @@ def test_islands_and_ordinals_cross_ranges(spark):
             runs.append((lo, a))
             lo = None
     assert sorted(map(tuple, islands(df).collect())) == runs
+    sparse = [k * 10**12 for k in range(40)] + [7, 8]
+    assert islands(spark.createDataFrame([(k,) for k in sparse], "id long"), partitions=9).count() == 41
     assert sorted((r.id, r.k) for r in global_ordinal(df.distinct(), "id", "k").collect()) == [(i, k) for k, i in enumerate(sorted(ids))]
 
 
-def test_one_segment_is_the_sequential_cut(spark):
-    rows = [(k, 5 + k % 9, 93 + 16 * (k % 9), 10) for k in range(700)]
-    policy = CutPolicy(target_bytes=20_000, max_rows=100, segment_ids=1 << 30)
-    parts, part, v, r, a = {}, 0, 0, 0, 0
+@pytest.mark.parametrize("step", [1, 10_000_000])
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_any_ranges_give_the_sequential_cut(spark, step, partitions):
+    """Dense and sparse ids, few and many ranges (some smaller than a part), a feature that is taken for more than it is."""
+    rows = [(k * step, 5 + k % 9, 93 + 16 * (k % 9) + (30_000 if k % 97 == 5 else 0), 10) for k in range(700)]
+    policy = CutPolicy(target_bytes=8_000, max_rows=100)
+    expected, why, part, v, r, a = {}, {}, 0, 0, 0, 0
     for k, verts, wkb, attr in rows:
-        if r and v * 16 + r * 8 + (r + v) * 4 + a + (wkb // 16) * 16 + 8 + (1 + wkb // 16) * 4 + attr > 20_000:
+        if r and v * 16 + r * 8 + (r + v) * 4 + a + (wkb // 16) * 16 + 8 + (1 + wkb // 16) * 4 + attr > policy.target_bytes:
+            why[part] = "size-target"
             part, v, r, a = part + 1, 0, 0, 0
-        parts[k] = part
+        expected[k] = part
         v, r, a = v + verts, r + 1, a + attr
-        if v * 16 + r * 8 + (r + v) * 4 + a >= 20_000 or r >= 100:
+        if v * 16 + r * 8 + (r + v) * 4 + a >= policy.target_bytes or r >= 100:
+            why[part] = "size-target" if v * 16 + r * 8 + (r + v) * 4 + a >= policy.target_bytes else "row-ceiling"
             part, v, r, a = part + 1, 0, 0, 0
+    why.setdefault(part, "stream-end")
     df = spark.createDataFrame(rows, "id long, verts int, wkb_len long, attr_bytes long").repartition(5)
-    assert {x.id: x.part for x in cut_partitions(df, policy).collect()} == parts
+    found = cut_partitions(df, policy, partitions).collect()
+    assert {x.id: x.part for x in found} == expected and {x.part: x.cut_by for x in found} == {p: why[p] for p in set(expected.values())}
+
+
+def test_cut_by_rows_alone(spark):
+    df = spark.range(1000).select(F.col("id") * 10_000_000, F.lit(5).alias("verts"), F.lit(93).alias("wkb_len"), F.lit(10).alias("attr_bytes")).toDF("id", "verts", "wkb_len", "attr_bytes")
+    found = cut_partitions(df, CutPolicy(max_rows=64), 7).collect()
+    assert {r.id: r.part for r in found} == {k * 10_000_000: k // 64 for k in range(1000)}
+    assert {r.cut_by for r in found if r.part < 15} == {"row-ceiling"} and {r.cut_by for r in found if r.part == 15} == {"stream-end"}
+    assert cut_partitions(df.limit(0)).count() == 0
 
 
 def test_publish_refuses_what_exists(spark, tmp_path):
     df = spark.range(50).select("id", F.struct(*(F.col("id").cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("bbox"), F.lit("x").alias("zone"), F.lit(5).alias("verts"), F.lit(93).alias("wkb_len"))
     manifest = publish(df, ["zone"], f"file://{tmp_path}/b", CutPolicy(max_rows=20)).collect()
     assert sorted((m.part, m.n_rows) for m in manifest) == [(0, 20), (1, 20), (2, 10)]
-    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+    with pytest.raises(PublishRefused, match="destination_exists"):
         publish(df, ["zone"], f"file://{tmp_path}/b", CutPolicy(max_rows=20))
+    none = {"source": None, "redistribution": "no"}
+    pinned = spark.createDataFrame([("a", "x", 1)], "path string, content_hash string, bytes long")
+    for refused, more in (("license_refused", {"license": none}), ("style_refused", {"style": "{}"}), ("source_changed", {"pins": (pinned, pinned.withColumn("bytes", F.lit(2)))})):
+        with pytest.raises(PublishRefused, match=refused):
+            publish(df, ["zone"], f"file://{tmp_path}/c", CutPolicy(max_rows=20), **more)
+    assert [x.name for x in tmp_path.iterdir()] == ["b"]  # nothing is left of what was refused
+    assert {r.state for r in verify_bundle(spark, f"file://{tmp_path}/b").collect()} == {"ok"}
+
+
+def test_verification_of_spoilt_files(spark, tmp_path):
+    df = spark.range(50).select("id", F.struct(*(F.col("id").cast("double").alias(c) for c in ("xmin", "ymin", "xmax", "ymax"))).alias("bbox"), F.lit("x").alias("zone"), F.lit(5).alias("verts"), F.lit(93).alias("wkb_len"))
+    publish(df, ["zone"], f"file://{tmp_path}/b", CutPolicy(max_rows=20))
+    one, two, three = (next((tmp_path / "b/data" / f"part=0000{k}").glob("*.parquet")) for k in range(3))
+    for crc in (tmp_path / "b").rglob(".*.crc"):
+        crc.unlink()
+    one.write_bytes(two.read_bytes())  # another file in its place: its bytes, rows and bounds are not those of the manifest
+    three.unlink()
+    found = {r.path.split("/")[1] if "/" in r.path else r.path: r.state for r in verify_bundle(spark, f"file://{tmp_path}/b").collect()}
+    assert found["part=00000"] in ("bytes-mismatch", "hash-mismatch") and found["part=00001"] == "ok" and found["part=00002"] == "asset-missing"
+    assert found["(rows)"] == "row-sum-mismatch" and found["(envelope)"] == "envelope-mismatch" and found["(numbering)"] == "ok"
 
 
 def test_verification_states(spark):
