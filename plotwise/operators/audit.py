@@ -70,6 +70,11 @@ def plain_date(at: Column) -> Column:
     return F.when((F.length(at) >= 16) & (F.substring(at, 11, 1) == "T"), F.concat(F.substring(at, 1, 10), F.lit(" "), F.substring(at, 12, 5))).otherwise(at)
 
 
+def words_of(code: Column) -> Column:
+    """A code in CamelCase as lower-case words, whatever codes there are."""
+    return F.lower(F.regexp_replace(code, "([a-z0-9])([A-Z])", "$1 $2"))
+
+
 def labelled(df: DataFrame, column: str, labels: Sequence[tuple[str, str]], name: str) -> DataFrame:
     """The rows with a plain label for a code; an unknown code is shown as itself. The label table is a literal, broadcast."""
     table = F.broadcast(df.sparkSession.createDataFrame(list(labels), f"_code string, {name} string"))

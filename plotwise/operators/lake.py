@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from plotwise.storage import saved
+
 
 def attribute_join(features: DataFrame, attributes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(joined features, one row: features, matched, attributes without a feature, match rate)."""
@@ -37,19 +39,19 @@ def overlay(base: DataFrame, deltas: DataFrame, key: str = "id") -> DataFrame:
     return untouched.unionByName(edited)
 
 
-def lineage_grade(nodes: DataFrame, edges: DataFrame, depth: int = 16) -> DataFrame:
-    """(node, grade): the worst rank among a node and all it is made from. nodes: node, rank; edges: node, input. Stops when a round changes nothing."""
-    grades = nodes.select("node", F.col("rank").alias("grade"))
-    total = None
-    for _ in range(depth):
-        inputs = edges.join(grades.select(F.col("node").alias("input"), F.col("grade").alias("g")), "input").groupBy("node").agg(F.max("g").alias("g"))
-        grades = grades.join(inputs, "node", "left").select("node", F.greatest("grade", F.coalesce("g", "grade")).alias("grade"))
-        grades = grades.checkpoint() if grades.sparkSession.sparkContext.getCheckpointDir() else grades.persist()
-        now = grades.agg(F.sum("grade")).first()[0]
-        if now == total:
-            break
-        total = now
-    return grades
+def lineage_grade(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, grade): the worst rank among a node and all it is made from. nodes: node, rank; edges: node, input.
+
+    Only nodes whose grade rose in a round are carried to what is made from them in the next, until none rises; cycles end too, as grades only
+    rise.  Each round is written to the shared folder."""
+    grades = saved(nodes.select("node", F.col("rank").alias("grade")), "grades")
+    risen = grades
+    while True:
+        offered = edges.join(risen.select(F.col("node").alias("input"), F.col("grade").alias("g")), "input").groupBy("node").agg(F.max("g").alias("g"))
+        risen = saved(grades.join(offered, "node").where(F.col("g") > F.col("grade")).select("node", F.col("g").alias("grade")), "grades")
+        if risen.isEmpty():
+            return grades
+        grades = saved(grades.join(risen.select("node", F.col("grade").alias("g")), "node", "left").select("node", F.coalesce("g", "grade").alias("grade")), "grades")
 
 
 def similar_columns(values: DataFrame, least: float = 0.5) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from plotwise.functions.curve import centroid, hilbert, quantize
 from plotwise.operators.selection import Box
+from plotwise.operators.spatial_joins import bbox_join
 
 
 def layout_key(order: str, identity: str = "id", extent: Box | None = None) -> Column:
@@ -31,14 +32,16 @@ def clamped(extent: Box) -> Column:
 def rewrite_layout(features: DataFrame, dest: str, order: str, extent: Box | None = None, rows_per_file: int = 8192, partitions: int | None = None, identity: str = "id") -> DataFrame:
     """Write the same rows in a declared order, so many rows a file, and give back what was written; refuses a destination that exists.
 
-    A range shuffle on (key, id) and a sort in each partition order the whole without a single task; a row count after the write must agree."""
+    A range shuffle on (key, id) and a sort in each partition order the whole without a single task; the rows that went in are counted as they
+    are written, and the count of the files' footers must agree."""
     spark = features.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = features.withColumn("_key", layout_key(order, identity, extent))
     ordered = keyed.repartitionByRange(partitions, "_key", identity).sortWithinPartitions("_key", identity).drop("_key")
-    ordered.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).option("compression", "snappy").parquet(dest)
+    seen = Observation()
+    ordered.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).option("compression", "snappy").parquet(dest)
     written = spark.read.parquet(dest)
-    before, after = features.count(), written.count()
+    before, after = seen.get["n"], written.count()
     if before != after:
         raise ValueError(f"row_count_changed: {before} rows in, {after} written")
     return written
@@ -54,18 +57,21 @@ def layout_facts(features: DataFrame, extent: Box, rows_per_group: int) -> DataF
 def group_selection(groups: DataFrame, views: DataFrame, max_ranges: int = 4096) -> DataFrame:
     """For each viewport how many row groups its envelope test keeps, and the plan's label. A group of unknown envelope is always kept.
 
-    views are few, as against groups: they are joined by broadcast when Spark finds them small."""
-    meets = F.col("g_xmin").isNull() | ((F.col("g_xmin") <= F.col("xmax")) & (F.col("g_xmax") >= F.col("xmin")) & (F.col("g_ymin") <= F.col("ymax")) & (F.col("g_ymax") >= F.col("ymin")))
-    joined = groups.join(views, how="inner")
-    counts = joined.groupBy("view_id").agg(F.count_if(meets).alias("kept"), F.count("*").alias("total"), F.count_if(F.col("id_lo").isNull()).alias("unbounded"))
+    Groups and viewports meet on the levelled grid of bbox_join, so only those that are near each other are compared."""
+    sides = ("xmin", "ymin", "xmax", "ymax")
+    known = groups.where("g_xmin IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), *(F.col(f"g_{c}").alias(c) for c in sides))
+    of_all = groups.agg(F.count("*").alias("n"), F.count_if(F.col("g_xmin").isNull()).alias("unknown"), F.count_if(F.col("id_lo").isNull()).alias("unbounded"), *(f(f"g_{c}").alias(c) for f, c in zip((F.min, F.min, F.max, F.max), sides, strict=True))).first()
+    extent = tuple(of_all[c] if of_all[c] is not None else 0.0 for c in sides)
+    met = bbox_join(known, views.select("view_id", *sides), extent).groupBy("view_id").agg(F.count("*").alias("met"))
+    kept, total = F.coalesce("met", F.lit(0)) + of_all["unknown"], F.lit(of_all["n"])
     plan = (
-        F.when(F.col("unbounded") > 0, "not-prunable")
-        .when(F.col("kept") == 0, "exclude-all")
-        .when(F.col("kept") == F.col("total"), "kept-all")
-        .when(F.col("kept") > max_ranges, "too-fragmented")
+        F.when(F.lit(of_all["unbounded"] > 0), "not-prunable")
+        .when(kept == 0, "exclude-all")
+        .when(kept == total, "kept-all")
+        .when(kept > max_ranges, "too-fragmented")
         .otherwise("pruned")
     )
-    return counts.select("view_id", "kept", "total", plan.alias("plan"))
+    return views.select("view_id").join(met, "view_id", "left").select("view_id", kept.alias("kept"), total.alias("total"), plan.alias("plan"))
 
 
 def group_admissibility(groups: DataFrame) -> DataFrame:

@@ -5,25 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotwise.functions.curve import GRID, grid_cell
+from plotwise.functions.curve import _TINY, GRID, grid_cell
 from plotwise.operators.selection import Box
 
-MAX_CELLS = 1024
-
-
-def _cells(extent: Box, grid: int) -> tuple[Column, Column]:
-    """(cells that a box covers as an array of numbers, how many they are)."""
-    c0, c1 = grid_cell(F.col("xmin"), extent[0], extent[2], grid), grid_cell(F.col("xmax"), extent[0], extent[2], grid)
-    r0, r1 = grid_cell(F.col("ymin"), extent[1], extent[3], grid), grid_cell(F.col("ymax"), extent[1], extent[3], grid)
-    cells = F.flatten(F.transform(F.sequence(c0, c1), lambda c: F.transform(F.sequence(r0, r1), lambda r: c * grid + r)))
-    return cells, ((c1 - c0 + 1) * (r1 - r0 + 1))
-
-
-def bucketed(boxes: DataFrame, extent: Box, grid: int = GRID, most: int = MAX_CELLS) -> tuple[DataFrame, DataFrame]:
-    """(one row for each cell of each box, boxes that cover too many cells to be bucketed)."""
-    cells, n = _cells(extent, grid)
-    sized = boxes.withColumn("_n", n)
-    return sized.where(F.col("_n") <= most).select("*", F.explode(cells).alias("cell")).drop("_n"), sized.where(F.col("_n") > most).drop("_n")
+#: The finest level has 2**16 cells an axis; only even levels are used.
+FINEST = 16
 
 
 def usable(box: str = "") -> Column:
@@ -35,38 +21,70 @@ def usable(box: str = "") -> Column:
     return ok
 
 
-def bbox_join(features: DataFrame, views: DataFrame, extent: Box, grid: int = GRID) -> DataFrame:
+def box_level(extent: Box) -> Column:
+    """The finest even level whose cells are as large as the box: there it covers two cells an axis at most. Level k has 2**k cells an axis."""
+    share = F.greatest((F.col("xmax") - F.col("xmin")) / max(extent[2] - extent[0], _TINY), (F.col("ymax") - F.col("ymin")) / max(extent[3] - extent[1], _TINY))
+    level = F.least(F.lit(float(FINEST)), F.greatest(F.lit(0.0), F.floor(-F.log2(F.greatest(share, F.lit(2.0**-FINEST))))))
+    return (F.floor(level / 2) * 2).cast("int")
+
+
+def _cell(v: Column, lo: float, hi: float, level: Column) -> Column:
+    cells = F.pow(F.lit(2.0), level)
+    return F.greatest(F.lit(0.0), F.least(cells - 1, F.floor((v - lo) / max(hi - lo, _TINY) * cells))).cast("long")
+
+
+def _key(tag: int, level: Column, c: Column, r: Column) -> Column:
+    return F.shiftleft((level + tag * 32).cast("long"), 34) + F.shiftleft(c, 17) + r
+
+
+def _dealt(boxes: DataFrame, extent: Box, levels: Column, tag: int) -> DataFrame:
+    """A row (_level, _key) for each cell of each box at each of its levels."""
+    at = boxes.withColumn("_level", F.explode(levels))
+    level = F.col("_level")
+    cols = F.sequence(_cell(F.col("xmin"), extent[0], extent[2], level), _cell(F.col("xmax"), extent[0], extent[2], level))
+    rows = F.sequence(_cell(F.col("ymin"), extent[1], extent[3], level), _cell(F.col("ymax"), extent[1], extent[3], level))
+    spread = at.withColumn("_c", F.explode(cols)).withColumn("_r", F.explode(rows))
+    return spread.withColumn("_key", _key(tag, level, F.col("_c"), F.col("_r"))).drop("_c", "_r")
+
+
+def bbox_join(features: DataFrame, views: DataFrame, extent: Box) -> DataFrame:
     """(view_id, id) of all features whose box meets a viewport. features: id, xmin..ymax; views: view_id, xmin..ymax; extent: that of the features.
 
-    Features and viewports meet in the cells that both cover; a pair may meet in many, and is kept in the least only, so no second shuffle
-    removes duplicates.  Features or viewports over too many cells are kept apart and tested against the other side whole; they are few by
-    what they are, and Spark broadcasts them where they are small.  An unusable viewport meets nothing, and a feature whose box is unusable
-    nothing either; where the extent has no span everything lies in one cell, so nothing is lost."""
-    features, views = features.where(usable()), views.where(usable())
-    f_cells, f_wide = bucketed(features, extent, grid)
-    v = views.select("view_id", *(F.col(c).alias(f"v_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
-    v_cells, v_wide = bucketed(views, extent, grid)
-    v_cells = v_cells.select("view_id", "cell", *(F.col(c).alias(f"v_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
+    Boxes live on a grid of levels, each on the level of its size, so neither side is ever too wide for its cells.  A pair meets on the
+    coarser of its two levels: a feature is put in its own cells, and on the coarser levels that viewports live on; a viewport in its own cells
+    and on the levels of features down to its own.  So the cells follow the sizes of the boxes, and what meets in one grows with the result.
+    A pair may meet in up to four cells, and is kept in the one that holds the lower left corner of what both cover, so no second shuffle
+    removes duplicates.  An unusable box meets nothing; where the extent has no span everything lies in one cell, so nothing is lost."""
+    level = box_level(extent)
+    features, views = features.where(usable()).withColumn("_own", level), views.where(usable()).withColumn("_own", level)
+    used_f, used_v = ([r[0] for r in side.select("_own").distinct().collect()] for side in (features, views))  # nine levels at most
+    own, every = F.array("_own"), F.array().cast("array<int>")
+
+    def among(used: list[int], keep) -> Column:
+        return F.filter(F.array(*map(F.lit, sorted(used))).cast("array<int>"), keep) if used else every
+
+    f = _dealt(features, extent, own, 0).unionByName(_dealt(features, extent, among(used_v, lambda k: k < F.col("_own")), 1))
+    v = _dealt(views, extent, among(used_f, lambda k: k <= F.col("_own")), 0).unionByName(_dealt(views, extent, own, 1))
+    v = v.select("view_id", "_key", *(F.col(c).alias(f"v_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
     meets = (F.col("xmin") <= F.col("v_xmax")) & (F.col("xmax") >= F.col("v_xmin")) & (F.col("ymin") <= F.col("v_ymax")) & (F.col("ymax") >= F.col("v_ymin"))
-    corner_c = F.greatest(grid_cell(F.col("xmin"), extent[0], extent[2], grid), grid_cell(F.col("v_xmin"), extent[0], extent[2], grid))
-    corner_r = F.greatest(grid_cell(F.col("ymin"), extent[1], extent[3], grid), grid_cell(F.col("v_ymin"), extent[1], extent[3], grid))
-    near = f_cells.join(v_cells, "cell").where(meets & (F.col("cell") == corner_c * grid + corner_r)).select("view_id", "id")
-    wide = v_wide.select("view_id", *(F.col(c).alias(f"v_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
-    spanning = f_wide.join(v, meets).select("view_id", "id")  # wide features with all viewports
-    broad = features.join(wide, meets).join(f_wide.select("id"), "id", "left_anti").select("view_id", "id")
-    return near.unionByName(spanning).unionByName(broad)
-
-
-def occupancy(features: DataFrame, extent: Box, grid: int = GRID) -> DataFrame:
-    """(cell, n) of the grid's occupied cells."""
-    cells, _ = bucketed(features, extent, grid)
+    corner_c = _cell(F.greatest("xmin", "v_xmin"), extent[0], extent[2], F.col("_level"))
+    corner_r = _cell(F.greatest("ymin", "v_ymin"), extent[1], extent[3], F.col("_level"))
+    here = F.col("_key").bitwiseAND(F.lit((1 << 34) - 1)) == F.shiftleft(corner_c, 17) + corner_r
+    return f.join(v, "_key").where(meets & here).select("view_id", "id")
+
+
+def occupancy(features: DataFrame, extent: Box, grid: int = GRID, most: int = 1024) -> DataFrame:
+    """(cell, n) of the grid's occupied cells, by the boxes that cover `most` cells or fewer."""
+    c0, c1 = grid_cell(F.col("xmin"), extent[0], extent[2], grid), grid_cell(F.col("xmax"), extent[0], extent[2], grid)
+    r0, r1 = grid_cell(F.col("ymin"), extent[1], extent[3], grid), grid_cell(F.col("ymax"), extent[1], extent[3], grid)
+    narrow = features.where((c1 - c0 + 1) * (r1 - r0 + 1) <= most)
+    cells = narrow.select(F.explode(F.sequence(c0, c1)).alias("c"), r0.alias("r0"), r1.alias("r1")).select("c", F.explode(F.sequence("r0", "r1")).alias("r"))
+    cells = cells.select((F.col("c") * grid + F.col("r")).alias("cell"))
     return cells.groupBy("cell").agg(F.count("*").alias("n"))
 
 
 def range_semi_join(features: DataFrame, ranges: DataFrame, width: int = 1024) -> DataFrame:
-    """Features whose id lies in any [lo, hi]: a range is put in each bucket of ids that it overlaps at an edge, and whole buckets inside it once.
-
-    Ranges are bucketed by `width` ids, so a feature meets only the ranges of its bucket."""
+    """Features whose id lies in any [lo, hi]: a range is put in each bucket of `width` ids that it overlaps, so a feature meets only the ranges of its bucket."""
     lo, hi = F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)
     parts = ranges.where("lo <= hi").select("lo", "hi", F.explode(F.sequence(lo, hi)).alias("_bucket"))
     rows = features.withColumn("_bucket", F.floor(F.col("id") / width))
@@ -74,12 +92,12 @@ def range_semi_join(features: DataFrame, ranges: DataFrame, width: int = 1024) -
     return rows.join(parts, hit, "left_semi").drop("_bucket")
 
 
-def pick_points(points: DataFrame, polygons: DataFrame, edges: DataFrame, extent: Box, grid: int = GRID) -> DataFrame:
+def pick_points(points: DataFrame, polygons: DataFrame, edges: DataFrame, extent: Box) -> DataFrame:
     """(point_id, id): the highest polygon id that holds each point, by the even-odd rule over all rings, so that a hole is outside.
 
     points: point_id, x, y; polygons: id, xmin..ymax; edges: id, x1, y1, x2, y2."""
     as_boxes = points.select(F.col("point_id").alias("view_id"), F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
-    candidates = bbox_join(polygons, as_boxes, extent, grid).select(F.col("view_id").alias("point_id"), "id").join(points, "point_id")
+    candidates = bbox_join(polygons, as_boxes, extent).select(F.col("view_id").alias("point_id"), "id").join(points, "point_id")
     crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
     inside = candidates.join(edges, "id").groupBy("point_id", "id").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1")
     return inside.groupBy("point_id").agg(F.max("id").alias("id"))

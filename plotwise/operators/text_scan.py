@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,13 +53,18 @@ def _occurrences(text: Column, lowered: Column, needle: str, kind: str) -> Colum
 def scan_text(rows: DataFrame, needles=NEEDLES, drives: bool = True, usernames=(), hostnames=(), declared=()) -> DataFrame:
     """rows (source, key, text) to findings (source, key, class, byte_offset, excerpt), by row.
 
-    A row is looked at closely only if one regular expression finds anything in it. A user or host name wholly inside a declared string is
+    A row is looked at closely only if it contains one of the strings without regard to any case: a pass of plain searches. A user or host name wholly inside a declared string is
     `operator-declared`; credentials and paths never are."""
     lowered = F.translate("text", _UPPER, _UPPER.lower())
     names = [(u.lower(), "username") for u in usernames] + [(h.lower(), "machine-identifier") for h in hostnames]
     wanted = [*needles, *names]
-    any_of = "|".join([re.escape(n) for n, _ in wanted] + ([_DRIVE] if drives else []))
-    hits = rows.withColumn("_low", lowered).where(F.col("_low").rlike(any_of))
+    folded = F.lower("text")
+    near = F.lit(False)
+    for n, _ in wanted:
+        near = near | folded.contains(n)
+    if drives:
+        near = near | ((F.col("text").contains(":\\") | F.col("text").contains(":/")) & F.col("text").rlike(_DRIVE))
+    hits = rows.where(near).withColumn("_low", lowered)
     found = [_occurrences(F.col("text"), F.col("_low"), n, k) for n, k in wanted]
     if drives:
         parts = F.split("text", _DRIVE, -1)

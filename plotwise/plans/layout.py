@@ -75,16 +75,22 @@ def layout_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("id", "zone", "value", "bbox.*")
 
 
-@query("layouts_equal", "SELECT o_orderkey AS id, 'same' AS state FROM orders WHERE o_orderkey < 0")
+@query(
+    "layouts_equal",
+    f"WITH {PARCELS_SQL} SELECT id, CASE WHEN id % 101 = 7 THEN 'only_a' WHEN id % 101 = 8 THEN 'only_b' ELSE 'changed' END AS state FROM p WHERE id % 101 IN (7, 8) OR id % 97 = 5 UNION ALL SELECT -1, 'rows alike: ' || count(*) FROM p WHERE id % 101 NOT IN (7, 8) AND id % 97 <> 5",
+)
 def layouts_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Differences between the Hilbert layout and the shuffled one, feature by feature: none."""
+    """A Hilbert layout against a shuffled one with edits: the rows that differ, and how many don't."""
     from plotwise.operators.comparison import differences
 
     cols = grid_cols(spark, sf_dir)
     features = parcels(spark, sf_dir, cols)
-    a = rewrite_layout(features, shared_folder(spark, "layout"), "hilbert16", declared_extent(cols))
-    b = rewrite_layout(features, shared_folder(spark, "layout"), "shuffled")
-    return differences(a, b, "id", ["zone", "value", "bbox"])
+    k = F.col("id")
+    a = rewrite_layout(features.where(k % 101 != 8), shared_folder(spark, "layout"), "hilbert16", declared_extent(cols))
+    edited = features.where(k % 101 != 7).withColumn("value", F.when(k % 97 == 5, F.col("value") + 1).otherwise(F.col("value")))
+    found = differences(a, rewrite_layout(edited, shared_folder(spark, "layout"), "shuffled"), "id", ["zone", "value", "bbox"])
+    alike = features.count() - found.count()
+    return found.unionByName(spark.createDataFrame([(-1, f"rows alike: {alike}")], "id long, state string"))
 
 
 def groups_of(features: DataFrame, rows: int = 1000) -> DataFrame:

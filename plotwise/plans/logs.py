@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.operators.audit import labelled, match_grants, normalize_destination, pair_attempts, plain_date
+from plotwise.operators.audit import labelled, match_grants, normalize_destination, pair_attempts, plain_date, words_of
 from plotwise.operators.spans import derive_spans
 from plotwise.operators.text_scan import NEEDLES, scan_text
 from plotwise.plans.catalog import query
@@ -77,19 +77,19 @@ def audit_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.groupBy("outcome", "error_kind", "approval_route").agg(F.count("*").alias("attempts"), F.sum("rows").alias("n_rows"), F.sum("partitions").alias("n_partitions"))
 
 
-_ROUTES = (("shell-dialog", "shell dialog"), ("interactive", "an interactive prompt"), ("flag", "the --approve flag"))
-_REASONS = (("GrantExpired", "a grant matched, but its time was over"), ("NoGrant", "nobody had granted it"), ("GrantScopeMismatch", "the grants were for something else"))
+_WORDS_SQL = "lower(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'))"
 
 
 @query(
     "audit_labels",
-    f"""WITH {_AUDIT_SQL} SELECT line_no, strftime(ts, '%Y-%m-%d %H:%M') AS "when", CASE route WHEN 'interactive' THEN 'an interactive prompt' ELSE 'the --approve flag' END AS route, CASE WHEN event_type = 'error' THEN 'a grant matched, but its time was over' END AS reason
+    f"""WITH {_AUDIT_SQL} SELECT line_no, strftime(ts, '%Y-%m-%d %H:%M') AS "when", CASE route WHEN 'flag' THEN 'by command line' ELSE route END AS route, {_WORDS_SQL.format("CASE WHEN event_type = 'error' THEN 'GrantExpired' END")} AS reason
     FROM al WHERE corrupt_reason IS NULL AND phase = 'outcome'""",
 )
 def audit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes in plain words: routes by a table of the caller's, kinds of error by their own words."""
     good = parse_audit(audit_lines(spark, sf_dir)).where("corrupt_reason IS NULL AND phase = 'outcome'")
-    named = labelled(labelled(good, "approval_route", _ROUTES, "route"), "error_kind", _REASONS, "reason")
-    return named.select("line_no", plain_date(F.col("at")).alias("when"), "route", "reason")
+    named = labelled(good, "approval_route", [("flag", "by command line")], "route")
+    return named.select("line_no", plain_date(F.col("at")).alias("when"), "route", words_of(F.col("error_kind")).alias("reason"))
 
 
 _GRANTS_SQL = """gr AS (SELECT c_custkey AS grant_id, 'publish' AS operation, c_mktsegment AS dataset, sha256(c_mktsegment) AS content_hash, CASE WHEN c_custkey % 3 = 0 THEN 'child' ELSE 'exact' END AS scope_kind,
@@ -168,10 +168,26 @@ def trace_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive_spans(trace_events(spark, sf_dir), _EVENT_SPANS)
 
 
+#: What is planted, by the key's remainder by 21.
+_PLANTS = {1: "the PassWord: hunter2-hunter2", 4: "opened /home/ada/maps/parcels", 7: "Authorization: BEARER abcdef0123456789", 10: "saved as C:\\Users\\Ada\\map.gpkg", 13: "d:/data/maps is full", 16: "short file://", 19: "ÜBER API_KEY=0123456789"}
+
+
+def _planted(key: Column) -> Column:
+    text = F.lit("")
+    for k, plant in _PLANTS.items():
+        text = F.when(key % 21 == k, F.lit("\n" + plant)).otherwise(text)
+    return text
+
+
+def _planted_sql(key: str) -> str:
+    return f"CASE {key} % 21 " + " ".join(f"WHEN {k} THEN chr(10) || '{plant}'" for k, plant in _PLANTS.items()) + " ELSE '' END"
+
+
 def scanned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("key"), "text")
+    """The three text tables whole; a third of the documents and two in seven conversations get a planted line."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("key"), F.concat("text", _planted(F.col("doc_id"))).alias("text"))
     pages = table(spark, sf_dir, "pages").select(F.lit("pages").alias("source"), F.col("page_id").cast("string").alias("key"), F.col("html").alias("text"))
-    talk = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), F.concat_ws("/", "conv_id", "turn").alias("key"), "text")
+    talk = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("source"), F.concat_ws("/", "conv_id", "turn").alias("key"), F.concat("text", _planted(F.col("conv_id"))).alias("text"))
     return docs.unionByName(pages).unionByName(talk)
 
 
@@ -180,8 +196,8 @@ def _needle_sql(needle: str, kind: str) -> str:
     return f"""SELECT source, key, '{kind}' AS class, array_to_string(string_split(low, '{quoted}')[1:k], '{quoted}') AS pre, {len(needle)} AS n, t FROM (SELECT *, unnest(generate_series(1, len(string_split(low, '{quoted}')) - 1)) AS k FROM rows_ WHERE contains(low, '{quoted}'))"""
 
 
-_SCAN_SQL = f"""WITH rows_ AS (SELECT source, key, t, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM (SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS key, text AS t FROM documents
-  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR), text FROM conversations)),
+_SCAN_SQL = f"""WITH rows_ AS (SELECT source, key, t, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM (SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS key, text || {_planted_sql("doc_id")} AS t FROM documents
+  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), html FROM pages UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR), text || {_planted_sql("conv_id")} FROM conversations)),
 f AS ({" UNION ALL ".join(_needle_sql(n, k) for n, k in NEEDLES)}),
 m AS (SELECT source, key, class, strlen(pre)::INT AS byte_offset, length(regexp_extract(pre, '[ -~]*$')) + n + length(regexp_extract(substr(t, length(pre) + n + 1), '^[ -~]*')) AS run FROM f)
 SELECT source, key, class, byte_offset FROM m WHERE run >= 12"""

@@ -175,7 +175,7 @@ def lineage_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer")
     nodes = customer.select(F.col("c_custkey").alias("node"), (F.col("c_nationkey") % 4).alias("rank"))
     edges = customer.where("c_custkey > 1").select(F.col("c_custkey").alias("node"), F.expr("c_custkey div 2").alias("input"))
-    return lineage_grade(nodes, edges, 40)
+    return lineage_grade(nodes, edges)
 
 
 _SIMILAR = (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"), ("nation", "n_regionkey"), ("region", "r_regionkey"))

@@ -110,7 +110,7 @@ def test_bbox_join_loses_nothing(spark):
     v = spark.createDataFrame(views, "view_id long, xmin double, ymin double, xmax double, ymax double")
     expected = sorted((w[0], b[0]) for w in views for b in boxes if b[1] <= b[3] and b[2] <= b[4] and w[1] <= w[3] and b[1] <= w[3] and b[3] >= w[1] and b[2] <= w[4] and b[4] >= w[2])
     for extent in ((0.0, 0.0, 260.0, 260.0), (7.0, 7.0, 7.0, 7.0)):
-        assert sorted((r.view_id, r.id) for r in bbox_join(f, v, extent, 64).collect()) == expected
+        assert sorted((r.view_id, r.id) for r in bbox_join(f, v, extent).collect()) == expected
 
 
 def test_islands_and_ordinals_cross_ranges(spark):
