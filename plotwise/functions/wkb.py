@@ -53,30 +53,93 @@ def decode(wkb: bytes | None) -> tuple[str | None, list[np.ndarray]]:
     return ("trailing_bytes", []) if at != len(wkb) else (None, rings)
 
 
-def digest(rings: list[np.ndarray]) -> bytes:
-    """SHA-256 over each ring's vertex count (64 bits) and coordinates (x, y doubles), all little-endian."""
-    h = hashlib.sha256()
-    for r in rings:
-        h.update(struct.pack("<Q", len(r)))
-        h.update(np.ascontiguousarray(r, "<f8").tobytes())
-    return h.digest()
+class Polygons:
+    """All polygons of a batch at once. Little-endian, plain and closed ones are read by array steps, a step for each ring number; what is left is decoded alone.
+
+    rings: row, number, first vertex and vertices of each ring, by row; xy: all vertices; refusals: by row, None for good ones."""
+
+    def __init__(self, column: pa.Array):
+        column = column.cast(pa.large_binary())
+        n = len(column)
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+        raw = column.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
+        data = np.concatenate((data[offsets[0] : offsets[-1]], np.zeros(8, np.uint8)))
+        u4, u8 = (np.ndarray((len(data) - 7,), kind, data, strides=(1,)) for kind in ("<u4", "<u8"))
+        start, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+        good = np.asarray(column.is_valid()) & (end - start >= 9)
+        good[good] = (data[start[good]] == 1) & (u4[start[good] + 1] == 3)
+        count = np.zeros(n, np.int64)
+        count[good] = u4[start[good] + 5]
+        good &= count > 0
+        at, found = start + 9, []
+        for k in range(int(count[good].max(initial=0))):
+            mine = np.flatnonzero(good & (count > k))
+            if not len(mine):
+                break
+            fits = at[mine] + 4 <= end[mine]
+            size = np.zeros(len(mine), np.int64)
+            size[fits] = u4[at[mine[fits]]]
+            fits &= (size >= 4) & (at[mine] + 4 + 16 * size <= end[mine])
+            first = at[mine] + 4
+            last = first + 16 * (size - 1)
+            f, z = first[fits], last[fits]
+            fits[fits] = (u8[f] == u8[z]) & (u8[f + 8] == u8[z + 8])
+            good[mine[~fits]] = False
+            mine, size, first = mine[fits], size[fits], first[fits]
+            found.append((mine, np.full(len(mine), k), first, size))
+            at[mine] = first + 16 * size
+        good &= at == end
+        row, ring, first, size = (np.concatenate(v) if found else np.zeros(0, np.int64) for v in (zip(*found, strict=True) if found else [[]] * 4))
+        keep = good[row]
+        row, ring, first, size = row[keep], ring[keep], first[keep], size[keep]
+        place = np.repeat(first, size) + 16 * (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+        xy = np.stack((u8[place], u8[place + 8]), 1).view("<f8") if len(place) else np.zeros((0, 2))
+        self.refusals: list[str | None] = [None] * n
+        more = []
+        for k in np.flatnonzero(~good):
+            self.refusals[k], rings = decode(column[int(k)].as_py())
+            more += [(k, j, r) for j, r in enumerate(rings)]
+        if more:
+            size = np.concatenate((size, [len(r) for *_, r in more]))
+            row, ring = np.concatenate((row, [k for k, *_ in more])), np.concatenate((ring, [j for _, j, _ in more]))
+            xy = np.concatenate((xy, *(r for *_, r in more)))
+        begin = np.cumsum(size) - size
+        by = np.lexsort((ring, row))
+        take = np.repeat(begin[by], size[by]) + np.arange(size.sum()) - np.repeat(np.cumsum(size[by]) - size[by], size[by])
+        self.row, self.ring, self.size, self.xy = row[by], ring[by], size[by], np.ascontiguousarray(xy[take])
+        self.begin = np.cumsum(self.size) - self.size
+
+    def digests(self) -> list[str]:
+        """For each good row, SHA-256 over each ring's vertex count (64 bits) and coordinates (x, y doubles), all little-endian."""
+        out, h, now = [], None, None
+        view = memoryview(self.xy.astype("<f8", copy=False)).cast("B") if len(self.xy) else memoryview(b"")
+        for row, at, n in zip(self.row.tolist(), self.begin.tolist(), self.size.tolist(), strict=True):
+            if row != now:
+                out += [h.hexdigest()] if h else []
+                h, now = hashlib.sha256(), row
+            h.update(struct.pack("<Q", n))
+            h.update(view[16 * at : 16 * (at + n)])
+        return out + ([h.hexdigest()] if h else [])
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns: list[list] = [[] for _ in range(9)]
-        for wkb in batch.column("geometry").to_pylist():
-            refusal, rings = decode(wkb)
-            if refusal:
-                row = (refusal, None, None, None, None, None, None, None, None)
-            else:
-                every = np.concatenate(rings)
-                bits = int(np.bitwise_xor.reduce(np.ascontiguousarray(every).view(np.int64).ravel()))
-                row = (None, len(rings), len(every), *map(float, (every[:, 0].min(), every[:, 1].min(), every[:, 0].max(), every[:, 1].max())), bits, digest(rings).hex())
-            for c, v in zip(columns, row, strict=True):
-                c.append(v)
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["id", "refusal", "rings", "vertices", "xmin", "ymin", "xmax", "ymax", "coordinate_xor", "digest"])
+        p = Polygons(batch.column("geometry"))
+        rows, first, rings = np.unique(p.row, return_index=True, return_counts=True)
+        none = np.full(len(p.refusals), -1)
+        none[rows] = np.arange(len(rows))
+        at = pa.array(none, mask=none < 0)
+        begin = p.begin[first]
+        values = [rings.astype(np.int32), np.add.reduceat(p.size, first).astype(np.int32) if len(first) else np.zeros(0, np.int32)]
+        for c, least in ((0, np.minimum), (1, np.minimum), (0, np.maximum), (1, np.maximum)):
+            values.append(least.reduceat(p.xy[:, c], begin) if len(begin) else np.zeros(0))
+        bits = p.xy.view(np.int64)
+        values.append(np.bitwise_xor.reduceat(bits[:, 0] ^ bits[:, 1], begin) if len(begin) else np.zeros(0, np.int64))
+        columns = [pa.array(v).take(at) for v in values] + [pa.array(p.digests(), pa.string()).take(at)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), pa.array(p.refusals, pa.string()), *columns], names=["id", "refusal", "rings", "vertices", "xmin", "ymin", "xmax", "ymax", "coordinate_xor", "digest"]
+        )
 
 
 def geometry_facts(features: DataFrame) -> DataFrame:
@@ -88,16 +151,12 @@ def geometry_facts(features: DataFrame) -> DataFrame:
 
 def _vertices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, ring, pos, xy = [], [], [], []
-        for id_, wkb in zip(batch.column("id").to_pylist(), batch.column("geometry").to_pylist(), strict=True):
-            for k, r in enumerate(decode(wkb)[1]):
-                ids.append(np.full(len(r), id_, np.int64))
-                ring.append(np.full(len(r), k, np.int32))
-                pos.append(np.arange(len(r), dtype=np.int32))
-                xy.append(r)
-        if ids:
-            every = np.concatenate(xy)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (ids, ring, pos)] + [pa.array(np.ascontiguousarray(every[:, k])) for k in (0, 1)], names=["id", "ring", "pos", "x", "y"])
+        p = Polygons(batch.column("geometry"))
+        ids = batch.column("id").take(pa.array(np.repeat(p.row, p.size)))
+        pos = np.arange(len(p.xy)) - np.repeat(p.begin, p.size)
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(np.repeat(p.ring, p.size).astype(np.int32)), pa.array(pos.astype(np.int32)), *(pa.array(np.ascontiguousarray(p.xy[:, k])) for k in (0, 1))], names=["id", "ring", "pos", "x", "y"]
+        )
 
 
 def vertex_table(features: DataFrame) -> DataFrame:
@@ -105,23 +164,55 @@ def vertex_table(features: DataFrame) -> DataFrame:
     return features.select("id", "geometry").mapInArrow(_vertices, "id long, ring int, pos int, x double, y double")
 
 
+def encode(ids: np.ndarray, ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    """(id, geometry) of vertices that come sorted by id, ring and place: one byte buffer, filled column by column."""
+    new_id = np.append(True, ids[1:] != ids[:-1])
+    new_ring = new_id | np.append(True, ring[1:] != ring[:-1])
+    feature, part = np.cumsum(new_id) - 1, np.cumsum(new_ring) - 1
+    first = np.flatnonzero(new_ring)
+    vertices = np.diff(np.append(first, len(ids)))
+    rings = np.bincount(feature[first])
+    size = 9 + 4 * rings + 16 * np.bincount(feature)
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
+    out = np.zeros(offsets[-1], np.uint8)
+
+    def put(at: np.ndarray, values: np.ndarray) -> None:
+        raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+        for k in range(raw.shape[1]):
+            out[at + k] = raw[:, k]
+
+    begin = offsets[:-1]
+    out[begin] = 1
+    put(begin + 1, np.full(len(rings), 3, "<u4"))
+    put(begin + 5, rings.astype("<u4"))
+    own = feature[first]
+    ring_no = np.arange(len(first)) - np.repeat(np.cumsum(rings) - rings, rings)
+    head = begin[own] + 9 + 4 * ring_no + 16 * (first - np.flatnonzero(new_id)[own])
+    put(head, vertices.astype("<u4"))
+    at = head[part] + 4 + 16 * (np.arange(len(ids)) - first[part])
+    put(at, x.astype("<f8"))
+    put(at + 8, y.astype("<f8"))
+    geometry = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rings), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+    return pa.RecordBatch.from_arrays([pa.array(ids[new_id]), geometry.cast(pa.binary())], names=["id", "geometry"])
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted vertices to features; a batch's last feature waits for the next batch, where it may go on."""
+    rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)]
     for batch in batches:
-        out = []
-        for rings in batch.column("rings").to_pylist():
-            body = [struct.pack("<BII", 1, 3, len(rings))]
-            for ring in rings:
-                body.append(struct.pack("<I", len(ring)))
-                body.append(np.array([(p["x"], p["y"]) for p in ring], "<f8").tobytes())
-            out.append(b"".join(body))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "geometry"])
+        rest = [np.concatenate((r, batch.column(c).to_numpy())) for r, c in zip(rest, ("id", "ring", "x", "y"), strict=True)]
+        cut = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0
+        if cut:
+            yield encode(*(r[:cut] for r in rest))
+            rest = [r[cut:] for r in rest]
+    if len(rest[0]):
+        yield encode(*rest)
 
 
 def to_wkb(vertices: DataFrame) -> DataFrame:
-    """(id, geometry): little-endian WKB polygons from a vertex table. One feature's vertices meet in one row."""
-    ring = vertices.groupBy("id", "ring").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("points"))
-    rings = ring.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ring", "points"))), lambda r: r["points"]).alias("rings"))
-    return rings.mapInArrow(_encode, "id long, geometry binary")
+    """(id, geometry): little-endian WKB polygons from a vertex table. A feature's vertices meet in one task, sorted."""
+    dealt = vertices.select("id", "ring", "pos", "x", "y").repartition("id").sortWithinPartitions("id", "ring", "pos")
+    return dealt.select(F.col("id").cast("long").alias("id"), F.col("ring").cast("int").alias("ring"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInArrow(_encode, "id long, geometry binary")
 
 
 def header_class(wkb):

@@ -6,13 +6,14 @@ import random
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotwise.dataset import Refused, open_dataset
-from plotwise.functions.wkb import decode, digest
+from plotwise.functions.wkb import Polygons, decode, encode
 from plotwise.operators.admission import admit_predicate, admit_projection
 from plotwise.operators.audit import pair_attempts
 from plotwise.operators.publish import CutPolicy, PublishRefused, cut_partitions, publish, unsafe_path, verify_assets, verify_bundle
@@ -98,7 +99,29 @@ def test_wkb_big_endian_keeps_bits():
     big = struct.pack(">BII", 0, 3, 1) + struct.pack(">I", 4) + b"".join(struct.pack(">dd", *p) for p in [(2600000.123456789, 1), (2, 3), (4, 5), (2600000.123456789, 1)])
     refusal, rings = decode(big)
     assert refusal is None and rings[0][0, 0] == 2600000.123456789
-    assert digest(rings) == hashlib.sha256(struct.pack("<Q", 4) + rings[0].tobytes()).digest()
+    assert Polygons(pa.array([big], pa.binary())).digests() == [hashlib.sha256(struct.pack("<Q", 4) + rings[0].tobytes()).hexdigest()]
+
+
+def test_batches_of_polygons_equal_single_ones():
+    rng = np.random.default_rng(3)
+    ids, rings, x, y = [], [], [], []
+    for k in range(200):
+        for r in range(rng.integers(1, 4)):
+            xy = rng.random((rng.integers(3, 9), 2))
+            xy = np.vstack((xy, xy[:1]))
+            ids += [k * 7] * len(xy)
+            rings += [r] * len(xy)
+            x += xy[:, 0].tolist()
+            y += xy[:, 1].tolist()
+    made = encode(np.array(ids), np.array(rings, np.int32), np.array(x), np.array(y))
+    column = made.column("geometry").to_pylist()
+    assert made.column("id").to_pylist() == [7 * k for k in range(200)] and all(decode(g)[0] is None for g in column)
+    spoilt = [None, b"", column[0][:-1], column[1], b"\x01\x03\x00\x00\x00\xff\xff\xff\xff", b"\x00" + column[2][1:], column[3] + b"\x00", column[4][:9] + b"\xff" + column[4][10:], *column[5:]]
+    for column in (spoilt, spoilt[::-1], [b""], []):
+        p = Polygons(pa.array(column, pa.binary()))
+        assert p.refusals == [decode(g)[0] for g in column]
+        expected = [(k, r.tobytes()) for k, g in enumerate(column) for r in decode(g)[1]]
+        assert [(k, p.xy[b : b + n].tobytes()) for k, b, n in zip(p.row, p.begin, p.size, strict=True)] == expected
 
 
 def test_bbox_join_loses_nothing(spark):
@@ -269,7 +292,7 @@ def test_feature_digests_and_xor(spark):
     for v in sorted(parcel_vertices(spark, DATA).collect(), key=lambda v: (v.id, v.ring, v.pos)):
         rings.setdefault(v.id, {}).setdefault(v.ring, []).append((v.x, v.y))
     arrays = {k: [np.array(r) for r in v.values()] for k, v in rings.items()}
-    assert {r.id: r.digest for r in catalog.queries()["feature_digests"](spark, DATA).collect()} == {k: digest(v).hex() for k, v in arrays.items()}
+    assert {r.id: r.digest for r in catalog.queries()["feature_digests"](spark, DATA).collect()} == {k: hashlib.sha256(b"".join(struct.pack("<Q", len(r)) + r.tobytes() for r in v)).hexdigest() for k, v in arrays.items()}
     xor = 0
     for v in arrays.values():
         for r in v:
