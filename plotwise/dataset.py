@@ -8,8 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotwise.functions.geo_metadata import admit_crs, admit_encoding, geo_fields
+from plotwise.functions.wkb import geometry_facts
 from plotwise.operators.admission import admit_predicate, admit_projection, identity_scan
+from plotwise.operators.layout import in_order
+from plotwise.operators.publish import CutPolicy, publish
 from plotwise.operators.selection import Box, extent, select_features
+from plotwise.sources.footers import declared
+from plotwise.sources.geoparquet import carried_keys, write_files
 
 
 class Refused(ValueError):
@@ -28,6 +34,7 @@ class Dataset:
     crs_source: str = "undeclared"
     license: str | None = None
     verified: bool = True
+    path: str | None = None
 
     def describe(self) -> DataFrame:
         """One row of facts; what isn't known has a basis that says so, never a guess."""
@@ -59,6 +66,26 @@ class Dataset:
     def project(self, columns: Sequence[str]) -> DataFrame:
         return select_features(self.features, columns=self._admitted(columns), identity=self.identity)
 
+    def rewrite(self, dest: str, order: str, extent: Box | None = None, rows_per_file: int = 8192, partitions: int | None = None) -> Dataset:
+        """The same features in a declared order, in new files that carry the footer keys of the old ones, opened again."""
+        spark = self.features.sparkSession
+        if self.path is None or not (keys := carried_keys(spark, self.path)).get("geo"):
+            raise Refused("geo_metadata_absent", "a copy could not be opened")
+        ordered = in_order(self.features, order, extent, partitions, self.identity)
+        files = write_files(ordered, dest, keys, rows_per_file)
+        if (written := files.agg(F.sum("n_rows").alias("n")).first()["n"] or 0) != (n := self.features.count()):
+            raise ValueError(f"row_count_changed: {n} rows in, {written} written")
+        return open_dataset(spark, dest, identity=self.identity)
+
+    def publish(self, columns: Sequence[str], dest: str, policy: CutPolicy = CutPolicy(), style: str | None = None, license: dict[str, str | None] | None = None) -> DataFrame:
+        """A bundle of these features, with the sizes read from their geometry; gives back its manifest."""
+        rows = self.features.withColumnRenamed(self.identity, "id")
+        facts = geometry_facts(rows)
+        if bad := facts.where("refusal IS NOT NULL").first():
+            raise Refused("geometry_refused", f"{bad['id']}: {bad['refusal']}")
+        sized = rows.join(facts.select("id", F.col("vertices").alias("verts")), "id").withColumn("wkb_len", F.octet_length("geometry"))
+        return publish(sized, self._admitted(columns), dest, policy, style, license if license is not None else {"source": self.license} if self.license else None)
+
     def _admitted(self, columns: Sequence[str]) -> list[str]:
         for name, refusal in admit_projection(self.features.schema, columns, self.identity):
             if refusal:
@@ -66,11 +93,41 @@ class Dataset:
         return list(columns)
 
 
-def open_dataset(spark: SparkSession, paths: str | Sequence[str], crs_assertion: str | None = None, identity: str = "id", skip_uniqueness: bool = False) -> Dataset:
-    """Read Parquet features and check their identity in one pass over that column."""
-    features = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+def _admit_geo(spark: SparkSession, features: DataFrame, keys: dict[str, str | None], asserted: str | None, definition: str | None) -> tuple[str, str, str | None]:
+    """(crs, its source, column of the boxes) from what the files declare and the caller asserts; refuses what can't be placed or read."""
+    geo = F.lit(keys["geo"]).cast("string")
+    fields = geo_fields(geo)
+    kinds = {f.name: f.dataType.simpleString() for f in features.schema}
+    asked = spark.range(1).select(fields.alias("g")).select(
+        "g.*",
+        admit_crs(F.col("g.crs_state"), F.col("g.axis_order"), F.lit(asserted).cast("string"), F.lit(definition).cast("string")).alias("verdict"),
+    )
+    g = asked.first()
+    if keys["geo"] is not None:
+        column = F.lit(kinds.get(g["primary_column"])).cast("string")
+        types = F.lit(None).cast("array<string>") if g["geometry_types"] is None else F.array(*map(F.lit, g["geometry_types"])).cast("array<string>")
+        if refusal := spark.range(1).select(admit_encoding(F.lit(g["encoding"]).cast("string"), types, column).alias("r")).first()["r"]:
+            raise Refused(refusal, g["primary_column"] or "")
+    if g["verdict"] not in ("file", "caller_asserted"):
+        raise Refused(g["verdict"], asserted or "")
+    covering = (g["covering_xmin"] or "bbox.xmin").rpartition(".")[0]
+    return (g["crs_id"] if g["verdict"] == "file" else asserted), g["verdict"], covering if covering in kinds else None
+
+
+def open_dataset(
+    spark: SparkSession, path: str, crs_assertion: str | None = None, crs_definition: str | None = None, identity: str = "id", skip_uniqueness: bool = False
+) -> Dataset:
+    """Read Parquet features: what their footers declare first, then their identity in one pass over that column.
+
+    Files that declare no CRS are opened only with one that the caller asserts, by identifier and definition (PROJJSON); files that declare
+    one, only without.  The axes must be east, then north; the geometry WKB polygons in a binary column."""
+    keys = declared(spark, path)
+    features = spark.read.parquet(path)
+    crs, source, covering = _admit_geo(spark, features, keys, crs_assertion, crs_definition)
     if identity not in features.columns:
         raise Refused("identity_unknown", identity)
     if not skip_uniqueness and (verdict := identity_scan(features, identity).first()["verdict"]) != "unique":
         raise Refused(verdict, identity)
-    return Dataset(features, identity, crs_assertion, "caller_asserted" if crs_assertion else "undeclared", verified=not skip_uniqueness)
+    if covering not in (None, "bbox"):
+        features = features.withColumnRenamed(covering, "bbox")
+    return Dataset(features, identity, crs, source, keys["license"], verified=not skip_uniqueness, path=path)

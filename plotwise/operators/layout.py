@@ -29,15 +29,20 @@ def clamped(extent: Box) -> Column:
     return quantize(cx, extent[0], extent[2])[1] | quantize(cy, extent[1], extent[3])[1]
 
 
+def in_order(features: DataFrame, order: str, extent: Box | None = None, partitions: int | None = None, identity: str = "id") -> DataFrame:
+    """The rows range-partitioned by a declared order and sorted in each partition: ordered as a whole, without a single task."""
+    partitions = partitions or int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = features.withColumn("_key", layout_key(order, identity, extent))
+    return keyed.repartitionByRange(partitions, "_key", identity).sortWithinPartitions("_key", identity).drop("_key")
+
+
 def rewrite_layout(features: DataFrame, dest: str, order: str, extent: Box | None = None, rows_per_file: int = 8192, partitions: int | None = None, identity: str = "id") -> DataFrame:
     """Write the same rows in a declared order, so many rows a file, and give back what was written; refuses a destination that exists.
 
     A range shuffle on (key, id) and a sort in each partition order the whole without a single task; the rows that went in are counted as they
     are written, and the count of the files' footers must agree."""
     spark = features.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = features.withColumn("_key", layout_key(order, identity, extent))
-    ordered = keyed.repartitionByRange(partitions, "_key", identity).sortWithinPartitions("_key", identity).drop("_key")
+    ordered = in_order(features, order, extent, partitions, identity)
     seen = Observation()
     ordered.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).option("compression", "snappy").parquet(dest)
     written = spark.read.parquet(dest)

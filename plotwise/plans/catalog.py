@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from plotwise.plans import geometry, joins, layout, logs, metadata, publishing, selection, streams, trials  # noqa: F401
+    from plotwise.plans import datasets, geometry, joins, layout, logs, metadata, publishing, selection, streams, trials  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -44,6 +44,15 @@ def discard(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
+def keep_only(spark: SparkSession, folder: str, names: set[str]) -> None:
+    """Delete the files of a folder that have none of the names; the folder is made if nothing was written."""
+    path, files = _path(spark, folder)
+    files.mkdirs(path)
+    for status in files.listStatus(path):
+        if status.getPath().getName() not in names:
+            files.delete(status.getPath(), True)
+
+
 def exists(spark: SparkSession, name: str) -> bool:
     path, files = _path(spark, name)
     return files.exists(path)

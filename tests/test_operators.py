@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plotwise.dataset import Refused, open_dataset
+from plotwise.sources.geoparquet import geo_key, write_files
+from plotwise.plans.datasets import CRS
 from plotwise.functions.wkb import Polygons, decode, encode
 from plotwise.operators.admission import admit_predicate, admit_projection
 from plotwise.operators.audit import pair_attempts
@@ -253,16 +255,77 @@ def test_text_scan(spark):
 def test_open_dataset(spark, tmp_path):
     path = f"file://{tmp_path}/f"
     spark.range(10).select("id", F.lit("a").alias("zone")).write.parquet(path)
-    ds = open_dataset(spark, path, crs_assertion="EPSG:2056")
+    ds = open_dataset(spark, path, "EPSG:2056", CRS)
     assert ds.describe().first().row_count == 10
     assert ds.viewport(filter="id > 6", columns=["zone"]).count() == 3
     with pytest.raises(Refused, match="unknown_column"):
         ds.viewport(filter="height > 1")
     with pytest.raises(Refused, match="viewport_crs_mismatch"):
         ds.viewport((0, 0, 1, 1), bbox_crs="EPSG:4326")
+    with pytest.raises(Refused, match="crs_undeclared"):
+        open_dataset(spark, path)
+    with pytest.raises(Refused, match="axis_order_unestablished"):
+        open_dataset(spark, path, "EPSG:2056")
+    with pytest.raises(Refused, match="geo_metadata_absent"):
+        ds.rewrite(f"{path}3", "source-identity")
     spark.range(3).union(spark.range(1)).write.parquet(f"{path}2")
     with pytest.raises(Refused, match="identity_duplicate"):
-        open_dataset(spark, f"{path}2")
+        open_dataset(spark, f"{path}2", "EPSG:2056", CRS)
+
+
+def test_footers_decide_admission(spark, tmp_path):
+    square = struct.pack("<BII", 1, 3, 1) + SQUARE
+    rows = [(k, f"z{k % 3}", (float(k), 0.0, k + 1.0, 1.0), square) for k in range(100)]
+    df = spark.createDataFrame(rows, "id long, zone string, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>, geometry binary")
+    north = CRS.replace("east", "x").replace("north", "east").replace('"x"', '"north"')
+    geo = geo_key(CRS)
+    cases = {
+        "good": (geo, None),
+        "null": (geo_key(None), "crs_undeclared"),
+        "north": (geo_key(north), "axis_order_refused"),
+        "points": (geo.replace("Polygon", "Point"), "geometry_type_not_admitted"),
+        "arrow": (geo.replace("WKB", "polygon"), "encoding_not_admitted"),
+        "other": (geo.replace('"geometry"', '"shape"'), "geometry_column_missing"),
+        "text": (geo.replace('"geometry"', '"zone"'), "geometry_column_not_binary"),
+    }
+    for name, (key, refusal) in cases.items():
+        path = f"file://{tmp_path}/{name}"
+        files = write_files(df.repartition(3), path, {"geo": key, "license": "CC-BY"}, 20)
+        assert files.agg(F.sum("n_rows")).first()[0] == 100 and sorted(r.file for r in files.collect()) == sorted(x.name for x in (tmp_path / name).glob("*.parquet"))
+        if refusal:
+            with pytest.raises(Refused, match=refusal):
+                open_dataset(spark, path)
+    with pytest.raises(Refused, match="crs_assertion_conflict"):
+        open_dataset(spark, f"file://{tmp_path}/good", "EPSG:2056", CRS)
+    ds = open_dataset(spark, f"file://{tmp_path}/good")
+    assert (ds.crs, ds.crs_source, ds.license) == ("EPSG:2056", "file", "CC-BY")
+    again = ds.rewrite(f"file://{tmp_path}/again", "hilbert16", (0.0, 0.0, 100.0, 1.0), 16)
+    assert (again.crs, again.license, again.features.count()) == ("EPSG:2056", "CC-BY", 100)
+    assert sorted(map(tuple, again.features.select("id", "zone", "geometry").collect())) == sorted((k, z, bytearray(g)) for k, z, _, g in rows)
+    assert {r.state for r in verify_bundle(spark, f"file://{tmp_path}/bundle").collect()} == {"ok"} if again.publish(["zone"], f"file://{tmp_path}/bundle", CutPolicy(max_rows=30)).count() == 4 else False
+    write_files(df.limit(5), f"file://{tmp_path}/good/more", {"geo": geo}, 20)
+    with pytest.raises(ValueError, match="differ"):
+        open_dataset(spark, f"file://{tmp_path}/good")
+
+
+@needs_data
+def test_kept_row_groups_hold_all_rows(spark):
+    """Statistics never lose a row, the curve reads fewer bytes for a small view, and joins of statistics agree with the plan's count."""
+    from plotwise.plans.datasets import stored
+    from plotwise.plans.fixtures import grid_cols, viewports
+    from plotwise.sources.footers import row_group_bounds
+
+    found = {(r.layout, r.view_id): r for r in catalog.queries()["pruned_viewports"](spark, DATA).collect()}
+    ds = stored(spark, DATA, "hilbert16", 1024)
+    groups = row_group_bounds(spark, ds.path).collect()
+    assert sum(g.n_rows for g in groups) == ds.features.count()
+    for name, box in viewports(grid_cols(spark, DATA)).items():
+        r = found["hilbert16", name]
+        kept = [g for g in groups if box is None or (g.g_xmin <= box[2] and g.g_xmax >= box[0] and g.g_ymin <= box[3] and g.g_ymax >= box[1])]
+        assert (r.kept, r.total, r.kept_bytes) == (len(kept), len(groups), sum(g.bytes for g in kept)) and r.kept_bytes <= r.total_bytes
+        inside = ds.features.where("true" if box is None else f"bbox.xmin <= {box[2]} AND bbox.xmax >= {box[0]} AND bbox.ymin <= {box[3]} AND bbox.ymax >= {box[1]}")
+        assert {r.id for r in inside.select("id").collect()} <= {i for g in kept for i in range(g.id_lo, g.id_hi + 1)}
+    assert found["hilbert16", "1-64"].kept_bytes <= found["hilbert16", "whole"].kept_bytes
 
 
 @needs_data
