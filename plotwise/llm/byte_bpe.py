@@ -5,7 +5,7 @@ matches from left to right and looks at nothing before a match, so two chunks th
 takes over from its left neighbour at the first boundary that both have.  Only boundaries after a character other than white space count,
 because `\\s+(?!\\S)` looks ahead; a piece that ends there is pre-tokenised alone as it is within the text.  The ids before the boundary in
 the right chunk and after it in the left one are dropped, and the document's ids are the rest, in order.  Where an overlap holds no common
-boundary (a run of letters longer than it), the text from the last one on is encoded as one piece.  A text of one chunk needs no stitching.
+boundary (a run of letters longer than it), the two chunks are encoded again as one.  A text of one chunk needs no stitching.
 Decoding concatenates the raw bytes of the ids.
 
 The ranks come from a file of the public rank format (base64 bytes, rank a line); its path is a parameter, and every Python worker reads it
@@ -47,10 +47,6 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.end() for m in regex.finditer(pattern, text) if not text[m.end() - 1].isspace()]
 
 
-def _ids(enc: tiktoken.Encoding, text: str) -> np.ndarray:
-    return np.array(enc.encode_ordinary(text), np.uint32)
-
-
 _RESULT = ["doc_id", "n_tokens", "ids", "decoded"]
 
 
@@ -100,25 +96,25 @@ def _encode_chunks(path: str, pattern: str, overlap: int):
     return run
 
 
-def stitch(enc: tiktoken.Encoding, chunks: list[dict]) -> np.ndarray:
+def stitch(enc: tiktoken.Encoding, pattern: str, chunks: list[dict], overlap: int) -> np.ndarray:
     """The ids of a whole text from its chunks, in order; each has text, body, cuts and parts (ids before the next cut)."""
-    ids, at = [], 0  # `at`: the cut in the present chunk from which on it counts
-    for k, c in enumerate(chunks):
-        if k + 1 == len(chunks):
-            ids += [p for cut, p in zip(c["cuts"], c["parts"], strict=True) if cut >= at]
-            break
-        common = {cut - c["body"] for cut in c["cuts"] if cut >= max(at, c["body"])} & set(chunks[k + 1]["cuts"]) - {0}
-        if not common:
-            rest = c["text"][at : c["body"]] + "".join(x["text"][: x["body"]] for x in chunks[k + 1 :])
-            ids.append(_ids(enc, rest))
-            break
-        to = min(common)
-        ids += [p for cut, p in zip(c["cuts"], c["parts"], strict=True) if at <= cut < c["body"] + to]
-        at = to
-    return np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-
-
-def _stitch_group(path: str, pattern: str):
+    ids, at, now = [], 0, chunks[0]  # `at`: the cut in the present chunk from which on it counts
+    for following in chunks[1:]:
+        body = now["body"]
+        common = {cut - body for cut in now["cuts"] if cut >= max(at, body)} & set(following["cuts"]) - {0}
+        if common:
+            to = min(common)
+            ids += [p for cut, p in zip(now["cuts"], now["parts"], strict=True) if at <= cut < body + to]
+            now, at = following, to
+        else:  # no boundary in the overlap: the two are one longer chunk
+            text = now["text"][at:body] + following["text"]
+            now, at = {"text": text, "body": body - at + following["body"]}, 0
+            now |= encode_chunk(enc, pattern, text, now["body"], overlap)
+    ids += [p for cut, p in zip(now["cuts"], now["parts"], strict=True) if cut >= at]
+    return np.concatenate([np.asarray(p, np.uint32) for p in ids]) if ids else np.zeros(0, np.uint32)
+
+
+def _stitch_group(path: str, pattern: str, overlap: int):
     def run(group: pa.Table) -> pa.Table:
         enc = encoding(path, pattern)
         rows = group.to_pylist()
@@ -126,7 +122,7 @@ def _stitch_group(path: str, pattern: str):
         rows = [r for _, r in sorted({r["chunk"]: r for r in rows}.items())]
         for r in rows:
             r["parts"] = [np.frombuffer(p, "<u4") for p in r["parts"]]
-        ids = stitch(enc, rows)
+        ids = stitch(enc, pattern, rows, overlap)
         decoded = b"".join(map(enc.decode_single_token_bytes, ids.tolist()))
         values = (rows[0]["doc_id"], len(ids), ids.astype("<u4").tobytes(), decoded)
         kinds = (group.schema.field("doc_id").type, pa.int64(), pa.binary(), pa.binary())
@@ -152,4 +148,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, chunk: int = CHUN
         F.col("text").substr(F.col("begin") + 1, F.lit(chunk + overlap)).alias("text"),
     ).repartition("row", "chunk")
     encoded = cut.mapInArrow(_encode_chunks(path, pattern, overlap), f"row string, doc_id {kind}, chunk int, body int, text string, cuts array<int>, parts array<binary>")
-    return short.unionByName(encoded.groupBy("row").applyInArrow(_stitch_group(path, pattern), out))
+    return short.unionByName(encoded.groupBy("row").applyInArrow(_stitch_group(path, pattern, overlap), out))

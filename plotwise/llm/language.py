@@ -5,8 +5,9 @@ hash function answers for all languages at once.  An n-gram belongs to a languag
 not far fewer than of any other language's (mixed texts would else teach each language the others' n-grams).  A text's hits are counted for
 each language; the filter's own false-positive rate is taken off; the language with most hits left wins.
 
-The filters are fitted on at most TRAIN_TEXTS texts of each language, chosen by a fixed hash of doc_id; at most MOST_GRAMS n-grams of each
-language are kept, those in most texts.  Both bounds bound what is broadcast.  Prediction reads every text once and shuffles nothing.
+The filters are fitted on at most TRAIN_TEXTS texts of each language, the first by a fixed hash of doc_id.  A language keeps the n-grams that
+a share of LEAST_SHARE of these texts have, so no more than the n-grams of an average text divided by that share: this bounds what is
+broadcast, whatever the corpus.  Prediction reads every text once and shuffles nothing.
 
 Cases.  Null text or one without a letter: `und`, score 0.  Letters but no n-gram that any language has: the language with most training
 texts, score 0.  No training text: `und`.  Ties: the first language by name.  Repeated rows: a row each.  Columns other than doc_id, text and,
@@ -27,18 +28,17 @@ from plotwise.llm.shared import pieces
 
 N = 4
 TRAIN_TEXTS = 4_000
-MOST_GRAMS = 30_000
 LEAST_SHARE = 0.01
 LEAST_OF_BEST = 0.3
 HASHES = 2
-SLOT_BITS = 18
+SLOT_BITS = 20
 
 #: ASCII letters lower-cased, bytes of other characters as they are, all else a space.
 _FOLD = np.array([i if i >= 0x80 or chr(i).islower() and i < 0x80 else i + 32 if 65 <= i <= 90 else 32 for i in range(256)], np.uint8)
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of each text in order, as 32-bit numbers, with two spaces before and after; and the n+1 offsets. All-space n-grams are left out."""
+    """The n-grams of each text in order, as 32-bit numbers, with two spaces before and one after; and the n+1 offsets. All-space n-grams are left out."""
     data, offsets = tx.flat(texts)
     n = len(offsets) - 1
     pad = N - 1
@@ -75,16 +75,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, texts: int = TRAIN_TEXTS) -> DataFrame:
     """(lang, texts, gram) of the n-grams kept for each language."""
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    size = docs.groupBy("lang").agg(F.count("*").alias("all"))
-    share = F.lit(float(texts)) / F.col("all")
-    chosen = docs.join(F.broadcast(size), "lang").where(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(9), "doc_id"), F.xxhash64("text")))  # each task keeps its first ones before any are moved
+    chosen = docs.withColumn("place", first).where(F.col("place") <= texts).select("text", "lang")
     counted = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     taken = chosen.groupBy("lang").agg(F.count("*").alias("texts"))
-    rate = counted.join(F.broadcast(taken), "lang").withColumn("rate", F.col("n") / F.col("texts")).where(F.col("rate") >= LEAST_SHARE)
+    rate = counted.join(taken, "lang").withColumn("rate", F.col("n") / F.col("texts")).where(F.col("rate") >= LEAST_SHARE)
     best = F.max("rate").over(Window.partitionBy("gram"))
-    kept = rate.withColumn("best", best).where(F.col("rate") >= LEAST_OF_BEST * F.col("best"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= MOST_GRAMS).select("lang", "texts", "gram")
+    return rate.withColumn("best", best).where(F.col("rate") >= LEAST_OF_BEST * F.col("best")).select("lang", "texts", "gram")
 
 
 class Filters:
@@ -121,7 +118,7 @@ class Filters:
 
 def predict(docs: DataFrame, learned: DataFrame) -> DataFrame:
     """(doc_id, lang_pred, score) for each document; score: the share of its n-grams that the language has, corrected."""
-    rows = learned.toPandas()  # MOST_GRAMS rows a language at most
+    rows = learned.toPandas()  # bounded by LEAST_SHARE
     langs = sorted(rows["lang"].unique())
     sizes = rows.groupby("lang")["texts"].first()
     prior = max(range(len(langs)), key=lambda k: (sizes[langs[k]], -k), default=0)

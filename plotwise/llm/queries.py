@@ -96,12 +96,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _term_sql(terms: list[str]) -> str:
-    return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT" for t in terms)
+def _hits_sql(terms: list[str]) -> str:
+    """How many of the terms stand in the url between characters other than a-z, 0-9."""
+    return f"len(list_intersect(regexp_extract_all(u, '[a-z0-9]+'), [{', '.join(map(repr, terms))}]))"
 
 
-_STRICT = [t for t, w in url_filter.VOCABULARY.items() if w >= 1]
-_SOFT = [t for t, w in url_filter.VOCABULARY.items() if w < 1]
 _OP5_SQL = f"""
 WITH c AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, {_ASCII_LOWER.format("url")} AS u, {_ASCII_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
@@ -110,7 +109,7 @@ rules(says, rule, dom, pre) AS (VALUES {", ".join(f"('{v}', '{r}', '{r.partition
 fit AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(says, len(rule)) AS says
         FROM p JOIN rules ON (host = dom OR ends_with(host, '.' || dom)) AND starts_with(path, pre) GROUP BY page_id)
 SELECT p.page_id, host, path, rule,
-  coalesce(says, CASE WHEN ({_term_sql(_STRICT)}) >= 1 OR ({_term_sql(_SOFT)}) >= 2 THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(says, CASE WHEN {_hits_sql(url_filter.STRICT)} >= 1 OR {_hits_sql(url_filter.SOFT)} >= 2 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit USING (page_id)
 """
 

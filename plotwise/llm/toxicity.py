@@ -7,7 +7,8 @@ task that fits; the bound on coordinates (2**BITS) bounds the weights that are b
 
 Cases.  Null or empty text: no features, so the intercept's score.  No labelled row: all scores are 0.5's logistic of 0, that is 0.5.  Rows
 of labels with null toxic, or without a document, are left out; repeated ones count as often as they come.  Repeated documents: a row each.
-A null doc_id is not held out.  Only doc_id and text of the documents and doc_id and toxic of the labels are read.
+A null doc_id is not held out.  Very long texts: work and memory in proportion, in one task as their text is.  Ties in the order of training
+rows are settled by label and size.  No documents: no rows.  Only doc_id and text of the documents and doc_id and toxic of the labels are read.
 """
 
 from __future__ import annotations

@@ -341,6 +341,32 @@ def test_urls(spark):
     }
 
 
+def test_url_cases(spark):
+    clash = "page_id string, url string, host string, path string, rule string, blocked string"
+    rows = [("p", "http://a.org/" + "x/" * 50_000 + "casino", "h", "p", "r", "b"), ("p", "http://a.org/free", "h", "p", "r", "b"), ("p", "http://a.org/free", "h", "p", "r", "b")]
+    found = url_filter.judge_urls(spark.createDataFrame(rows, clash)).collect()
+    assert sorted((r.host, r.verdict, r.terms) for r in found) == [("a.org", "allow", ["free"]), ("a.org", "allow", ["free"]), ("a.org", "block", ["casino"])]
+    assert url_filter.judge_urls(spark.createDataFrame([], clash)).count() == 0
+    own = {"free": 1.0, "one": 0.25, "two": 0.75}
+    asked = spark.createDataFrame([(1, "x://free"), (2, "x://one/one"), (3, "x://one.two"), (4, "x://casino")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge_urls(asked, own).collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+    assert {r.verdict for r in url_filter.judge_urls(asked, {}).collect()} == {"allow"}
+    terms = [*url_filter.STRICT, *url_filter.SOFT]
+    assert len(set(terms)) == len(terms) and all(re.fullmatch("[a-z0-9]+", t) for t in terms)
+
+
+def test_long_texts_are_tiktokens(spark):
+    """Over the chunks of production, and runs without any boundary that are longer than a chunk."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    enc = byte_bpe.encoding(path, pattern)
+    rnd = random.Random(2)
+    prose = " ".join(rnd.choice(("the", "cat", "é", "12", "\n", "don't", "中文")) for _ in range(40_000))
+    texts = [prose, prose[:70_000] + "ab" * 30_000 + prose[:50_000], " " * 70_000 + "x", prose[:33_000], "x" * 50_000]
+    rows = [(k, t, None, None) for k, t in enumerate(texts)]
+    found = {r.doc_id: bytes(r.ids) for r in byte_bpe.encode_documents(spark.createDataFrame(rows, KIND), path, pattern).collect()}
+    assert found == {k: np.array(enc.encode_ordinary(t), "<u4").tobytes() for k, t, *_ in rows}
+
+
 def test_leaks(spark):
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (2, "short item"), (3, None), (4, ""), (5, "a a a a a a a b a a a a a a")]
     text = items[0][1]

@@ -134,6 +134,89 @@ def test_language_cases(spark):
     assert language.predict(spark.createDataFrame([], KIND), learned).count() == 0
 
 
+def test_languages_by_brute_force(spark):
+    """Plain sets of n-grams instead of filters, over the whole query: the same languages, and scores that differ by no more than the filters' errors."""
+    rnd = random.Random(12)
+    pools = {"en": "the and river house there with stone water light over".split(), "de": "das und fluss haus dort mit stein wasser licht über".split(), "es": "el y río casa allí con piedra agua luz sobre".split()}
+    rows = [(k, " ".join(rnd.choice(pools[lang]) for _ in range(rnd.randrange(3, 40))), lang, "x") for k in range(150) for lang in [rnd.choice(list(pools))]]
+    rows += [(900, "The river " * 20_000, "en", "x"), (5, rows[5][1], rows[5][2], "x"), (901, "", "en", "x"), (902, None, "de", "x")]
+    asked = [*rows, (903, "casa haus house", None, None), (904, "\u2003…", None, None)]
+
+    def grams(text):
+        folded = "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in text or "").encode()
+        padded = b"  " + folded + b" "
+        return [g for i in range(len(padded) - 3) if (g := padded[i : i + 4]) != b"    "]
+
+    texts = Counter(lang for _, t, lang, _ in rows if t is not None)
+    have = {lang: Counter() for lang in pools}
+    for _, t, lang, _ in rows:
+        if t is not None:
+            have[lang].update(set(grams(t)))
+    rate = {lang: {g: n / texts[lang] for g, n in c.items() if n / texts[lang] >= language.LEAST_SHARE} for lang, c in have.items()}
+    best = {}
+    for c in rate.values():
+        for g, r in c.items():
+            best[g] = max(best.get(g, 0), r)
+    kept = {lang: {g for g, r in c.items() if r >= language.LEAST_OF_BEST * best[g]} for lang, c in rate.items()}
+    learned = language.learn(spark.createDataFrame(rows, KIND))
+    assert {(r.lang, int(r.gram).to_bytes(4, "big")) for r in learned.collect()} == {(lang, g) for lang, c in kept.items() for g in c}
+    found = sorted(((r.doc_id, r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(asked, KIND), learned).collect()), key=repr)
+    expected = []
+    for d, t, *_ in asked:
+        g = grams(t)
+        hits = {lang: sum(x in kept[lang] for x in g) for lang in sorted(pools)}
+        top = max(hits, key=hits.get)
+        expected.append((d, top if any(map(str.isalpha, t or "")) else "und", hits[top] / max(1, len(g)) if any(map(str.isalpha, t or "")) else 0.0))
+    for (d, lang, score), (e, true, exact) in zip(found, sorted(expected, key=repr), strict=True):
+        assert d == e and lang == true and abs(score - exact) < 0.01
+    few = language.learn(spark.createDataFrame(rows, KIND), texts=7)
+    assert {r.texts for r in few.select("texts").distinct().collect()} == {7}
+
+
+def test_toxicity_by_brute_force(spark):
+    """FTRL-proximal over dictionaries, with the features of a text written as a loop."""
+    rnd = random.Random(3)
+    pool = "you foul fine day tree moon vile kind word number".split()
+    docs = [(k, " ".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 25))), "en", "x") for k in range(160)] + [(500, None, None, None), (501, "You, FOUL! " * 3000, None, None), (7, "a repeated id", None, None)]
+    labels = [(k, 1, int("foul" in (t or "").split() or "vile" in (t or "").split())) for k, t, *_ in docs if k is not None and k < 120 and k != 7]
+    p = toxicity.Ftrl(l1=0.5)
+
+    def features(text):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        w = [int(h) for h in tx.word_hashes(*[np.array(x) for x in hashed(lower)])] if lower.strip() else []
+        top = lambda h: h >> (64 - toxicity.BITS)
+        mixed = lambda h: int(tx.mix(np.array([h % 2**64], np.uint64))[0])
+        return sorted({top(h) for h in w} | {top(mixed(a * 3 + b)) for a, b in zip(w, w[1:])} | {top(mixed(a * 5 + b * 7)) for a, b in zip(w, w[2:])})  # noqa: B905
+
+    def hashed(lower):
+        spans = [m.span() for m in re.finditer("[A-Za-z0-9\u0080-\U0010ffff]+", lower)]
+        at = [len(lower[:a].encode()) for a, _ in spans], [len(lower[:b].encode()) for _, b in spans]
+        return np.frombuffer(lower.encode(), np.uint8), np.array(at[0], np.int64), np.array(at[1], np.int64)
+
+    order = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").select("doc_id", "toxic", F.xxhash64("doc_id").alias("rank")).orderBy("rank").collect()
+    text = dict((d, t) for d, t, *_ in docs)
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= p.l1:
+            return 0.0
+        return -math.copysign(abs(z[i]) - p.l1, z[i]) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for r in order:
+            i = [*features(text[r.doc_id]), "bias"]
+            g = 1 / (1 + math.exp(-sum(map(weight, i)))) - r.toxic
+            for k in i:
+                w, was = weight(k), n.get(k, 0.0)
+                n[k] = was + g * g
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n[k]) - math.sqrt(was)) / p.alpha * w
+    weights = toxicity.train(spark.createDataFrame(docs, KIND), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), p=p)
+    assert 0 < weights.count() < 2**10  # sparse
+    found = sorted(((r.doc_id, r.score) for r in toxicity.score(spark.createDataFrame(docs, KIND), weights).collect()))
+    expected = sorted((d, 1 / (1 + math.exp(-max(-35, min(35, sum(map(weight, [*features(t), "bias"]))))))) for d, t, *_ in docs)
+    assert [d for d, _ in found] == [d for d, _ in expected] and max(abs(a - b) for (_, a), (_, b) in zip(found, expected, strict=True)) < 1e-4
+
+
 def test_many_languages_share_filters():
     rng = np.random.default_rng(1)
     sets = [rng.integers(0, 1 << 32, 200, dtype=np.uint64).astype(np.uint32) for _ in range(70)]
