@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -67,20 +68,36 @@ def similar_columns(values: DataFrame, least: float = 0.5) -> DataFrame:
     return sized.select("left", "right", F.round((overlap * 3 + names) / 4, 6).alias("confidence")).where(F.col("confidence") >= least)
 
 
-def resident_totals(batches: DataFrame, session: str, order: Sequence[str], vertices: str, ceiling: int = 2_000_000) -> DataFrame:
-    """Each batch with whether it is admitted: in order, unless the running sum of the admitted would pass the ceiling; a refused one adds nothing.
+def fold_sorted(df: DataFrame, key: str, order: Sequence[str], name: str, start: Callable[[], Any], step: Callable[[Any, dict], tuple[Any, bool]]) -> DataFrame:
+    """The rows with what a rule decides of each, in order, from all decisions before it of the same key.
+
+    A key's rows come sorted to one task and are read in passing, so however long its history, only the rule's state is kept."""
+    kinds = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            said = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                row = dict(zip(batch.schema.names, row, strict=True))
+                if now != [row[key]]:
+                    now, state = [row[key]], start()
+                state, decision = step(state, row)
+                said.append(decision)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.bool_())], names=[*kinds.names, name])
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, df.schema.add(name, "boolean"))
 
-    The rule depends on every decision before, so a session's batches are folded in order; a session is bounded by what a viewer opens."""
-    step = F.struct(*order, F.col(vertices).cast("long").alias("_v"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<boolean>").alias("taken"))
 
-    def fold(acc, x):
-        fits = acc["total"] + x["_v"] <= ceiling
-        return F.struct((acc["total"] + F.when(fits, x["_v"]).otherwise(F.lit(0))).alias("total"), F.concat(acc["taken"], F.array(fits)).alias("taken"))
+def resident_totals(batches: DataFrame, session: str, order: Sequence[str], vertices: str, ceiling: int = 2_000_000) -> DataFrame:
+    """Each batch with whether it is admitted: in order, unless the running sum of the admitted would pass the ceiling; a refused one adds nothing."""
+
+    def step(total: int, row: dict) -> tuple[int, bool]:
+        fits = total + row[vertices] <= ceiling
+        return total + row[vertices] * fits, fits
 
-    grouped = batches.groupBy(session).agg(F.sort_array(F.collect_list(step)).alias("steps"))
-    folded = grouped.withColumn("taken", F.aggregate("steps", start, fold, lambda acc: acc["taken"]))
-    return folded.select(session, F.explode(F.arrays_zip("steps", "taken")).alias("z")).select(session, *(F.col(f"z.steps.{c}").alias(c) for c in order), F.col("z.steps._v").alias(vertices), F.col("z.taken").alias("admitted"))
+    rows = batches.select(session, *order, F.col(vertices).cast("long").alias(vertices))
+    return fold_sorted(rows, session, [*order, vertices], "admitted", int, step)
 
 
 def newest_generation(batches: DataFrame, dataset: str, generation: str) -> DataFrame:
@@ -96,16 +113,13 @@ def duplicate_batches(batches: DataFrame, stream: str, seq: str) -> DataFrame:
 
 def throttled(requests: DataFrame, key: str, order: Sequence[str], millis: str, gap: int = 120) -> DataFrame:
     """Each request with whether it is accepted: `gap` ms or more after the last accepted one of its key."""
-    step = F.struct(F.col(millis).cast("long").alias("_m"), *order)
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("taken"))
 
-    def fold(acc, x):
-        ok = acc["last"].isNull() | (x["_m"] - acc["last"] >= gap)
-        return F.struct(F.when(ok, x["_m"]).otherwise(acc["last"]).alias("last"), F.concat(acc["taken"], F.array(ok)).alias("taken"))
+    def step(last: int | None, row: dict) -> tuple[int | None, bool]:
+        ok = last is None or row["_m"] - last >= gap
+        return (row["_m"] if ok else last), ok
 
-    grouped = requests.groupBy(key).agg(F.sort_array(F.collect_list(step)).alias("steps"))
-    folded = grouped.withColumn("taken", F.aggregate("steps", start, fold, lambda acc: acc["taken"]))
-    return folded.select(key, F.explode(F.arrays_zip("steps", "taken")).alias("z")).select(key, *(F.col(f"z.steps.{c}").alias(c) for c in order), F.col("z.taken").alias("accepted"))
+    rows = requests.select(key, *order, F.col(millis).cast("long").alias("_m"))
+    return fold_sorted(rows, key, ["_m", *order], "accepted", lambda: None, step).drop("_m")
 
 
 def replay_tickets(events: DataFrame, dataset: str, order: Sequence[str], ttl_s: int = 30, most: int = 8) -> DataFrame:

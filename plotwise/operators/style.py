@@ -15,14 +15,13 @@ def style_violations(doc: Column, text_columns: Column) -> Column:
     """Array of violations of a style document (JSON text); empty if it is good. text_columns: the published text columns of its dataset."""
     s = F.from_json(doc, STYLE)
     layer = s["layer"]
-    keys = F.json_object_keys(F.get_json_object(doc, "$.layer"))
     matched = [layer[p]["match"].isNotNull() for p in PROPERTIES]
     n_match = sum((F.when(m, 1).otherwise(0) for m in matched), F.lit(0))
     found = [
         F.when(s.isNull() | (s["style_version"].isNull() & layer.isNull()), "not-json"),
         F.when(layer.isNotNull() & ~s["style_version"].eqNullSafe(F.lit(1)), "unsupported-version"),
         F.when(layer.isNotNull() & ~layer["geometry"].eqNullSafe(F.lit("polygon")), "geometry"),
-        F.when(F.exists(keys, lambda k: ~k.isin("geometry", *PROPERTIES)), "unknown-key"),
+        F.when(_unknown(doc), "unknown-key"),
         F.when(n_match > 1, "second-match"),
     ]
     for p in PROPERTIES:
@@ -46,13 +45,28 @@ def style_violations(doc: Column, text_columns: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def _unknown(doc: Column) -> Column:
+    """Whether an object of the document, at any level, has a key that it shouldn't."""
+
+    def other(path: str, *known: str) -> Column:
+        keys = F.json_object_keys(F.get_json_object(doc, path))
+        return F.coalesce(F.exists(keys, lambda k: ~k.isin(*known)), F.lit(False))
+
+    found = other("$", "style_version", "layer") | other("$.layer", "geometry", *PROPERTIES)
+    for p in PROPERTIES:
+        cases = F.from_json(F.get_json_object(doc, f"$.layer.{p}.match.cases"), "array<map<string,string>>")
+        strange = F.exists(cases, lambda c: F.exists(F.map_keys(c), lambda k: ~k.isin("when", "then")))
+        found = found | other(f"$.layer.{p}", "literal", "match") | other(f"$.layer.{p}.match", "column", "cases", "on_null", "on_unmatched") | F.coalesce(strange, F.lit(False))
+    return found
+
+
 def _outside(top: float):
     return lambda x: x.isNotNull() & ~F.coalesce(x.try_cast("double").between(0.0, top), F.lit(False))
 
 
 def resolve(features: DataFrame, key: str, rules: DataFrame, on_null: str, on_unmatched: str, name: str) -> DataFrame:
     """The features with the value that a match gives their key: its case, or the branch for null, or that for the unlisted. rules: (when, then), at most 64 rows."""
-    small = F.broadcast(rules.select(F.col("when").alias("_when"), F.col("then").alias("_then")))
+    small = F.broadcast(rules.limit(MAX_CASES).select(F.col("when").alias("_when"), F.col("then").alias("_then")))
     joined = features.join(small, features[key] == small["_when"], "left")
     value = F.when(F.col(key).isNull(), on_null).when(F.col("_when").isNull(), on_unmatched).otherwise(F.col("_then"))
     return joined.select(*features.columns, value.alias(name))

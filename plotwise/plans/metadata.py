@@ -12,7 +12,7 @@ from plotwise.plans.fixtures import E0, N0, PARCELS_SQL, parcels, table
 from plotwise.sources.footers import footer_inventory, row_group_statistics
 from plotwise.sources.generate import categorize, generate_features
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "events")
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query("footer_inventory", " UNION ALL ".join(f"""SELECT '{t}' AS "table", count(*) AS n_rows FROM {t}""" for t in _TABLES))

@@ -205,12 +205,9 @@ def pin_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("file_content_hashes")
 def file_content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and SHA-256 of the files of four tables; tests hold them against hashlib."""
-    out = None
-    for name in ("nation", "supplier", "customer", "orders"):
-        files = file_hashes(spark, f"{sf_dir}/{name}.parquet").select(F.lit(name).alias("table"), "bytes", "content_hash")
-        out = files if out is None else out.unionByName(files)
-    return out
+    """Size and SHA-256 of the files of all tables; tests hold them against hashlib."""
+    files = file_hashes(spark, sf_dir)
+    return files.select(F.regexp_extract("path", r"/([^/]+)\.parquet(/[^/]*)?$", 1).alias("table"), "bytes", "content_hash")
 
 
 @query(
@@ -310,11 +307,14 @@ def style_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "style_legend",
-    """SELECT c_custkey AS style_id, position::INT AS position, kind, CASE WHEN kind <> 'case' THEN NULL WHEN position = 0 THEN c_mktsegment ELSE '~' END AS value, CASE WHEN kind = 'null' THEN '#cccccc' WHEN kind = 'unmatched' THEN '#888888' WHEN position = 0 THEN '#0000ff' ELSE '#00ff00' END AS fill_color
-    FROM customer CROSS JOIN (VALUES (0, 'case'), (1, 'case'), (2, 'null'), (3, 'unmatched')) v(position, kind) WHERE c_custkey % 8 = 0""",
+    """WITH s AS (SELECT c_custkey AS style_id, c_mktsegment AS seg, c_custkey % 8 AS r FROM customer WHERE c_custkey % 8 <> 7),
+    e AS (SELECT style_id, 0 AS k, 'case' AS kind, seg AS value, '#0000ff' AS fill_color FROM s WHERE r <> 1
+      UNION ALL SELECT style_id, 1, 'case', CASE WHEN r = 2 THEN seg ELSE '~' END, CASE WHEN r = 2 THEN '#0000ff' ELSE '#00ff00' END FROM s WHERE r <> 1
+      UNION ALL SELECT style_id, 2, 'null', NULL, CASE WHEN r <> 3 THEN '#cccccc' END FROM s UNION ALL SELECT style_id, 3, 'unmatched', NULL, '#888888' FROM s)
+    SELECT style_id, (row_number() OVER (PARTITION BY style_id ORDER BY k) - 1)::INT AS position, kind, value, fill_color FROM e""",
 )
 def style_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return legend(style_documents(spark, sf_dir).where("style_id % 8 = 0"))
+    return legend(style_documents(spark, sf_dir))
 
 
 @query("wkb_bundle_rows", f"WITH {_SIZED_SQL} SELECT id, wkb::BIGINT AS wkb_len FROM sw")
