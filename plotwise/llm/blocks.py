@@ -31,7 +31,8 @@ def stored_bytes(df: DataFrame) -> int:
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(shuffle_partitions(df.sparkSession), -(-stored_bytes(df) // block_bytes), 1)
+    """By the bytes read alone, but for small tables, which are spread over the cores there are."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-stored_bytes(df) // block_bytes))
 
 
 def dealt(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA, same_as_sql
 from pyspark.sql import functions as F
 
-from plotwise.llm import byte_bpe, components, decontaminate, jaccard_join, line_dedup, quality, queries, substring_dedup, url_filter
+from plotwise.llm import blocks, byte_bpe, components, decontaminate, jaccard_join, line_dedup, quality, queries, substring_dedup, url_filter
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
 KIND = "doc_id long, text string, lang string, label string"
@@ -111,6 +111,18 @@ def test_boundaries_of_factors_are_needed(spark):
     assert [(s.first_word, s.n_words, s.source_id, s.source_word, s.boundary) for s in spans] == [(0, 20, 1, 0, False), (8, 20, 2, 0, True)]
 
 
+def test_blocks_follow_the_files(spark, tmp_path):
+    """Not what Spark guesses of joins over them."""
+    path = f"file://{tmp_path}/d"
+    spark.range(40_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 256) AS text").write.parquet(path)
+    docs = spark.read.parquet(path)
+    size = sum(f.stat().st_size for f in tmp_path.glob("d/*.parquet"))
+    assert blocks.stored_bytes(docs) == size and blocks.block_count(docs, 1 << 16) == -(-size // (1 << 16))
+    others = docs.select(F.col("doc_id").alias("other"))
+    joined = docs.join(others, F.col("doc_id") == F.col("other")).drop("other").join(others, F.col("doc_id") == F.col("other"))
+    assert blocks.stored_bytes(joined) == 3 * size
+
+
 def test_string_ids_are_refused(spark):
     docs = spark.createDataFrame([("a", "one two")], "doc_id string, text string")
     for operator in (substring_dedup.dedup_substrings, jaccard_join.join_documents, jaccard_join.linked_documents):
