@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.functions.wkb import geometry_facts, header_class, to_wkb, vertex_table
-from plotwise.operators.digests import set_digest
+from plotwise.operators.digests import LEVELS, set_digest
 from plotwise.operators.linting import lint
 from plotwise.operators.selection import extent
 from plotwise.plans.catalog import query
@@ -124,9 +124,9 @@ def feature_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry_facts(to_wkb(parcel_vertices(spark, sf_dir))).select("id", "digest")
 
 
-_DIGEST_SQL = """l1 AS (SELECT id // 1024 AS k, count(*) AS n, sha256(string_agg(CAST(id AS VARCHAR) || ':' || digest, '|' ORDER BY id)) AS d FROM src GROUP BY ALL),
-l2 AS (SELECT k // 4096 AS k2, sum(n) AS n, sha256(string_agg(CAST(k AS VARCHAR) || ':' || d, '|' ORDER BY k)) AS d FROM l1 GROUP BY ALL)
-SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(CAST(k2 AS VARCHAR) || ':' || d, '|' ORDER BY k2)) AS digest FROM l2"""
+_DIGEST_SQL = "l0 AS (SELECT id // 1024 AS k, count(*) AS n, sha256(string_agg(CAST(id AS VARCHAR) || ':' || digest, '|' ORDER BY id)) AS d FROM src GROUP BY ALL)," + ",".join(
+    f"l{j + 1} AS (SELECT {up} AS k, sum(n) AS n, sha256(string_agg(CAST(l{j}.k AS VARCHAR) || ':' || d, '|' ORDER BY l{j}.k)) AS d FROM l{j} GROUP BY {up})" for j, up in enumerate([f"l{j}.k // 4096" for j in range(LEVELS)])
+) + f" SELECT sum(n)::BIGINT AS n_rows, sha256(string_agg(CAST(k AS VARCHAR) || ':' || d, '|' ORDER BY k)) AS digest FROM l{LEVELS}"
 
 
 @query("set_digest", f"WITH src AS (SELECT o_orderkey AS id, sha256(o_orderpriority) AS digest FROM orders), {_DIGEST_SQL}")

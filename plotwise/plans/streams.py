@@ -75,7 +75,7 @@ m AS (SELECT ticket, min(at_s) FILTER (action = 'mint') AS mint FROM e GROUP BY
 
 @query(
     "stream_tickets",
-    f"WITH {_TICKETS}, l AS (SELECT e.ticket, arg_min(action, (at_s, action)) AS action, min(at_s) AS at_s FROM e JOIN m ON m.ticket = e.ticket WHERE action <> 'mint' AND at_s BETWEEN mint AND mint + 29 GROUP BY e.ticket) SELECT ticket, CASE action WHEN 'redeem' THEN 'redeemed' ELSE 'cancelled' END AS state, at_s FROM l",
+    f"WITH {_TICKETS}, l AS (SELECT e.ticket, arg_min(action, (at_s, action)) AS action, min(at_s) AS at_s FROM e JOIN m ON m.ticket = e.ticket WHERE action <> 'mint' AND at_s BETWEEN mint AND mint + 29 GROUP BY e.ticket) SELECT ticket, CASE action WHEN 'redeem' THEN 'redeemed' ELSE 'cancelled' END AS state, at_s FROM l UNION ALL SELECT ticket, 'expired', mint + 30 FROM m WHERE mint + 30 < (SELECT max(at_s) FROM e) AND ticket NOT IN (SELECT ticket FROM l)",
 )
 def stream_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, t = F.col("event_id"), F.expr("event_id div 3")
@@ -88,8 +88,8 @@ def stream_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stream_stalls",
     """WITH o AS (SELECT user_id, event_id, event_id * 400 AS ms, CASE event_type WHEN 'view' THEN 'begin' WHEN 'error' THEN 'end' ELSE 'tick' END AS kind FROM events),
     b AS (SELECT user_id, ms, lead(CASE WHEN kind <> 'tick' THEN ms END IGNORE NULLS) OVER w AS next_armed, kind, lead(ms) OVER w AS n FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
-    x AS (SELECT b.user_id, b.ms AS begun_ms, b.next_armed, min(o.ms) AS seen FROM b JOIN o ON o.user_id = b.user_id AND o.ms > b.ms + 5000 WHERE b.kind = 'begin' GROUP BY ALL)
-    SELECT user_id, begun_ms FROM x WHERE next_armed IS NULL OR seen <= next_armed""",
+    x AS (SELECT b.user_id, b.ms AS begun_ms, b.next_armed, min(o.ms) AS seen FROM b LEFT JOIN o ON o.user_id = b.user_id AND o.ms > b.ms + 5000 WHERE b.kind = 'begin' GROUP BY ALL)
+    SELECT user_id, begun_ms FROM x WHERE seen <= coalesce(next_armed, seen) OR (next_armed IS NULL AND begun_ms + 5000 < (SELECT max(ms) FROM o))""",
 )
 def stream_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "begin").when(F.col("event_type") == "error", "end").otherwise("tick")

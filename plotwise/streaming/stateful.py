@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -41,39 +42,67 @@ def throttle(requests: DataFrame, gap: int = 120) -> DataFrame:
     return requests.groupBy("user_id").applyInPandasWithState(rule, "user_id long, event_id long, accepted boolean", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def tickets(events: DataFrame, ttl_s: int = 30) -> DataFrame:
-    """events (ticket, action, at_s): the first action that ends a live ticket, once: redeemed or cancelled. Later ones and those beyond the TTL give nothing."""
+def _wake(state: GroupState, at_ms: int) -> None:
+    """Ask to be called once the watermark has passed a time."""
+    state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def tickets(events: DataFrame, ttl_s: int = 30, keep_s: int = 300) -> DataFrame:
+    """events (ticket, action, at_s): how each minted ticket ends, once: redeemed or cancelled within its time, or expired when the watermark has passed it.
+
+    What comes for an ended ticket gives nothing; its tombstone is dropped `keep_s` after the end, so the state doesn't grow for ever."""
 
     def rule(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minted, ended = state.get if state.exists else (None, False)
+        minted, ended = state.get if state.exists else (None, None)
         out = []
-        for action, at in pd.concat(list(frames)).sort_values(["at_s", "action"])[["action", "at_s"]].itertuples(index=False):
-            if action == "mint":
-                minted = at if minted is None else minted
-            elif minted is not None and not ended and minted <= at < minted + ttl_s:
-                ended = True
-                out.append((key[0], "redeemed" if action == "redeem" else "cancelled", int(at)))
-        state.update((None if minted is None else int(minted), bool(ended)))
+        if state.hasTimedOut:
+            if ended is not None:
+                state.remove()
+                return
+            ended = minted + ttl_s
+            out.append((key[0], "expired", int(ended)))
+        else:
+            for action, at in pd.concat(list(frames)).sort_values(["at_s", "action"])[["action", "at_s"]].itertuples(index=False):
+                if action == "mint":
+                    minted = at if minted is None else minted
+                elif minted is not None and ended is None and minted <= at < minted + ttl_s:
+                    ended = at
+                    out.append((key[0], "redeemed" if action == "redeem" else "cancelled", int(at)))
+        state.update((None if minted is None else int(minted), None if ended is None else int(ended)))
+        if minted is not None:
+            _wake(state, 1000 * int(minted + ttl_s if ended is None else ended + keep_s))
         yield pd.DataFrame(out, columns=["ticket", "state", "at_s"])
 
-    return events.groupBy("ticket").applyInPandasWithState(rule, "ticket long, state string, at_s long", "minted long, ended boolean", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("at", F.timestamp_seconds("at_s")).withWatermark("at", "0 seconds")
+    return timed.groupBy("ticket").applyInPandasWithState(rule, "ticket long, state string, at_s long", "minted long, ended long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stalls(events: DataFrame, bound_ms: int = 5000) -> DataFrame:
-    """events (user_id, event_id, kind, ms) with kind begin, end or tick: a row for each begin that no end follows within the bound, found when a later event shows the time; re-armed by the next begin."""
+    """events (user_id, event_id, kind, ms) with kind begin, end or tick: a row for each begin that no end follows within the bound; re-armed by the next begin.
+
+    A stall is told by the user's next event, or by the watermark if none comes."""
 
     def rule(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         begun = state.get[0] if state.exists else None
         out = []
-        for kind, ms in pd.concat(list(frames)).sort_values(["ms", "event_id"])[["kind", "ms"]].itertuples(index=False):
-            if begun is not None and ms - begun > bound_ms:
-                out.append((key[0], int(begun)))
-                begun = None
-            if kind == "begin":
-                begun = ms
-            elif kind == "end":
-                begun = None
-        state.update((None if begun is None else int(begun),))
+        if state.hasTimedOut:
+            out.append((key[0], int(begun)))
+            begun = None
+        else:
+            for kind, ms in pd.concat(list(frames)).sort_values(["ms", "event_id"])[["kind", "ms"]].itertuples(index=False):
+                if begun is not None and ms - begun > bound_ms:
+                    out.append((key[0], int(begun)))
+                    begun = None
+                if kind == "begin":
+                    begun = ms
+                elif kind == "end":
+                    begun = None
+        if begun is not None:
+            state.update((int(begun),))
+            _wake(state, int(begun) + bound_ms)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["user_id", "begun_ms"])
 
-    return events.groupBy("user_id").applyInPandasWithState(rule, "user_id long, begun_ms long", "begun long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", "0 seconds")
+    return timed.groupBy("user_id").applyInPandasWithState(rule, "user_id long, begun_ms long", "begun long", "append", GroupStateTimeout.EventTimeTimeout)
