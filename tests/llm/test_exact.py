@@ -548,3 +548,22 @@ def test_pipeline_of_nothing(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
 
+
+
+@needs_data
+def test_stages_keep_any_columns(spark):
+    """Names that the operators use inside, null and repeated ids, null, empty and long texts."""
+    import corpus_pipeline
+
+    extra = ["windows", "line_facts", "later_id", "leaked_id", "gone", "component_id", "id", "text_", "n_chars"]
+    rnd = random.Random(4)
+    prose = [" ".join(f"v{rnd.randrange(4000)}" for _ in range(60)) for _ in range(12)]
+    rows = [(k, prose[k % 11], *([k] * len(extra))) for k in range(22)] + [(None, prose[11], *([1] * len(extra))), (3, None, *([1] * len(extra))), (4, "", *([1] * len(extra))), (90, " ".join(f"w{k}" for k in range(30_000)), *([1] * len(extra)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} long" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        kept = Counter(r.doc_id for r in out.collect())
+        assert kept[None] == 1 and kept[90] == 1 and kept[0] == 1, name
+        assert kept[11] == (0 if name == "n-gram Jaccard join" else 1), name  # the text of document 0 again
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == len(rows)
