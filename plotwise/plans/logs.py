@@ -10,7 +10,8 @@ from plotwise.operators.spans import derive_spans
 from plotwise.operators.text_scan import NEEDLES, scan_text
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import table
-from plotwise.sources.audit import SCHEMA, parse_audit
+from plotwise.sources.audit import SCHEMA, parse_audit, read_audit
+from plotwise.storage import shared_folder
 
 _AT = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 
@@ -58,6 +59,17 @@ def audit_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("line_no", "corrupt_reason", F.when(good, F.col("phase")).alias("phase"), F.when(good, F.col("attempt")).alias("attempt"))
 
 
+@query("audit_files", f"WITH {_AUDIT_SQL} SELECT line_no // 2000 AS log, row_number() OVER (PARTITION BY line_no // 2000 ORDER BY line_no)::INT AS line_no, corrupt_reason, CASE WHEN corrupt_reason IS NULL THEN attempt END AS attempt FROM al")
+def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files of two thousand ids each, written and read back with the numbers of their lines."""
+    folder = shared_folder(spark, "audit-logs")
+    lines = audit_lines(spark, sf_dir).groupBy(F.expr("line_no div 2000").alias("log")).agg(F.sort_array(F.collect_list(F.struct("line_no", "value"))).alias("lines"))
+    lines.select("log", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value")).write.partitionBy("log").text(folder)
+    read = read_audit(spark, folder)
+    log = F.regexp_extract("file", r"/log=(\d+)/", 1).cast("long")
+    return read.select(log.alias("log"), "line_no", "corrupt_reason", F.when(F.col("corrupt_reason").isNull(), F.col("attempt")).alias("attempt"))
+
+
 @query(
     "audit_pairs",
     f"""WITH {_AUDIT_SQL}, i AS (SELECT attempt, line_no FROM al WHERE corrupt_reason IS NULL AND phase = 'intent'), o AS (SELECT attempt, line_no FROM al WHERE corrupt_reason IS NULL AND phase = 'outcome')
@@ -218,7 +230,6 @@ def drive_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trace_source", "SELECT event_type AS name, count(*) AS n, max(epoch_us(ts) * 1000)::BIGINT AS last FROM events WHERE event_id % 50 <> 0 GROUP BY ALL UNION ALL SELECT '(broken)', count(*), NULL FROM events WHERE event_id % 50 = 0")
 def trace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as trace lines, some broken, and read back by kind."""
-    from plotwise.storage import shared_folder
     from plotwise.sources.artifacts import read_traces
 
     micros = F.unix_micros(F.col("ts").cast("timestamp")) * 1000

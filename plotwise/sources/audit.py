@@ -14,11 +14,11 @@ FIELDS = (
 
 
 def parse_audit(lines: DataFrame) -> DataFrame:
-    """lines (line_no, value) with the record's fields and `corrupt_reason`, null where the line is good; blank lines are left out.
+    """lines (line_no, value, and what else there is) with the record's fields and `corrupt_reason`, null where the line is good; blank lines are left out.
 
     approval is the older name of approval_route."""
     record = F.from_json("value", f"{FIELDS}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    parsed = lines.where(F.trim("value") != "").select("line_no", "value", record.alias("r"))
+    parsed = lines.where(F.trim("value") != "").select("*", record.alias("r"))
     r = F.col("r")
     reason = (
         F.when(r.isNull() | r["_broken"].isNotNull(), "not-json")
@@ -29,11 +29,11 @@ def parse_audit(lines: DataFrame) -> DataFrame:
         .when((r["phase"] == "outcome") & (r["at"].isNull() | r["outcome"].isNull()), "outcome-missing-fields")
     )
     fields = [F.coalesce(r["approval_route"], r["approval"]).alias("approval_route") if f == "approval_route" else r[f].alias(f) for f in (x.split()[0] for x in FIELDS.split(",")) if f != "approval"]
-    return parsed.select("line_no", "value", reason.alias("corrupt_reason"), *fields)
+    return parsed.select(*lines.columns, reason.alias("corrupt_reason"), *fields)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Audit files as text; the line number is the row's place in its file as Spark reads it whole, so files should be read unsplit (they are small)."""
-    text = spark.read.option("wholetext", True).text(path)
-    lines = text.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return parse_audit(lines.select("file", (F.col("line_no") + 1).alias("line_no"), "value").select("line_no", "value"))
+    """(file, line_no, ...) of audit files. A file is read whole, so that its lines can be numbered; logs are rolled before they are large."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    return parse_audit(lines.withColumn("line_no", F.col("line_no") + 1))
