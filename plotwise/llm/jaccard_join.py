@@ -8,8 +8,8 @@ Their ordered sets are stored in a trie, a node for each beginning where sets pa
 with a node's label is counted once for all sets below it, and a whole subtree is left as soon as the overlap so far and what remains of the
 centre, or of the longest set below, can't reach the bound of the shortest.
 
-Which pairs: first each shingle's group is tied to its likely hub (a star, not all pairs); then only documents that are not yet in one
-component are tried, if places, sizes and bitmaps leave a link possible.  (A bitmap has one bit toggled for each shingle; where two differ in
+Which pairs: first each shingle's group is tied to its likely hub (a star, not all pairs); then of the documents that are not yet in one
+component, and may link by places, sizes and bitmaps, a forest of the likeliest pairs is tried; last all such pairs that are still left.  (A bitmap has one bit toggled for each shingle; where two differ in
 more bits than the sets may in shingles, there is no link.)  So a group of many near copies costs its size, and no link between different
 components is lost.  Documents with equal sets are one class, and stand in the join as one, by the least id.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwise.llm import blocks, text as tx
-from plotwise.llm.components import components
+from plotwise.llm.components import components, contract
 from plotwise.llm.shared import integer_ids, pieces, saved
 
 WORDS = 5
@@ -327,23 +327,30 @@ def _grouped(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     tried = saved(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "jaccard-pairs")
     links = saved(_links(own, tried, shared), "jaccard-links")
     groups = components(links)
+    # of repeated ids there is no bitmap, and they are not pruned
+    bitmaps = facts.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("bitmap")).alias("bitmap"))
+    for forest in (True, False):
+        rest = _apart(tokens, groups, bitmaps, forest)
+        rest = saved(rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "jaccard-pairs")
+        if not rest.isEmpty():
+            tried = tried.unionByName(rest)
+            links = saved(links.unionByName(_links(own, rest, shared)), "jaccard-links")
+            groups = components(links)
+    return facts, classes, groups
 
+
+def _apart(tokens: DataFrame, groups: DataFrame, bitmaps: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of documents that share a shingle and may link, but are in different components yet; or, of large groups, a forest of them."""
     mine = tokens.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = mine.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("token", "n")
     mine = mine.join(mixed, "token")
     small, large = mine.where(F.col("n") <= SMALL_GROUP), mine.where(F.col("n") > SMALL_GROUP)
     few = small.alias("x").join(small.alias("y"), "token").where((F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & _can_link("x", "y"))
     few = few.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    # of repeated ids there is no bitmap, and they are not pruned
-    bitmaps = facts.groupBy("doc_id").agg(F.when(F.count("*") == 1, F.first("bitmap")).alias("bitmap"))
     large = large.withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int")).join(bitmaps, "doc_id")
     large = large.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = large.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "size", "place", "component", "bitmap")
-    rest = few.unionByName(met.groupBy("token", "i", "j").applyInArrow(_near_pairs, "a long, b long")).distinct()
-    rest = saved(rest.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "jaccard-pairs")
-    if not rest.isEmpty():
-        groups = components(links.unionByName(_links(own, rest, shared)))
-    return facts, classes, groups
+    return few.unionByName(met.groupBy("token", "i", "j").applyInArrow(_near_pairs(forest), "a long, b long")).distinct()
 
 
 def _labelled(facts: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -443,8 +450,8 @@ def _block_links(count: bool):
 
 
 def _bits(size: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: a power of two, twice its size or more, within bounds."""
-    return np.clip(1 << np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), 64, 8192)
+    """Bits of a set's bitmap: a power of two, four times its size or more, within bounds."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64), 64, 8192)
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,13 +470,49 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _near_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of one shingle's documents in different components that places, sizes and bitmaps leave possible. Only pairs of parts (i, j) are tried here."""
+def spanning(left: np.ndarray, right: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a cheapest forest: each tree takes its cheapest edge to another, and the trees are joined, until no edge leads on."""
+    nodes, ends = np.unique(np.concatenate((left, right)), return_inverse=True)
+    label = np.arange(len(nodes))
+    edges, chosen = np.argsort(cost, kind="stable"), [np.zeros(0, np.int64)]
+    while True:
+        x, y = label[ends[edges]], label[ends[len(left) + edges]]
+        apart = x != y
+        edges, x, y = edges[apart], x[apart], y[apart]
+        if not len(edges):
+            return np.unique(np.concatenate(chosen))
+        place = np.full(len(nodes), len(edges))
+        for side in (x, y):
+            np.minimum.at(place, side, np.arange(len(edges)))
+        best = np.unique(place[place < len(edges)])
+        chosen.append(edges[best])
+        moved, to = contract(x[best], y[best])
+        joined = np.arange(len(nodes))
+        joined[moved] = to
+        label = joined[label]
+
+
+def _near_pairs(forest: bool):
+    """Pairs of one shingle's documents in different components that places, sizes and bitmaps leave possible; or a forest of the likeliest, so that
+    the links among them join the components before all pairs that are left are tried."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, differ, component_a, component_b = _possible(table)
+        if forest and len(a):
+            keep = spanning(component_a, component_b, differ)
+            a, b = a[keep], b[keep]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    return run
+
+
+def _possible(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Pairs, the share of their shingles in which they surely differ, and their components. Only pairs of parts (i, j) are tried here."""
     ids, size, place, component, part = (table.column(c).to_numpy() for c in ("doc_id", "size", "place", "component", "part"))
     maps = table.column("bitmap").to_pylist()
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     width = np.array([len(m) // 8 if m else 0 for m in maps])
-    out_a, out_b = [], []
+    out = []
 
     def rows(w: int, p: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero((width == w) & (part == p))
@@ -498,14 +541,14 @@ def _near_pairs(table: pa.Table) -> pa.Table:
                 total = size[p][:, None] + size[right][None, :]
                 ok &= 7 * np.minimum((size - place)[p][:, None], (size - place)[right][None, :]) >= 3 * total
                 p_at, r_at = np.nonzero(ok)
+                share = np.zeros(len(p_at))
                 if w and len(p_at):
                     differ = np.zeros(len(p_at), np.int64)
                     for c in range(w):
                         differ += np.bitwise_count(lm[k + p_at, c] ^ rm[r_at, c])
                     both = total[p_at, r_at]
                     near = 7 * (both - differ) >= 6 * both
-                    p_at, r_at = p_at[near], r_at[near]
-                out_a.append(ids[p[p_at]])
-                out_b.append(ids[right[r_at]])
-    a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (out_a, out_b))
-    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+                    p_at, r_at, share = p_at[near], r_at[near], differ[near] / both[near]
+                m, k_at = p[p_at], right[r_at]
+                out.append((ids[m], ids[k_at], share, component[m], component[k_at]))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))

@@ -231,6 +231,18 @@ def test_trie_shares_and_leaves_subtrees():
     assert apart.linked(centre) == [] and apart.read <= 512  # all fifty are left together
 
 
+def test_spanning_forest():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 30, 300):
+        left, right, cost = rng.integers(0, 40, n) * 7, rng.integers(0, 40, n) * 7, rng.random(n).round(1)
+        kept = jaccard_join.spanning(left, right, cost)
+        apart = left != right
+        trees = {frozenset((a, b)) for a, b in zip(*components.contract(left[apart], right[apart]), strict=True)}
+        assert {frozenset((a, b)) for a, b in zip(*components.contract(left[kept], right[kept]), strict=True)} == trees
+        assert len(kept) == len(trees) and (len(kept) == 0 or cost[kept].min() == cost[apart].min())
+    assert len(jaccard_join.spanning(left[:0], right[:0], cost[:0])) == 0
+
+
 @pytest.mark.parametrize("task_edges", [1 << 18, 20])
 def test_components_of_edges(spark, task_edges):
     rnd = random.Random(3)
