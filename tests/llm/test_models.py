@@ -170,7 +170,7 @@ def test_languages_by_brute_force(spark):
     for (d, lang, score), (e, true, exact) in zip(found, sorted(expected, key=repr), strict=True):
         assert d == e and lang == true and abs(score - exact) < 0.01
     few = language.learn(spark.createDataFrame(rows, KIND), texts=7)
-    assert {r.texts for r in few.select("texts").distinct().collect()} == {7}
+    assert max(r.texts for r in few.select("texts").distinct().collect()) <= 7 < min(texts.values())
 
 
 def test_toxicity_by_brute_force(spark):
