@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What is looked for, without regard to ASCII case, and its class.
@@ -29,55 +33,53 @@ NEEDLES = (
 )
 #: The shortest printable run that a finding stands in, and the bytes shown on either side.
 MIN_RUN, AROUND = 12, 24
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_NONE_TYPE = "array<struct<class:string,byte_offset:int,run:int,excerpt:string,at:int,n:int>>"
 _DRIVE = r"(?<![A-Za-z0-9_])[A-Za-z]:[\\/]"
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_BEFORE, _AFTER = re.compile(r"[ -~]*\Z"), re.compile(r"[ -~]*")
 
 
-def _finding(kind: Column, text: Column, prefix_chars: Column, length: Column) -> Column:
-    """struct(class, byte_offset, run, excerpt): run is the printable stretch around the match."""
-    before, after = F.substring(text, F.lit(1), prefix_chars), F.substring(text, prefix_chars + length + 1, F.lit(1 << 30))
-    run = F.length(F.regexp_extract(before, r"[ -~]*$", 0)) + length + F.length(F.regexp_extract(after, r"^[ -~]*", 0))
-    at = F.octet_length(before)
-    start = F.greatest(prefix_chars - AROUND, F.lit(0))
-    excerpt = F.translate(F.substring(text, start + 1, prefix_chars - start + length + AROUND), "\n\r", "  ")
-    return F.struct(kind.alias("class"), at.alias("byte_offset"), run.alias("run"), excerpt.alias("excerpt"), prefix_chars.alias("at"), length.alias("n"))
-
-
-def _occurrences(text: Column, lowered: Column, needle: str, kind: str) -> Column:
-    n = ((F.length(lowered) - F.length(F.replace(lowered, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
-    nth = F.transform(F.sequence(F.lit(1), n), lambda k: _finding(F.lit(kind), text, F.length(F.call_function("substring_index", lowered, F.lit(needle), k)), F.lit(len(needle))))
-    return F.when(n > 0, nth).otherwise(F.array().cast(_NONE_TYPE))
+def _findings(text: str, wanted: Sequence[tuple[str, str]], drives: bool, declared: Sequence[str]) -> Iterator[tuple[str, int, str]]:
+    """(class, byte offset, excerpt) of a text's findings that stand in a printable run of MIN_RUN or more."""
+    low = text.translate(_LOWER)
+    places = [(m.start(), m.end() - m.start(), kind) for needle, kind in wanted for m in re.finditer(re.escape(needle), low)]
+    if drives:
+        places += [(m.start(), m.end() - m.start(), "local-filesystem-path") for m in re.finditer(_DRIVE, text)]
+    for at, n, kind in places:
+        # a run is told from the few characters around, and read on only if these are all printable
+        before = _BEFORE.search(text[max(0, at - MIN_RUN) : at]).group()
+        after = _AFTER.match(text, at + n, at + n + MIN_RUN).group()
+        if len(before) + n + len(after) < MIN_RUN:
+            continue
+        if kind in ("username", "machine-identifier") and any(low.find(d, max(at + n - len(d), 0), at + len(d)) >= 0 for d in declared):
+            kind = "operator-declared"
+        excerpt = text[max(0, at - AROUND) : at + n + AROUND].replace("\n", " ").replace("\r", " ")
+        yield kind, len(text[:at].encode()), excerpt
 
 
 def scan_text(rows: DataFrame, needles=NEEDLES, drives: bool = True, usernames=(), hostnames=(), declared=()) -> DataFrame:
     """rows (source, key, text) to findings (source, key, class, byte_offset, excerpt), by row.
 
-    A row is looked at closely only if it contains one of the strings without regard to any case: a pass of plain searches. A user or host name wholly inside a declared string is
-    `operator-declared`; credentials and paths never are."""
-    lowered = F.translate("text", _UPPER, _UPPER.lower())
-    names = [(u.lower(), "username") for u in usernames] + [(h.lower(), "machine-identifier") for h in hostnames]
-    wanted = [*needles, *names]
+    A row is looked at closely, by a Python task, only if it contains one of the strings without regard to any case: a pass of plain searches.
+    A user or host name wholly inside a declared string is `operator-declared`; credentials and paths never are."""
+    wanted = [*needles, *((u.lower(), "username") for u in usernames), *((h.lower(), "machine-identifier") for h in hostnames)]
+    long_enough = [d.translate(_LOWER) for d in declared if len(d.strip()) >= MIN_RUN]
     folded = F.lower("text")
     near = F.lit(False)
     for n, _ in wanted:
         near = near | folded.contains(n)
     if drives:
         near = near | ((F.col("text").contains(":\\") | F.col("text").contains(":/")) & F.col("text").rlike(_DRIVE))
-    hits = rows.where(near).withColumn("_low", lowered)
-    found = [_occurrences(F.col("text"), F.col("_low"), n, k) for n, k in wanted]
-    if drives:
-        parts = F.split("text", _DRIVE, -1)
-        ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, F.lit(1), k), F.lit(0), lambda a, p: a + F.length(p)) + (k - 1) * 3)
-        paths = F.transform(ends, lambda p: _finding(F.lit("local-filesystem-path"), F.col("text"), p, F.lit(3)))
-        found.append(F.when(F.size(parts) > 1, paths).otherwise(F.array().cast(_NONE_TYPE)))
-    every = hits.select("source", "key", "text", F.explode(F.flatten(F.array(*found))).alias("f")).where(F.col("f.run") >= MIN_RUN)
-    kind = F.col("f.class")
-    for text in declared:
-        if len(text.strip()) >= MIN_RUN:
-            # an occurrence that covers the match lies in the window that reaches its length to either side
-            start = F.greatest(F.col("f.at") + F.col("f.n") - len(text), F.lit(0))
-            window = F.substring("text", start + 1, F.col("f.at") + len(text) - start)
-            inside = F.instr(F.translate(window, _UPPER, _UPPER.lower()), text.translate(str.maketrans(_UPPER, _UPPER.lower()))) > 0
-            kind = F.when(F.col("f.class").isin("username", "machine-identifier") & inside, "operator-declared").otherwise(kind)
-    return every.select("source", "key", kind.alias("class"), "f.byte_offset", "f.excerpt")
+    hits = rows.where(near).select("source", "key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, *f) for k, text in enumerate(batch.column("text").to_pylist()) for f in _findings(text, wanted, drives, long_enough)]
+            row, kind, offset, excerpt = zip(*found, strict=True) if found else ((), (), (), ())
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("source").take(at), batch.column("key").take(at), pa.array(kind, pa.string()), pa.array(offset, pa.int32()), pa.array(excerpt, pa.string())],
+                names=["source", "key", "class", "byte_offset", "excerpt"],
+            )
+
+    kinds = {c: hits.schema[c].dataType.simpleString() for c in ("source", "key")}
+    return hits.mapInArrow(run, f"source {kinds['source']}, key {kinds['key']}, class string, byte_offset int, excerpt string")
