@@ -116,6 +116,7 @@ def near_items(windows: DataFrame, items: DataFrame) -> DataFrame:
 
     index = items.select("item_id", "n", F.col("fp").alias("item_fp"), blocks(F.col("fp"), _flips()).alias("at")).select("item_id", "n", "item_fp", "at.*")
     asked = windows.select("n", "fp").distinct().select("n", "fp", blocks(F.col("fp"), [0]).alias("at")).select("n", "fp", "at.*")
+    index = index.hint("merge")  # Spark takes it for as small as the items are, and would broadcast it
     return asked.join(index, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("n", "fp", "item_id").distinct()
 
 
