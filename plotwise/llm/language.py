@@ -75,14 +75,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, texts: int = TRAIN_TEXTS) -> DataFrame:
     """(lang, texts, gram) of the n-grams kept for each language."""
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    size = docs.groupBy("lang").agg(F.count("*").alias("all"))
+    size = docs.groupBy("lang").agg(F.count("*").alias("all"))  # a row a language, like the filters; broadcast, or all texts would be shuffled by language
     rank = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30))
-    likely = docs.join(size, "lang").withColumn("rank", rank).where(F.col("rank") < 1.5 * texts / F.col("all") * (1 << 30) + 1)  # few more than are wanted
+    likely = docs.join(F.broadcast(size), "lang").withColumn("rank", rank).where(F.col("rank") < 1.5 * texts / F.col("all") * (1 << 30) + 1)  # few more than are wanted
     first = F.row_number().over(Window.partitionBy("lang").orderBy("rank", F.xxhash64("text")))
     chosen = likely.withColumn("place", first).where(F.col("place") <= texts).select("text", "lang")
     counted = chosen.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     taken = chosen.groupBy("lang").agg(F.count("*").alias("texts"))
-    rate = counted.join(taken, "lang").withColumn("rate", F.col("n") / F.col("texts")).where(F.col("rate") >= LEAST_SHARE)
+    rate = counted.join(F.broadcast(taken), "lang").withColumn("rate", F.col("n") / F.col("texts")).where(F.col("rate") >= LEAST_SHARE)
     best = F.max("rate").over(Window.partitionBy("gram"))
     return rate.withColumn("best", best).where(F.col("rate") >= LEAST_OF_BEST * F.col("best")).select("lang", "texts", "gram")
 
