@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.llm import byte_bpe, decontaminate, jaccard_join, language, line_dedup, lm, quality, substring_dedup, toxicity, url_filter
+from plotwise.llm import byte_bpe, decontaminate, jaccard_join, language, line_dedup, lm, periodic_runs, quality, substring_dedup, toxicity, url_filter
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -176,8 +176,30 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth document, by a hash of its id, repeats its words from some place on with some period."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w, n, g = F.col("w"), F.size("w"), F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    worded = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("w"))
+    again = F.transform(w, lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get(w, F.col("a") + (i - F.col("a")) % F.col("p"))))
+    placed = worded.select("doc_id", "text", "w", F.when(n > 0, a).alias("a"), F.when(n > 0, p).alias("p"))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_made_periodic(_read(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    top = F.reduce("runs", none, lambda best, x: F.when(best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda x: F.format_string("%d,%d,%d\n", x["start"], x["length"], x["period"])), "")
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"))
+    milli = F.expr("(1000 * top.length) div top.period")
+    return told.select("doc_id", "n_runs", "top.start", "top.length", "top.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_toxicity, op4_jaccard_join, op4_jaccard_links, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_toxicity, op4_jaccard_join, op4_jaccard_links, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
