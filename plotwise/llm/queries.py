@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.llm import byte_bpe, decontaminate, jaccard_join, language, line_dedup, lm, periodic_runs, quality, substring_dedup, toxicity, url_filter
+from plotwise.llm import byte_bpe, decontaminate, jaccard_join, language, line_dedup, lm, mixing, periodic_runs, quality, substring_dedup, toxicity, url_filter
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -198,9 +198,30 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_runs", "top.start", "top.length", "top.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_OP12_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS nameless, len({_WORDS})::BIGINT AS size,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, {mixing.HASH_BITS // 4}))::BIGINT AS hash FROM documents),
+g AS (SELECT source, nameless, sum(size)::BIGINT AS n FROM d GROUP BY ALL),
+s AS (SELECT *, {list(mixing.WEIGHTS)}[1 + (row_number() OVER (ORDER BY nameless, source) - 1) % {len(mixing.WEIGHTS)}] AS w FROM g),
+o AS (SELECT *, {mixing.SHARE} * (sum(n) OVER ())::DOUBLE AS budget, sum(w) OVER (ORDER BY n / w, nameless, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights,
+        coalesce(sum({mixing.MOST} * n) OVER (ORDER BY n / w, nameless, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS taken_before FROM s),
+f AS (SELECT *, w * (budget - taken_before) >= {mixing.MOST} * n * weights AS capped FROM o),
+l AS (SELECT any_value(budget) - coalesce(sum({mixing.MOST} * n) FILTER (capped), 0)::DOUBLE AS rest, coalesce(sum(w) FILTER (NOT capped), 1) AS weights FROM f),
+t AS (SELECT source, nameless, n, CASE WHEN capped THEN {mixing.MOST}::DOUBLE * n ELSE w::DOUBLE * l.rest / l.weights::DOUBLE END AS target FROM f, l),
+k AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n)::BIGINT ELSE 0 END AS whole FROM t),
+c AS (SELECT doc_id, size, n, target, whole, target - whole * n AS rest, sum(size) OVER (PARTITION BY source, nameless ORDER BY hash) AS through,
+        sum(size) OVER (PARTITION BY source, nameless, hash) AS own FROM d JOIN k USING (source, nameless))
+SELECT doc_id, size, n AS source_size, target, (size * (whole + (2 * rest >= 2 * through - own)::BIGINT))::BIGINT AS taken FROM c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_toxicity, op4_jaccard_join, op4_jaccard_links, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe, op11_periodic_runs)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_toxicity, op4_jaccard_join, op4_jaccard_links, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe, op11_periodic_runs, op12_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1_SQL, "op2_decontamination": _OP2_SQL, "op4_jaccard_join": _OP4_SQL, "op5_url_filters": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_line_dedup": _OP7_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op2_decontamination": _OP2_SQL, "op4_jaccard_join": _OP4_SQL, "op5_url_filters": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op12_source_mixing": _OP12_SQL}

@@ -9,10 +9,10 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from conftest import DATA
+from conftest import DATA, same_as_sql
 from pyspark.sql import functions as F
 
-from plotwise.llm import periodic_runs, queries
+from plotwise.llm import mixing, periodic_runs, queries
 from plotwise.llm import text as tx
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
@@ -117,3 +117,86 @@ def test_op11_against_brute_force(spark):
         assert r["runs_sha256"] == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in found).encode()).hexdigest()
         assert r["collapsed_sha256"] == hashlib.sha256(collapsed(w, found).encode()).hexdigest()
     assert some > 10
+
+
+def brute_targets(sizes, share, weights, most):
+    """Targets by source, in order: the excess is shared again by weight until none is above its bound."""
+    budget, w = Fraction(share) * sum(sizes), [weights[k % len(weights)] for k in range(len(sizes))]
+    target, free = [Fraction(0)] * len(sizes), set(range(len(sizes)))
+    while free and budget:
+        each = budget / sum(w[k] for k in free)
+        budget = Fraction(0)
+        for k in free:
+            target[k] += each * w[k]
+        for k in list(free):
+            if target[k] >= Fraction(most) * sizes[k]:
+                budget += target[k] - Fraction(most) * sizes[k]
+                target[k] = Fraction(most) * sizes[k]
+                free.discard(k)
+    return target
+
+
+def mixture(spark):
+    rnd = random.Random(4)
+    rows = [(k, " ".join("w" * rnd.randrange(1, 9) for _ in range(rnd.randrange(0, 60))), "en", rnd.choice(("a", "a", "a", "B", "é", "", None, "zz"))) for k in range(600)]
+    rows += [(None, "x y", "en", "a"), (None, None, None, None), (7, "", "en", "B"), (900, "same words here", "en", "twins"), (900, "same words here", "en", "twins"), (901, " \t", "en", "void"), (902, "long " * 5000, "en", "big")]
+    return rows, spark.createDataFrame(rows, KIND).withColumn("hash", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("key", F.lit(2))
+
+
+@pytest.mark.parametrize("share", [0.4, 1.0, 1.5, 1.99, 3.0])
+def test_mix_meets_its_targets(spark, share):
+    rows, docs = mixture(spark)
+    got = [r.asDict() for r in mixing.mix_sources(docs, share=share).withColumn("n", F.lit(1)).collect()]
+    assert sorted((repr(r["doc_id"]), r["size"]) for r in got) == sorted((repr(d), len(words(t))) for d, t, *_ in rows)
+    names = sorted({s for *_, s in rows if s is not None}) + [None]
+    sizes = [sum(len(words(t)) for _, t, _, s in rows if s == name) for name in names]
+    expected = brute_targets(sizes, share, (3, 1, 2), 2.0)
+    taken = {}
+    for r in got:
+        assert r["taken"] == r["size"] * r["times"] <= 2 * r["size"]
+        at = taken.setdefault((r["source_size"], round(r["target"], 6)), [0, 0])
+        at[0] += r["taken"]
+        at[1] = max(at[1], r["size"])
+    wanted = {}
+    for n, t, name in zip(sizes, expected, names, strict=True):
+        wanted.setdefault((n, round(float(t), 6)), []).append(name)
+    assert set(taken) == set(wanted)
+    for (_, target), (words_taken, longest) in taken.items():
+        assert abs(words_taken - target) <= max(longest, 6) / 2 + 1e-6  # the twins are taken together
+
+
+def test_mix_is_nested_and_the_same_again(spark):
+    _, docs = mixture(spark)
+    before = None
+    for share in (0.2, 0.5, 0.9, 1.3):
+        found = {(r["doc_id"], r["size"]): r["times"] for r in mixing.mix_sources(docs.where("doc_id < 900"), share=share).collect()}
+        again = {(r["doc_id"], r["size"]): r["times"] for r in mixing.mix_sources(docs.where("doc_id < 900").repartition(5), share=share).collect()}
+        assert found == again
+        assert before is None or all(found[k] >= before[k] for k in found)
+        before = found
+
+
+def test_thresholds_below_one_bucket(spark):
+    """Hashes that agree in their first 48 bits are told apart by further levels; equal ones are taken together."""
+    base = 5 << 48
+    rows = [("0a", base + (k << 12) + 7, 10) for k in range(50)] + [("0b", base, 4)] * 3 + [("0c", k << 50, 1) for k in range(100)]
+    frame = spark.createDataFrame(rows, "key string, hash long, size long")
+    for share in (0.0, 0.1, 0.5, 0.77):
+        totals = {"0a": 500, "0b": 12, "0c": 100}
+        wanted = spark.createDataFrame([(k, n * share) for k, n in totals.items()], "key string, rest double")
+        found = {r["key"]: r["threshold"] for r in mixing.thresholds(frame, mixing._histogram(frame, mixing.LEVEL_BITS), wanted).collect()}
+        for key, total in totals.items():
+            taken = sum(n for k, h, n in rows if k == key and h < found[key])
+            assert abs(taken - total * share) <= (6 if key == "0b" else 5)
+
+
+def test_mix_of_nothing(spark):
+    docs = spark.createDataFrame([], KIND)
+    assert mixing.mix_sources(docs).collect() == []
+    void = spark.createDataFrame([(1, None, None, None), (2, "", None, "a")], KIND)
+    assert sorted(map(tuple, mixing.mix_sources(void).collect())) == [(1, 0, 0, 0.0, 0, 0), (2, 0, 0, 0.0, 0, 0)]
+
+
+@needs_data
+def test_op12_against_sql(spark):
+    same_as_sql(spark, queries.op12_source_mixing, queries.oracle_sql()["op12_source_mixing"])
