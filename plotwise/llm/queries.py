@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.llm import byte_bpe, decontaminate, jaccard_join, language, line_dedup, lm, mixing, periodic_runs, quality, substring_dedup, toxicity, url_filter
+from plotwise.llm import byte_bpe, decontaminate, jaccard_join, language, line_dedup, lm, mixing, periodic_runs, phrases, quality, substring_dedup, toxicity, url_filter
 
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -219,9 +219,33 @@ SELECT doc_id, size, n AS source_size, target, (size * (whole + (2 * rest >= 2 *
 """
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = f"""
+WITH p AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM
+  (SELECT lang, unnest(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM
+  (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (VALUES {", ".join(f"({k})" for k in range(1, phrases.LONGEST + 1))}) s(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {phrases.LEAST}),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, c.k, c.a, l.a AS l, r.a AS r, j, ((2000000::HUGEINT * c.a) // (l.a + r.a))::BIGINT AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1 :], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, max(a) AS within FROM
+  (SELECT *, unnest(generate_series(1, k - m + 1)) AS i FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE within IS NULL OR 100 * within < {phrases.WITHIN_PERCENT} * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang)
+QUALIFY rank <= {phrases.TOP}
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_toxicity, op4_jaccard_join, op4_jaccard_links, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe, op11_periodic_runs, op12_source_mixing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_toxicity, op4_jaccard_join, op4_jaccard_links, op5_url_filters, op6_quality_rules, op7_line_dedup, op8_lm_scoring, op9_language_id, op10_byte_bpe, op11_periodic_runs, op12_source_mixing, op13_phrase_mining)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1_SQL, "op2_decontamination": _OP2_SQL, "op4_jaccard_join": _OP4_SQL, "op5_url_filters": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op12_source_mixing": _OP12_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op2_decontamination": _OP2_SQL, "op4_jaccard_join": _OP4_SQL, "op5_url_filters": _OP5_SQL, "op6_quality_rules": _OP6_SQL, "op7_line_dedup": _OP7_SQL, "op12_source_mixing": _OP12_SQL, "op13_phrase_mining": _OP13_SQL}

@@ -5,14 +5,16 @@ import os
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, same_as_sql
 from pyspark.sql import functions as F
 
-from plotwise.llm import mixing, periodic_runs, queries
+from plotwise.llm import mixing, periodic_runs, phrases, queries
 from plotwise.llm import text as tx
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
@@ -200,3 +202,82 @@ def test_mix_of_nothing(spark):
 @needs_data
 def test_op12_against_sql(spark):
     same_as_sql(spark, queries.op12_source_mixing, queries.oracle_sql()["op12_source_mixing"])
+
+
+def brute_pieces(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return [w for w in (re.findall(r"[^\x20\x09]+", piece) for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower)) if w]
+
+
+def brute_phrases(rows, longest, least, within, top):
+    counts, total = defaultdict(Counter), Counter()
+    for _, text, lang, _ in rows:
+        for w in brute_pieces(text):
+            total[lang or "und"] += len(w)
+            for k in range(1, longest + 1):
+                counts[lang or "und"].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        often = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        found = []
+        for p, a in often.items():
+            score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            if not any(100 * b >= within * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in often.items() if len(q) > len(p)):
+                found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, rank, p.decode(), -a, left, right, total[lang], -score) for rank, (score, a, p, left, right) in enumerate(sorted(found)[:top], 1)]
+    return sorted(out)
+
+
+def prose(seed=8, n=150):
+    """Odd texts in which phrases come back: across cuts, with white space of all kinds, in several languages and in none."""
+    rnd = random.Random(seed)
+    fixed = [["new", "York", "city", "hall"], ["a", "priori"], ["in", "spite", "of"], ["é", "Ü", "x"], ["la", "la", "la", "la", "la"], ["nbsp\u00a0word", "next"]]
+    rows = [(None, None, None, None), (1, "", "en", None), (2, " ., \n!", "en", None), (3, "new york", None, None), (4, "of.in spite,of in\x0bspite of", "und", None)]
+    for k in range(n):
+        body = []
+        for _ in range(rnd.randrange(1, 25)):
+            body += rnd.choice(fixed) if rnd.random() < 0.5 else [rnd.choice(("the", "of", f"w{rnd.randrange(60)}"))]
+            body.append(rnd.choice((" ", " ", " ", "\t", "  ", ", ", ".", "\n", " ;")))
+        rows.append((k, "".join(x if not x.strip(" \t.,;\n") else x + " " for x in body), rnd.choice(("en", "en", "de", None)), None))
+    return rows + [(500, "w1 w2 w3 the of " * 800, "de", None), rows[9], rows[9]]
+
+
+@pytest.mark.parametrize("longest,least,within,top,block_bytes", [(4, 3, 80, 2000, 400), (4, 3, 50, 7, 1 << 20), (3, 1, 100, 2000, 2000), (2, 5, 80, 2000, 400)])
+def test_phrases_against_brute_force(spark, longest, least, within, top, block_bytes):
+    rows = prose()
+    docs = spark.createDataFrame(rows, KIND).withColumn("chunk", F.lit("x")).withColumn("a.b", F.lit(1)).withColumn("n", F.lit(2))
+    got = phrases.collocations(docs, longest, least, within, top, block_bytes)
+    assert sorted(map(tuple, got.collect())) == brute_phrases(rows, longest, least, within, top)
+
+
+def test_chunks_hold_every_phrase_once():
+    texts = [t for _, t, *_ in prose()] + [" ".join(f"v{k * k % 97}" for k in range(3000))]
+    chunk, own, doc = phrases.chunks(pa.array(texts, pa.string()))
+    found, expected = Counter(), Counter()
+    for text, n, d in zip(chunk.to_pylist(), own.tolist(), doc.tolist(), strict=True):
+        w = text.split(" ")
+        assert n <= len(w) <= n + 3
+        found.update((d, tuple(w[i : i + k])) for k in range(1, 5) for i in range(n) if i + k <= len(w))
+    for d, text in enumerate(texts):
+        for w in brute_pieces(text):
+            expected.update((d, tuple(w[i : i + k])) for k in range(1, 5) for i in range(len(w) - k + 1))
+    assert found == expected
+    last = [(t, n) for t, n, d in zip(chunk.to_pylist(), own.tolist(), doc.tolist(), strict=True) if d == len(texts) - 1]
+    assert len(last) > 20 and len(set(last)) < len(last)  # cut by content: the same passage gives the same chunks
+
+
+def test_phrases_of_nothing(spark):
+    assert phrases.collocations(spark.createDataFrame([], KIND)).collect() == []
+    assert phrases.collocations(spark.createDataFrame([(1, None, None, None), (2, "one two", "en", None)], KIND)).collect() == []
+
+
+def test_scores_beyond_64_bits(spark):
+    a = 4 * 10**18
+    rows = [("en", "x", 1, a), ("en", "y", 1, a), ("en", "x y", 2, a - 3)]
+    got = phrases.scored(spark.createDataFrame(rows, "lang string, phrase string, words int, a long")).first()
+    assert got["score"] == 2_000_000 * (a - 3) // (2 * a)
+
+
+@needs_data
+def test_op13_against_sql(spark):
+    same_as_sql(spark, queries.op13_phrase_mining, queries.oracle_sql()["op13_phrase_mining"])
