@@ -216,9 +216,10 @@ def _written(longest: int):
 
 def _answers(sums: DataFrame, buckets: int, least: int) -> DataFrame:
     """(block, key, total, mine) for each block and each of its hashes that all blocks together have often enough."""
-    dealt = sums.repartition(buckets, "key")
-    often = dealt.groupBy("key").agg(F.sum("n").alias("total"), F.min(F.when(F.col("n") > 0, F.col("block"))).alias("writer")).where(F.col("total") >= least)
-    return saved(dealt.join(often, "key").select("block", "key", "total", (F.col("block") == F.col("writer")).alias("mine")), "phrase-answers")
+    by_key = Window.partitionBy("key")  # a key has a row a block at most
+    total, writer = F.sum("n").over(by_key), F.min(F.when(F.col("n") > 0, F.col("block"))).over(by_key)
+    often = sums.repartition(buckets, "key").select("block", "key", total.alias("total"), writer.alias("writer")).where(F.col("total") >= least)
+    return saved(often.select("block", "key", "total", (F.col("block") == F.col("writer")).alias("mine")), "phrase-answers")
 
 
 def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, block_bytes: int = blocks.BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
