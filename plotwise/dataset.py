@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.functions.geo_metadata import admit_crs, admit_encoding, geo_fields
-from plotwise.functions.wkb import geometry_facts
+from plotwise.functions.wkb import with_vertex_counts
 from plotwise.operators.admission import admit_predicate, admit_projection, identity_scan
 from plotwise.operators.layout import in_order
-from plotwise.operators.publish import CutPolicy, publish
+from plotwise.operators.publish import CutPolicy, PublishRefused, publish
 from plotwise.operators.selection import Box, extent, select_features
 from plotwise.sources.footers import declared
 from plotwise.sources.geoparquet import carried_keys, write_files
@@ -79,12 +79,14 @@ class Dataset:
 
     def publish(self, columns: Sequence[str], dest: str, policy: CutPolicy = CutPolicy(), style: str | None = None, license: dict[str, str | None] | None = None) -> DataFrame:
         """A bundle of these features, with the sizes read from their geometry; gives back its manifest."""
-        rows = self.features.withColumnRenamed(self.identity, "id")
-        facts = geometry_facts(rows)
-        if bad := facts.where("refusal IS NOT NULL").first():
-            raise Refused("geometry_refused", f"{bad['id']}: {bad['refusal']}")
-        sized = rows.join(facts.select("id", F.col("vertices").alias("verts")), "id").withColumn("wkb_len", F.octet_length("geometry"))
-        return publish(sized, self._admitted(columns), dest, policy, style, license if license is not None else {"source": self.license} if self.license else None)
+        rows = with_vertex_counts(self.features.withColumnRenamed(self.identity, "id")).withColumn("wkb_len", F.coalesce(F.octet_length("geometry"), F.lit(0)))
+        keys = carried_keys(rows.sparkSession, self.path) if self.path else None
+        try:
+            return publish(rows, self._admitted(columns), dest, policy, style, license if license is not None else {"source": self.license} if self.license else None, keys=keys)
+        except PublishRefused as refused:
+            if refused.code in ("destination_exists", "license_refused", "style_refused", "source_changed"):
+                raise
+            raise Refused(refused.code) from refused
 
     def _admitted(self, columns: Sequence[str]) -> list[str]:
         for name, refusal in admit_projection(self.features.schema, columns, self.identity):

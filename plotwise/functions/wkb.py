@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 _HAS_Z, _HAS_M, _HAS_SRID = 0x80000000, 0x40000000, 0x20000000
 
@@ -149,6 +150,19 @@ def geometry_facts(features: DataFrame) -> DataFrame:
     )
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        p = Polygons(batch.column("geometry"))
+        good = np.array([r is None for r in p.refusals], bool)
+        n = np.bincount(p.row, p.size, len(good)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(good, n, -1).astype(np.int32))], names=[*batch.schema.names, "verts"])
+
+
+def with_vertex_counts(features: DataFrame) -> DataFrame:
+    """The features, with the number of their geometry's vertices as verts: -1 where the geometry is refused."""
+    return features.mapInArrow(_counted, StructType([*features.schema, StructField("verts", IntegerType())]))
+
+
 def _vertices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         p = Polygons(batch.column("geometry"))

@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
-import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plotwise.operators.cutting import Cut, CutPolicy, cut_partitions
 from plotwise.operators.selection import extent
-from plotwise.operators.sequences import placed
 from plotwise.operators.style import style_violations
-from plotwise.storage import exists, move, passing, write_small
+from plotwise.sources.bundle import MANIFEST, BundleSource
+from plotwise.sources.footers import file_system, readable_by_tasks
+from plotwise.storage import exists
+
+__all__ = ["CutPolicy", "cut_partitions"]
 
 #: The first batches grow fourfold from 64 KiB to 1 MiB, and none is under 32 KiB.
 LADDER_START, LADDER_TOP, LADDER_FLOOR = 65536, 1048576, 32768
 
 
-@dataclass(frozen=True)
-class CutPolicy:
-    target_bytes: int = 1 << 20
-    max_rows: int = 8192
-    max_feature_bytes: int = 4 << 20
-
-
 def attribute_bytes(schema: T.StructType, columns: Sequence[str]) -> Column:
     """Estimated bytes of a row's attributes: one for validity, and by type its width or its text and four."""
     total = F.lit(0)
@@ -46,147 +41,6 @@ def ladder_target(batch_no: Column) -> Column:
     return F.greatest(F.lit(LADDER_FLOOR), F.least(F.lit(float(LADDER_START)) * F.pow(F.lit(4.0), steps), F.lit(float(LADDER_TOP)))).cast("long")
 
 
-class _Range:
-    """The sizes of a range's rows, in order, and where parts end in it."""
-
-    def __init__(self, table: pa.Table, policy: CutPolicy):
-        table = table.sort_by("_place")
-        self.policy, self.rows = policy, table.num_rows
-        verts, wkb, attrs = (table.column(c).to_numpy().astype(np.int64) for c in ("verts", "wkb_len", "attr_bytes"))
-        row = 20 * verts + 12 + attrs  # 16 and 4 bytes a vertex, 8 and 4 a row
-        self.before = np.concatenate(([0], np.cumsum(row)))
-        self.guess = np.append(self.before[:-1] + 20 * (wkb // 16) + 12 + attrs, np.iinfo(np.int64).max)  # what a row is taken for before it is decoded
-        self.table, self.oversize = table, wkb > policy.max_feature_bytes
-
-    def end(self, at: int, used: int = 0, rows: int = 0) -> tuple[int, str | None]:
-        """Where the part that goes on at this row ends, and why; None if it is still open after the last row."""
-        return part_end(self.before, self.guess, self.rows, at, used, rows, self.policy)
-
-    def chain(self, at: int) -> list[tuple[int, str | None]]:
-        """Ends of the parts from a row on, at which a new one begins."""
-        found = []
-        while at < self.rows:
-            at, why = self.end(at)
-            found.append((at, why))
-        return found
-
-
-def part_end(before: np.ndarray, guess: np.ndarray, n: int, at: int, used: int, rows: int, policy: CutPolicy) -> tuple[int, str | None]:
-    room = policy.target_bytes - used + int(before[at])
-    full = max(int(np.searchsorted(before, room)), at + 1)  # bytes reached by the row before
-    ceiling = at + policy.max_rows - rows
-    first, last = at + (rows == 0), min(full, ceiling, n)
-    over = np.flatnonzero(guess[first:last] > room)  # a row that would pass the target
-    if len(over):
-        return first + int(over[0]), "size-target"
-    if min(full, ceiling) > n:
-        return n, None
-    return (full, "size-target") if full <= ceiling else (ceiling, "row-ceiling")
-
-
-def _tails(policy: CutPolicy):
-    """What a range must tell: its first rows, as far as the part can go that comes in; and for each place where that may end, how the rest is cut."""
-
-    def run(table: pa.Table) -> pa.Table:
-        r = _Range(table, policy)
-        reach, _ = r.end(0)
-        known: dict[int, tuple[int, int, int]] = {r.rows: (0, 0, 0)}  # first row of a part: parts closed from there on, bytes and rows of the open one
-        for start in range(reach, -1, -1):
-            path, at = [], start
-            while at not in known:
-                to, why = r.end(at)
-                if why is None:
-                    known[at] = (0, int(r.before[-1] - r.before[at]), r.rows - at)
-                else:
-                    path.append(at)
-                    at = to
-            for at in reversed(path):
-                n, size, rows = known[r.end(at)[0]]
-                known[at] = (n + 1, size, rows)
-        closed, size, rows = zip(*(known[k] for k in range(reach + 1)), strict=True)
-        wide = pa.list_(pa.int64())
-        return pa.table(
-            {
-                "_range": table.column("_range").slice(0, 1),
-                "n": pa.array([r.rows], pa.int64()),
-                "total": pa.array([int(r.before[-1])], pa.int64()),
-                "before": pa.array([r.before[: reach + 1].tolist()], wide),
-                "guess": pa.array([r.guess[: reach + 1].tolist()], wide),
-                "closed": pa.array([list(closed)], wide),
-                "size": pa.array([list(size)], wide),
-                "rows": pa.array([list(rows)], wide),
-            }
-        )
-
-    return run
-
-
-def _carry(policy: CutPolicy):
-    """One pass over the ranges, a row each, in order: what comes into each, the number of its first part, and why its last part ends."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = rows = part = 0
-        out, why_of = [], {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                out.append([r["_range"], used, rows, part, None])
-                at = 0
-                if rows:
-                    before, guess = np.array(r["before"]), np.array(r["guess"])
-                    at, why = part_end(before, guess, len(before) - 1, 0, used, rows, policy)
-                    if why is None and len(before) - 1 < r["n"]:  # cut before the row that a part from the range's begin would have ended with
-                        at, why = len(before) - 1, "size-target"
-                    if why is None:  # the whole range goes into the part
-                        used, rows = used + r["total"], rows + r["n"]
-                        out[-1][4] = part
-                        continue
-                    why_of[part] = why
-                    part += 1
-                part, used, rows = part + r["closed"][at], r["size"][at], r["rows"][at]
-                out[-1][4] = part
-        why_of[part] = "stream-end"
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        last = pa.array([why_of.get(p) for p in columns[4]], pa.string())
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns[:4], kinds, strict=True)), last], names=["_range", "used", "rows", "part", "last_why"])
-
-    return run
-
-
-_CUT = pa.schema([("id", pa.int64()), ("part", pa.int64()), ("cut_by", pa.string()), ("oversize", pa.bool_())])
-
-
-def _cut(policy: CutPolicy):
-    """A range's rows with the numbers of their parts."""
-
-    def run(table: pa.Table, carry: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return _CUT.empty_table()
-        r, c = _Range(table, policy), carry.to_pylist()[0]
-        first = [r.end(0, c["used"], c["rows"])] if c["rows"] else []
-        ends = first + r.chain(first[0][0] if first else 0)
-        size = np.diff([0, *(e for e, _ in ends)])
-        part = np.repeat(c["part"] + np.arange(len(ends)), size)
-        why = np.repeat(np.array([w or c["last_why"] for _, w in ends], object), size)
-        return pa.table([r.table.column("id"), pa.array(part), pa.array(why, pa.string()), pa.array(r.oversize)], schema=_CUT)
-
-    return run
-
-
-def cut_partitions(rows: DataFrame, policy: CutPolicy = CutPolicy(), partitions: int | None = None) -> DataFrame:
-    """(id, part, cut_by, oversize) of each feature: rows (id, verts, wkb_len, attr_bytes) in id order, cut before a part grows past the target.
-
-    The rule is sequential.  Ids are dealt to ranges of about as many rows; a range tells how it would be cut for each place where the part
-    that comes in from the left may end (which is within its first part); one pass over the ranges' rows fixes what comes in; then each range
-    is cut.  So the parts are those of one scan, however many ranges there are."""
-    sized = rows.select("id", F.col("verts").cast("int").alias("verts"), F.col("wkb_len").cast("long").alias("wkb_len"), F.col("attr_bytes").cast("long").alias("attr_bytes"))
-    dealt = placed(sized, ["id"], partitions)
-    lists = "array<long>"
-    tails = dealt.groupBy("_range").applyInArrow(_tails(policy), f"_range long, n long, total long, before {lists}, guess {lists}, closed {lists}, size {lists}, rows {lists}")
-    carries = tails.repartition(1).sortWithinPartitions("_range").mapInArrow(_carry(policy), "_range long, used long, rows int, part long, last_why string")
-    return dealt.groupBy("_range").cogroup(carries.groupBy("_range")).applyInArrow(_cut(policy), "id long, part long, cut_by string, oversize boolean")
-
-
 def partition_manifest(features: DataFrame) -> DataFrame:
     """(part, n_rows, id_lo, id_hi, xmin..ymax) of features with `part` and `bbox`."""
     return features.groupBy("part").agg(
@@ -194,14 +48,36 @@ def partition_manifest(features: DataFrame) -> DataFrame:
     )
 
 
-def file_hashes(spark, path: str) -> DataFrame:
-    """(path, bytes, content_hash) of all files below a path, by any file system that Spark reads. Files are partition-sized."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("content_hash")).withColumnRenamed("length", "bytes")
+#: Bytes of a file that are held while it is hashed.
+_CHUNK = 8 << 20
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for path in batch.column("path").to_pylist():
+            files, name = file_system(path)
+            digest = hashlib.sha256()
+            with files.open_input_stream(name) as source:
+                while chunk := source.read(_CHUNK):
+                    digest.update(chunk)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(found, pa.string())], names=["path", "bytes", "content_hash"])
+
+
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path, bytes, content_hash) of all files below a path.
+
+    Tasks read a file in chunks where Arrow knows the file system, whatever the file's size; on others Spark's binary reader gives a file whole, so
+    that none may be above 2 GB there."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    if not readable_by_tasks(files):
+        return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("content_hash"))
+    listed = files.select("path", F.col("length").alias("bytes"))
+    return listed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_hashed, "path string, bytes long, content_hash string")
 
 
 _DATA_FILE = r"(data/part=\d+/[^/]+)$"
-_MANIFEST = "part long, path string, bytes long, content_hash string, n_rows long, id_lo long, id_hi long, xmin double, ymin double, xmax double, ymax double"
 
 
 class PublishRefused(ValueError):
@@ -238,60 +114,74 @@ def publish(
     style: str | None = None,
     license: dict[str, str | None] | None = None,
     pins: tuple[DataFrame, DataFrame] | None = None,
+    keys: dict[str, str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Write a bundle: data/part=NNNNN (a file each), manifest, style.json and build-info.json; gives back the manifest, read from it.
 
-    features: id, bbox, wkb_len, verts, the columns and, where there is one, geometry.  All is written to a folder beside the destination,
-    which is renamed last, so a failed job leaves no bundle.  The manifest has what the written files have: their paths, bytes, hashes, rows
-    and bounds.  pins: (path, content_hash, bytes) of the sources when they were opened, and now."""
+    features: id, bbox, wkb_len, verts, the columns and, where there is one, geometry.  They are dealt to ranges of ids once, with all their columns;
+    the cut reads the sizes there.  Null, negative or repeated ids are refused (identity_null, identity_negative, identity_duplicate), and verts below
+    0 (geometry_refused), before anything is written; if what the write tasks counted isn't what came in, what was written is taken away (rows_changed).  No features: a bundle
+    without parts.  build-info.json is written last, so a failed job leaves no bundle.  The manifest has what the tasks wrote: paths, bytes,
+    hashes, rows and bounds.  pins: (path, content_hash, bytes) of the sources when they were opened, and now.  keys: footer metadata of all files."""
     spark = features.sparkSession
     _preflight(spark, features, columns, dest, style, license, pins)
-    staged = passing(spark, f"{dest.rstrip('/')}.staged-{uuid.uuid4().hex}")
-    sized = features.withColumn("attr_bytes", attribute_bytes(features.schema, columns))
-    parts = cut_partitions(sized, policy).select("id", F.lpad(F.col("part").cast("string"), 5, "0").alias("part"))
-    out = features.join(parts, "id").select("id", *columns, "bbox", *(c for c in ["geometry"] if c in features.columns), "part")
-    out.repartition("part").sortWithinPartitions("part", "id").write.partitionBy("part").parquet(f"{staged}/data")
-    manifest = observed_parts(spark, staged)
-    manifest.write.json(f"{staged}/manifest")
-    if style is not None:
-        write_small(spark, f"{staged}/style.json", style)
-    written = spark.read.schema(_MANIFEST).json(f"{staged}/manifest")
-    write_small(spark, f"{staged}/build-info.json", json.dumps(_facts_of(written, out.drop("part").schema) | {"license": license}, sort_keys=True))
-    move(spark, staged, dest)
-    return spark.read.schema(_MANIFEST).json(f"{dest}/manifest")
+    own = ["id", *columns, "bbox", *(c for c in ["geometry"] if c in features.columns)]
+    sized = features.withColumn("attr_bytes", attribute_bytes(features.schema, columns)).select(*own, "verts", "wkb_len", "attr_bytes")
+    cut = Cut(sized, policy, partitions)
+    n, refusal = cut.refusal()
+    if refusal:
+        raise PublishRefused(refusal)
+    rows = cut.rows().select(*own, "part").repartition(cut.ranges, "part").sortWithinPartitions("part", "id")
+    spark.dataSource.register(BundleSource)
+    schema = [[f.name, f.dataType.simpleString()] for f in rows.drop("part").schema]
+    facts = {"schema": json.dumps(schema), "license": json.dumps(license), "keys": json.dumps(keys or {}), "rows": str(n)}
+    writer = rows.write.format("plotwise_bundle").mode("append").options(**facts)
+    (writer if style is None else writer.option("style", style)).save(dest)
+    return read_manifest(spark, dest)
+
+
+def read_manifest(spark: SparkSession, bundle: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).json(f"{bundle}/manifest")
+
+
+def _build_info(spark: SparkSession, bundle: str) -> dict:
+    return json.loads("".join(r["value"] for r in spark.read.text(f"{bundle}/build-info.json").collect()))  # one line
 
 
 def observed_parts(spark: SparkSession, bundle: str) -> DataFrame:
     """(part, path, bytes, content_hash, n_rows, bounds) of the data files that a bundle has; only ids and boxes are read, and each file once for its hash."""
     relative = F.regexp_extract("path", _DATA_FILE, 1)
-    rows = spark.read.parquet(f"{bundle}/data").select("id", "bbox", F.regexp_extract("_metadata.file_path", _DATA_FILE, 1).alias("part"))
+    if not exists(spark, f"{bundle}/data"):
+        return spark.createDataFrame([], MANIFEST)
+    rows = spark.read.schema("id long, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>").parquet(f"{bundle}/data").select("id", "bbox", F.regexp_extract("_metadata.file_path", _DATA_FILE, 1).alias("part"))
     facts = partition_manifest(rows).withColumnRenamed("part", "path")
     hashes = file_hashes(spark, f"{bundle}/data").select(relative.alias("path"), "bytes", "content_hash")
     part = F.regexp_extract("path", r"part=(\d+)/", 1).cast("long")
     return hashes.join(facts, "path", "left").select(part.alias("part"), "path", "bytes", "content_hash", "n_rows", "id_lo", "id_hi", "xmin", "ymin", "xmax", "ymax")
 
 
-def _facts_of(manifest: DataFrame, schema: T.StructType) -> dict:
-    """What a bundle says of itself as a whole; no times and no paths, so equal inputs give equal bytes."""
-    row = manifest.agg(F.count("*").alias("parts"), F.sum("n_rows").alias("n_rows"), *(f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax")))).first()
-    return row.asDict() | {"schema": [[f.name, f.dataType.simpleString()] for f in schema]}
+def _whole(parts: DataFrame) -> dict:
+    """Rows and bounds of all parts."""
+    return parts.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"), *(f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax")))).first().asDict()
 
 
 def verify_bundle(spark: SparkSession, bundle: str, manifest: DataFrame | None = None) -> DataFrame:
     """(path, state) of every data file that a bundle names or has, and of the whole: (numbering), (rows), (envelope), (schema).
 
     The files themselves are read: bytes, hashes, rows and bounds."""
-    manifest = spark.read.schema(_MANIFEST).json(f"{bundle}/manifest") if manifest is None else manifest
+    manifest = read_manifest(spark, bundle) if manifest is None else manifest
     observed = observed_parts(spark, bundle)
-    info = json.loads("".join(r["value"] for r in spark.read.text(f"{bundle}/build-info.json").collect()))  # one line
-    now = _facts_of(observed, spark.read.parquet(f"{bundle}/data").drop("part").schema)
+    info, now = _build_info(spark, bundle), _whole(observed)
+    stored = spark.read.parquet(f"{bundle}/data").drop("part").schema if exists(spark, f"{bundle}/data") else None
+    schema = info["schema"] if stored is None else [[f.name, f.dataType.simpleString()] for f in stored]
     numbered = contiguous(manifest).first()
     sides = ("xmin", "ymin", "xmax", "ymax")
     whole = [
         ("(numbering)", "ok" if numbered["contiguous"] else "not-contiguous"),
         ("(rows)", "ok" if numbered["n_rows"] == info["n_rows"] == now["n_rows"] else "row-sum-mismatch"),
         ("(envelope)", "ok" if all(info[s] == now[s] for s in sides) else "envelope-mismatch"),
-        ("(schema)", "ok" if info["schema"] == now["schema"] else "schema-mismatch"),
+        ("(schema)", "ok" if info["schema"] == schema else "schema-mismatch"),
     ]
     return verify_assets(manifest, observed).unionByName(spark.createDataFrame(whole, "path string, state string"))
 
@@ -319,7 +209,7 @@ def verify_assets(manifest: DataFrame, observed: DataFrame) -> DataFrame:
 
 def contiguous(manifest: DataFrame) -> DataFrame:
     """One row: parts, whether they are numbered 0..n-1 without a gap, and the rows of all."""
-    return manifest.agg(F.count("*").alias("parts"), ((F.min("part") == 0) & (F.max("part") == F.count("*") - 1) & (F.count_distinct("part") == F.count("*"))).alias("contiguous"), F.sum("n_rows").alias("n_rows"))
+    return manifest.agg(F.count("*").alias("parts"), F.coalesce((F.min("part") == 0) & (F.max("part") == F.count("*") - 1) & (F.count_distinct("part") == F.count("*")), F.lit(True)).alias("contiguous"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
 
 
 def compare_publishes(a: DataFrame, b: DataFrame) -> DataFrame:

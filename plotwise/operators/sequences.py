@@ -9,17 +9,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotwise.storage import saved
+from plotwise.storage import saved, stored_bytes
 
 _BITS = 33  # of monotonically_increasing_id, for the place in a partition
 
 
-def placed(df: DataFrame, key: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """The rows in order, with _range (the number of their range) and _place (from 0 in it), in the shared folder."""
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Stored bytes that a range stands for.
+RANGE_BYTES = 64 << 20
+
+
+def range_count(df: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
+    """By the bytes read, so that a range and its task stay as they are while the data grow; small tables are spread over the cores there are."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-stored_bytes(df) // range_bytes))
+
+
+def in_ranges(df: DataFrame, key: Sequence[str], partitions: int) -> DataFrame:
+    """The rows in order, with _range (the number of their range) and _place (from 0 in it)."""
     ordered = df.repartitionByRange(partitions, *key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id())
     at = F.col("_at")
-    return saved(ordered.select(*df.columns, F.shiftright(at, _BITS).alias("_range"), at.bitwiseAND(F.lit((1 << _BITS) - 1)).alias("_place")), "ranges")
+    return ordered.select(*df.columns, F.shiftright(at, _BITS).alias("_range"), at.bitwiseAND(F.lit((1 << _BITS) - 1)).alias("_place"))
+
+
+def placed(df: DataFrame, key: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """The rows in order, with _range (the number of their range) and _place (from 0 in it), in the shared folder."""
+    return saved(in_ranges(df, key, partitions or range_count(df)), "ranges")
 
 
 def offsets(counts: DataFrame, by: str, n: str, name: str) -> DataFrame:

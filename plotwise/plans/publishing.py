@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.functions.wkb import geometry_facts, to_wkb
+from plotwise.functions.wkb import to_wkb, with_vertex_counts
 from plotwise.operators.publish import (
     CutPolicy,
+    PublishRefused,
     admit_artifacts,
     admit_license,
     attribute_bytes,
@@ -50,12 +51,8 @@ def sized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shaped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels with their geometry; WKB size and vertices are read from it."""
-    from plotwise.plans.geometry import parcel_vertices
-
     shapes = to_wkb(parcel_vertices(spark, sf_dir))
-    facts = geometry_facts(shapes).select("id", F.col("vertices").cast("int").alias("verts"))
-    sized = shapes.join(facts, "id").withColumn("wkb_len", F.octet_length("geometry"))
-    return parcels(spark, sf_dir).join(sized, "id")
+    return with_vertex_counts(parcels(spark, sf_dir).join(shapes, "id")).withColumn("wkb_len", F.octet_length("geometry"))
 
 
 #: The cut as one scan: for each row where a part that began there would end, then from part to part. (On these sizes the guess grows from row to row.)
@@ -149,6 +146,35 @@ def bundle_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_bundle(spark, dest).select(F.regexp_replace("path", r"^(data/part=\d+)/.*$", "$1").alias("path"), "state")
 
 
+_SPOILT = ("clean", "null", "negative", "repeated", "none")
+
+_REFUSALS_SQL = f"""{_CUT_SQL}, k(spoilt, refusal) AS (VALUES ('clean', NULL), ('null', 'identity_null'), ('negative', 'identity_negative'), ('repeated', 'identity_duplicate'), ('none', NULL)),
+t AS (SELECT count(DISTINCT part) AS parts, count(*) AS n_rows FROM cut)
+SELECT spoilt, refusal, CASE WHEN refusal IS NOT NULL THEN NULL WHEN spoilt = 'none' THEN 0 ELSE parts END AS parts, CASE WHEN refusal IS NOT NULL THEN NULL WHEN spoilt = 'none' THEN 0 ELSE n_rows END AS n_rows,
+  CASE WHEN refusal IS NULL THEN 'ok' END AS verified FROM k, t"""
+
+
+@query("publish_refusals", _REFUSALS_SQL)
+def publish_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publishes of all parcels, as they are, with one id spoilt, and of none: what is refused, and what was written of the others."""
+    features = sized_features(spark, sf_dir).drop("attr_bytes")
+    first = features.agg(F.min("id"), F.max("id")).first()
+    change = {"null": F.lit(None).cast("long"), "negative": F.lit(-1).cast("long"), "repeated": F.lit(first[1]).cast("long")}
+    found = []
+    for spoilt in _SPOILT:
+        rows = features.where(F.lit(spoilt != "none"))
+        if spoilt in change:
+            rows = rows.withColumn("id", F.when(F.col("id") == first[0], change[spoilt]).otherwise(F.col("id")))
+        dest = shared_folder(spark, "bundle")
+        try:
+            written = contiguous(publish(rows, ["zone", "value"], dest, _POLICY)).first()
+            states = {r["state"] for r in verify_bundle(spark, dest).select("state").distinct().collect()}
+            found.append((spoilt, None, written["parts"], written["n_rows"], ",".join(sorted(states))))
+        except PublishRefused as refused:
+            found.append((spoilt, refused.code, None, None, None))
+    return spark.createDataFrame(found, "spoilt string, refusal string, parts long, n_rows long, verified string")
+
+
 @query("publish_totals", f"{_CUT_SQL} SELECT count(DISTINCT part) AS parts, true AS contiguous, count(*) AS n_rows FROM cut")
 def publish_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = sized_features(spark, sf_dir)

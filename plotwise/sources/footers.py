@@ -28,12 +28,16 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"file://{parts.path}" if scheme == "file" else f"{scheme}://{parts.netloc}{parts.path}")
 
 
+def readable_by_tasks(listed: DataFrame) -> bool:
+    """Whether Arrow knows the file system of the files (path)."""
+    first = listed.select("path").first()
+    return first is None or urlsplit(first["path"]).scheme in _DIRECT
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     """(path, content): content is null, and never read, where tasks can open the file themselves."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-    first = listed.select("path").first()
-    direct = first is None or urlsplit(first["path"]).scheme in _DIRECT
-    return listed.select("path", F.lit(None).cast("binary").alias("content") if direct else "content")
+    return listed.select("path", F.lit(None).cast("binary").alias("content") if readable_by_tasks(listed) else "content")
 
 
 def _footer(path: str, content: bytes | None) -> pq.FileMetaData:

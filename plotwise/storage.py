@@ -38,6 +38,24 @@ def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(passing(df.sparkSession, folder)).select(df.columns)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """The rows, written to the shared folder in buckets of a column: grouping by it, or joining on it, shuffles nothing of them."""
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    folder = shared_folder(spark, name)
+    df.write.option("compression", "zstd").option("path", folder).bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+    passing(spark, folder)
+    rows = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name only: the files of such a table stay
+    return rows
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files and local rows that the plan reads, added up over its leaves."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(size for size in sizes if size < 1 << 60)  # beyond that Spark says that it doesn't know
+
+
 def discard(spark: SparkSession, folder: str) -> None:
     """Delete a table that has been replaced."""
     path, files = _path(spark, folder)
