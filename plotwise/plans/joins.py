@@ -70,6 +70,22 @@ def id_range_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_semi_join(parcels(spark, sf_dir).select("id", "zone"), ranges)
 
 
+_WIDE = """w AS (SELECT id, zone, id * 30000000000000 + (id * 7919) % 1000003 AS wide_id FROM p),
+r AS (SELECT s_suppkey * 4000000000000000 + s_suppkey % 97 AS lo, s_suppkey * 4000000000000000 + CASE WHEN s_suppkey % 50 = 1 THEN 1::BIGINT << 61 ELSE (1::BIGINT << (10 + s_suppkey % 40)) END AS hi FROM supplier WHERE s_suppkey % 5 = 1)"""
+
+
+@query("id_range_wide", f"WITH {PARCELS_SQL}, {_WIDE} SELECT wide_id AS id, zone FROM w WHERE EXISTS (SELECT 1 FROM r WHERE wide_id BETWEEN lo AND hi AND hi < 2000000000000000000) OR EXISTS (SELECT 1 FROM (SELECT min(lo) AS lo, max(hi) AS hi FROM r WHERE hi >= 2000000000000000000) WHERE wide_id BETWEEN lo + 100000000000000000 AND hi)")
+def id_range_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids far apart, and ranges of a thousand to 2**61 of them, within each other."""
+    k, i = F.col("s_suppkey"), F.col("id")
+    lo = k * 4000000000000000
+    wide = F.when(k % 50 == 1, F.lit(1 << 61)).otherwise(F.expr("shiftleft(1L, cast(10 + s_suppkey % 40 as int))"))
+    ranges = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 1").select((lo + k % 97).alias("lo"), (lo + wide).alias("hi"))
+    whole = ranges.where("hi >= 2000000000000000000").agg((F.min("lo") + 100000000000000000).alias("lo"), F.max("hi").alias("hi"))
+    features = parcels(spark, sf_dir).select((i * 30000000000000 + i * 7919 % 1000003).alias("id"), "zone")
+    return range_semi_join(features, ranges.where("hi < 2000000000000000000").unionByName(whole))
+
+
 @query(
     "ordering_join",
     f"WITH {PARCELS_SQL} SELECT id, l_linenumber AS place, value FROM p JOIN lineitem ON l_orderkey = id WHERE l_returnflag = 'R'",
