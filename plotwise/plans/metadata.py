@@ -228,14 +228,18 @@ def throttled_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return throttled(requests, "user_id", ["event_id"], "ms")
 
 
-@query(
-    "ticket_lifecycle",
-    """WITH e AS (SELECT event_id // 3 AS ticket, CASE event_id % 3 WHEN 0 THEN 'mint' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'redeem' ELSE 'cancel' END ELSE 'redeem' END AS action, event_id + (event_id % 3) * ((event_id // 3) % 25) AS at_s, (event_id // 3) % 11 AS dataset FROM events WHERE event_id % 41 <> 0),
+_LIFECYCLE_SQL = """WITH e AS (SELECT event_id // 3 AS ticket, CASE event_id % 3 WHEN 0 THEN 'mint' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'redeem' ELSE 'cancel' END ELSE 'redeem' END AS action, event_id + (event_id % 3) * ((event_id // 3) % 25) AS at_s, (event_id // 3) % 11 AS dataset FROM events WHERE event_id % 41 <> 0),
     m AS (SELECT ticket, min(at_s) FILTER (action = 'mint') AS mint FROM e GROUP BY ticket), l AS (SELECT e.ticket, arg_min(action, (at_s, action)) FILTER (action <> 'mint' AND at_s BETWEEN mint AND mint + 29) AS fin FROM e JOIN m ON m.ticket = e.ticket GROUP BY e.ticket)
-    SELECT DISTINCT dataset, e.ticket, mint AS minted_s, CASE WHEN mint IS NULL THEN 'unknown' WHEN fin IS NULL THEN 'expired' WHEN fin = 'redeem' THEN 'redeemed' ELSE 'cancelled' END AS state FROM e JOIN m ON m.ticket = e.ticket JOIN l ON l.ticket = e.ticket""",
-)
-def ticket_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    SELECT DISTINCT dataset, e.ticket, mint AS minted_s, CASE WHEN mint IS NULL THEN 'unknown' WHEN fin IS NULL THEN 'expired' WHEN fin = 'redeem' THEN 'redeemed' ELSE 'cancelled' END AS state FROM e JOIN m ON m.ticket = e.ticket JOIN l ON l.ticket = e.ticket"""
+
+
+def ticket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticket, action, at_s, dataset): three events a ticket, some missing, not in the order of their times."""
     k, t = F.col("event_id"), F.expr("event_id div 3")
     action = F.when(k % 3 == 0, "mint").when(k % 3 == 1, F.when(k % 2 == 0, "redeem").otherwise("cancel")).otherwise("redeem")
-    events = table(spark, sf_dir, "events").where("event_id % 41 <> 0").select(t.alias("ticket"), action.alias("action"), (k + (k % 3) * (t % 25)).alias("at_s"), (t % 11).alias("dataset"))
-    return replay_tickets(events, "dataset", ["at_s"])
+    return table(spark, sf_dir, "events").where("event_id % 41 <> 0").select(t.alias("ticket"), action.alias("action"), (k + (k % 3) * (t % 25)).alias("at_s"), (t % 11).alias("dataset"))
+
+
+@query("ticket_lifecycle", _LIFECYCLE_SQL)
+def ticket_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay_tickets(ticket_events(spark, sf_dir), "dataset", ["at_s"])

@@ -9,10 +9,11 @@ from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import PARCELS_SQL, grid_cols, parcels, table, viewports
 from plotwise.storage import shared_folder
 from plotwise.plans.logs import _AUDIT_SQL, audit_lines
-from plotwise.plans.metadata import _THROTTLE_SQL
+from plotwise.plans.metadata import _LIFECYCLE_SQL, _THROTTLE_SQL, ticket_events
 from plotwise.plans.selection import _NEAR
 from plotwise.streaming.runs import once, pair_streams, run_append, run_complete, stream_of, tail_audit, viewport_extent
-from plotwise.streaming.stateful import stalls, supersede, throttle, tickets
+from plotwise.streaming.processors import live_tickets, supersede, throttle
+from plotwise.streaming.stateful import stalls
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,29 +60,27 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH g AS (SELECT event_type AS dataset, event_id, (event_id // 50 + user_id % 3) AS generation FROM events) SELECT dataset, event_id, generation FROM g QUALIFY generation = max(generation) OVER (PARTITION BY dataset ORDER BY event_id)",
 )
 def stream_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = event_stream(spark, sf_dir).select(F.col("event_type").alias("dataset"), "event_id", (F.expr("event_id div 50") + F.col("user_id") % 3).alias("generation"))
-    return run_append(supersede(batches), "supersede")
+    batches = event_stream(spark, sf_dir).select(F.col("event_type").alias("dataset"), "event_id", (F.expr("event_id div 50") + F.col("user_id") % 3).alias("generation"), (F.col("event_id") * 1000).alias("ms"))
+    return run_append(supersede(batches), "supersede", rocks=True)
 
 
 @query("stream_throttle", f"{_THROTTLE_SQL} SELECT user_id, event_id, accepted FROM r")
 def stream_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = event_stream(spark, sf_dir).select("user_id", "event_id", (F.col("event_id") * 37).alias("ms"))
-    return run_append(throttle(requests), "throttle")
+    return run_append(throttle(requests), "throttle", rocks=True)
 
 
-_TICKETS = """e AS (SELECT event_id // 3 AS ticket, CASE event_id % 3 WHEN 0 THEN 'mint' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'redeem' ELSE 'cancel' END ELSE 'redeem' END AS action, event_id + (event_id % 3) * ((event_id // 3) % 25) AS at_s FROM events WHERE event_id % 41 <> 0),
-m AS (SELECT ticket, min(at_s) FILTER (action = 'mint') AS mint FROM e GROUP BY ticket)"""
-
-
-@query(
-    "stream_tickets",
-    f"WITH {_TICKETS}, l AS (SELECT e.ticket, arg_min(action, (at_s, action)) AS action, min(at_s) AS at_s FROM e JOIN m ON m.ticket = e.ticket WHERE action <> 'mint' AND at_s BETWEEN mint AND mint + 29 GROUP BY e.ticket) SELECT ticket, CASE action WHEN 'redeem' THEN 'redeemed' ELSE 'cancelled' END AS state, at_s FROM l UNION ALL SELECT ticket, 'expired', mint + 30 FROM m WHERE mint + 30 < (SELECT max(at_s) FROM e) AND ticket NOT IN (SELECT ticket FROM l)",
-)
+@query("stream_tickets", f"SELECT * FROM ({_LIFECYCLE_SQL}) WHERE state <> 'unknown'")
 def stream_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, t = F.col("event_id"), F.expr("event_id div 3")
-    action = F.when(k % 3 == 0, "mint").when(k % 3 == 1, F.when(k % 2 == 0, "redeem").otherwise("cancel")).otherwise("redeem")
-    events = event_stream(spark, sf_dir).where("event_id % 41 <> 0").select(t.alias("ticket"), action.alias("action"), (k + (k % 3) * (t % 25)).alias("at_s"))
-    return run_append(tickets(events), "tickets")
+    """The events come in four files one after another, within which and across which times are mixed; two last events far ahead let the watermark pass all others."""
+    folder = shared_folder(spark, "ticket-events")
+    events = ticket_events(spark, sf_dir)
+    quarter = (events.agg(F.max("ticket")).first()[0] or 0) // 4 + 1
+    for k in range(4):
+        events.where(F.floor(F.col("ticket") / quarter) == k).coalesce(1).write.mode("append").parquet(folder)
+    for k in range(2):
+        spark.range(1).selectExpr("-1L AS ticket", "'end' AS action", f"4000000000L + {k} AS at_s", "-1L AS dataset").coalesce(1).write.mode("append").parquet(folder)
+    return run_append(live_tickets(stream_of(spark, folder, 1), late="60 seconds"), "tickets", rocks=True)
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +19,29 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int | None = None
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
-def run_append(stream: DataFrame, name: str) -> DataFrame:
-    """All available input, appended to Parquet with exactly-once commits; the rows written."""
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def _rocks(spark: SparkSession, wanted: bool) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB, which stateful processors need."""
+    before = spark.conf.get(_STORE)
+    try:
+        if wanted:
+            spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
+
+
+def run_append(stream: DataFrame, name: str, rocks: bool = False, progress: list | None = None) -> DataFrame:
+    """All available input, appended to Parquet with exactly-once commits; the rows written. progress: takes the reports of the micro-batches."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
-    query.awaitTermination()
+    with _rocks(spark, rocks):
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows")
+        query.awaitTermination()
+    if progress is not None:
+        progress.extend(query.recentProgress)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 

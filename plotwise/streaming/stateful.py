@@ -10,73 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def supersede(batches: DataFrame) -> DataFrame:
-    """batches (dataset, event_id, generation): those whose generation is the newest that their dataset has shown so far."""
-
-    def rule(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("event_id")
-        top = rows["generation"].cummax()
-        if newest is not None:
-            top = top.clip(lower=newest)
-        state.update((int(top.iloc[-1]),))
-        yield rows.loc[rows["generation"] == top, ["dataset", "event_id", "generation"]]
-
-    return batches.groupBy("dataset").applyInPandasWithState(rule, "dataset string, event_id long, generation long", "newest long", "append", GroupStateTimeout.NoTimeout)
-
-
-def throttle(requests: DataFrame, gap: int = 120) -> DataFrame:
-    """requests (user_id, event_id, ms): whether each is accepted, `gap` ms or more after the last accepted one."""
-
-    def rule(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["ms", "event_id"])
-        taken = []
-        for ms in rows["ms"].tolist():
-            ok = last is None or ms - last >= gap
-            last = ms if ok else last
-            taken.append(ok)
-        state.update((int(last),))
-        yield rows[["user_id", "event_id"]].assign(accepted=taken)
-
-    return requests.groupBy("user_id").applyInPandasWithState(rule, "user_id long, event_id long, accepted boolean", "last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def _wake(state: GroupState, at_ms: int) -> None:
     """Ask to be called once the watermark has passed a time."""
     state.setTimeoutTimestamp(max(at_ms, state.getCurrentWatermarkMs() + 1))
 
 
-def tickets(events: DataFrame, ttl_s: int = 30, keep_s: int = 300) -> DataFrame:
-    """events (ticket, action, at_s): how each minted ticket ends, once: redeemed or cancelled within its time, or expired when the watermark has passed it.
-
-    What comes for an ended ticket gives nothing; its tombstone is dropped `keep_s` after the end, so the state doesn't grow for ever."""
-
-    def rule(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        minted, ended = state.get if state.exists else (None, None)
-        out = []
-        if state.hasTimedOut:
-            if ended is not None:
-                state.remove()
-                return
-            ended = minted + ttl_s
-            out.append((key[0], "expired", int(ended)))
-        else:
-            for action, at in pd.concat(list(frames)).sort_values(["at_s", "action"])[["action", "at_s"]].itertuples(index=False):
-                if action == "mint":
-                    minted = at if minted is None else minted
-                elif minted is not None and ended is None and minted <= at < minted + ttl_s:
-                    ended = at
-                    out.append((key[0], "redeemed" if action == "redeem" else "cancelled", int(at)))
-        state.update((None if minted is None else int(minted), None if ended is None else int(ended)))
-        if minted is not None:
-            _wake(state, 1000 * int(minted + ttl_s if ended is None else ended + keep_s))
-        yield pd.DataFrame(out, columns=["ticket", "state", "at_s"])
-
-    timed = events.withColumn("at", F.timestamp_seconds("at_s")).withWatermark("at", "0 seconds")
-    return timed.groupBy("ticket").applyInPandasWithState(rule, "ticket long, state string, at_s long", "minted long, ended long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def stalls(events: DataFrame, bound_ms: int = 5000) -> DataFrame:
     """events (user_id, event_id, kind, ms) with kind begin, end or tick: a row for each begin that no end follows within the bound; re-armed by the next begin.
 
