@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.llm.blocks import shuffle_partitions
-from plotwise.llm.shared import discard, passing, saved, shared_folder
+from plotwise.llm.shared import discard, passing, quoted, saved, shared_folder
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -128,7 +128,7 @@ def clean_lines(docs: DataFrame, lines: DataFrame, frequent: DataFrame, facts: s
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone["gone"])
     picked = F.aggregate(F.array(split), F.array().cast("array<string>"), lambda _, x: F.transform(stay, lambda k: x[k]))  # binds the lines once
     kept = F.when(gone["gone"].isNull(), split).otherwise(picked)
-    own = [F.array_join(kept, "\n").alias("text") if c == "text" else docs[c] for c in docs.columns]
+    own = [F.array_join(kept, "\n").alias("text") if c == "text" else docs[quoted(c)] for c in docs.columns]
     if facts:
         while facts in docs.columns:
             facts += "_"

@@ -33,6 +33,8 @@ from plotwise.llm import text as tx
 from plotwise.llm.shared import passing, pieces, saved, shared_folder
 
 LONGEST, LEAST, WITHIN_PERCENT, TOP = 4, 30, 80, 2000
+#: A language's phrases are ranked in so many shares first, so that the last ranking reads TOP of each at most.
+SHARES = 32
 #: A pair of words in so many, by its hash, begins a chunk.
 TRIGGER = 32
 _PIECE_END = np.zeros(256, bool)
@@ -261,7 +263,8 @@ def standing_alone(candidates: DataFrame, within_percent: int = WITHIN_PERCENT)
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, within_percent: int = WITHIN_PERCENT, top: int = TOP, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first phrases by score, then count, then their bytes."""
     phrases, languages = phrase_counts(docs, longest, least, block_bytes)
-    candidates = standing_alone(scored(phrases), within_percent)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    candidates = standing_alone(scored(phrases), within_percent).withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    likely = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = likely.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(languages, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

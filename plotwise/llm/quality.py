@@ -173,4 +173,5 @@ def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
             if batch.num_rows:
                 yield batch.filter(pa.concat_arrays([pa.array(measure(part.column(at), limits)["kept"]) for part in pieces(iter([batch]), at)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    placed = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # mapInArrow takes names for expressions
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)

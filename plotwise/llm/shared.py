@@ -42,11 +42,19 @@ def passing(spark: SparkSession, folder: str) -> str:
     return folder
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever it has in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """The rows, written to the shared folder (in folders `by` columns) and read again: a cut in the lineage that no executor's loss undoes."""
+    """The rows, written to the shared folder (in folders `by` columns) and read again: a cut in the lineage that no executor's loss undoes.
+
+    Columns are written under names of their places, so that any names will do."""
     folder = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(passing(df.sparkSession, folder)).select(df.columns)
+    placed = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    placed.write.option("compression", "zstd").partitionBy(*(f"c{df.columns.index(c)}" for c in by)).parquet(folder)
+    return df.sparkSession.read.schema(placed.schema).parquet(passing(df.sparkSession, folder)).select(placed.columns).toDF(*df.columns)
 
 
 def discard(spark: SparkSession, folder: str) -> None:

@@ -11,6 +11,7 @@ import pytest
 from conftest import DATA, same_as_sql
 from pyspark.sql import functions as F
 
+from plotwise.llm.shared import quoted, saved
 from plotwise.llm import blocks, byte_bpe, components, decontaminate, jaccard_join, line_dedup, quality, queries, substring_dedup, url_filter
 
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
@@ -567,13 +568,13 @@ def test_stages_keep_any_columns(spark):
     """Names that the operators use inside, null and repeated ids, null, empty and long texts."""
     import corpus_pipeline
 
-    extra = ["windows", "line_facts", "later_id", "leaked_id", "gone", "component_id", "id", "text_", "n_chars"]
+    extra = ["windows", "line_facts", "later_id", "leaked_id", "gone", "component_id", "id", "text_", "n_chars", "a.b", "b`c", "c d", "e.text"]
     rnd = random.Random(4)
     prose = [" ".join(f"v{rnd.randrange(4000)}" for _ in range(60)) for _ in range(12)]
     rows = [(k, prose[k % 11], *([k] * len(extra))) for k in range(22)] + [(None, prose[11], *([1] * len(extra))), (3, None, *([1] * len(extra))), (4, "", *([1] * len(extra))), (90, " ".join(f"w{k}" for k in range(30_000)), *([1] * len(extra)))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} long" for c in extra))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{quoted(c)} long" for c in extra))
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, DATA)
+        out = saved(stage(spark, docs, DATA), "stage")
         assert out.columns == docs.columns, name
         kept = Counter(r.doc_id for r in out.collect())
         assert kept[None] == 1 and kept[90] == 1 and kept[0] == 1, name
