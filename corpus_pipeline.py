@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, quality
-from plotwise.llm.shared import saved
+from plotwise.llm.shared import quoted, saved
 
 #: SQL has no byte-pair merges; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that enough documents share."""
     cleaned = line_dedup.dedup_lines(docs, facts=None)
-    return cleaned.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
+    return cleaned.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else quoted(c) for c in docs.columns))
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
