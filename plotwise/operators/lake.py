@@ -33,8 +33,13 @@ def profile(df: DataFrame, columns: Sequence[str], bins: int = 8) -> DataFrame:
 
 
 def overlay(base: DataFrame, deltas: DataFrame, key: str = "id") -> DataFrame:
-    """The base with edits over it: deltas (key, columns of the base, version, deleted); the latest version of a key wins. The base is only joined, never sorted."""
-    last = deltas.groupBy(key).agg(F.max_by(F.struct(*deltas.columns), "version").alias("d"))
+    """The base with edits over it: deltas (key, columns of the base, version, deleted); the latest version of a key wins. The base is only joined, never sorted.
+
+    An edit whose deleted is null deletes nothing; of equal versions a deletion wins, and of two edits the one with the greater hash, so that reruns agree;
+    a null version is older than any."""
+    settled = deltas.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    by = F.struct(F.col("version").isNotNull(), "version", "deleted", F.xxhash64(*base.columns))
+    last = settled.groupBy(key).agg(F.max_by(F.struct(*settled.columns), by).alias("d"))
     untouched = base.join(last.select(key), key, "left_anti")
     edited = last.where("NOT d.deleted").select(*(F.col(f"d.{c}").alias(c) for c in base.columns))
     return untouched.unionByName(edited)

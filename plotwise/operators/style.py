@@ -65,8 +65,14 @@ def _outside(top: float):
 
 
 def resolve(features: DataFrame, key: str, rules: DataFrame, on_null: str, on_unmatched: str, name: str) -> DataFrame:
-    """The features with the value that a match gives their key: its case, or the branch for null, or that for the unlisted. rules: (when, then), at most 64 rows."""
-    small = F.broadcast(rules.limit(MAX_CASES).select(F.col("when").alias("_when"), F.col("then").alias("_then")))
+    """The features with the value that a match gives their key: its case, or the branch for null, or that for the unlisted.
+
+    rules: (when, then); more than MAX_CASES are refused (too-many-cases), as they are where a style is validated, and so is a value with two of them
+    (duplicate-case), which would give a feature two rows."""
+    named = [r["when"] for r in rules.select("when").limit(MAX_CASES + 1).collect()]
+    if len(named) > MAX_CASES or len(set(named)) < len(named):
+        raise ValueError("style_refused: " + ("too-many-cases" if len(named) > MAX_CASES else "duplicate-case"))
+    small = F.broadcast(rules.select(F.col("when").alias("_when"), F.col("then").alias("_then")))
     joined = features.join(small, features[key] == small["_when"], "left")
     value = F.when(F.col(key).isNull(), on_null).when(F.col("_when").isNull(), on_unmatched).otherwise(F.col("_then"))
     return joined.select(*features.columns, value.alias(name))

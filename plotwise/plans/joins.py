@@ -157,13 +157,16 @@ def nearest_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pick_indirection",
-    f"""WITH {PARCELS_SQL}, picks AS (SELECT event_id AS pick_id, user_id % 11 AS batch, (event_id * 31) % 250 AS ordinal FROM events), b AS (SELECT id // 200 AS batch, id % 200 AS ordinal, id, xmin, ymin FROM p WHERE id < 1800)
-    SELECT pick_id, b.id, b.xmin AS anchor_x, b.ymin AS anchor_y FROM picks LEFT JOIN b USING (batch, ordinal)""",
+    f"""WITH {PARCELS_SQL}, m AS (SELECT max(id) // 200 + 3 AS n FROM p), picks AS (SELECT event_id AS pick_id, (user_id * 104729 + event_id // 7) % n AS batch, (event_id * 31) % 250 AS ordinal FROM events CROSS JOIN m),
+    b AS (SELECT id // 200 AS batch, id % 200 AS ordinal, id, xmin, ymin FROM p) SELECT pick_id, b.id, b.xmin AS anchor_x, b.ymin AS anchor_y FROM picks LEFT JOIN b USING (batch, ordinal)""",
 )
 def pick_indirection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(batch, ordinal) of a pick to the feature there and its anchor; beyond a batch's end: null."""
-    picks = table(spark, sf_dir, "events").select(F.col("event_id").alias("pick_id"), (F.col("user_id") % 11).alias("batch"), (F.col("event_id") * 31 % 250).alias("ordinal"))
-    batches = parcels(spark, sf_dir).where("id < 1800").select(F.expr("id div 200").alias("batch"), (F.col("id") % 200).alias("ordinal"), "id", F.col("bbox.xmin").alias("anchor_x"), F.col("bbox.ymin").alias("anchor_y"))
+    """(batch, ordinal) of a pick to the feature there and its anchor; beyond a batch's end: null. Many picks fall in the same batches, as users look at one place."""
+    features = parcels(spark, sf_dir)
+    n = (features.agg(F.max("id")).first()[0] or 0) // 200 + 3
+    batch = (F.col("user_id") * 104729 + F.expr("event_id div 7")) % n
+    picks = table(spark, sf_dir, "events").select(F.col("event_id").alias("pick_id"), batch.alias("batch"), (F.col("event_id") * 31 % 250).alias("ordinal"))
+    batches = features.select(F.expr("id div 200").alias("batch"), (F.col("id") % 200).alias("ordinal"), "id", F.col("bbox.xmin").alias("anchor_x"), F.col("bbox.ymin").alias("anchor_y"))
     return picks.join(batches, ["batch", "ordinal"], "left").select("pick_id", "id", "anchor_x", "anchor_y")
 
 

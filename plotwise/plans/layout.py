@@ -49,10 +49,10 @@ def hilbert_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("id", hilbert_cell(hilbert(F.col("x"), F.col("y"))).alias("c")).select("id", "c.x", "c.y")
 
 
-@query("shuffled_order", "SELECT o_orderkey AS id, sha256(CAST(o_orderkey AS VARCHAR)) AS key FROM orders ORDER BY key, id LIMIT 500")
+@query("shuffled_order", "SELECT o_orderkey AS id, sha256(CAST(o_orderkey AS VARCHAR)) AS key FROM orders")
 def shuffled_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500 rows of the shuffled order (a top-k of it)."""
-    return parcels(spark, sf_dir).select("id", layout_key("shuffled").alias("key")).orderBy("key", "id").limit(500)
+    """All rows in the shuffled order."""
+    return parcels(spark, sf_dir).select("id", layout_key("shuffled").alias("key")).orderBy("key", "id")
 
 
 @query("shuffled_order_all", "SELECT o_orderkey AS id, sha256(CAST(o_orderkey AS VARCHAR)) AS key, row_number() OVER (ORDER BY key, id) - 1 AS ordinal FROM orders")

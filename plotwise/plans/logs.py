@@ -67,7 +67,7 @@ def audit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.select("log", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value")).write.partitionBy("log").text(folder)
     read = read_audit(spark, folder)
     log = F.regexp_extract("file", r"/log=(\d+)/", 1).cast("long")
-    return read.select(log.alias("log"), "line_no", "corrupt_reason", F.when(F.col("corrupt_reason").isNull(), F.col("attempt")).alias("attempt"))
+    return read.select(log.alias("log"), F.col("line_no").cast("int").alias("line_no"), "corrupt_reason", F.when(F.col("corrupt_reason").isNull(), F.col("attempt")).alias("attempt"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "audit-record/1"
@@ -32,8 +32,20 @@ def parse_audit(lines: DataFrame) -> DataFrame:
     return parsed.select(*lines.columns, reason.alias("corrupt_reason"), *fields)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of text files' lines, numbered from 1 in their file. A large file is read by many tasks.
+
+    Spark cuts files into blocks and tells each row its block's first byte, so a line's number is its place in its block and the lines of the blocks
+    before.  Blocks are counted in a pass of their own, a row each; no line is moved for it.  Lines end with \\n, or \\r\\n, as in any text file."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("_at")
+    )
+    blocks = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    starts = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(starts, ["file", "_block"]).select("file", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "value")
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, ...) of audit files. A file is read whole, so that its lines can be numbered; logs are rolled before they are large."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    return parse_audit(lines.withColumn("line_no", F.col("line_no") + 1))
+    """(file, line_no, ...) of audit files."""
+    return parse_audit(numbered_lines(spark, path))
