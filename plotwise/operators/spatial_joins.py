@@ -122,12 +122,16 @@ def range_semi_join(features: DataFrame, ranges: DataFrame) -> DataFrame:
 _CELL_EDGES, _MOST_CELLS, _FEW_EDGES = 8, 1024, 32
 
 
-def polygon_grids(edges: DataFrame) -> DataFrame:
+def polygon_grids(edges: DataFrame, flat: bool = False) -> DataFrame:
     """(id, g, w, h, bx, by, bounds) of each polygon: a grid of its own with g + 1 cells an axis, as many as its edges ask for.
 
-    Borders are moved by odd shares of a cell, so that coordinates on some raster don't lie on them.  Shapes without area have no grid."""
+    Borders are moved by odd shares of a cell, so that coordinates on some raster don't lie on them.  Shapes without area have no grid, but if flat."""
     sides = [F.min(F.least("x1", "x2")).alias("left"), F.max(F.greatest("x1", "x2")).alias("right"), F.min(F.least("y1", "y2")).alias("low"), F.max(F.greatest("y1", "y2")).alias("high")]
-    stats = edges.groupBy("id").agg(F.count("*").alias("n"), *sides).where("left < right AND low < high")
+    stats = edges.groupBy("id").agg(F.count("*").alias("n"), *sides)
+    if flat:
+        for lo, hi in (("left", "right"), ("low", "high")):
+            stats = stats.withColumn(hi, F.when(F.col(lo) == F.col(hi), F.col(lo) + F.greatest(F.abs(lo), F.lit(1.0))).otherwise(F.col(hi)))
+    stats = stats.where("left < right AND low < high")
     g = F.least(F.lit(_MOST_CELLS), F.ceil(F.sqrt(F.col("n") / _CELL_EDGES))).cast("int")
     sized = stats.withColumn("g", g).withColumn("w", (F.col("right") - F.col("left")) / F.col("g")).withColumn("h", (F.col("high") - F.col("low")) / F.col("g"))
     return sized.select("*", (F.col("left") - F.lit(0.3719) * F.col("w")).alias("bx"), (F.col("low") - F.lit(0.4137) * F.col("h")).alias("by"))
@@ -143,19 +147,15 @@ def _crossing(y: Column) -> Column:
     return (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1")
 
 
-def edge_index(edges: DataFrame, grids: DataFrame) -> DataFrame:
-    """(id, c, r, ...) of each edge in each cell of its polygon's grid that it passes, and (id, c, r, odd) of the cells whose corner is inside.
+def _cell_of(v: Column, origin: str, size: str) -> Column:
+    return F.least(F.col("g"), F.greatest(F.lit(0), F.floor((v - F.col(origin)) / F.col(size)).cast("int")))
 
-    The corner is the right end of a cell's lower side.  A point's parity is the corner's, changed by the edges between the two, all of which pass the cell:
-    those between the point and the right side at its height, and those that cross the right side between that height and the corner."""
-    at = edges.join(grids, "id")
-    pad = 1e-6  # of a cell: an edge too many changes nothing
-
-    def cell(v: Column, origin: str, size: str) -> Column:
-        return F.least(F.col("g"), F.greatest(F.lit(0), F.floor((v - F.col(origin)) / F.col(size)).cast("int")))
 
+def edges_in_cells(at: DataFrame) -> DataFrame:
+    """The edges, which have the columns of their grids, once in each cell (c, r) that they pass."""
+    pad = 1e-6  # of a cell: a cell too many changes nothing
     lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
-    wide = at.withColumn("c", F.explode(F.sequence(cell(lo - pad * F.col("w"), "bx", "w"), cell(hi + pad * F.col("w"), "bx", "w"))))
+    wide = at.withColumn("c", F.explode(F.sequence(_cell_of(lo - pad * F.col("w"), "bx", "w"), _cell_of(hi + pad * F.col("w"), "bx", "w"))))
     begin = F.least(hi, F.greatest(lo, F.col("bx") + F.col("c") * F.col("w")))
     end = F.least(hi, F.greatest(lo, F.col("bx") + (F.col("c") + 1) * F.col("w")))
 
@@ -164,14 +164,23 @@ def edge_index(edges: DataFrame, grids: DataFrame) -> DataFrame:
 
     low = F.coalesce(F.least(height(begin), height(end)), F.least("y1", "y2")) - pad * F.col("h")
     high = F.coalesce(F.greatest(height(begin), height(end)), F.greatest("y1", "y2")) + pad * F.col("h")
-    dealt = wide.withColumn("r", F.explode(F.sequence(cell(low, "by", "h"), cell(high, "by", "h"))))
+    return wide.withColumn("r", F.explode(F.sequence(_cell_of(low, "by", "h"), _cell_of(high, "by", "h"))))
+
+
+def edge_index(edges: DataFrame, grids: DataFrame) -> DataFrame:
+    """(id, c, r, ...) of each edge in each cell of its polygon's grid that it passes, and (id, c, r, odd) of the cells whose corner is inside.
+
+    The corner is the right end of a cell's lower side.  A point's parity is the corner's, changed by the edges between the two, all of which pass the cell:
+    those between the point and the right side at its height, and those that cross the right side between that height and the corner."""
+    at = edges.join(grids, "id")
+    dealt = edges_in_cells(at)
     dealt = dealt.withColumn("side", F.col("bx") + (F.col("c") + 1) * F.col("w")).withColumn("base", F.col("by") + F.col("r") * F.col("h"))
     spans = (F.col("x1") > F.col("side")) != (F.col("x2") > F.col("side"))
     tip = F.when(F.col("x1") > F.col("side"), F.col("y1")).otherwise(F.col("y2"))  # of an edge that crosses the side's line, the height of its right end
     from_base = (tip > F.col("base")) != (_between(F.col("base")) & F.coalesce(F.col("side") < _crossing(F.col("base")), F.lit(False)))
     passing = dealt.select("id", "c", "r", "x1", "y1", "x2", "y2", "side", F.when(spans, tip).alias("tip"), F.when(spans, from_base).alias("from_base"), F.lit(False).alias("odd"))
 
-    rows = F.sequence(cell(F.least("y1", "y2"), "by", "h"), cell(F.greatest("y1", "y2"), "by", "h"))
+    rows = F.sequence(_cell_of(F.least("y1", "y2"), "by", "h"), _cell_of(F.greatest("y1", "y2"), "by", "h"))
     base = F.col("by") + F.col("r") * F.col("h")
     crossed = at.withColumn("r", F.explode(rows)).where(_between(base))
     before = F.least(F.col("g") + 1, F.greatest(F.lit(0), F.ceil((_crossing(base) - F.col("bx")) / F.col("w") - 1).cast("int")))  # cells whose corner is to the left

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotwise.functions.wkb import geometry_facts, header_class, to_wkb, vertex_table
 from plotwise.operators.digests import LEVELS, set_digest
-from plotwise.operators.linting import lint
+from plotwise.operators.linting import lint, lint_crossings
 from plotwise.operators.selection import extent
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import PARCELS_SQL, parcels
@@ -39,6 +39,36 @@ _VERTICES_SQL = f"""{PARCELS_SQL}, vx AS (SELECT id, ring::INT AS ring, pos::INT
 UNION ALL SELECT id, 1, pos, xmin + 16 + dx, ymin + 16 + dy FROM p CROSS JOIN (VALUES {_HOLES}) h(pos, dx, dy) WHERE id % 7 = 0)"""
 
 
+_TURN = "sign((x{1} - x{0}) * (y{2} - y{0}) - (y{1} - y{0}) * (x{2} - x{0}))"
+_BETWEEN = "x{2} BETWEEN least(x{0}, x{1}) AND greatest(x{0}, x{1}) AND y{2} BETWEEN least(y{0}, y{1}) AND greatest(y{0}, y{1})"
+_ENDS = [(a, b, c) for a, b in ((1, 2), (3, 4)) for c in ((3, 4) if a == 1 else (1, 2))]
+
+
+@query(
+    "geometry_crossings",
+    f"""WITH {_VERTICES_SQL}, o AS (SELECT id, ring, pos, CASE WHEN id % 20 = 8 AND pos = 1 THEN lead(x) OVER w WHEN id % 20 = 8 AND pos = 2 THEN lag(x) OVER w WHEN id % 20 = 9 AND pos = 2 THEN first(x) OVER w ELSE x END AS x,
+      CASE WHEN id % 20 = 8 AND pos = 1 THEN lead(y) OVER w WHEN id % 20 = 8 AND pos = 2 THEN lag(y) OVER w WHEN id % 20 = 9 AND pos = 2 THEN first(y) OVER w ELSE y END AS y FROM vx WINDOW w AS (PARTITION BY id, ring ORDER BY pos)),
+    s AS (SELECT id, ring, pos AS k, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2, count(*) OVER (PARTITION BY id, ring) - 1 AS m FROM o WINDOW w AS (PARTITION BY id, ring ORDER BY pos)),
+    pr AS (SELECT a.id, a.ring, a.k, b.ring AS ring2, b.k AS k2, a.m, a.x1, a.y1, a.x2, a.y2, b.x1 AS x3, b.y1 AS y3, b.x2 AS x4, b.y2 AS y4 FROM s a JOIN s b ON a.id = b.id AND (a.ring < b.ring OR (a.ring = b.ring AND a.k < b.k)) WHERE a.x2 IS NOT NULL AND b.x2 IS NOT NULL),
+    t AS (SELECT *, {", ".join(f"{_TURN.format(*e)} AS t{e[2]}, {_BETWEEN.format(*e)} AS on{e[2]}" for e in _ENDS)} FROM pr),
+    j AS (SELECT id, ring, CASE WHEN ring = ring2 AND k2 = k + 1 THEN CASE WHEN t4 = 0 AND t1 = 0 AND (on4 OR on1) THEN 'ring-spike' END WHEN ring = ring2 AND k = 0 AND k2 = m - 1 THEN CASE WHEN t3 = 0 AND t2 = 0 AND (on3 OR on2) THEN 'ring-spike' END
+      WHEN t3 * t4 < 0 AND t1 * t2 < 0 THEN CASE WHEN ring = ring2 THEN 'ring-self-crossing' ELSE 'rings-cross' END
+      WHEN {" OR ".join(f"(t{c} = 0 AND on{c})" for c in (1, 2, 3, 4))} THEN CASE WHEN ring = ring2 THEN 'ring-self-touch' ELSE 'rings-touch' END END AS issue FROM t)
+    SELECT id, ring, issue, count(*) AS n FROM j WHERE issue IS NOT NULL GROUP BY ALL""",
+)
+def geometry_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels of which one in twenty has two vertices changed over, and one touches its first vertex again."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("id", "ring").orderBy("pos")
+    tied, touching = F.col("id") % 20 == 8, (F.col("id") % 20 == 9) & (F.col("pos") == 2)
+
+    def moved(c: str):
+        return F.when(tied & (F.col("pos") == 1), F.lead(c).over(w)).when(tied & (F.col("pos") == 2), F.lag(c).over(w)).when(touching, F.first(c).over(w)).otherwise(F.col(c)).alias(c)
+
+    return lint_crossings(parcel_vertices(spark, sf_dir).select("id", "ring", "pos", moved("x"), moved("y")))
+
+
 def spoilt_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, geometry): WKB of the parcels, with a fault in nine of fifty."""
     g, k = F.col("geometry"), F.col("id") % 50

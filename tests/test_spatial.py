@@ -116,3 +116,79 @@ def test_a_point_meets_few_edges_of_a_large_polygon(spark):
         assert index.count() < 6 * n
         cells = at.join(grids).select(F.floor((F.col("x") - F.col("bx")) / F.col("w")).cast("int").alias("c"), F.floor((F.col("y") - F.col("by")) / F.col("h")).cast("int").alias("r"))
         assert cells.join(index, ["c", "r"]).count() < 40 * len(points)
+
+
+def brute_crossings(rings):
+    """Counts of (ring, issue) over all pairs of segments, in exact integers."""
+
+    def turn(a, b, c):
+        v = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        return (v > 0) - (v < 0)
+
+    def on(a, b, c):
+        return turn(a, b, c) == 0 and min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+
+    segments, sizes = [], {}
+    for ring, points in rings.items():
+        own = [(a, b) for a, b in zip(points, points[1:]) if a != b]
+        sizes[ring] = (len(own), bool(own) and own[0][0] == own[-1][1])
+        segments += [(ring, k, a, b) for k, (a, b) in enumerate(own)]
+    found = {}
+    for i, (r1, k1, a, b) in enumerate(segments):
+        for r2, k2, c, d in segments[i + 1 :]:
+            m, closed = sizes[r1]
+            after, around = r1 == r2 and k2 == k1 + 1, r1 == r2 and closed and k1 == 0 and k2 == m - 1
+            issue = None
+            if after and around:
+                issue = "ring-spike" if on(a, b, c) and on(a, b, d) else None
+            elif after or around:
+                far, near = (d, a) if after else (c, b)
+                issue = "ring-spike" if turn(a, b, far) == 0 and turn(c, d, near) == 0 and (on(a, b, far) or on(c, d, near)) else None
+            elif turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0:
+                issue = "ring-self-crossing" if r1 == r2 else "rings-cross"
+            elif on(a, b, c) or on(a, b, d) or on(c, d, a) or on(c, d, b):
+                issue = "ring-self-touch" if r1 == r2 else "rings-touch"
+            if issue:
+                found[r1, issue] = found.get((r1, issue), 0) + 1
+    return found
+
+
+def test_crossings_against_brute_force(spark):
+    from plotwise.operators.linting import lint_crossings
+
+    rnd = random.Random(12)
+    square = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    features = {
+        1: {0: square},
+        2: {0: [(0, 0), (10, 10), (10, 0), (0, 10), (0, 0)]},  # a bow tie
+        3: {0: square, 1: [(2, 2), (4, 2), (4, 4), (2, 2)]},  # a ring inside
+        4: {0: square, 1: [(0, 5), (4, 2), (4, 4), (0, 5)]},  # that touches
+        5: {0: square, 1: [(-5, 5), (4, 2), (4, 4), (-5, 5)]},  # that crosses
+        6: {0: [(0, 0), (5, 0), (10, 0), (5, 0), (5, 5), (0, 0)]},  # a spike
+        7: {0: [(0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2), (0, 0)]},  # touches itself in a vertex
+        8: {0: [(0, 0), (7, 0), (3, 0), (0, 0)]},  # on one line
+        9: {0: [(0, 0), (3, 3), (0, 0)]},
+        10: {0: [(0, 0), (0, 0), (5, 0), (5, 0), (5, 5), (0, 0)]},  # repeated vertices
+        11: {0: [(3, 3)]},
+    }
+    for k in range(20, 60):
+        features[k] = {r: [(rnd.randrange(12), rnd.randrange(12)) for _ in range(rnd.choice((4, 7, 12)))] for r in range(rnd.choice((1, 2, 3)))}
+        features[k] = {r: p + p[:1] if rnd.random() < 0.8 else p for r, p in features[k].items()}
+    features[99] = {0: [(rnd.randrange(1000), rnd.randrange(1000)) for _ in range(300)]}
+    rows = [(i, r, pos, float(x), float(y)) for i, rings in features.items() for r, points in rings.items() for pos, (x, y) in enumerate(points)]
+    found = lint_crossings(spark.createDataFrame(rows, "id long, ring int, pos int, x double, y double")).collect()
+    expected = {(i, *key): n for i, rings in features.items() for key, n in brute_crossings(rings).items()}
+    assert {(r.id, r.ring, r.issue): r.n for r in found} == expected
+    assert {issue for *_, issue in expected} == {"ring-self-crossing", "ring-self-touch", "ring-spike", "rings-cross", "rings-touch"}
+
+
+def test_files_of_several_crs(spark, tmp_path):
+    from plotwise.operators.linting import mixed_crs
+    from plotwise.sources.geoparquet import geo_key, write_files
+
+    df = spark.range(3).select("id", F.lit(b"x").alias("geometry"))
+    swiss = '{"id": {"authority": "EPSG", "code": 2056}}'
+    write_files(df, f"file://{tmp_path}/d/a", {"geo": geo_key(swiss, covering=None)})
+    assert mixed_crs(spark, f"file://{tmp_path}/d").collect() == []
+    write_files(df, f"file://{tmp_path}/d/b", {"geo": geo_key('{"id": {"authority": "EPSG", "code": 4326}}', covering=None)})
+    assert {r.crs for r in mixed_crs(spark, f"file://{tmp_path}/d").collect()} == {"EPSG:2056", "EPSG:4326"}
