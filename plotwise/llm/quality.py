@@ -35,6 +35,8 @@ class Limits:
     longest: int = 100
 
 
+#: Bytes of text that kept_documents judges at once: its batches carry all columns, and its task's memory is that of the next stage too.
+_KEPT_BYTES = 1 << 20
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -171,7 +173,7 @@ def kept_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.filter(pa.concat_arrays([pa.array(measure(part.column(at), limits)["kept"]) for part in pieces(iter([batch]), at)]))
+                yield batch.filter(pa.concat_arrays([pa.array(measure(part.column(at), limits)["kept"]) for part in pieces(iter([batch]), at, _KEPT_BYTES)]))
 
     placed = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # mapInArrow takes names for expressions
     return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)
