@@ -32,17 +32,21 @@ def profile(df: DataFrame, columns: Sequence[str], bins: int = 8) -> DataFrame:
     return values.groupBy("column", at.alias("bin")).agg(F.count("*").alias("n"), F.first("nulls").alias("nulls"), F.first("lo").alias("min"), F.first("hi").alias("max"))
 
 
-def overlay(base: DataFrame, deltas: DataFrame, key: str = "id") -> DataFrame:
-    """The base with edits over it: deltas (key, columns of the base, version, deleted); the latest version of a key wins. The base is only joined, never sorted.
+def settled_edits(deltas: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
+    """The latest edit of each key, with `deleted`. deltas: key, columns, version, deleted.
 
     An edit whose deleted is null deletes nothing; of equal versions a deletion wins, and of two edits the one with the greater hash, so that reruns agree;
     a null version is older than any."""
     settled = deltas.withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-    by = F.struct(F.col("version").isNotNull(), "version", "deleted", F.xxhash64(*base.columns))
-    last = settled.groupBy(key).agg(F.max_by(F.struct(*settled.columns), by).alias("d"))
+    by = F.struct(F.col("version").isNotNull(), "version", "deleted", F.xxhash64(*columns))
+    return settled.groupBy(key).agg(F.max_by(F.struct(*settled.columns), by).alias("d")).select("d.*")
+
+
+def overlay(base: DataFrame, deltas: DataFrame, key: str = "id") -> DataFrame:
+    """The base with edits over it, settled by `settled_edits`. The base is only joined, never sorted."""
+    last = settled_edits(deltas, base.columns, key)
     untouched = base.join(last.select(key), key, "left_anti")
-    edited = last.where("NOT d.deleted").select(*(F.col(f"d.{c}").alias(c) for c in base.columns))
-    return untouched.unionByName(edited)
+    return untouched.unionByName(last.where("NOT deleted").select(*base.columns))
 
 
 def lineage_grade(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -39,6 +39,45 @@ def admissible_cells(trials: DataFrame, least: int, row_counts: int = 1, cell: s
     return facts.select(cell, "n", F.array_compact(reasons).alias("reasons"))
 
 
+def admission_of_cells(trials: DataFrame, declared: DataFrame) -> DataFrame:
+    """(cell, n, reasons): n counts the trials without an error, which all other reasons are about; an empty list admits the cell.
+
+    trials: cell, error, n_rows, digest, plan, cut_policy (a null is a value of its own); declared: cell, want_n, want_rows (null: not predicted), want_cut.
+    A cell without a declaration is judged by its trials alone, one without trials has that reason. What may vary is compared by its least and greatest
+    value, so sums of a cell are small; whether a wanted value is among them is asked of the distinct values."""
+    ok = ~F.coalesce("error", F.lit(False))
+
+    def varies(name: str) -> Column:
+        x = F.when(ok, F.col(name))
+        some = F.count(x)
+        return ((F.min(x) < F.max(x)) | ((some > 0) & (some < F.count_if(ok)))).alias(f"{name}_varies")
+
+    facts = trials.groupBy("cell").agg(F.count_if(ok).alias("n"), F.count_if(~ok).alias("errors"), *map(varies, ("n_rows", "digest", "plan", "cut_policy")))
+    wanted = declared.select(F.col("cell").alias("_cell"), "want_n", "want_rows", "want_cut")
+
+    def met(name: str, want: str) -> DataFrame:
+        held = trials.where(ok).select("cell", name).distinct()
+        return held.join(wanted, F.col("cell").eqNullSafe(F.col("_cell")) & (F.col(name) == F.col(want))).select(F.col("cell").alias("_met"), F.lit(True).alias(f"has_{want}"))
+
+    judged = facts.withColumn("_tried", F.lit(True)).join(wanted, F.col("cell").eqNullSafe(F.col("_cell")), "full_outer").withColumn("cell", F.coalesce("cell", "_cell"))
+    for name, want in (("n_rows", "want_rows"), ("cut_policy", "want_cut")):
+        judged = judged.join(met(name, want), F.col("cell").eqNullSafe(F.col("_met")), "left").drop("_met")
+    some = F.coalesce("n", F.lit(0)) > 0
+    reasons = F.array(
+        F.when(F.col("_tried").isNull(), "no-trial"),
+        F.when(F.col("errors") > 0, "errored-trials"),
+        F.when((F.col("n") == 0), "no-successful-trial"),
+        F.when(some & (F.col("n") != F.col("want_n")), "wrong-n"),
+        F.when(some & F.col("n_rows_varies"), "row-count-varies"),
+        F.when(some & F.col("want_rows").isNotNull() & F.col("has_want_rows").isNull(), "row-count-unpredicted"),
+        F.when(some & F.col("digest_varies"), "digest-varies"),
+        F.when(some & F.col("plan_varies"), "plan-varies"),
+        F.when(some & F.col("cut_policy_varies"), "cut-policy-varies"),
+        F.when(some & F.col("want_cut").isNotNull() & F.col("has_want_cut").isNull(), "cut-policy-undeclared"),
+    )
+    return judged.select("cell", F.coalesce("n", F.lit(0)).alias("n"), F.array_compact(reasons).alias("reasons"))
+
+
 def pairwise_wins(a: DataFrame, b: DataFrame, least: int = 7, of: int = 49, wins: int = 42) -> DataFrame:
     """(cell, n_a, n_b, wins, verdict) over (cell, x) of two candidates: pairs in which a is strictly less, and whether they make the gate's share.
 

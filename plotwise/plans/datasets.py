@@ -9,6 +9,7 @@ from plotwise.dataset import Dataset, open_dataset
 from plotwise.functions.wkb import to_wkb
 from plotwise.operators.layout import group_selection
 from plotwise.operators.spatial_joins import bbox_join
+from plotwise.operators.trials import ratio_gates
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import E0, N0, PARCELS_SQL, PITCH, grid_cols, parcels, viewports
 from plotwise.plans.geometry import parcel_vertices
@@ -75,3 +76,10 @@ def pruned_viewports(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = group_selection(groups, views).join(read, "view_id", "left").select(F.lit(order).alias("layout"), "*", F.lit(total).alias("total_bytes"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+@query("read_volume_measured")
+def read_volume_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(view_id, control, candidate, ratio, verdict): the gates fed by bytes measured in the stored files, identity order against the curve. Tests hold the bytes against the footers."""
+    measured = pruned_viewports(spark, sf_dir).select("view_id", F.when(F.col("layout") == "hilbert16", "candidate").otherwise("control").alias("layout"), F.coalesce("kept_bytes", F.lit(0)).alias("read_bytes"))
+    return ratio_gates(measured, F.when(F.col("view_id") == "whole", 1.005).otherwise(0.70))

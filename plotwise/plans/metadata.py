@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotwise.functions.geo_metadata import admit_crs, admit_encoding, definition_provenance, fit_zoom, geo_fields, view_bbox
+from plotwise.operators.edits import create_edited, open_edited
 from plotwise.operators.lake import attribute_join, duplicate_batches, lineage_grade, newest_generation, overlay, profile, replay_tickets, resident_totals, similar_columns, throttled
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import E0, N0, PARCELS_SQL, parcels, table
 from plotwise.sources.footers import footer_inventory, row_group_statistics
 from plotwise.sources.generate import categorize, generate_features
+from plotwise.storage import shared_folder
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -166,6 +168,24 @@ def edit_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay(base, deltas)
 
 
+@query(
+    "edit_commits",
+    f"""WITH {PARCELS_SQL}, d AS (SELECT user_id * 3 AS id, event_type AS zone, value, event_id AS version, event_id % 5 AS step, event_type = 'error' AS deleted FROM events),
+    l AS (SELECT id, arg_max(zone, (step, version)) AS zone, arg_max(value, (step, version)) AS value, arg_max(deleted, (step, version)) AS deleted FROM d GROUP BY id)
+    SELECT id, zone, value FROM p WHERE id NOT IN (SELECT id FROM l) UNION ALL SELECT id, zone, value FROM l WHERE NOT deleted""",
+)
+def edit_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five commits of edits over files that stay as they are, compacted and opened again: a row is as the last commit that knows its id has it."""
+    base = shared_folder(spark, "edited-base")
+    parcels(spark, sf_dir).select("id", "zone", "value").write.parquet(base)
+    made = create_edited(spark, base, shared_folder(spark, "edited"))
+    events = table(spark, sf_dir, "events").select((F.col("user_id") * 3).alias("id"), F.col("event_type").alias("zone"), "value", F.col("event_id").alias("version"), (F.col("event_type") == "error").alias("deleted"))
+    for step in range(5):
+        made = made.edit(events.where(F.col("version") % 5 == step))
+    made.compact(fan=3)
+    return open_edited(spark, made.folder).rows()
+
+
 @query(
     "lineage_grades",
     """WITH RECURSIVE n AS (SELECT c_custkey AS node, c_nationkey % 4 AS rank FROM customer), e AS (SELECT c_custkey AS node, c_custkey // 2 AS input FROM customer WHERE c_custkey > 1), r(node, anc) AS (SELECT node, node FROM n UNION SELECT r.node, e.input FROM r JOIN e ON e.node = r.anc)

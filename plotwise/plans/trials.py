@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.operators.trials import admissible_cells, bootstrap_interval, cadence, cell_summary, order_effect, paired_effect, pairwise_wins, phase_spread, ratio_gates, span_share
+from plotwise.operators.order_statistics import nearest_ranks, pair_wins
+from plotwise.operators.trials import admissible_cells, admission_of_cells, bootstrap_interval, cadence, cell_summary, order_effect, paired_effect, pairwise_wins, phase_spread, ratio_gates, span_share
 from plotwise.operators.sequences import consecutive_groups
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import table
@@ -60,6 +61,55 @@ def pairwise_wins_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_wins(a, b)
 
 
+@query("cell_order_statistics", f"WITH {_TRIALS_SQL} SELECT l_returnflag, count(*) AS n, min(total_ms) AS min, max(total_ms) AS max, quantile_disc(total_ms, 0.5) AS p50, quantile_disc(total_ms, 0.95) AS p95 FROM tri GROUP BY ALL")
+def cell_order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three cells of about a third of all trials each."""
+    return nearest_ranks(trials(spark, sf_dir), "l_returnflag", "total_ms", {"p50": 0.5, "p95": 0.95})
+
+
+@query(
+    "pairwise_wins_large",
+    f"""WITH {_TRIALS_SQL}, c AS (SELECT plan AS cell, total_ms AS x, count(*) FILTER (n_rows % 2 = 1) AS a, count(*) FILTER (n_rows % 2 = 0) AS b FROM tri GROUP BY ALL),
+    w AS (SELECT cell, a, b, b * coalesce(sum(a) OVER (PARTITION BY cell ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS won FROM c),
+    s AS (SELECT cell, sum(a)::BIGINT AS n_a, sum(b)::BIGINT AS n_b, sum(won)::BIGINT AS wins FROM w GROUP BY cell),
+    m AS (SELECT plan AS cell, quantile_disc(total_ms, 0.5) FILTER (n_rows % 2 = 1) AS p50_a, quantile_disc(total_ms, 0.5) FILTER (n_rows % 2 = 0) AS p50_b FROM tri GROUP BY ALL)
+    SELECT s.cell, n_a, n_b, wins, CASE WHEN n_a < 7 OR n_b < 7 THEN 'unmeasured' WHEN p50_a < p50_b AND 49 * wins >= 42 * n_a * n_b THEN 'wins' ELSE 'no-win' END AS verdict FROM s JOIN m ON s.cell = m.cell""",
+)
+def pairwise_wins_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two cells with half of all trials each."""
+    t = trials(spark, sf_dir)
+    a, b = (t.where(F.col("n_rows") % 2 == k).select(F.col("plan").alias("cell"), F.col("total_ms").alias("x")) for k in (1, 0))
+    return pair_wins(a, b).withColumn("wins", F.col("wins").cast("long"))
+
+
+@query(
+    "cell_admission",
+    """WITH t AS (SELECT l_orderkey AS cell, l_partkey % 97 = 0 AS error, l_suppkey % 2 AS n_rows, l_linenumber // 4 AS digest, l_linestatus AS plan, CASE WHEN l_returnflag = 'N' THEN 'size-only' ELSE 'budgeted' END AS cut_policy FROM lineitem),
+    d AS (SELECT o_orderkey AS cell, 1 + o_orderkey % 4 AS want_n, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 2 END AS want_rows, CASE WHEN o_orderkey % 2 = 0 THEN 'size-only' ELSE 'budgeted' END AS want_cut FROM orders),
+    f AS (SELECT coalesce(t.cell, d.cell) AS cell, count(t.cell) AS tried, count(*) FILTER (error) AS errors, count(*) FILTER (NOT error) AS n, any_value(want_n) AS want_n, any_value(want_rows) AS want_rows, any_value(want_cut) AS want_cut,
+      count(DISTINCT n_rows) FILTER (NOT error) AS row_kinds, count(DISTINCT digest) FILTER (NOT error) AS digests, count(DISTINCT plan) FILTER (NOT error) AS plans, count(DISTINCT cut_policy) FILTER (NOT error) AS cuts,
+      count(*) FILTER (NOT error AND n_rows = want_rows) AS predicted, count(*) FILTER (NOT error AND cut_policy = want_cut) AS as_declared FROM t FULL JOIN d ON t.cell = d.cell GROUP BY 1)
+    SELECT cell, n, list_filter([CASE WHEN tried = 0 THEN 'no-trial' END, CASE WHEN errors > 0 THEN 'errored-trials' END, CASE WHEN tried > 0 AND n = 0 THEN 'no-successful-trial' END, CASE WHEN n > 0 AND n <> want_n THEN 'wrong-n' END,
+      CASE WHEN row_kinds > 1 THEN 'row-count-varies' END, CASE WHEN n > 0 AND want_rows IS NOT NULL AND predicted = 0 THEN 'row-count-unpredicted' END, CASE WHEN digests > 1 THEN 'digest-varies' END, CASE WHEN plans > 1 THEN 'plan-varies' END,
+      CASE WHEN cuts > 1 THEN 'cut-policy-varies' END, CASE WHEN n > 0 AND want_cut IS NOT NULL AND as_declared = 0 THEN 'cut-policy-undeclared' END], lambda x: x IS NOT NULL) AS reasons FROM f""",
+)
+def cell_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's line items as a cell's trials, against what is declared of the order."""
+    t = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("cell"),
+        (F.col("l_partkey") % 97 == 0).alias("error"),
+        (F.col("l_suppkey") % 2).alias("n_rows"),
+        F.expr("l_linenumber div 4").alias("digest"),
+        F.col("l_linestatus").alias("plan"),
+        F.when(F.col("l_returnflag") == "N", "size-only").otherwise("budgeted").alias("cut_policy"),
+    )
+    k = F.col("o_orderkey")
+    wanted = table(spark, sf_dir, "orders").select(
+        k.alias("cell"), (1 + k % 4).alias("want_n"), F.when(k % 3 > 0, F.col("o_custkey") % 2).alias("want_rows"), F.when(k % 2 == 0, "size-only").otherwise("budgeted").alias("want_cut")
+    )
+    return admission_of_cells(t, wanted)
+
+
 @query(
     "read_volume_gates",
     f"""WITH {_TRIALS_SQL}, v AS (SELECT l_suppkey AS view_id, sum(read_bytes) FILTER (l_returnflag = 'N')::BIGINT AS control, sum(read_bytes) FILTER (l_returnflag = 'A')::BIGINT AS candidate FROM tri GROUP BY ALL)
