@@ -10,6 +10,7 @@ from plotwise.operators.edits import create_edited, open_edited
 from plotwise.operators.lake import attribute_join, duplicate_batches, lineage_grade, newest_generation, overlay, profile, replay_tickets, resident_totals, similar_columns, throttled
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import E0, N0, PARCELS_SQL, parcels, table
+from plotwise.sources.attributes import read_attributes
 from plotwise.sources.footers import footer_inventory, row_group_statistics
 from plotwise.sources.generate import categorize, generate_features
 from plotwise.storage import shared_folder
@@ -147,6 +148,21 @@ def attribute_join_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribute_join(features, attributes, "k")[1]
 
 
+@query(
+    "attribute_file_report",
+    """WITH f AS (SELECT DISTINCT o_custkey AS k FROM orders), a AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 13 <> 5) SELECT count(f.k) AS features, count(*) FILTER (f.k IS NOT NULL AND a.k IS NOT NULL)::BIGINT AS matched, count(*) FILTER (f.k IS NULL)::BIGINT AS unmatched_attributes,
+    count(*) FILTER (f.k IS NOT NULL AND a.k IS NOT NULL) / count(f.k) AS match_rate, (SELECT count(*) FROM customer WHERE c_custkey % 13 = 5) AS broken FROM f FULL JOIN a ON f.k = a.k""",
+)
+def attribute_file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV, some with a balance that is no number, read with their schema and joined to the orders' customers."""
+    balance = F.when(F.col("c_custkey") % 13 == 5, "n/a").otherwise(F.col("c_acctbal").cast("string"))
+    folder = shared_folder(spark, "attributes")
+    table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment", balance.alias("balance")).write.option("header", True).option("escape", '"').csv(folder)
+    rows, broken = read_attributes(spark, folder, "k long, c_mktsegment string, balance double")
+    features = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_totalprice")
+    return attribute_join(features, rows, "k")[1].crossJoin(broken.agg(F.count("k").alias("broken")))  # one row each
+
+
 @query(
     "column_profile",
     """WITH s AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), c AS (SELECT min(o_custkey)::DOUBLE AS lo, max(o_custkey)::DOUBLE AS hi FROM orders)

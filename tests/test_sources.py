@@ -53,3 +53,15 @@ def test_edits_with_null_and_equal_versions(spark):
         assert found.pop(4) in ("p", "q")
         assert found == {0: "old", 1: "new", 2: "newer", 5: "z", 6: "old", 7: "old", 9: "added"}
     assert overlay(base, deltas).where("id = 4").collect() == overlay(base, deltas.repartition(5)).where("id = 4").collect()
+
+
+def test_attribute_files(spark, tmp_path):
+    from plotwise.sources.attributes import read_attributes
+
+    (tmp_path / "a.csv").write_text('k,name,size\n1,"a ""b"", c",2.5\n2,,\nx,bad key,1\n3,short\n4,long,1,2\n5,bad size,wide\n1,again,0\n')
+    rows, broken = read_attributes(spark, f"file://{tmp_path}/a.csv", "k long, name string, size double")
+    assert sorted(map(tuple, rows.collect()), key=str) == sorted([(1, 'a "b", c', 2.5), (2, None, None), (1, "again", 0.0)], key=str)
+    assert sorted(r["_broken"] for r in broken.collect()) == ["3,short", "4,long,1,2", "5,bad size,wide", "x,bad key,1"]
+    assert rows.select("k").count() == 3 and broken.groupBy("name").count().count() == 4
+    with pytest.raises(Exception, match="(?i)header"):
+        read_attributes(spark, f"file://{tmp_path}/a.csv", "k long, size double, name string")[0].collect()
