@@ -137,7 +137,8 @@ def dataset_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features, vertices and rings by category, null included; the whole is the sum."""
     facts = geometry_facts(to_wkb(parcel_vertices(spark, sf_dir))).select("id", "vertices", "rings")
     zones = parcels(spark, sf_dir).select("id", F.coalesce("zone", F.lit("(null)")).alias("category"))
-    return facts.join(zones, "id").groupBy("category").agg(
+    # Spark takes exploded vertices for as few rows as the features, so without the hint it would broadcast a row a feature
+    return facts.join(zones.hint("merge"), "id").groupBy("category").agg(
         F.count("*").alias("n_features"), F.sum("vertices").alias("n_vertices"), F.sum("rings").alias("n_rings"), F.min("vertices").alias("min_vertices"), F.max("vertices").alias("max_vertices")
     )
 

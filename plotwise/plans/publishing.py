@@ -52,7 +52,7 @@ def sized_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shaped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels with their geometry; WKB size and vertices are read from it."""
     shapes = to_wkb(parcel_vertices(spark, sf_dir))
-    return with_vertex_counts(parcels(spark, sf_dir).join(shapes, "id")).withColumn("wkb_len", F.octet_length("geometry"))
+    return with_vertex_counts(parcels(spark, sf_dir).join(shapes.hint("merge"), "id")).withColumn("wkb_len", F.octet_length("geometry"))
 
 
 #: The cut as one scan: for each row where a part that began there would end, then from part to part. (On these sizes the guess grows from row to row.)
