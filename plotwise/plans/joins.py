@@ -74,15 +74,30 @@ _WIDE = """w AS (SELECT id, zone, id * 30000000000000 + (id * 7919) % 1000003 AS
 r AS (SELECT s_suppkey * 4000000000000000 + s_suppkey % 97 AS lo, s_suppkey * 4000000000000000 + CASE WHEN s_suppkey % 50 = 1 THEN 1::BIGINT << 61 ELSE (1::BIGINT << (10 + s_suppkey % 40)) END AS hi FROM supplier WHERE s_suppkey % 5 = 1)"""
 
 
+def wide_shift(spark: SparkSession, sf_dir: str) -> int:
+    """The power of two by which wide ids must lie closer to be longs; 0 as long as they are."""
+    k = F.col("s_suppkey")
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    some, widest = table(spark, sf_dir, "supplier").where(k % 5 == 1).agg(F.coalesce(F.max(k), F.lit(0)), F.coalesce(F.max(F.when(k % 50 == 1, k)), F.lit(0))).first()
+
+    def top(shift: int) -> int:
+        return max(last * (30000000000000 >> shift) + 1000003, some * (4000000000000000 >> shift) + (1 << 49), widest * (4000000000000000 >> shift) + (1 << 61))
+
+    return next(shift for shift in range(64) if top(shift) < 1 << 63)
+
+
 @query("id_range_wide", f"WITH {PARCELS_SQL}, {_WIDE} SELECT wide_id AS id, zone FROM w WHERE EXISTS (SELECT 1 FROM r WHERE wide_id BETWEEN lo AND hi AND hi < 2000000000000000000) OR EXISTS (SELECT 1 FROM (SELECT min(lo) AS lo, max(hi) AS hi FROM r WHERE hi >= 2000000000000000000) WHERE wide_id BETWEEN lo + 100000000000000000 AND hi)")
 def id_range_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids far apart, and ranges of a thousand to 2**61 of them, within each other."""
+    """Ids far apart, and ranges of a thousand to 2**61 of them, within each other.
+
+    Where the SQL's products pass 64 bits, ids and ranges lie closer by the same power of two, so that all of them are longs."""
     k, i = F.col("s_suppkey"), F.col("id")
-    lo = k * 4000000000000000
+    apart = wide_shift(spark, sf_dir)
+    lo = k * (4000000000000000 >> apart)
     wide = F.when(k % 50 == 1, F.lit(1 << 61)).otherwise(F.expr("shiftleft(1L, cast(10 + s_suppkey % 40 as int))"))
     ranges = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 1").select((lo + k % 97).alias("lo"), (lo + wide).alias("hi"))
     whole = ranges.where("hi >= 2000000000000000000").agg((F.min("lo") + 100000000000000000).alias("lo"), F.max("hi").alias("hi"))
-    features = parcels(spark, sf_dir).select((i * 30000000000000 + i * 7919 % 1000003).alias("id"), "zone")
+    features = parcels(spark, sf_dir).select((i * (30000000000000 >> apart) + i * 7919 % 1000003).alias("id"), "zone")
     return range_semi_join(features, ranges.where("hi < 2000000000000000000").unionByName(whole))
 
 

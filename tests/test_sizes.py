@@ -19,3 +19,15 @@ def test_features_are_not_broadcast(spark, tmp_path):
     facts = catalog.queries()["dataset_facts"](spark, d)
     assert "Broadcast" not in plan(facts) and "Broadcast" not in plan(publishing.shaped_features(spark, d))
     assert [(r.category, r.n_features) for r in facts.collect()] == [("1-URGENT", 700)]
+
+
+def test_wide_ids_of_large_tables(spark, tmp_path):
+    d = orders(spark, tmp_path, range(0, 9_000_000, 9_001))
+    spark.createDataFrame([(k,) for k in range(1, 60_000, 500)], "s_suppkey long").write.parquet(f"file://{tmp_path}/supplier.parquet")
+    shift = next(k for k in range(64) if 59_501 * (4 * 10**15 >> k) + (1 << 61) < 1 << 63)
+    assert shift == 6
+    ranges = [(k * (4 * 10**15 >> shift) + k % 97, k * (4 * 10**15 >> shift) + (1 << 61)) for k in range(1, 60_000, 500)]  # each is one of the wide
+    lo, hi = min(a for a, _ in ranges) + 10**17, max(b for _, b in ranges)
+    ids = [k * (3 * 10**13 >> shift) + k * 7919 % 1_000_003 for k in range(0, 9_000_000, 9_001)]
+    found = sorted(r.id for r in catalog.queries()["id_range_wide"](spark, d).collect())
+    assert found == sorted(i for i in ids if lo <= i <= hi) and 0 < len(found) < len(ids)
