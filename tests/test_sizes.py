@@ -1,6 +1,9 @@
 """What the larger tables ask for: no pairs, no row a draw, no table through the driver, and tasks that follow the input."""
 
+import random
 
+
+from plotwise.operators.audit import match_grants
 from plotwise.plans import catalog, publishing
 
 
@@ -31,3 +34,27 @@ def test_wide_ids_of_large_tables(spark, tmp_path):
     ids = [k * (3 * 10**13 >> shift) + k * 7919 % 1_000_003 for k in range(0, 9_000_000, 9_001)]
     found = sorted(r.id for r in catalog.queries()["id_range_wide"](spark, d).collect())
     assert found == sorted(i for i in ids if lo <= i <= hi) and 0 < len(found) < len(ids)
+
+
+def test_grants_meet_attempts_without_pairs(spark):
+    rng = random.Random(3)
+    places = ["/out", "/out/a", "/out/b"]
+    grants = [(k, rng.choice(["p", "q"]), "d", "h", rng.choice(["exact", "child"]), rng.choice(places), rng.choice([None, *range(0, 300, 7)]), rng.choice([None, -3, 0, 5, 60, 5000])) for k in range(400)]
+    attempts = [(k, rng.choice(["p", "q", "r"]), rng.choice(["d", "e"]), "h", rng.choice([*places, "/out/a/x", "x"]), rng.choice([None, *range(-5, 1700)])) for k in range(900)]
+    a = spark.createDataFrame(attempts, "attempt long, operation string, dataset string, content_hash string, destination string, now_s long")
+    few = [g for g in grants if g[0] % 40 == 0]
+    for some in (grants, few, [g for g in few if (g[7] or 0) <= 0 and g[6] is not None], grants[:1]):
+        g = spark.createDataFrame(some, "grant_id long, operation string, dataset string, content_hash string, scope_kind string, scope string, granted_s long, lifetime_s long")
+        expected = {}
+        for k, operation, dataset, content, destination, now in attempts:
+            met = []
+            for i, o, d, h, kind, scope, granted, lifetime in some:
+                if (o, d, h) == (operation, dataset, content) and scope == (destination if kind == "exact" else destination.rpartition("/")[0]):
+                    met.append((max(0, now - granted if None not in (now, granted) else 0) - min(1200 if lifetime is None else lifetime, 1200), i))
+            live = [i for over, i in met if over < 0]
+            verdict = "no_grant" if operation not in {g[1] for g in some} else "grant_scope_mismatch" if not met else "granted" if live else "grant_expired"
+            expected[k] = (verdict, min(live) if live else min(met)[1] if met else None)
+        found = match_grants(a, g)
+        assert {r.attempt: (r.verdict, r.grant_id) for r in found.collect()} == expected
+        joins = [line for line in plan(found).splitlines() if "Join [" in line and "scope#" in line]
+        assert all("_range#" in line for line in joins)
