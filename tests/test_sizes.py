@@ -1,9 +1,11 @@
 """What the larger tables ask for: no pairs, no row a draw, no table through the driver, and tasks that follow the input."""
 
+import hashlib
 import random
 
 
 from plotwise.operators.audit import match_grants
+from plotwise.operators.trials import bootstrap_interval
 from plotwise.plans import catalog, publishing
 
 
@@ -58,3 +60,21 @@ def test_grants_meet_attempts_without_pairs(spark):
         assert {r.attempt: (r.verdict, r.grant_id) for r in found.collect()} == expected
         joins = [line for line in plan(found).splitlines() if "Join [" in line and "scope#" in line]
         assert all("_range#" in line for line in joins)
+
+
+def test_resamples_of_small_and_large_blocks(spark):
+    rng = random.Random(5)
+    blocks = {None: 3, 1: 4, 2: 61, 3: 700}
+    runs, theta = [], {}
+    for block, n in blocks.items():
+        for pair in range(n):
+            a, b = rng.randint(1, 99) / 4, rng.randint(1, 99) / 4
+            runs += [(block, 2 * pair, "A", a), (block, 2 * pair + 1, "B", b)]
+            theta.setdefault(block, []).append(2 * (b - a) / (a + b))
+    found = bootstrap_interval(spark.createDataFrame(runs, "block long, position int, candidate string, rate double"), resamples=1000, least=3)
+    rows = {r.block: (r.ci_lo, r.ci_hi) for r in found.collect()}
+    for block, xs in theta.items():
+        name = "" if block is None else f"{block}:"
+        means = sorted(sum(xs[int(hashlib.sha256(f"{name}{r}:{j}".encode()).hexdigest()[:8], 16) % len(xs)] for j in range(1, len(xs) + 1)) / len(xs) for r in range(1000))
+        assert all(abs(a - b) < 1e-9 for a, b in zip(rows[block], (means[25], means[975]), strict=True))
+    assert len(rows) == 4 and plan(found).count("Generate explode") == 1  # slices only: no row a resample or a draw
