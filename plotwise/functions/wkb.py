@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from plotwise.storage import stored_bytes
+
 _HAS_Z, _HAS_M, _HAS_SRID = 0x80000000, 0x40000000, 0x20000000
 
 
@@ -223,9 +225,19 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield encode(*rest)
 
 
+#: Stored bytes that a task of vertices stands for: they may be made from a few bytes a feature.
+_VERTEX_BYTES = 4 << 20
+
+
+def by_feature(vertices: DataFrame) -> DataFrame:
+    """The vertices, all of a feature in one task; more tasks than the shuffle's partitions where the bytes read ask for them."""
+    tasks = -(-stored_bytes(vertices) // _VERTEX_BYTES)
+    return vertices.repartition(tasks, "id") if tasks > int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")) else vertices.repartition("id")
+
+
 def to_wkb(vertices: DataFrame) -> DataFrame:
     """(id, geometry): little-endian WKB polygons from a vertex table. A feature's vertices meet in one task, sorted."""
-    dealt = vertices.select("id", "ring", "pos", "x", "y").repartition("id").sortWithinPartitions("id", "ring", "pos")
+    dealt = by_feature(vertices.select("id", "ring", "pos", "x", "y")).sortWithinPartitions("id", "ring", "pos")
     return dealt.select(F.col("id").cast("long").alias("id"), F.col("ring").cast("int").alias("ring"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInArrow(_encode, "id long, geometry binary")
 
 

@@ -22,6 +22,8 @@ from plotwise.storage import bucketed, saved
 
 #: Maps that one task composes.
 FAN = 16
+#: Stored bytes that a range stands for.  A range is held by a Python task with all its columns, which may be made from far fewer bytes than they take.
+_CUT_BYTES = 2 << 20
 _NEVER = np.iinfo(np.int64).max // 4
 
 
@@ -214,7 +216,7 @@ class Cut:
 
     def __init__(self, features: DataFrame, policy: CutPolicy = CutPolicy(), partitions: int | None = None):
         self.policy, self.columns = policy, features.columns
-        self.ranges = partitions or range_count(features)
+        self.ranges = partitions or range_count(features, _CUT_BYTES)
         self.schema = features.schema
         #: All columns are written once, in ranges of ids; what follows reads them there.
         self.dealt = bucketed(in_ranges(features, ["id"], self.ranges), "cut-ranges", self.ranges, "_range")

@@ -26,6 +26,7 @@ from plotwise.operators.publish import (
     verify_assets,
     verify_bundle,
 )
+from plotwise.operators.sequences import range_count
 from plotwise.operators.style import legend, resolve, style_violations
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import PARCELS_SQL, parcels, table
@@ -186,7 +187,7 @@ def publish_deterministic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two publishes of the same features, dealt otherwise the second time, part by part, by the hash of the files written."""
     features = shaped_features(spark, sf_dir)
     first = publish(features, ["zone", "value"], shared_folder(spark, "bundle"), _POLICY)
-    return compare_publishes(first, publish(features.repartition(5), ["zone", "value"], shared_folder(spark, "bundle"), _POLICY))
+    return compare_publishes(first, publish(features.repartition(range_count(features, 2 << 20) + 5), ["zone", "value"], shared_folder(spark, "bundle"), _POLICY))
 
 
 _ASSETS_SQL = """mf AS (SELECT CASE WHEN s_suppkey % 11 = 10 THEN '../part-' ELSE 'data/part-' END || CAST(s_suppkey AS VARCHAR) AS path, s_suppkey * 10 AS bytes, sha256(s_name) AS content_hash, s_nationkey AS n_rows FROM supplier WHERE s_suppkey % 13 <> 5),

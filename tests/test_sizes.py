@@ -3,8 +3,11 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
 
+from plotwise.functions.wkb import by_feature
 from plotwise.operators.audit import match_grants
+from plotwise.operators.cutting import Cut, CutPolicy
 from plotwise.operators.trials import bootstrap_interval
 from plotwise.plans import catalog, publishing
 
@@ -19,6 +22,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
+def fat(spark, path, mb):
+    """Rows with few columns in use, and a file of so many MB."""
+    rows = spark.range(mb * 100).select("id", F.concat(*(F.unhex(F.sha2(F.concat_ws("/", F.col("id"), F.lit(k)).cast("binary"), 512)) for k in range(157))).alias("blob"))
+    rows.write.parquet(f"file://{path}/fat.parquet")
+    return spark.read.parquet(f"file://{path}/fat.parquet")
+
+
 def test_features_are_not_broadcast(spark, tmp_path):
     d = orders(spark, tmp_path, range(700))
     facts = catalog.queries()["dataset_facts"](spark, d)
@@ -78,3 +88,13 @@ def test_resamples_of_small_and_large_blocks(spark):
         means = sorted(sum(xs[int(hashlib.sha256(f"{name}{r}:{j}".encode()).hexdigest()[:8], 16) % len(xs)] for j in range(1, len(xs) + 1)) / len(xs) for r in range(1000))
         assert all(abs(a - b) < 1e-9 for a, b in zip(rows[block], (means[25], means[975]), strict=True))
     assert len(rows) == 4 and plan(found).count("Generate explode") == 1  # slices only: no row a resample or a draw
+
+
+def test_ranges_and_tasks_follow_the_bytes(spark, tmp_path):
+    rows = fat(spark, tmp_path, 40)
+    sized = rows.select("id", F.lit(5).alias("verts"), F.lit(93).alias("wkb_len"), F.lit(9).alias("attr_bytes"), "blob")
+    cut = Cut(sized.drop("blob"), CutPolicy(max_rows=300))
+    assert cut.ranges >= 20
+    assert [r.n for r in cut.rows().groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()] == [300] * 13 + [100]
+    vertices = rows.select("id", F.lit(0).alias("ring"), F.lit(0).alias("pos"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    assert by_feature(vertices).rdd.getNumPartitions() >= 10
