@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plotwise.functions.once import once
+
 AXIS = "array<struct<name:string,direction:string>>"
 MAX_DEFINITION_BYTES = 65536
 
 
 def geo_fields(geo: Column) -> Column:
     """struct of what a file's `geo` JSON declares for its primary column; crs_state is declared, null or absent."""
-    primary = F.get_json_object(geo, "$.primary_column")
     columns = F.from_json(F.get_json_object(geo, "$.columns"), "map<string,string>")
-    own = columns[primary]
+    found = once(F.get_json_object(geo, "$.primary_column"), lambda primary: F.struct(primary.alias("primary"), columns[primary].alias("own")))
+    read = once(found, lambda f: F.struct(f["primary"].alias("primary"), f["own"].alias("own"), F.get_json_object(f["own"], "$.crs").alias("crs")))
+    return once(read, lambda r: _fields(geo, r["primary"], r["own"], r["crs"]))
+
+
+def _fields(geo: Column, primary: Column, own: Column, crs: Column) -> Column:
     has_crs = F.array_contains(F.json_object_keys(own), "crs")
-    crs = F.get_json_object(own, "$.crs")
     state = F.when(~F.coalesce(has_crs, F.lit(False)), "absent").when(crs.isNull(), "null").otherwise("declared")
     covering = F.from_json(F.get_json_object(own, "$.covering.bbox"), "map<string,array<string>>")
     return F.struct(
@@ -39,7 +44,10 @@ def crs_identifier(projjson: Column) -> Column:
 
 def axis_order(projjson: Column) -> Column:
     """easting_northing, longitude_latitude, northing_easting or latitude_longitude; null if the first two axes aren't east and north."""
-    axes = F.from_json(F.get_json_object(projjson, "$.coordinate_system.axis"), AXIS)
+    return once(F.from_json(F.get_json_object(projjson, "$.coordinate_system.axis"), AXIS), _axis_order)
+
+
+def _axis_order(axes: Column) -> Column:
     a, b = F.get(axes, F.lit(0)), F.get(axes, F.lit(1))
     names = F.concat_ws(" ", F.lower(a["name"]), F.lower(b["name"]))
     geographic = names.contains("longitude") | names.contains("latitude")

@@ -23,6 +23,15 @@ def range_count(df: DataFrame, range_bytes: int = RANGE_BYTES) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-stored_bytes(df) // range_bytes))
 
 
+#: Stored bytes that a task of heavy work stands for.
+HEAVY_BYTES = 256 << 10
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by a key to tasks enough for work that is heavy for their bytes: a small file comes as one task, and Spark would join small ones."""
+    return df.repartition(range_count(df, HEAVY_BYTES), key)
+
+
 def in_ranges(df: DataFrame, key: Sequence[str], partitions: int) -> DataFrame:
     """The rows in order, with _range (the number of their range) and _place (from 0 in it)."""
     ordered = df.repartitionByRange(partitions, *key).sortWithinPartitions(*key).withColumn("_at", F.monotonically_increasing_id())

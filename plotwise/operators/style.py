@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotwise.functions.once import once
+
 PROPERTIES = ("fill_color", "fill_opacity", "outline_color", "outline_width")
 MAX_CASES, MAX_WIDTH = 64, 64.0
 _VALUE = "struct<literal:string,match:struct<`column`:string,cases:array<struct<when:string,then:string>>,on_null:string,on_unmatched:string>>"
@@ -13,7 +15,10 @@ STYLE = f"struct<style_version:int,layer:struct<geometry:string,{','.join(f'{p}:
 
 def style_violations(doc: Column, text_columns: Column) -> Column:
     """Array of violations of a style document (JSON text); empty if it is good. text_columns: the published text columns of its dataset."""
-    s = F.from_json(doc, STYLE)
+    return once(F.from_json(doc, STYLE), lambda s: _violations(doc, s, text_columns))
+
+
+def _violations(doc: Column, s: Column, text_columns: Column) -> Column:
     layer = s["layer"]
     matched = [layer[p]["match"].isNotNull() for p in PROPERTIES]
     n_match = sum((F.when(m, 1).otherwise(0) for m in matched), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotwise.functions.geo_metadata import admit_crs, admit_encoding, definition_provenance, fit_zoom, geo_fields, view_bbox
 from plotwise.operators.edits import create_edited, open_edited
 from plotwise.operators.lake import attribute_join, duplicate_batches, lineage_grade, newest_generation, overlay, profile, replay_tickets, resident_totals, similar_columns, throttled
+from plotwise.operators.sequences import spread
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import E0, N0, PARCELS_SQL, parcels, table
 from plotwise.sources.attributes import read_attributes
@@ -59,7 +60,7 @@ def geo_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat(
         F.lit('{"version":"1.1.0","primary_column":"geometry","columns":{"geometry":{"encoding":"'), encoding, F.lit('","geometry_types":'), kind, crs, F.lit(',"covering":{"bbox":{"xmin":["bbox","xmin"],"ymin":["bbox","ymin"]}}}}}')
     )
-    return table(spark, sf_dir, "customer").select(k.alias("id"), doc.alias("geo"))
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select(k.alias("id"), doc.alias("geo"))
 
 
 _GEO_SQL = """gd AS (SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 5 THEN 'absent' WHEN 6 THEN 'null' ELSE 'declared' END AS crs_state, CASE WHEN c_custkey % 7 IN (5, 6) THEN NULL WHEN c_custkey % 3 = 0 THEN '(definition-only)' ELSE 'EPSG:' || CAST(2000 + c_custkey % 90 AS VARCHAR) END AS crs_id,

@@ -26,7 +26,7 @@ from plotwise.operators.publish import (
     verify_assets,
     verify_bundle,
 )
-from plotwise.operators.sequences import range_count
+from plotwise.operators.sequences import range_count, spread
 from plotwise.operators.style import legend, resolve, style_violations
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import PARCELS_SQL, parcels, table
@@ -321,7 +321,7 @@ def style_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     opacity = F.when(k % 8 == 5, F.lit('{"literal":"1.5"}')).otherwise(F.lit('{"literal":"0.5"}'))
     version = F.when(k % 8 == 6, "2").otherwise("1")
     doc = F.concat(F.lit('{"style_version":'), version, F.lit(',"layer":{"geometry":"polygon","fill_color":'), fill, F.lit(',"fill_opacity":'), opacity, F.lit(',"outline_color":{"literal":"#000000"},"outline_width":{"literal":"1"}}}'))
-    return table(spark, sf_dir, "customer").select(k.alias("style_id"), F.when(k % 8 == 7, F.lit("{")).otherwise(doc).alias("doc"))
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select(k.alias("style_id"), F.when(k % 8 == 7, F.lit("{")).otherwise(doc).alias("doc"))
 
 
 @query(

@@ -9,7 +9,7 @@ from plotwise.functions.wkb import by_feature
 from plotwise.operators.audit import match_grants
 from plotwise.operators.cutting import Cut, CutPolicy
 from plotwise.operators.trials import bootstrap_interval
-from plotwise.plans import catalog, publishing
+from plotwise.plans import catalog, metadata, publishing
 
 
 def orders(spark, path, ids):
@@ -98,3 +98,11 @@ def test_ranges_and_tasks_follow_the_bytes(spark, tmp_path):
     assert [r.n for r in cut.rows().groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()] == [300] * 13 + [100]
     vertices = rows.select("id", F.lit(0).alias("ring"), F.lit(0).alias("pos"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     assert by_feature(vertices).rdd.getNumPartitions() >= 10
+
+
+def test_documents_of_one_file_are_many_tasks(spark, tmp_path):
+    spark.range(64).selectExpr("id AS c_custkey", "'X' AS c_mktsegment").coalesce(1).write.parquet(f"file://{tmp_path}/customer.parquet")
+    for documents in (metadata.geo_documents, publishing.style_documents):
+        assert documents(spark, str(tmp_path)).rdd.getNumPartitions() >= 8
+    styles = catalog.queries()["style_validation"](spark, str(tmp_path))
+    assert styles._jdf.queryExecution().optimizedPlan().toString().count("style_version,IntegerType") == 1  # each document is parsed once
