@@ -9,6 +9,9 @@ from plotwise.functions.geo_metadata import geo_fields
 from plotwise.operators.spatial_joins import edges_in_cells, polygon_grids
 from plotwise.sources.footers import footer_inventory
 
+#: Vertices up to which a feature's segments need no grid to meet.
+_FEW = 32
+
 
 def lint(vertices: DataFrame) -> DataFrame:
     """(id, ring, issue, n): repeated consecutive vertices; rings of fewer than four vertices, or not closed, with their vertex counts.
@@ -61,12 +64,20 @@ def lint_crossings(vertices: DataFrame) -> DataFrame:
 
     ring-self-crossing and rings-cross: the insides of two segments have one point in common.  ring-self-touch and rings-touch: an end of one lies on the
     other; neighbours in a ring share an end anyway.  ring-spike: neighbours that lie on one another.  Segments are put in the cells of their feature's
-    own grid, as many as it has segments, and meet those of the same cells only; a ring inside another without touching it is no issue."""
-    segments = ring_segments(vertices)
-    grids = polygon_grids(segments, flat=True)
-    cells = edges_in_cells(segments.join(grids, "id")).select("id", "c", "r", "ring", "k", "m", "closed", "x1", "y1", "x2", "y2")
-    other = cells.select("id", "c", "r", F.col("ring").alias("ring2"), F.col("k").alias("k2"), F.col("x1").alias("x3"), F.col("y1").alias("y3"), F.col("x2").alias("x4"), F.col("y2").alias("y4"))
-    pairs = cells.join(other, ["id", "c", "r"]).where("ring < ring2 OR (ring = ring2 AND k < k2)")
+    own grid, as many as it has segments, and meet those of the same cells only; a ring inside another without touching it is no issue.  The few segments
+    of a small feature meet as they are, where its vertices were dealt to, so they aren't shuffled again."""
+    counted = vertices.withColumn("_n", F.count("*").over(Window.partitionBy("id")))
+    own = ["id", "ring", "k", "m", "closed", "x1", "y1", "x2", "y2"]
+    few = ring_segments(counted.where(F.col("_n") <= _FEW)).select(own)
+    segments = ring_segments(counted.where(F.col("_n") > _FEW))
+    cells = edges_in_cells(segments.join(polygon_grids(segments, flat=True), "id")).select(*own, "c", "r")
+    return _crossings(few, ["id"]).unionByName(_crossings(cells, ["id", "c", "r"]).distinct()).groupBy("id", "ring", "issue").agg(F.count("*").alias("n"))  # a pair may meet in several cells
+
+
+def _crossings(segments: DataFrame, meet: list[str]) -> DataFrame:
+    """(id, ring, k, ring2, k2, issue) of the pairs of segments with the same `meet`."""
+    other = segments.select(*meet, F.col("ring").alias("ring2"), F.col("k").alias("k2"), F.col("x1").alias("x3"), F.col("y1").alias("y3"), F.col("x2").alias("x4"), F.col("y2").alias("y4"))
+    pairs = segments.join(other.hint("merge"), meet).where("ring < ring2 OR (ring = ring2 AND k < k2)")
     t3, t4, t1, t2 = _turn("1", "2", "3"), _turn("1", "2", "4"), _turn("3", "4", "1"), _turn("3", "4", "2")
     crosses = (t3 * t4 < 0) & (t1 * t2 < 0)
     ends = [(t3 == 0) & _on("1", "2", "3"), (t4 == 0) & _on("1", "2", "4"), (t1 == 0) & _on("3", "4", "1"), (t2 == 0) & _on("3", "4", "2")]
@@ -82,8 +93,7 @@ def lint_crossings(vertices: DataFrame) -> DataFrame:
         .when(crosses, F.when(same, "ring-self-crossing").otherwise("rings-cross"))
         .when(touches, F.when(same, "ring-self-touch").otherwise("rings-touch"))
     )
-    found = pairs.select("id", "ring", "k", "ring2", "k2", issue.alias("issue")).where("issue IS NOT NULL").distinct()  # a pair may meet in several cells
-    return found.groupBy("id", "ring", "issue").agg(F.count("*").alias("n"))
+    return pairs.select("id", "ring", "k", "ring2", "k2", issue.alias("issue")).where("issue IS NOT NULL")
 
 
 def mixed_crs(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwise.functions.wkb import geometry_facts, header_class, to_wkb, vertex_table
+from plotwise.functions.wkb import by_feature, geometry_facts, header_class, to_wkb, vertex_table
 from plotwise.operators.digests import LEVELS, set_digest
 from plotwise.operators.linting import lint, lint_crossings
 from plotwise.operators.selection import extent
@@ -66,7 +66,7 @@ def geometry_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     def moved(c: str):
         return F.when(tied & (F.col("pos") == 1), F.lead(c).over(w)).when(tied & (F.col("pos") == 2), F.lag(c).over(w)).when(touching, F.first(c).over(w)).otherwise(F.col(c)).alias(c)
 
-    return lint_crossings(parcel_vertices(spark, sf_dir).select("id", "ring", "pos", moved("x"), moved("y")))
+    return lint_crossings(by_feature(parcel_vertices(spark, sf_dir)).select("id", "ring", "pos", moved("x"), moved("y")))
 
 
 def spoilt_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plotwise.functions.wkb import by_feature
 from plotwise.operators.audit import match_grants
 from plotwise.operators.cutting import Cut, CutPolicy
+from plotwise.operators.linting import lint_crossings
 from plotwise.operators.trials import bootstrap_interval
 from plotwise.plans import catalog, metadata, publishing
 
@@ -106,3 +107,16 @@ def test_documents_of_one_file_are_many_tasks(spark, tmp_path):
         assert documents(spark, str(tmp_path)).rdd.getNumPartitions() >= 8
     styles = catalog.queries()["style_validation"](spark, str(tmp_path))
     assert styles._jdf.queryExecution().optimizedPlan().toString().count("style_version,IntegerType") == 1  # each document is parsed once
+
+
+def test_segments_of_small_features_are_not_shuffled_again(spark, tmp_path):
+    found = catalog.queries()["geometry_crossings"](spark, orders(spark, tmp_path, range(200)))
+    assert {(r.id % 20, r.issue) for r in found.collect()} >= {(8, "ring-self-crossing")}
+    dealt = [line for line in plan(found).splitlines() if " Exchange hashpartitioning(" in line or "- Exchange hashpartitioning(" in line]
+    assert dealt and not any("c#" in line for line in dealt)
+    star = [(1, 0, k % 40, 100.0 * (k % 40 * 17 % 40), float(k % 40 * k % 7)) for k in range(41)]
+    small = [(2, r, p, x, y) for _, r, p, x, y in star[:20]] + [(2, 0, 20, star[0][3], star[0][4])]
+    kinds = "id long, ring int, pos int, x double, y double"
+    star = [(i, r, p if k < 40 else 40, x, y) for k, (i, r, p, x, y) in enumerate(star)]
+    both = {r.id: 0 for r in lint_crossings(spark.createDataFrame(star + small, kinds)).collect()}
+    assert set(both) == {1, 2}
