@@ -10,6 +10,7 @@ from plotwise.operators.trials import admissible_cells, admission_of_cells, boot
 from plotwise.operators.sequences import consecutive_groups
 from plotwise.plans.catalog import query
 from plotwise.plans.fixtures import table
+from plotwise.storage import stored_bytes
 
 _TRIALS_SQL = """tri AS (SELECT CAST(l_suppkey AS VARCHAR) || '|' || l_returnflag AS cell, l_quantity AS first_batch_ms, l_extendedprice AS total_ms, l_partkey AS read_bytes, l_linestatus AS plan, l_linenumber AS n_rows, l_orderkey AS run_id, l_suppkey, l_returnflag FROM lineitem)"""
 
@@ -135,12 +136,19 @@ cand AS (SELECT *, CASE WHEN (position + position // 2) % 2 = 0 THEN 'A' ELSE 'B
 th AS (SELECT block, position // 2 AS pair, max(rate) FILTER (candidate = 'A') AS a, max(rate) FILTER (candidate = 'B') AS b FROM cand GROUP BY ALL HAVING count(*) = 2)"""
 
 
+#: Bytes of orders read that a task of runs stands for.
+_RUN_BYTES = 4 << 20
+
+
 def paired_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(block, position, candidate, rate): a customer's orders as alternating AB BA runs."""
+    """(block, position, candidate, rate): a customer's orders as alternating AB BA runs, dealt once by block to tasks that follow the bytes read."""
     from pyspark.sql import Window
 
-    position = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("block"), position.alias("position"), F.col("o_totalprice").alias("rate"))
+    orders = table(spark, sf_dir, "orders")
+    tasks = max(spark.sparkContext.defaultParallelism, stored_bytes(orders) // _RUN_BYTES)
+    dealt = orders.select(F.col("o_custkey").alias("block"), "o_orderkey", F.col("o_totalprice").alias("rate")).repartition(tasks, "block")
+    position = F.row_number().over(Window.partitionBy("block").orderBy("o_orderkey")) - 1
+    runs = dealt.select("block", position.alias("position"), "rate")
     return runs.withColumn("candidate", F.when((F.col("position") + F.floor(F.col("position") / 2)) % 2 == 0, "A").otherwise("B"))
 
 

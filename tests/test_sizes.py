@@ -9,8 +9,8 @@ from plotwise.functions.wkb import by_feature
 from plotwise.operators.audit import match_grants
 from plotwise.operators.cutting import Cut, CutPolicy
 from plotwise.operators.linting import lint_crossings
-from plotwise.operators.trials import bootstrap_interval
-from plotwise.plans import catalog, metadata, publishing
+from plotwise.operators.trials import bootstrap_interval, paired_effect
+from plotwise.plans import catalog, metadata, publishing, trials
 
 
 def orders(spark, path, ids):
@@ -91,6 +91,26 @@ def test_resamples_of_small_and_large_blocks(spark):
     assert len(rows) == 4 and plan(found).count("Generate explode") == 1  # slices only: no row a resample or a draw
 
 
+def test_runs_are_dealt_once_by_bytes(spark, tmp_path):
+    rows = fat(spark, tmp_path, 48)
+    rows.selectExpr("id AS o_orderkey", "id % 60 AS o_custkey", "1.0D + id % 89 AS o_totalprice", "blob").write.parquet(f"file://{tmp_path}/orders.parquet")
+    runs = trials.paired_runs(spark, str(tmp_path))
+    assert runs.rdd.getNumPartitions() >= 11
+    assert plan(paired_effect(runs)).count("Exchange hashpartitioning") == 1  # pairs and blocks are made where the runs were dealt to
+    found = bootstrap_interval(runs, resamples=40, least=3)
+    assert plan(found).count("Exchange hashpartitioning") == 3  # runs, resamples, means
+    expected = {}
+    for block in range(60):
+        rates, xs = [1.0 + k % 89 for k in range(block, 4800, 60)], []
+        for k in range(0, len(rates), 2):
+            a, b = rates[k : k + 2] if k // 2 % 2 == 0 else rates[k : k + 2][::-1]
+            xs.append(2 * (b - a) / (a + b))
+        means = sorted(sum(xs[int(hashlib.sha256(f"{block}:{r}:{j}".encode()).hexdigest()[:8], 16) % len(xs)] for j in range(1, len(xs) + 1)) / len(xs) for r in range(40))
+        expected[block] = (means[1], means[39])
+    rows = {r.block: (r.ci_lo, r.ci_hi) for r in found.collect()}
+    assert rows.keys() == expected.keys() and all(abs(a - b) < 1e-9 for k in rows for a, b in zip(rows[k], expected[k], strict=True))
+
+
 def test_ranges_and_tasks_follow_the_bytes(spark, tmp_path):
     rows = fat(spark, tmp_path, 40)
     sized = rows.select("id", F.lit(5).alias("verts"), F.lit(93).alias("wkb_len"), F.lit(9).alias("attr_bytes"), "blob")
