@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
-from hashlib import sha256
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType
 
+from plotwise.functions.java import java_function
 from plotwise.storage import stored_bytes
 
 #: Two-sided 97.5th percentiles of Student's t for n = 3 to 26 values; beyond, there is no interval.
@@ -144,45 +139,18 @@ def paired_effect(runs: DataFrame, band: float = 0.1) -> DataFrame:
     return found.withColumn("branch", branch)
 
 
-#: Draws that are made at once; the most slices of a block's resamples; and bytes read times resamples that a task stands for.
+#: Draws that a task of a large block makes; the most slices of a block's resamples; and bytes read times resamples that a task stands for.
 _DRAWS, _SLICES, _TASK_WORK = 1 << 18, 256, 1 << 31
 
 
-@lru_cache(maxsize=16)
-def _suffixes(first: int, count: int, n: int) -> list[bytes]:
-    return [b"%d:%d" % (r, j) for r in range(first, first + count) for j in range(1, n + 1)]
-
-
-def _means(name: bytes, xs: np.ndarray, first: int, count: int) -> np.ndarray:
-    """Means of some resamples: a draw is the first 32 bits of the SHA-256 of name, resample and draw, by the number of values."""
-    n, found = len(xs), []
-    step = max(1, _DRAWS // n)
-    for at in range(first, first + count, step):
-        some = min(step, first + count - at)
-        words = np.frombuffer(b"".join([sha256(name + s).digest() for s in _suffixes(at, some, n)]), ">u4")[::8]
-        found.append(xs[words % n].reshape(some, n).mean(axis=1))
-    return np.concatenate(found)
-
-
-def _resampled(resamples: int, ends: tuple[int, int], schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("name", "first", "n_resamples")), batch.column("xs"), strict=True)
-            out = []
-            for name, first, count, xs in rows:
-                means = _means(name.encode(), xs.values.to_numpy(), first, count)
-                out.append(np.sort(means)[list(ends)] if count == resamples else means)
-            whole = pc.equal(batch.column("n_resamples"), resamples)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), whole, pa.array(out, pa.list_(pa.float64()))], names=["block", "whole", "ms"]).cast(schema)
-
-    return run
-
-
 def bootstrap_interval(runs: DataFrame, resamples: int = 10_000, least: int = 2) -> DataFrame:
     """(block, ci_lo, ci_hi): percentile bootstrap of the mean effect. Draws are hashes of (block, resample, draw), so they can be repeated anywhere.
 
-    A block's effects travel as one small array.  No row is made for a draw or a resample: a task makes the draws of a block, some at a time, and gives
-    its two ends; the resamples of a large block are dealt to several tasks, and their means meet again.  Tasks follow the bytes read and the resamples."""
+    A block's effects travel as one small array.  No row is made for a draw or a resample: a task makes the draws of a block, by a Java UDF as a call of
+    hashlib a draw takes several times longer, and gives its two ends; the resamples of a large block are dealt to several tasks, and their means meet
+    again.  Tasks follow the bytes read and the resamples."""
+    spark = runs.sparkSession
+    resampled_means = java_function(spark, "plotwise.ResampledMeans", ArrayType(DoubleType()))
     theta = 2 * (F.col("b") - F.col("a")) / (F.col("a") + F.col("b"))
     xs = F.transform(F.sort_array(F.collect_list(F.struct("pair", theta.alias("x")))), lambda s: s["x"].cast("double"))
     blocks = _pairs(runs).groupBy("block").agg(xs.alias("xs")).where(F.size("xs") >= max(1, least))
@@ -190,10 +158,9 @@ def bootstrap_interval(runs: DataFrame, resamples: int = 10_000, least: int = 2)
     name = F.coalesce(F.concat(F.col("block").cast("string"), F.lit(":")), F.lit(""))
     sliced = blocks.select("block", name.alias("name"), "xs", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), step)).alias("first"))
     dealt = sliced.select("block", "name", "xs", "first", F.least("step", resamples - F.col("first")).alias("n_resamples"))
-    tasks = max(runs.sparkSession.sparkContext.defaultParallelism, stored_bytes(runs) * resamples // _TASK_WORK)
-    kinds = StructType([dealt.schema["block"], StructField("whole", BooleanType()), StructField("ms", ArrayType(DoubleType()))])
-    ends = (int(0.025 * resamples), int(0.975 * resamples))
-    means = dealt.repartition(tasks, "block", "first").mapInArrow(_resampled(resamples, ends, to_arrow_schema(kinds)), kinds)
+    tasks = max(spark.sparkContext.defaultParallelism, stored_bytes(runs) * resamples // _TASK_WORK)
+    ends, whole = (int(0.025 * resamples), int(0.975 * resamples)), F.col("n_resamples") == resamples
+    means = dealt.repartition(tasks, "block", "first").select("block", whole.alias("whole"), resampled_means("name", "xs", "first", "n_resamples", F.when(whole, F.lit([*ends]))).alias("ms"))
     ordered = means.groupBy("block").agg(F.first("whole").alias("whole"), F.sort_array(F.flatten(F.collect_list("ms"))).alias("ms"))
     lo, hi = (F.get("ms", F.when(F.col("whole"), k).otherwise(end)).alias(c) for k, (end, c) in enumerate(zip(ends, ("ci_lo", "ci_hi"), strict=True)))
     return ordered.select("block", lo, hi)
